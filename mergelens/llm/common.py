@@ -78,7 +78,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 #: An odd multiplier and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 _SPACE = np.zeros(256, bool)
@@ -126,7 +126,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """64-bit hashes of the ASCII-lower-cased words of all texts, in order.
 
     Returns (hashes, first word of each text plus an end mark, word starts, word ends, buffer);
-    starts and ends are byte positions in the buffer. Work is done in blocks of about 1 MB cut
+    starts and ends are byte positions in the buffer. Work is done in blocks of about 256 KB cut
     at white space, so memory stays a small multiple of the input.
     """
     buf = b"\n".join(texts).lower()
@@ -210,42 +210,72 @@ _CHUNK_BITS = 16
 def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
     """Counts of all hashes, modulo 2**bits counters, over every row of ``df``.
 
-    ``hashes_of(pandas frame)`` yields uint64 arrays. Each task sends its counters as
-    2**(bits-16) packed rows, summed in groups by counter range; the driver gets 8 * 2**bits
-    bytes, whatever the size of the input. A counter is an upper bound of each of its hashes'
-    counts, so sorting by it puts frequent hashes last.
+    ``hashes_of(record batch)`` yields uint64 arrays. Each task sends its counters as packed
+    rows, summed by counter range at two levels of at most 256 rows a group for up to 65,536
+    tasks; the driver gets 8 * 2**bits bytes, whatever the size of the input. A counter is an
+    upper bound of each of its hashes' counts, so sorting by it puts frequent hashes last.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark import TaskContext
 
     size, span = 1 << bits, 1 << min(_CHUNK_BITS, bits)
 
-    def tally(frames):
-        total = np.zeros(size, np.int64)
-        for pdf in frames:
-            for h in hashes_of(pdf):
-                total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        some = [i for i in range(size // span) if total[i * span : (i + 1) * span].any()]
-        for i in some:
+    def tally(batches):
+        total, held, n = np.zeros(size, np.int64), [], 0
+
+        def settle():
+            if held:
+                at = (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64)
+                total[:] += np.bincount(at, minlength=size)
+                held.clear()
+
+        for batch in batches:
+            for h in hashes_of(batch):
+                held.append(h)
+                n += len(h)
+                if n > 1 << 20:
+                    settle()
+                    n = 0
+        settle()
+        level = TaskContext.get().partitionId() // 256
+        kind = np.uint32 if total.max(initial=0) < 1 << 32 else np.int64
+        for i in range(size // span):
             part = total[i * span : (i + 1) * span]
-            yield pd.DataFrame({"chunk": [i], "task": [0], "counts": [part.tobytes()]})
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([level], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())],
+                    names=["chunk", "level", "counts"],
+                )
 
-    def merge(pdf):
+    def merge(rows):
         total = np.zeros(span, np.int64)
-        for blob in pdf["counts"]:
-            total += np.frombuffer(blob, np.int64)
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "counts": [total.tobytes()]})
-
-    parts = df.mapInPandas(tally, "chunk int, task int, counts binary")
-    rows = parts.groupBy("chunk").applyInPandas(merge, "chunk int, counts binary").collect()
+        for blob in rows["counts"]:
+            raw = blob.as_buffer()
+            total += np.frombuffer(raw, np.uint32 if raw.size == 4 * span else np.int64)
+        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = df.mapInArrow(tally, "chunk int, level int, counts binary")
+    parts = parts.groupBy("chunk", "level").applyInArrow(merge, "chunk int, counts binary")
+    rows = parts.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect()
     out = np.zeros(size, np.int64)
     for r in rows:
         out[r["chunk"] * span : (r["chunk"] + 1) * span] = np.frombuffer(bytes(r["counts"]), np.int64)
     return out
 
 
+def id_hashes(*columns: str):
+    """For count_sketch: mixed values of integer columns without nulls."""
+
+    def run(batch):
+        for c in columns:
+            yield mix64(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+    return run
+
+
 def sketch_bits(rows: int, least: int = 16, most: int = 22) -> int:
-    """Counters for a corpus of ``rows`` documents: 64 a document, 2**22 (32 MB) at most."""
-    return min(most, max(least, math.ceil(math.log2(max(rows, 1) * 64))))
+    """Counters for a corpus of ``rows`` documents: about 8 a document, 2**22 (32 MB) at most."""
+    return min(most, max(least, math.ceil(math.log2(max(rows, 1) * 8))))
 
 
 # --- connected components -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality, secrets, topk
+from . import langid, licenses, lines, njoin, packing, quality, secrets, topk
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's kept text and the numbers of its lines that went."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,12 +42,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return njoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_language_id, op8_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op3_exact_top_k, op4_line_dedup, op5_quality_classifier, op6_secret_scan, op7_language_id, op8_packing, op9_ngram_join, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
