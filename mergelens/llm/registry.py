@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, njoin, packing, quality, secrets, topk
+from . import decontam, langid, licenses, lines, lm, njoin, packing, quality, secrets, topk
 from .common import table
 
 
@@ -15,6 +15,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable_vectors(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -51,7 +59,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_top_k, op4_line_dedup, op5_quality_classifier, op6_secret_scan, op7_language_id, op8_packing, op9_ngram_join, op10_license_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_decontamination,
+            op2_lm_scoring,
+            op3_exact_top_k,
+            op4_line_dedup,
+            op5_quality_classifier,
+            op6_secret_scan,
+            op7_language_id,
+            op8_packing,
+            op9_ngram_join,
+            op10_license_scan,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
