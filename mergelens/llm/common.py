@@ -207,13 +207,12 @@ def batches_of_text(texts: list[bytes], limit: int = 4 << 20) -> Iterator[slice]
 _CHUNK_BITS = 16
 
 
-def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
-    """Counts of all hashes, modulo 2**bits counters, over every row of ``df``.
+def _gather(df: DataFrame, hashes_of, bits: int, kind, join) -> dict[int, bytes]:
+    """Packed counters or flags of all hashes by range: one array a task, joined in two levels.
 
-    ``hashes_of(record batch)`` yields uint64 arrays. Each task sends its counters as packed
-    rows, summed by counter range at two levels of at most 256 rows a group for up to 65,536
-    tasks; the driver gets 8 * 2**bits bytes, whatever the size of the input. A counter is an
-    upper bound of each of its hashes' counts, so sorting by it puts frequent hashes last.
+    ``hashes_of(record batch)`` yields uint64 arrays, ``kind(counts)`` packs a range of a
+    task's counters and ``join`` joins packed ranges; a group has at most 256 rows, for up to
+    65,536 tasks.
     """
     import pyarrow as pa
     from pyspark import TaskContext
@@ -222,47 +221,77 @@ def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
 
     def tally(batches):
         total, held, n = np.zeros(size, np.int64), [], 0
-
-        def settle():
-            if held:
-                at = (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64)
-                total[:] += np.bincount(at, minlength=size)
-                held.clear()
-
         for batch in batches:
             for h in hashes_of(batch):
                 held.append(h)
                 n += len(h)
                 if n > 1 << 20:
-                    settle()
-                    n = 0
-        settle()
+                    total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                    held, n = [], 0
+        if held:
+            total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         level = TaskContext.get().partitionId() // 256
-        kind = np.uint32 if total.max(initial=0) < 1 << 32 else np.int64
         for i in range(size // span):
             part = total[i * span : (i + 1) * span]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([level], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())],
-                    names=["chunk", "level", "counts"],
+                    [pa.array([i], pa.int32()), pa.array([level], pa.int32()), pa.array([kind(part)], pa.binary())],
+                    names=["chunk", "level", "packed"],
                 )
 
     def merge(rows):
+        return pa.table({"chunk": rows["chunk"][:1], "packed": pa.array([join(rows["packed"].to_pylist())], pa.binary())})
+
+    parts = df.mapInArrow(tally, "chunk int, level int, packed binary")
+    parts = parts.groupBy("chunk", "level").applyInArrow(merge, "chunk int, packed binary")
+    return {r["chunk"]: bytes(r["packed"]) for r in parts.groupBy("chunk").applyInArrow(merge, "chunk int, packed binary").toLocalIterator()}
+
+
+def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
+    """Counts of all hashes over every row of ``df``, modulo 2**bits counters (int64).
+
+    The driver gets 8 * 2**bits bytes whatever the size of the input. A counter is an upper
+    bound of each of its hashes' counts, so sorting by it puts frequent hashes last.
+    """
+    span = 1 << min(_CHUNK_BITS, bits)
+
+    def pack(part):
+        return part.astype(np.uint32 if part.max() < 1 << 32 else np.int64).tobytes()
+
+    def join(blobs):
         total = np.zeros(span, np.int64)
-        for blob in rows["counts"]:
-            raw = blob.as_buffer()
-            total += np.frombuffer(raw, np.uint32 if raw.size == 4 * span else np.int64)
-        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = df.mapInArrow(tally, "chunk int, level int, counts binary")
-    parts = parts.groupBy("chunk", "level").applyInArrow(merge, "chunk int, counts binary")
-    rows = parts.groupBy("chunk").applyInArrow(merge, "chunk int, counts binary").collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r["chunk"] * span : (r["chunk"] + 1) * span] = np.frombuffer(bytes(r["counts"]), np.int64)
+        for blob in blobs:
+            total += np.frombuffer(blob, np.uint32 if len(blob) == 4 * span else np.int64)
+        return total.tobytes() if total.max() >= 1 << 32 else total.astype(np.uint32).tobytes()
+
+    out = np.zeros(1 << bits, np.int64)
+    for i, blob in _gather(df, hashes_of, bits, pack, join).items():
+        out[i * span : (i + 1) * span] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * span else np.int64)
+    return out
+
+
+def flag_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
+    """Which residues modulo 2**bits occur among the hashes: 2**bits bits, packed."""
+    span = 1 << min(_CHUNK_BITS, bits)
+    packed = _gather(df, hashes_of, bits, lambda part: np.packbits(part > 0).tobytes(), lambda blobs: np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in blobs]).tobytes())
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for i, blob in packed.items():
+        out[i * span // 8 : (i + 1) * span // 8] = np.frombuffer(blob, np.uint8)
     return out
 
 
+def flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash's residue is set in a packed flag sketch."""
+    at = h & np.uint64(8 * len(flags) - 1)
+    return ((flags[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+
+
+def text_slices(batch, rows: int = 512):
+    """Consecutive slices of a record batch, so that few texts are held as objects at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def id_hashes(*columns: str):
     """For count_sketch: mixed values of integer columns without nulls."""
 

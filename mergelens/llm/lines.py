@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, checkpoint, count_sketch, encoded, mix64, sketch_bits, word_hashes
-from .njoin import bitmap
+from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, sketch_bits, text_slices, word_hashes
+from .njoin import flags_of
 from .setjoin import candidate_pairs, prefix_length
 
 PCT = 80
@@ -77,7 +77,7 @@ def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least:
             mixed = mix64(tokens)
             key1 = np.add.reduceat(mixed, start).view(np.int64)
             key2 = np.add.reduceat(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start).view(np.int64)
-            sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), start).view(np.int64)
+            sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), start)
         own = lines[start]
         of = np.searchsorted(first, own, side="right") - 1
         keep = np.flatnonzero(n >= least)
@@ -87,26 +87,26 @@ def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least:
 
 def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             for start, n, key1, key2, sig, doc, number, tokens, keep in _grouped(
                 batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least
             ):
                 p = prefix_length(n, pct)
                 prefix = [tokens[start[i] : start[i] + p[i]].tobytes() for i in keep]
-                ints = [pa.array(x[keep], pa.int64()) for x in (doc, number, n, key1, key2, sig)]
-                yield pa.RecordBatch.from_arrays([*ints, pa.array(prefix, pa.binary())], names=["doc_id", "line", "n", "key1", "key2", "sig", "prefix"])
+                ints = [pa.array(x[keep], pa.int64()) for x in (doc, number, n, key1, key2)]
+                bits = pa.array([x.tobytes() for x in sig[keep]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*ints, bits, pa.array(prefix, pa.binary())], names=["doc_id", "line", "n", "key1", "key2", "sig", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, line long, n long, key1 long, key2 long, sig long, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, line long, n long, key1 long, key2 long, sig binary, prefix binary")
 
 
 def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
-    """(id, set) of the lines whose key passes the bitmap; once for each slice of a batch."""
-    mask = np.uint64(len(wanted.value) - 1)
+    """(id, set) of the lines whose key passes the flag sketch; once for each slice of a batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             for start, n, key1, *_, tokens, keep in _grouped(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least):
-                keep = keep[wanted.value[(mix64(key1[keep].view(np.uint64)) & mask).astype(np.int64)]]
+                keep = keep[flagged(wanted.value, mix64(key1[keep].view(np.uint64)))]
                 keep = keep[np.unique(key1[keep], return_index=True)[1]]
                 sets = [tokens[start[i] : start[i] + n[i]].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([pa.array(key1[keep]), pa.array(sets, pa.binary())], names=["id", "set"])
@@ -116,7 +116,7 @@ def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    sets = _sets_of(docs, sc.broadcast(bitmap(pairs, "a", "b")), rarity, least).dropDuplicates(["id"])
+    sets = _sets_of(docs, sc.broadcast(flags_of(pairs, "a", "b")), rarity, least).dropDuplicates(["id"])
 
     def test(batches):
         for batch in batches:
@@ -139,9 +139,8 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
-        raw = encoded(batch.column("text").to_pylist())
-        for part in batches_of_text(raw, 4 << 20):
-            yield word_hashes(raw[part])[0]
+        for part in text_slices(batch):
+            yield word_hashes(encoded(part.column("text").to_pylist()))[0]
 
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
     rarity = sc.broadcast(rarity_classes(counts))
@@ -165,7 +164,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     matched = checkpoint(_verify(tried, docs, rarity, pct, least))
     long = first.where("list is not null")
     if not long.isEmpty():
-        live = sc.broadcast(bitmap(long, "list"))
+        live = sc.broadcast(flags_of(long, "list"))
         open_items = items.join(matched.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left").fillna(True, ["probe"])
         more = candidate_pairs(open_items, sketch, pct, live=live, ordered=True).select("a", "b").distinct()
         more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))

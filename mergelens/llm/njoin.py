@@ -20,16 +20,21 @@ from .common import (
     connected_components,
     count_sketch,
     encoded,
+    flag_sketch,
+    flagged,
     id_hashes,
     mix64,
     shingle_sets,
     sketch_bits,
+    text_slices,
 )
 from .setjoin import candidate_pairs, least_overlap, parity, prefix_length
 
 WORDS = 5
 PCT = 80
-_MAP_BITS = 22
+_FLAG_BITS = 23
+#: Bits of the parity in postings of the first round and of the second, over long lists alone.
+_FIRST_BITS, _SECOND_BITS = 64, 512
 
 
 def _sets(texts, k: int):
@@ -64,47 +69,45 @@ def within_suffix_filter(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes, pct: in
 def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
     """(doc_id, n, key1, key2, sig, big, prefix) of each document."""
     mask = np.uint64(len(counts.value) - 1)
-    schema = "doc_id long, n long, key1 long, key2 long, sig long, big binary, prefix binary"
+    schema = "doc_id long, n long, key1 long, key2 long, sig binary, wide binary, big binary, prefix binary"
 
     def run(batches):
-        for batch in batches:
-            n, key1, key2, sig, big, prefix = [], [], [], [], [], []
+        for batch in (part for whole in batches for part in text_slices(whole)):
+            n, key1, key2, sig, wide, big, prefix = [], [], [], [], [], [], []
             for s in _sets(batch.column("text").to_pylist(), k):
                 m = len(s)
                 n.append(m)
                 with np.errstate(over="ignore"):
                     key1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
                     key2.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(int(parity(s).view(np.int64)[0]))
+                sig.append(parity(s, _FIRST_BITS).tobytes())
+                wide.append(parity(s, _SECOND_BITS).tobytes())
                 big.append(_suffix_parity(s))
                 p = prefix_length(m, pct) if m else 0
                 rare = np.lexsort((s, counts.value[(s & mask).astype(np.int64)]))[:p]
                 prefix.append(s[rare].tobytes())
-            ints = [pa.array(x, pa.int64()) for x in (n, key1, key2, sig)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *ints, pa.array(big, pa.binary()), pa.array(prefix, pa.binary())],
-                names=["doc_id", "n", "key1", "key2", "sig", "big", "prefix"],
-            )
+            ints = [pa.array(x, pa.int64()) for x in (n, key1, key2)]
+            blobs = [pa.array(x, pa.binary()) for x in (sig, wide, big, prefix)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *blobs], names=["doc_id", "n", "key1", "key2", "sig", "wide", "big", "prefix"])
 
     return docs.mapInArrow(run, schema)
 
 
-def bitmap(df: DataFrame, *columns: str, bits: int = _MAP_BITS) -> np.ndarray:
+def flags_of(df: DataFrame, *columns: str, bits: int = _FLAG_BITS) -> np.ndarray:
     """Which residues the mixed values of the columns have: a filter of fixed size."""
-    return count_sketch(df, id_hashes(*columns), bits) > 0
+    return flag_sketch(df, id_hashes(*columns), bits)
 
 
 def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
-    """(id, set) of the documents whose id passes the bitmap."""
-    mask = np.uint64(len(wanted.value) - 1)
+    """(id, set) of the documents whose id passes the flag sketch."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.flatnonzero(wanted.value[(mix64(ids.view(np.uint64)) & mask).astype(np.int64)])
-            texts = batch.column("text").take(pa.array(at)).to_pylist()
+            at = np.flatnonzero(flagged(wanted.value, mix64(ids.view(np.uint64))))
+            texts = batch.column("text").take(pa.array(at))
             for some in range(0, len(at), 256):
-                sets = [s.tobytes() for s in _sets(texts[some : some + 256], k)]
+                sets = [s.tobytes() for s in _sets(texts.slice(some, 256).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[some : some + 256]]), pa.array(sets, pa.binary())], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
@@ -123,7 +126,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, pct
 
     left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long").distinct())
     sc = docs.sparkSession.sparkContext
-    sets = _sets_of(docs, sc.broadcast(bitmap(left, "a", "b")), k).dropDuplicates(["id"])
+    sets = _sets_of(docs, sc.broadcast(flags_of(left, "a", "b")), k).dropDuplicates(["id"])
 
     def test(batches):
         for batch in batches:
@@ -156,7 +159,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
-        yield from _sets(batch.column("text").to_pylist(), k)
+        for part in text_slices(batch):
+            yield from _sets(part.column("text").to_pylist(), k)
 
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
     counts = sc.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
@@ -167,27 +171,35 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     reps = usable.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     known = docs.where("doc_id is not null")
 
-    def items(frame, probe):
+    def items(frame, probe, sig):
         zero = F.lit(0)
-        return frame.select(F.col("doc_id").alias("item"), "n", "sig", zero.cast("long").alias("ord"), zero.alias("sub"), "prefix", probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
+        return frame.select(F.col("doc_id").alias("item"), "n", F.col(sig).alias("sig"), zero.cast("long").alias("ord"), zero.alias("sub"), "prefix", probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
 
-    first = checkpoint(candidate_pairs(items(reps, F.lit(False)), counts, pct))
-    tried = first.where("b is not null").select("a", "b").distinct()
+    # First round: all pairs of short lists, stars of long ones. One candidate of each item, its
+    # earliest, is verified before the others: most of a group of copies then hangs together.
+    first = checkpoint(candidate_pairs(items(reps, F.lit(False), "sig"), counts, pct))
+    pairs = checkpoint(first.where("b is not null").select("a", "b").distinct())
+    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
     links = checkpoint(_verify(tried, known, reps, k, pct))
     part = connected_components(links)
-    long = first.where("list is not null")
-    if not long.isEmpty():
-        sizes = part.groupBy("component").count()
-        largest = sizes.orderBy(F.desc("count"), "component").limit(1).collect()
-        largest = largest[0]["component"] if largest else None
-        marked = reps.join(part, reps["doc_id"] == part["id"], "left").withColumn("label", F.coalesce("component", "doc_id"))
-        # of two different components one is not the largest, so its items probe
-        probe = F.col("label") != F.lit(largest) if largest is not None else F.lit(True)
-        live = sc.broadcast(bitmap(long, "list"))
-        more = candidate_pairs(items(marked, probe), counts, pct, live=live, labelled=True).select("a", "b").distinct()
-        more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(checkpoint(_verify(more, known, reps, k, pct)))
-        part = connected_components(links)
+
+    # Second round: the pairs not yet verified, of long lists too, whose components differ.
+    label = part.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    largest = part.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).collect()
+    # of two different components one is not the largest, so its items probe
+    probe = F.col("label") != F.lit(largest[0]["component"]) if largest else F.lit(True)
+    marked = reps.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    live = sc.broadcast(flags_of(first.where("list is not null"), "list"))
+    more = candidate_pairs(items(marked, probe, "wide"), counts, pct, live=live, labelled=True).select("a", "b")
+    apart = (
+        pairs.join(label.withColumnRenamed("doc_id", "a").withColumnRenamed("label", "la"), "a", "left")
+        .join(label.withColumnRenamed("doc_id", "b").withColumnRenamed("label", "lb"), "b", "left")
+        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        .select("a", "b")
+    )
+    more = checkpoint(more.unionByName(apart).distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(checkpoint(_verify(more, known, reps, k, pct)))
+    part = connected_components(links)
     component = member.join(part.withColumnRenamed("id", "rep"), "rep", "left")
     # a repeated id can be in several classes: join these as well
     several = component.select("doc_id", F.coalesce("component", "rep").alias("c")).distinct()

@@ -4,7 +4,7 @@ Items are token sets sorted rare-first; two similar sets share a token among the
 n - ceil(pct * n / 100) + 1 tokens, so only those prefixes are joined. Postings travel packed:
 each task sorts its postings by bucket and sends arrays, and a bucket's lists are joined in
 numpy under the length filter, the positional filter and a parity filter (each token flips one
-of 64 bits, so the bits in which two sets differ bound their symmetric difference from below).
+of some bits, so the bits in which two sets differ bound their symmetric difference from below).
 
 Lists of at most ``small`` postings yield all their candidate pairs. A longer list first yields
 one star for each length class, against its first item; once those pairs are verified, a second
@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import mix64, shuffle_width
+from .common import flagged, mix64, shuffle_width
 
 HOT = 200_000
 _CLASS_STEP = 1.25
@@ -57,11 +57,12 @@ def _postings(columns: list[str], counts, live, buckets: int):
             h = np.frombuffer(b"".join(prefix.to_pylist()), np.uint64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(kinds.get(c, np.int64)) for c in columns}
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(kinds.get(c, np.int64)) for c in columns if c != "sig"}
+            cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(len(sizes), -1)
             probe = batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
             parts = (1 + counts.value[(h & mask).astype(np.int64)] // HOT).astype(np.uint64)
             if live is not None:
-                keep = live.value[(mix64(h) & np.uint64(len(live.value) - 1)).astype(np.int64)] | (parts > 1)
+                keep = flagged(live.value, mix64(h)) | (parts > 1)
                 h, row, pos, parts = h[keep], row[keep], pos[keep], parts[keep]
             salt = mix64(cols["item"].view(np.uint64))[row] % parts
             role = probe[row].astype(np.int8)
@@ -80,12 +81,12 @@ def _postings(columns: list[str], counts, live, buckets: int):
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             key, row, pos, role = key[order], row[order], pos[order], role[order]
-            packed = [key, pos, role, *[c[row] for c in cols.values()]]
+            packed = [key, pos, role, *[cols[c][row] for c in columns]]
             some = np.flatnonzero(np.diff(cuts))
             if not len(some):
                 continue
             blobs = [pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()) for x in packed]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *blobs], names=["bucket", "key", "pos", "role", *cols])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *blobs], names=["bucket", "key", "pos", "role", *columns])
 
     return run
 
@@ -96,8 +97,9 @@ def candidate_pairs(
     """(a, b, list): candidate pairs with b earlier than a, and with null b the long lists.
 
     ``items`` has (item, n, prefix, sig, ord, sub, probe[, label]) without nulls; the order of
-    items is that of (ord, sub, item) and ``sig`` is their 64-bit parity. ``counts`` is the
-    broadcast counting sketch of the tokens. With ``live`` (a broadcast bitmap of lists) it is
+    items is that of (ord, sub, item) and ``sig`` is their packed parity, of as many bits for
+    all. ``counts`` is the broadcast counting sketch of the tokens. With ``live`` (a broadcast
+    flag sketch of lists) it is
     the second round: only pairs of a probe, with different labels if ``labelled`` and, if
     ``ordered``, only with items earlier than the probe.
     """
@@ -116,6 +118,7 @@ def candidate_pairs(
             return np.frombuffer(b"".join(table[c].to_pylist()), kinds.get(c, np.int64))
 
         x = {c: column(c) for c in ("key", "pos", "role", *columns)}
+        x["sig"] = x["sig"].reshape(len(x["key"]), -1)
         # an item's rank in the order of items; equal items share it
         by = (x["item"], x["sub"], x["ord"]) if ordered else (x["item"],)
         place = np.lexsort(by)
@@ -139,8 +142,9 @@ def candidate_pairs(
             ok = 100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])
             ok &= np.minimum(p, q) + 1 + np.minimum(n[i] - p - 1, n[j] - q - 1) >= need
             ok &= rank[i] != rank[j]
-            differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j])
-            ok &= differ <= n[i] + n[j] - 2 * need
+            i, j, need = i[ok], j[ok], need[ok]
+            differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j]).sum(axis=1, dtype=np.int64)
+            ok = differ <= n[i] + n[j] - 2 * need
             if second:
                 if labelled:
                     ok &= x["label"][i] != x["label"][j]
@@ -170,7 +174,7 @@ def candidate_pairs(
             for s, m in zip(start[huge], size[huge], strict=True):
                 # one probe at a time against its length window
                 own = n[s : s + m]
-                for i in np.flatnonzero(x["role"][s : s + m] > 0):
+                for i in np.flatnonzero(x["role"][s : s + m] > 0).tolist():
                     lo, hi = np.searchsorted(own, [-((-pct * own[i]) // 100), 100 * own[i] // pct + 1])
                     j = np.arange(lo, hi)
                     j = j[j != i]
