@@ -1,11 +1,487 @@
-"""All queries by name, with their SQL twins."""
+"""All pull-request queries by name, each with its SQL twin over the same tables."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import expr as E
+from ..operators import collect, health, metrics, normalize, scope, trends
+from ..schema import FLAT_PR, LATER_FIELDS, RAW_PR
+from ..sources import store
+from .fixture import AS_OF, AUTHOR, ORG, REPO, SQL, fixture_prs, scoped
+
+Q: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) by its name; sql follows the fixture's CTEs."""
+
+    def add(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = f"WITH {SQL}{sql}"
+        return f
+
+    return add
+
+
+def _plain_times(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone, as the tables have them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t.startswith("timestamp") else F.col(c) for c, t in df.dtypes])
+
+
+M = "CAST(SUM(CASE WHEN state = 'merged' THEN 1 ELSE 0 END) AS BIGINT)"
+HOURS = "ROUND(AVG(CASE WHEN state = 'merged' THEN time_to_merge_hours END), 1)"
+RATE = f"ROUND(CAST(100 AS DOUBLE) * {M} / COUNT(*), 1)"
+SIZE = "ROUND(AVG(pr_size), 1)"
+WEEK = "CAST(date_trunc('week', created_at) AS TIMESTAMP)"
+_BASIC = f"COUNT(*) AS pr_count, {M} AS merged_count"
+_BY_WEEK = f"{WEEK} AS week, {_BASIC}, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time, {RATE} AS merge_rate"
+_WEEKLY = (
+    f"SELECT {WEEK} AS week, {_BASIC}, COUNT(DISTINCT author) AS active_authors, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time, "
+    f"{RATE} AS merge_rate, ROUND(CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT author), 1) AS prs_per_dev "
+    "FROM prs GROUP BY 1 ORDER BY 1 DESC LIMIT 6"
+)
+_AUTHORS = (
+    f"SELECT author, {_BASIC}, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time, ROUND(AVG(reviews), 1) AS avg_reviews, {RATE} AS merge_rate "
+    "FROM prs GROUP BY author"
+)
+_CONTRIB = f"""
+  , own AS (
+    SELECT author, {_BASIC}, {RATE} AS merge_rate, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time,
+           ROUND(AVG(changed_files), 1) AS avg_files_changed,
+           ROUND(AVG(CASE WHEN state = 'merged' THEN time_to_first_review_hours END), 1) AS avg_time_to_first_review,
+           CAST(SUM(CASE WHEN self_merged THEN 1 ELSE 0 END) AS BIGINT) AS self_merged_count
+    FROM scoped GROUP BY author
+  ),
+  given AS (
+    SELECT trim(r) AS reviewer, COUNT(*) AS n FROM (SELECT unnest(string_split(reviewers, ',')) AS r FROM scoped WHERE reviewers != '') GROUP BY 1
+  ),
+  contributors AS (
+    SELECT author, pr_count, merged_count, merge_rate, avg_pr_size, avg_merge_time, avg_files_changed, avg_time_to_first_review,
+           COALESCE(n, 0) AS reviews_given, self_merged_count,
+           ROUND(CAST(100 AS DOUBLE) * self_merged_count / NULLIF(merged_count, 0), 1) AS self_merge_rate
+    FROM own LEFT JOIN given ON author = reviewer
+  )
+"""
+_CW = """
+  , weeks AS (SELECT author, {by_week}{extra} FROM {table} GROUP BY author, 2),
+  newest AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY week DESC) AS nth FROM weeks),
+  kept AS (SELECT *, COUNT(*) OVER (PARTITION BY author) AS n_weeks FROM newest WHERE nth <= {limit}),
+  moved AS (
+    SELECT *, CAST(pr_count AS DOUBLE) - lag(CAST(pr_count AS DOUBLE)) OVER w AS dn, merge_rate - lag(merge_rate) OVER w AS dr
+    FROM kept WHERE n_weeks >= 2 WINDOW w AS (PARTITION BY author ORDER BY week DESC)
+  )
+"""
+
+
+def _label(steady: int, mixed: bool) -> str:
+    more = "WHEN dn > 0 AND dr < -5 THEN 'up_lower_quality' WHEN dn < 0 AND dr > 5 THEN 'down_better_quality'" if mixed else ""
+    return (
+        "CASE WHEN dn IS NULL THEN '' WHEN dn > 0 AND dr >= 0 THEN 'up' WHEN dn < 0 AND dr < -5 THEN 'down' "
+        f"WHEN abs(dn) <= {steady} AND abs(dr) <= 5 THEN 'stable' {more} ELSE 'mixed' END AS trend"
+    )
+
+
+# --- the named queries --------------------------------------------------------------------
+
+
+@query(
+    f"SELECT COUNT(*) AS total_prs, {M} AS merged_prs, ROUND(AVG(pr_size), 0) AS avg_pr_size, {HOURS} AS avg_merge_time, "
+    "MIN(created_at) AS date_min, MAX(created_at) AS date_max, COUNT(DISTINCT repo) AS unique_repos, COUNT(DISTINCT author) AS unique_authors FROM prs"
+)
+def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary_stats(fixture_prs(spark, sf_dir))
+
+
+@query(_AUTHORS)
+def author_stats(spark, sf_dir):
+    return metrics.author_stats(fixture_prs(spark, sf_dir))
+
+
+@query(
+    f"SELECT repo, {_BASIC}, COUNT(DISTINCT author) AS contributor_count, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time, "
+    f"{RATE} AS merge_rate FROM prs GROUP BY repo"
+)
+def repo_stats(spark, sf_dir):
+    return metrics.repo_stats(fixture_prs(spark, sf_dir))
+
+
+_BUCKET = "CASE WHEN pr_size <= 50 THEN 'Small (<50)' WHEN pr_size <= 200 THEN 'Medium (50-200)' ELSE 'Large (>200)' END"
+
+
+@query(f"SELECT {_BUCKET} AS size_category, COUNT(*) AS pr_count, {HOURS} AS avg_merge_time FROM prs GROUP BY 1")
+def size_distribution(spark, sf_dir):
+    return metrics.size_distribution(fixture_prs(spark, sf_dir))
+
+
+@query(_WEEKLY)
+def weekly_stats(spark, sf_dir):
+    return _plain_times(metrics.weekly_stats(fixture_prs(spark, sf_dir)))
+
+
+@query(f"SELECT {_BY_WEEK} FROM prs WHERE author = '{AUTHOR}' GROUP BY 1 ORDER BY 1 DESC LIMIT 6")
+def author_weekly_stats(spark, sf_dir):
+    return _plain_times(metrics.author_weekly_stats(fixture_prs(spark, sf_dir), AUTHOR))
+
+
+@query("SELECT author, COUNT(*) AS pr_count FROM prs GROUP BY author ORDER BY 2 DESC, 1 LIMIT 5")
+def top_authors(spark, sf_dir):
+    return metrics.top_authors(fixture_prs(spark, sf_dir))
+
+
+@query(
+    f"SELECT CAST(date_trunc('month', created_at) AS TIMESTAMP) AS month, {_BASIC}, COUNT(DISTINCT author) AS active_authors, "
+    f"{SIZE} AS avg_pr_size FROM prs GROUP BY 1"
+)
+def monthly_stats(spark, sf_dir):
+    return _plain_times(metrics.monthly_stats(fixture_prs(spark, sf_dir)))
+
+
+@query(f"{_CONTRIB} SELECT * FROM contributors")
+def contributor_stats_for_repo(spark, sf_dir):
+    return metrics.contributor_stats_for_repo(fixture_prs(spark, sf_dir), ORG, REPO)
+
+
+_BASE = (
+    f"SELECT {RATE} AS avg_merge_rate, {HOURS} AS avg_merge_time, {SIZE} AS avg_pr_size, ROUND(AVG(reviews), 1) AS avg_reviews, "
+    "ROUND(AVG(changed_files), 1) AS avg_files_changed, "
+    "ROUND(AVG(CASE WHEN state = 'merged' THEN time_to_first_review_hours END), 1) AS avg_time_to_first_review FROM prs"
+)
+
+
+@query(_BASE)
+def org_baseline_stats(spark, sf_dir):
+    return metrics.org_baseline_stats(fixture_prs(spark, sf_dir))
+
+
+@query(
+    "SELECT trim(r) AS reviewer, COUNT(DISTINCT repo) AS repos_reviewed, COUNT(*) AS reviews_given, COUNT(DISTINCT author) AS developers_reviewed "
+    "FROM (SELECT repo, author, unnest(string_split(reviewers, ',')) AS r FROM prs WHERE reviewers != '') GROUP BY 1"
+)
+def contributor_review_activity(spark, sf_dir):
+    return metrics.contributor_review_activity(fixture_prs(spark, sf_dir))
+
+
+@query(
+    f"SELECT {_BY_WEEK}, CAST(SUM(CASE WHEN self_merged THEN 1 ELSE 0 END) AS BIGINT) AS self_merged_count FROM prs "
+    f"WHERE author = '{AUTHOR}' AND repo = '{REPO}' GROUP BY 1 ORDER BY 1 DESC LIMIT 12"
+)
+def contributor_weekly_trends(spark, sf_dir):
+    return _plain_times(metrics.contributor_weekly_trends(fixture_prs(spark, sf_dir), AUTHOR, REPO))
+
+
+@query(f"SELECT COUNT(*) AS total_prs, {M} AS merged_prs FROM prs WHERE author = '{AUTHOR}'")
+def author_totals(spark, sf_dir):
+    return metrics.author_totals(fixture_prs(spark, sf_dir), AUTHOR)
+
+
+# --- trends -------------------------------------------------------------------------------
+
+
+@query(
+    f", weekly AS ({_WEEKLY}), moved AS (SELECT *, CAST(pr_count AS DOUBLE) - lag(CAST(pr_count AS DOUBLE)) OVER w AS dn, "
+    "merge_rate - lag(merge_rate) OVER w AS dr FROM weekly WINDOW w AS (ORDER BY week DESC)) "
+    f"SELECT week, pr_count, merged_count, active_authors, avg_pr_size, avg_merge_time, merge_rate, prs_per_dev, {_label(2, True)} FROM moved"
+)
+def team_weekly_trend(spark, sf_dir):
+    return _plain_times(trends.team_trend(fixture_prs(spark, sf_dir)))
+
+
+@query(
+    _CW.format(by_week=_BY_WEEK, extra="", table="prs", limit=6)
+    + f"SELECT author, week, pr_count, merged_count, avg_pr_size, avg_merge_time, merge_rate, {_label(1, True)} FROM moved"
+)
+def author_weekly_trend(spark, sf_dir):
+    return _plain_times(trends.author_trends(fixture_prs(spark, sf_dir)))
+
+
+@query(
+    _CW.format(by_week=_BY_WEEK, extra=", CAST(SUM(CASE WHEN self_merged THEN 1 ELSE 0 END) AS BIGINT) AS self_merged_count", table="scoped", limit=12)
+    + f"SELECT author, week, pr_count, merged_count, avg_pr_size, avg_merge_time, merge_rate, self_merged_count, {_label(1, False)} FROM moved"
+)
+def contributor_weekly_trend(spark, sf_dir):
+    return _plain_times(trends.contributor_trends(scoped(spark, sf_dir)))
+
+
+# --- health -------------------------------------------------------------------------------
+
+
+def _contributors(spark, sf_dir):
+    return metrics.contributor_stats_for_repo(fixture_prs(spark, sf_dir), ORG, REPO)
+
+
+@query(
+    f"{_CONTRIB}, norm AS (SELECT {RATE} AS base_rate FROM scoped) SELECT author, merge_rate, base_rate, "
+    "CASE WHEN merge_rate >= base_rate + 5 THEN 'Better' WHEN merge_rate <= base_rate - 5 THEN 'Below' ELSE 'Average' END AS vs_org "
+    "FROM contributors, norm"
+)
+def contributor_vs_org(spark, sf_dir):
+    base = metrics.org_baseline_stats(scoped(spark, sf_dir))
+    return health.versus_baseline(_contributors(spark, sf_dir), base).select("author", "merge_rate", "base_rate", "vs_org")
+
+
+@query(
+    f"{_CONTRIB}, ranked AS (SELECT pr_count, row_number() OVER (ORDER BY pr_count DESC, author) AS place, COUNT(*) OVER () AS n FROM contributors), "
+    "top AS (SELECT MAX(greatest(1, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT))) AS top_contributors, "
+    "CAST(SUM(CASE WHEN place <= greatest(1, floor(n * CAST(0.2 AS DOUBLE))) THEN pr_count END) AS BIGINT) AS top_prs, CAST(SUM(pr_count) AS BIGINT) AS all_prs FROM ranked) "
+    "SELECT top_contributors, top_prs, ROUND(CAST(100 AS DOUBLE) * top_prs / all_prs, 6) AS top_share, "
+    "CASE WHEN CAST(100 AS DOUBLE) * top_prs / all_prs > 80 THEN 'high' WHEN CAST(100 AS DOUBLE) * top_prs / all_prs > 60 THEN 'moderate' ELSE 'good' END AS level FROM top"
+)
+def bus_factor(spark, sf_dir):
+    return health.bus_factor(_contributors(spark, sf_dir))
+
+
+@query(
+    f"{_CONTRIB}, t AS (SELECT CAST(SUM(self_merged_count) AS BIGINT) AS self_merged, CAST(SUM(merged_count) AS BIGINT) AS merged FROM contributors), "
+    "s AS (SELECT *, COALESCE(CAST(100 AS DOUBLE) * self_merged / NULLIF(merged, 0), 0) AS share FROM t) "
+    "SELECT self_merged, merged, ROUND(share, 6) AS self_merge_share, CASE WHEN share > 50 THEN 'high' WHEN share > 25 THEN 'moderate' ELSE 'good' END AS level FROM s"
+)
+def self_merge_health(spark, sf_dir):
+    return health.self_merge_health(_contributors(spark, sf_dir))
+
+
+@query(
+    f"{_CONTRIB}, t AS (SELECT COUNT(CASE WHEN reviews_given > 0 THEN 1 END) AS reviewers, COUNT(author) AS contributors FROM contributors), "
+    "s AS (SELECT *, COALESCE(CAST(100 AS DOUBLE) * reviewers / NULLIF(contributors, 0), 0) AS share FROM t) "
+    "SELECT reviewers, contributors, ROUND(share, 6) AS participation, CASE WHEN share >= 50 THEN 'active' WHEN share >= 25 THEN 'moderate' ELSE 'low' END AS level FROM s"
+)
+def review_participation(spark, sf_dir):
+    return health.review_participation(_contributors(spark, sf_dir))
+
+
+@query(
+    f", t AS (SELECT COUNT(*) AS total_prs, {M} AS merged_prs, CAST(floor(epoch(MAX(created_at) - MIN(created_at)) / 86400) AS BIGINT) + 1 AS days_span FROM prs) "
+    "SELECT total_prs, merged_prs, days_span, ROUND(CAST(total_prs AS DOUBLE) / days_span, 6) AS daily_throughput, "
+    "ROUND(CAST(100 AS DOUBLE) * merged_prs / total_prs, 6) AS merge_rate FROM t"
+)
+def throughput_span(spark, sf_dir):
+    return health.throughput_span(fixture_prs(spark, sf_dir))
+
+
+@query(
+    f", a AS ({_AUTHORS}) SELECT author, merge_rate, CASE WHEN merge_rate >= 90 THEN 'green' WHEN merge_rate >= 70 THEN 'yellow' ELSE 'red' END AS table_band, "
+    "CASE WHEN merge_rate >= 90 THEN 'green' WHEN merge_rate >= 75 THEN 'yellow' ELSE 'red' END AS trend_band FROM a"
+)
+def rate_bands(spark, sf_dir):
+    return health.rate_bands(metrics.author_stats(fixture_prs(spark, sf_dir))).select("author", "merge_rate", "table_band", "trend_band")
+
+
+@query(
+    f", a AS ({_AUTHORS}) SELECT author, avg_merge_time, CASE WHEN avg_merge_time IS NULL THEN NULL WHEN avg_merge_time < 24 THEN 'green' "
+    "WHEN avg_merge_time < 72 THEN 'yellow' ELSE 'red' END AS time_band FROM a"
+)
+def time_bands(spark, sf_dir):
+    return health.time_bands(metrics.author_stats(fixture_prs(spark, sf_dir))).select("author", "avg_merge_time", "time_band")
+
+
+@query(
+    f", a AS ({_AUTHORS}), b AS (SELECT author, merge_rate, CAST(floor(15 * merge_rate / CAST(100 AS DOUBLE)) AS BIGINT) AS k FROM a) "
+    "SELECT author, merge_rate, repeat('█', k) || repeat('░', 15 - k) AS success_bar FROM b"
+)
+def success_bar(spark, sf_dir):
+    return health.success_bar(metrics.author_stats(fixture_prs(spark, sf_dir))).select("author", "merge_rate", "success_bar")
+
+
+@query(
+    f", s AS (SELECT {_BUCKET} AS size_category, COUNT(*) AS pr_count, {HOURS} AS avg_merge_time FROM prs GROUP BY 1), "
+    "b AS (SELECT *, CAST(floor(20 * CAST(pr_count AS DOUBLE) / MAX(pr_count) OVER ()) AS BIGINT) AS k, SUM(pr_count) OVER () AS whole FROM s) "
+    "SELECT size_category, pr_count, avg_merge_time, repeat('█', k) || repeat('░', 20 - k) AS bar, ROUND(CAST(100 AS DOUBLE) * pr_count / whole, 6) AS share FROM b"
+)
+def size_share_bar(spark, sf_dir):
+    return health.size_share_bar(fixture_prs(spark, sf_dir))
+
+
+# --- collection, filters and storage ------------------------------------------------------
+
+_SHARED = (
+    "pr_number", "author", "created_at", "merged_at", "state", "pr_size", "reviews", "reviewers", "time_to_merge_hours", "merged_by",
+    "changed_files", "comments_count", "self_merged", "is_draft", "labels", "org", "repo", "year", "month",
+)
+
+
+def raw_from_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw nested records, through JSON text, that normalize to the fixture's rows."""
+    prs = fixture_prs(spark, sf_dir)
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    who = F.when(F.col("reviewers") == "", F.array().cast("array<string>")).otherwise(F.split("reviewers", ","))
+    # reviews beyond one for each reviewer have no author
+    fill = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("reviews").cast("int"))), lambda i: F.get(who, i - 1))
+    reviews = F.when(F.col("reviews") == 0, F.array().cast("array<string>")).otherwise(fill)
+    remarks = F.when(F.col("comments_count") > 0, F.array_repeat(F.lit("x"), F.col("comments_count").cast("int"))).otherwise(F.array().cast("array<string>"))
+    raw = prs.select(
+        "org",
+        "repo",
+        F.to_json(
+            F.struct(
+                F.col("pr_number").alias("number"),
+                F.struct(F.col("author").alias("login")).alias("author"),
+                time(F.col("created_at")).alias("createdAt"),
+                time(F.col("merged_at")).alias("mergedAt"),
+                F.when(F.col("state") == "closed", time(F.col("created_at"))).alias("closedAt"),
+                F.lit("OPEN").alias("state"),
+                F.col("pr_size").alias("additions"),
+                F.col("is_draft").alias("isDraft"),
+                F.array(F.struct(F.col("labels").alias("name"))).alias("labels"),
+                F.transform(reviews, lambda r: F.struct(F.struct(r.alias("login")).alias("author"))).alias("reviews"),
+                F.when(F.col("merged_by").isNotNull(), F.struct(F.col("merged_by").alias("login"))).alias("mergedBy"),
+                F.transform(remarks, lambda r: F.struct(F.struct(r.alias("login")).alias("author"))).alias("comments"),
+                F.col("changed_files").alias("changedFiles"),
+            )
+        ).alias("value"),
+    )
+    return raw.select("org", "repo", F.from_json("value", RAW_PR).alias("p")).select("org", "repo", "p.*")
+
+
+@query(f"SELECT {', '.join(_SHARED)} FROM prs")
+def normalize_prs(spark, sf_dir):
+    flat = normalize.normalize(raw_from_fixture(spark, sf_dir), F.col("org"))
+    wide = flat.withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
+    return _plain_times(wide.select(*_SHARED))
+
+
+@query(
+    f"SELECT pr_number, author, repo, created_at FROM prs WHERE org = '{ORG}' AND repo = '{REPO}' AND author = '{AUTHOR}' "
+    "AND created_at >= TIMESTAMP '2000-08-02'"
+)
+def scope_filter(spark, sf_dir):
+    from datetime import date
+
+    prs = scope.scope(fixture_prs(spark, sf_dir), org=ORG, repo=REPO, author=AUTHOR, days_back=365, as_of=date.fromisoformat(AS_OF))
+    return prs.select("pr_number", "author", "repo", "created_at")
+
+
+@query("SELECT DISTINCT repo AS name FROM prs WHERE created_at >= TIMESTAMP '2001-07-19' AND repo != ''")
+def active_repos(spark, sf_dir):
+    from datetime import date
+
+    recent = scope.scope(fixture_prs(spark, sf_dir), days_back=14, as_of=date.fromisoformat(AS_OF))
+    return collect.active_repos(recent.select(F.struct(F.col("repo").alias("name")).alias("repository")))
+
+
+_MIN = 3
+_RECENT = "SELECT * REPLACE (repo || '-' || author AS repo) FROM prs WHERE created_at >= TIMESTAMP '2001-01-01'"
+
+
+@query(f", r AS ({_RECENT}) SELECT pr_number, repo FROM r WHERE repo IN (SELECT repo FROM r GROUP BY repo HAVING COUNT(*) >= {_MIN})")
+def min_pr_repo_filter(spark, sf_dir):
+    """Repositories here are repo-author pairs, so that some fall below the limit."""
+    recent = fixture_prs(spark, sf_dir).where(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    return scope.with_min_prs(recent.withColumn("repo", F.concat_ws("-", "repo", "author")), _MIN).select("pr_number", "repo")
+
+
+@query(
+    f", r AS ({_RECENT}), c AS (SELECT repo, COUNT(*) AS n FROM r GROUP BY repo) "
+    f"SELECT COUNT(CASE WHEN n < {_MIN} THEN 1 END) AS dropped_repos, COUNT(*) AS all_repos FROM c"
+)
+def dropped_repo_count(spark, sf_dir):
+    recent = fixture_prs(spark, sf_dir).where(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    return scope.dropped_repos(recent.withColumn("repo", F.concat_ws("-", "repo", "author")), _MIN)
+
+
+@query(
+    f"SELECT COUNT(*) AS total_prs, {M} AS merged_prs, ROUND(CAST(100 AS DOUBLE) * {M} / COUNT(*), 6) AS merge_rate, "
+    f"ROUND(CAST({M} AS DOUBLE) / 14, 6) AS daily_throughput, ROUND(AVG(pr_size), 6) AS avg_pr_size, "
+    "ROUND(AVG(CASE WHEN state = 'merged' THEN time_to_merge_hours END), 6) AS avg_merge_time FROM prs"
+)
+def collection_summary(spark, sf_dir):
+    return collect.collection_summary(fixture_prs(spark, sf_dir), 14)
+
+
+@query("SELECT COUNT(*) AS partitions FROM (SELECT DISTINCT org, repo, year, month FROM prs WHERE created_at IS NOT NULL)")
+def partition_counts(spark, sf_dir):
+    return collect.partition_counts(fixture_prs(spark, sf_dir))
+
+
+@query("SELECT pr_number, repo, author, r AS reviewer FROM (SELECT *, unnest(string_split(reviewers, ',')) AS r FROM prs WHERE reviewers != '')")
+def reviewer_explode(spark, sf_dir):
+    return metrics.reviewer_rows(fixture_prs(spark, sf_dir), trim=False).select("pr_number", "repo", "author", "reviewer")
+
+
+@query(
+    "SELECT repo, string_agg(DISTINCT labels, ',' ORDER BY labels) AS labels, COUNT(DISTINCT labels) AS n FROM prs GROUP BY repo"
+)
+def label_join(spark, sf_dir):
+    names = F.array_sort(F.collect_set("labels"))
+    return fixture_prs(spark, sf_dir).groupBy("repo").agg(F.array_join(names, ",").alias("labels"), F.size(names).cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT org, replace(replace(lower(org || ' ' || repo || '_x'), ' ', '-'), '_', '-') AS clean FROM prs")
+def sanitize_org(spark, sf_dir):
+    name = F.concat(F.col("org"), F.lit(" "), F.col("repo"), F.lit("_x"))
+    return fixture_prs(spark, sf_dir).select("org", E.sanitized_org(name).alias("clean")).distinct()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder, which all executors see."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/mergelens-checkpoints"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT org, repo, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, pr_number, author, created_at, state, pr_size, labels FROM scoped")
+def hive_roundtrip(spark, sf_dir):
+    """Written, partly written again and read back."""
+    path = scratch(spark, "store")
+    prs = scoped(spark, sf_dir)
+    store.write_prs(prs, path)
+    store.write_prs(prs.where("year = 2000 and month = 3"), path)
+    kept = store.load_store(spark, path, org=ORG, repo=REPO)
+    kept = store.conform(spark.createDataFrame([], FLAT_PR)) if kept is None else kept
+    return _plain_times(kept.select("org", "repo", "year", "month", "pr_number", "author", "created_at", "state", "pr_size", "labels"))
+
+
+@query("SELECT pr_number, author, created_at, state, pr_size, self_merged, time_to_merge_hours FROM scoped")
+def csv_roundtrip(spark, sf_dir):
+    path = scratch(spark, "csv")
+    store.write_csv(store.conform(scoped(spark, sf_dir)), path)
+    back = store.read_csv(spark, path)
+    return _plain_times(back.select("pr_number", "author", "created_at", "state", "pr_size", "self_merged", "time_to_merge_hours"))
+
+
+@query(
+    "SELECT pr_number, CASE WHEN pr_number % 2 = 0 THEN changed_files END AS changed_files, "
+    "CASE WHEN pr_number % 2 = 0 THEN self_merged END AS self_merged, pr_size FROM scoped"
+)
+def schema_evolution_read(spark, sf_dir):
+    """Files with and without the later fields, read as one."""
+    path = scratch(spark, "mixed")
+    prs = store.conform(scoped(spark, sf_dir))
+    prs.where("pr_number % 2 = 0").write.parquet(f"{path}/new")
+    prs.where("pr_number % 2 = 1").drop(*LATER_FIELDS).write.parquet(f"{path}/old")
+    both = store.read_foreign(spark, [f"{path}/new", f"{path}/old"])
+    return both.select("pr_number", "changed_files", "self_merged", "pr_size")
+
+
+@query("SELECT pr_number, author, state, pr_size FROM scoped")
+def legacy_fallback(spark, sf_dir):
+    """Without a store the newest readable snapshot of the org is loaded."""
+    folder = scratch(spark, "snapshots")
+    prs = store.conform(scoped(spark, sf_dir))
+    prs.limit(5).write.parquet(f"{folder}/{store.SNAPSHOT_PREFIX}{ORG.lower()}_20240101.parquet")
+    prs.write.parquet(f"{folder}/{store.SNAPSHOT_PREFIX}{ORG.lower()}_20240201.parquet")
+    found = store.load_prs(spark, f"{folder}/none", folder, org=ORG, repo=REPO)
+    return found.select("pr_number", "author", "state", "pr_size")
+
+
+@query(
+    ", marked AS (SELECT *, row_number() OVER (PARTITION BY org, repo ORDER BY created_at DESC, pr_number DESC) AS nth FROM prs) "
+    "SELECT org, repo, pr_number, created_at FROM marked WHERE nth <= 20"
+)
+def latest_per_repo(spark, sf_dir):
+    """The newest pull requests of each repository, as collection asks for them."""
+    newest = W.partitionBy("org", "repo").orderBy(F.desc("created_at"), F.desc("pr_number"))
+    ranked = fixture_prs(spark, sf_dir).withColumn("nth", F.row_number().over(newest))
+    return ranked.where("nth <= 20").select("org", "repo", "pr_number", "created_at")
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
