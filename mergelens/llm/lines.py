@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, sketch_bits, text_slices, word_hashes
+from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, sketch_bits, text_slices, word_hashes, written
 from .njoin import flags_of
 from .setjoin import candidate_pairs, prefix_length
 
 PCT = 80
 #: Lines of fewer distinct words take no part: they coincide by chance.
 MIN_WORDS = 5
+#: Posting lists up to this length yield all their candidate pairs at once.
+SMALL_LIST = 64
 _LINES = 4096  # lines sorted at once: their number has 12 bits beside a token's 52
 
 
@@ -86,18 +88,35 @@ def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least:
 
 
 def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
+    """(doc_id, line, n, key1, key2, sig, prefix) of each line.
+
+    Within a slice of 512 documents only the first line of a set has sig and prefix; those of
+    its later lines are null, so a very common line leaves a row with them for each slice.
+    """
+    schema = "doc_id long, line long, n long, key1 long, key2 long, sig binary, prefix binary"
+
     def run(batches):
         for batch in (part for whole in batches for part in text_slices(whole)):
+            out = [[] for _ in range(5)]
+            sigs, prefixes = [], []
             for start, n, key1, key2, sig, doc, number, tokens, keep in _grouped(
                 batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least
             ):
                 p = prefix_length(n, pct)
-                prefix = [tokens[start[i] : start[i] + p[i]].tobytes() for i in keep]
-                ints = [pa.array(x[keep], pa.int64()) for x in (doc, number, n, key1, key2)]
-                bits = pa.array([x.tobytes() for x in sig[keep]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*ints, bits, pa.array(prefix, pa.binary())], names=["doc_id", "line", "n", "key1", "key2", "sig", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, line long, n long, key1 long, key2 long, sig binary, prefix binary")
+                prefixes += [tokens[start[i] : start[i] + p[i]].tobytes() for i in keep]
+                sigs += [x.tobytes() for x in sig[keep]]
+                for o, x in zip(out, (doc, number, n, key1, key2), strict=True):
+                    o.append(x[keep])
+            if not out[0]:
+                continue
+            doc, number, n, key1, key2 = (np.concatenate(o) for o in out)
+            order = np.lexsort((number, doc, key2, key1))
+            repeat = np.zeros(len(order), bool)
+            repeat[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
+            blobs = [pa.array(x, pa.binary(), mask=repeat) for x in (np.array(sigs, object), np.array(prefixes, object))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "prefix"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
@@ -115,6 +134,7 @@ def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
+    """The candidate pairs (a, b) that pass the exact test."""
     sc = docs.sparkSession.sparkContext
     sets = _sets_of(docs, sc.broadcast(flags_of(pairs, "a", "b")), rarity, least).dropDuplicates(["id"])
 
@@ -126,11 +146,25 @@ def _verify(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) ->
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * shared >= pct * (len(x) + len(y) - shared))
             out = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("a")], names=["a"])
+            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.mapInArrow(test, "a long").distinct()
+    return with_b.mapInArrow(test, "a long, b long")
+
+
+def _with_long_lists(lines: DataFrame, live) -> DataFrame:
+    """The rows that have a prefix token of a long list."""
+
+    def run(batches):
+        for batch in batches:
+            prefix = batch.column("prefix").to_pylist()
+            sizes = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
+            hit = flagged(live.value, mix64(np.frombuffer(b"".join(prefix), np.uint64)))
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            yield batch.filter(pa.array(np.bincount(row, minlength=len(sizes)) > 0))
+
+    return lines.mapInArrow(run, lines.schema)
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
@@ -144,33 +178,47 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
 
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
     rarity = sc.broadcast(rarity_classes(counts))
-    lines = checkpoint(_describe(docs, rarity, pct, least))
-    places = lines.select("key1", "key2", "doc_id", "line")
-    firsts = places.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("times"))
-    firsts = checkpoint(firsts.select("key1", "key2", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "times"))
-    again = places.join(firsts.where("times > 1").select("key1", "key2", F.col("doc_id").alias("d"), F.col("line").alias("l")), ["key1", "key2"])
-    again = again.where("doc_id != d or line != l").select("doc_id", "line")
-
-    # Prefix tokens as the sketch of the join sees them: counts of tokens in prefixes.
+    lines = written(_describe(docs, rarity, pct, least))
+
+    # Each set's first line, as one number, from the first lines of the slices.
+    leading = lines.where("prefix is not null")
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line").cast("decimal(14,0)")
+    placed = leading.select("key1", "key2", "doc_id", "line", place.alias("place"))
+    firsts = placed.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+    firsts = checkpoint(firsts)
+    later = placed.join(firsts.where("times > 1").drop("times"), ["key1", "key2"]).where("place > first").select("doc_id", "line")
+    repeats = lines.where("prefix is null").select("doc_id", "line").unionByName(later)
+
+    # How long a token's list can get: its number of prefixes.
     def prefix_tokens(batch):
         yield np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
 
-    items = lines.join(firsts.select("key1", "key2", "doc_id", "line"), ["key1", "key2", "doc_id", "line"], "left_semi")
-    items = items.select(F.col("key1").alias("item"), "n", "sig", F.col("doc_id").alias("ord"), F.col("line").alias("sub"), "prefix")
-    in_prefix = count_sketch(lines.select("prefix"), prefix_tokens, 20)
-    sketch = sc.broadcast(np.minimum(in_prefix, 2**31 - 1).astype(np.int32))
-    first = checkpoint(candidate_pairs(items.withColumn("probe", F.lit(False)), sketch, pct, small=16, ordered=True))
+    sketch = count_sketch(leading.select("prefix"), prefix_tokens, 20)
+    sketch = sc.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+    items = leading.select(F.col("key1").alias("item"), "n", "sig", F.col("doc_id").cast("double").alias("ord"), "prefix")
+    first = checkpoint(candidate_pairs(items.withColumn("probe", F.lit(False)), sketch, pct, small=SMALL_LIST, ordered=True))
     tried = first.where("b is not null").select("a", "b").distinct()
-    matched = checkpoint(_verify(tried, docs, rarity, pct, least))
+
+    def similar_to_earlier(pairs: DataFrame) -> DataFrame:
+        """(key1, first): the later item of each pair."""
+        side = lambda c: firsts.select(F.col("key1").alias(c), F.col("first").alias(f"first_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        later_a = F.col("first_a") > F.col("first_b")
+        return both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("key1"), F.greatest("first_a", "first_b").alias("first")).distinct()
+
+    matched = checkpoint(similar_to_earlier(_verify(tried, docs, rarity, pct, least)))
     long = first.where("list is not null")
     if not long.isEmpty():
         live = sc.broadcast(flags_of(long, "list"))
-        open_items = items.join(matched.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left").fillna(True, ["probe"])
-        more = candidate_pairs(open_items, sketch, pct, live=live, ordered=True).select("a", "b").distinct()
+        open_items = _with_long_lists(items, live).join(matched.select(F.col("key1").alias("item"), F.lit(False).alias("probe")), "item", "left")
+        more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b").distinct()
         more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
-        matched = matched.unionByName(checkpoint(_verify(more, docs, rarity, pct, least)))
-    similar = firsts.join(matched.select(F.col("a").alias("key1")).distinct(), "key1", "left_semi").select("doc_id", "line")
-    return again.unionByName(similar).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        if not more.isEmpty():
+            matched = matched.unionByName(checkpoint(similar_to_earlier(_verify(more, docs, rarity, pct, least))))
+    unit = F.lit(1 << 40).cast("decimal(14,0)")
+    doc = F.floor(F.col("first") / unit).cast("long")
+    similar = matched.select(doc.alias("doc_id"), F.pmod(F.col("first"), unit).cast("long").alias("line"))
+    return repeats.unionByName(similar).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:

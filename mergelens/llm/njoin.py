@@ -172,8 +172,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     known = docs.where("doc_id is not null")
 
     def items(frame, probe, sig):
-        zero = F.lit(0)
-        return frame.select(F.col("doc_id").alias("item"), "n", F.col(sig).alias("sig"), zero.cast("long").alias("ord"), zero.alias("sub"), "prefix", probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
+        return frame.select(F.col("doc_id").alias("item"), "n", F.col(sig).alias("sig"), "prefix", probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
 
     # First round: all pairs of short lists, stars of long ones. One candidate of each item, its
     # earliest, is verified before the others: most of a group of copies then hangs together.

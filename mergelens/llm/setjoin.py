@@ -48,7 +48,7 @@ def parity(tokens: np.ndarray, bits: int = 64) -> np.ndarray:
 def _postings(columns: list[str], counts, live, buckets: int):
     """Of record batches (item, n, prefix, ..., probe): packed postings by bucket."""
     mask = np.uint64(len(counts.value) - 1)
-    kinds = {"n": np.int32, "sub": np.int32}
+    kinds = {"n": np.int32, "ord": np.float32}
 
     def run(batches):
         for batch in batches:
@@ -96,31 +96,38 @@ def candidate_pairs(
 ) -> DataFrame:
     """(a, b, list): candidate pairs with b earlier than a, and with null b the long lists.
 
-    ``items`` has (item, n, prefix, sig, ord, sub, probe[, label]) without nulls; the order of
-    items is that of (ord, sub, item) and ``sig`` is their packed parity, of as many bits for
+    ``items`` has (item, n, prefix, sig, probe[, ord][, label]) without nulls. ``a`` comes later
+    than ``b`` in the order of (ord, item), of item if not ``ordered``; ord is a float32 that may
+    tie, and an item may occur with several, of which the smallest holds. The ``sig`` is their packed parity, of as many bits for
     all. ``counts`` is the broadcast counting sketch of the tokens. With ``live`` (a broadcast
     flag sketch of lists) it is
     the second round: only pairs of a probe, with different labels if ``labelled`` and, if
-    ``ordered``, only with items earlier than the probe.
+    ``ordered``, only with items that may be earlier than the probe.
     """
     spark = items.sparkSession
     buckets = 4 * shuffle_width(spark)
-    columns = ["item", "n", "sig", *(["ord", "sub"] if ordered else []), *(["label"] if labelled else [])]
+    columns = ["item", "n", "sig", *(["ord"] if ordered else []), *(["label"] if labelled else [])]
     blobs = items.select(*columns, "prefix", "probe").mapInArrow(
         _postings(columns, counts, live, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in ("key", "pos", "role", *columns))
     )
     second = live is not None
 
     def join(table: pa.Table) -> pa.Table:
-        kinds = {"key": np.uint64, "pos": np.int32, "role": np.int8, "n": np.int32, "sub": np.int32, "sig": np.uint64}
+        kinds = {"key": np.uint64, "pos": np.int32, "role": np.int8, "n": np.int32, "ord": np.float32, "sig": np.uint64}
 
         def column(c):
             return np.frombuffer(b"".join(table[c].to_pylist()), kinds.get(c, np.int64))
 
         x = {c: column(c) for c in ("key", "pos", "role", *columns)}
         x["sig"] = x["sig"].reshape(len(x["key"]), -1)
+        if ordered:
+            # an item once in a list, by its smallest ord
+            place = np.lexsort((x["ord"], x["item"], x["key"]))
+            k, it = x["key"][place], x["item"][place]
+            place = place[np.concatenate(([True], (k[1:] != k[:-1]) | (it[1:] != it[:-1])))]
+            x = {c: v[place] for c, v in x.items()}
         # an item's rank in the order of items; equal items share it
-        by = (x["item"], x["sub"], x["ord"]) if ordered else (x["item"],)
+        by = (x["item"], x["ord"]) if ordered else (x["item"],)
         place = np.lexsort(by)
         new = np.zeros(len(place), bool)
         for c in by:
@@ -148,9 +155,13 @@ def candidate_pairs(
             if second:
                 if labelled:
                     ok &= x["label"][i] != x["label"][j]
-                later = np.where(rank[i] > rank[j], x["role"][i], x["role"][j])
-                ok &= (x["role"][i] < 2) | (x["role"][j] < 2)
-                ok &= (later > 0) if ordered else (x["role"][i] > 0) | (x["role"][j] > 0)
+                ri, rj = x["role"][i], x["role"][j]
+                ok &= (ri < 2) | (rj < 2)
+                if ordered:
+                    oi, oj = x["ord"][i], x["ord"][j]
+                    ok &= ((oi >= oj) & (ri > 0)) | ((oj >= oi) & (rj > 0))
+                else:
+                    ok &= (ri > 0) | (rj > 0)
             i, j = i[ok], j[ok]
             a, b = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
             found.append((x["item"][a], x["item"][b]))
