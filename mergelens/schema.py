@@ -2,31 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+_TEXT, _LONG, _TIME, _FLAG, _DOUBLE = StringType(), LongType(), TimestampType(), BooleanType(), DoubleType()
+
+
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+_PERSON = _struct(login=_TEXT)
 
 #: Nested records as the hosting service's command-line tool prints them.
-RAW_PR = StructType.fromDDL(
-    """
-    number BIGINT, author STRUCT<login: STRING>, title STRING,
-    createdAt STRING, mergedAt STRING, closedAt STRING, state STRING,
-    additions BIGINT, deletions BIGINT, isDraft BOOLEAN,
-    labels ARRAY<STRUCT<name: STRING>>, reviewDecision STRING,
-    reviews ARRAY<STRUCT<author: STRUCT<login: STRING>, submittedAt: STRING, state: STRING>>,
-    reviewRequests ARRAY<STRUCT<login: STRING>>, mergedBy STRUCT<login: STRING>,
-    comments ARRAY<STRUCT<author: STRUCT<login: STRING>, createdAt: STRING>>,
-    changedFiles BIGINT, commits ARRAY<STRUCT<oid: STRING>>
-    """
+RAW_PR = _struct(
+    number=_LONG,
+    author=_PERSON,
+    title=_TEXT,
+    createdAt=_TEXT,
+    mergedAt=_TEXT,
+    closedAt=_TEXT,
+    state=_TEXT,
+    additions=_LONG,
+    deletions=_LONG,
+    isDraft=_FLAG,
+    labels=ArrayType(_struct(name=_TEXT)),
+    reviewDecision=_TEXT,
+    reviews=ArrayType(_struct(author=_PERSON, submittedAt=_TEXT, state=_TEXT)),
+    reviewRequests=ArrayType(_PERSON),
+    mergedBy=_PERSON,
+    comments=ArrayType(_struct(author=_PERSON, createdAt=_TEXT)),
+    changedFiles=_LONG,
+    commits=ArrayType(_struct(oid=_TEXT)),
 )
 
 #: One wide row for each pull request.
-FLAT_PR = StructType.fromDDL(
-    """
-    org STRING, repo STRING, year INT, month INT, pr_number BIGINT, author STRING,
-    created_at TIMESTAMP, merged_at TIMESTAMP, state STRING, pr_size BIGINT,
-    commits BIGINT, reviews BIGINT, reviewers STRING, time_to_merge_hours DOUBLE,
-    time_to_first_review_hours DOUBLE, merged_by STRING, changed_files BIGINT,
-    comments_count BIGINT, self_merged BOOLEAN, is_draft BOOLEAN, labels STRING
-    """
+FLAT_PR = _struct(
+    org=_TEXT,
+    repo=_TEXT,
+    year=IntegerType(),
+    month=IntegerType(),
+    pr_number=_LONG,
+    author=_TEXT,
+    created_at=_TIME,
+    merged_at=_TIME,
+    state=_TEXT,
+    pr_size=_LONG,
+    commits=_LONG,
+    reviews=_LONG,
+    reviewers=_TEXT,
+    time_to_merge_hours=_DOUBLE,
+    time_to_first_review_hours=_DOUBLE,
+    merged_by=_TEXT,
+    changed_files=_LONG,
+    comments_count=_LONG,
+    self_merged=_FLAG,
+    is_draft=_FLAG,
+    labels=_TEXT,
 )
 
 PARTITIONS = ("org", "repo", "year", "month")
