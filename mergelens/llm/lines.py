@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, sketch_bits, text_slices, word_hashes, written
+from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, release, sketch_bits, text_slices, word_hashes, written
 from .njoin import flags_of
 from .setjoin import candidate_pairs, prefix_length
 
@@ -169,7 +169,8 @@ def _with_long_lists(lines: DataFrame, live) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of each document's lines that go, if any."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
@@ -179,6 +180,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
     rarity = sc.broadcast(rarity_classes(counts))
     lines = written(_describe(docs, rarity, pct, least))
+    release(spark)
 
     # Each set's first line, as one number, from the first lines of the slices.
     leading = lines.where("prefix is not null")
@@ -197,24 +199,33 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     sketch = sc.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     items = leading.select(F.col("key1").alias("item"), "n", "sig", F.col("doc_id").cast("double").alias("ord"), "prefix")
     first = checkpoint(candidate_pairs(items.withColumn("probe", F.lit(False)), sketch, pct, small=SMALL_LIST, ordered=True))
-    tried = first.where("b is not null").select("a", "b").distinct()
+    pairs = checkpoint(first.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    release(spark)
 
     def similar_to_earlier(pairs: DataFrame) -> DataFrame:
-        """(key1, first): the later item of each pair."""
+        """(key1, first): the later item of each pair that passes the exact test."""
         side = lambda c: firsts.select(F.col("key1").alias(c), F.col("first").alias(f"first_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = _verify(pairs, docs, rarity, pct, least).join(side("a"), "a").join(side("b"), "b")
         later_a = F.col("first_a") > F.col("first_b")
-        return both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("key1"), F.greatest("first_a", "first_b").alias("first")).distinct()
-
-    matched = checkpoint(similar_to_earlier(_verify(tried, docs, rarity, pct, least)))
-    long = first.where("list is not null")
-    if not long.isEmpty():
-        live = sc.broadcast(flags_of(long, "list"))
-        open_items = _with_long_lists(items, live).join(matched.select(F.col("key1").alias("item"), F.lit(False).alias("probe")), "item", "left")
-        more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b").distinct()
-        more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            matched = matched.unionByName(checkpoint(similar_to_earlier(_verify(more, docs, rarity, pct, least))))
+        out = both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("key1"), F.greatest("first_a", "first_b").alias("first")).distinct()
+        out = checkpoint(out)
+        release(spark)
+        return out
+
+    # One candidate of each item first, the one that it shares most lists with; the others only
+    # of items that it does not settle, together with those of long lists.
+    tried = pairs.groupBy("a").agg(F.max_by("b", "n").alias("b"))
+    matched = similar_to_earlier(tried)
+    settled = matched.select(F.col("key1").alias("a")).distinct()
+    rest = pairs.select("a", "b").join(settled, "a", "left_anti").join(tried, ["a", "b"], "left_anti")
+    live = sc.broadcast(flags_of(first.where("list is not null"), "list"))
+    open_items = _with_long_lists(items, live).join(settled.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left")
+    more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b")
+    more = more.join(tried, ["a", "b"], "left_anti")
+    rest = checkpoint(rest.unionByName(more).distinct())
+    release(spark)
+    if not rest.isEmpty():
+        matched = matched.unionByName(similar_to_earlier(rest))
     unit = F.lit(1 << 40).cast("decimal(14,0)")
     doc = F.floor(F.col("first") / unit).cast("long")
     similar = matched.select(doc.alias("doc_id"), F.pmod(F.col("first"), unit).cast("long").alias("line"))

@@ -24,6 +24,7 @@ from .common import (
     flagged,
     id_hashes,
     mix64,
+    release,
     shingle_sets,
     sketch_bits,
     text_slices,
@@ -178,8 +179,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     # earliest, is verified before the others: most of a group of copies then hangs together.
     first = checkpoint(candidate_pairs(items(reps, F.lit(False), "sig"), counts, pct))
     pairs = checkpoint(first.where("b is not null").select("a", "b").distinct())
+    release(spark)
     tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
     links = checkpoint(_verify(tried, known, reps, k, pct))
+    release(spark)
     part = connected_components(links)
 
     # Second round: the pairs not yet verified, of long lists too, whose components differ.

@@ -27,7 +27,7 @@ from .common import flagged, mix64, shuffle_width
 HOT = 200_000
 _CLASS_STEP = 1.25
 
-PAIRS = "a long, b long, list long"
+PAIRS = "a long, b long, n long, list long"
 
 
 def prefix_length(n, pct: int):
@@ -45,6 +45,16 @@ def parity(tokens: np.ndarray, bits: int = 64) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Small non-negative integers in as few bytes as hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _widen(blobs: list[bytes], sizes: list[int]) -> np.ndarray:
+    parts = [np.frombuffer(b, f"u{len(b) // n}").astype(np.int32) for b, n in zip(blobs, sizes, strict=True) if n]
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+
 def _postings(columns: list[str], counts, live, buckets: int):
     """Of record batches (item, n, prefix, ..., probe): packed postings by bucket."""
     mask = np.uint64(len(counts.value) - 1)
@@ -81,7 +91,7 @@ def _postings(columns: list[str], counts, live, buckets: int):
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             key, row, pos, role = key[order], row[order], pos[order], role[order]
-            packed = [key, pos, role, *[cols[c][row] for c in columns]]
+            packed = [key, _narrow(pos), role, *[_narrow(cols[c])[row] if c == "n" else cols[c][row] for c in columns]]
             some = np.flatnonzero(np.diff(cuts))
             if not len(some):
                 continue
@@ -94,11 +104,12 @@ def _postings(columns: list[str], counts, live, buckets: int):
 def candidate_pairs(
     items: DataFrame, counts, pct: int = 80, small: int = 6, live=None, ordered: bool = False, labelled: bool = False
 ) -> DataFrame:
-    """(a, b, list): candidate pairs with b earlier than a, and with null b the long lists.
+    """(a, b, n, list): candidate pairs with b earlier than a and in how many lists of a bucket
+    they met; with null b, the long lists.
 
     ``items`` has (item, n, prefix, sig, probe[, ord][, label]) without nulls. ``a`` comes later
-    than ``b`` in the order of (ord, item), of item if not ``ordered``; ord is a float32 that may
-    tie, and an item may occur with several, of which the smallest holds. The ``sig`` is their packed parity, of as many bits for
+    than ``b`` in the order of (ord, item), of item if not ``ordered``; ord is a float32 whose
+    ties give the pair both ways, and an item may occur with several, of which the smallest holds. The ``sig`` is their packed parity, of as many bits for
     all. ``counts`` is the broadcast counting sketch of the tokens. With ``live`` (a broadcast
     flag sketch of lists) it is
     the second round: only pairs of a probe, with different labels if ``labelled`` and, if
@@ -113,10 +124,13 @@ def candidate_pairs(
     second = live is not None
 
     def join(table: pa.Table) -> pa.Table:
-        kinds = {"key": np.uint64, "pos": np.int32, "role": np.int8, "n": np.int32, "ord": np.float32, "sig": np.uint64}
+        kinds = {"key": np.uint64, "role": np.int8, "ord": np.float32, "sig": np.uint64}
+
+        counted = [len(r) for r in table["role"].to_pylist()]
 
         def column(c):
-            return np.frombuffer(b"".join(table[c].to_pylist()), kinds.get(c, np.int64))
+            blobs = table[c].to_pylist()
+            return _widen(blobs, counted) if c in ("pos", "n") else np.frombuffer(b"".join(blobs), kinds.get(c, np.int64))
 
         x = {c: column(c) for c in ("key", "pos", "role", *columns)}
         x["sig"] = x["sig"].reshape(len(x["key"]), -1)
@@ -165,6 +179,9 @@ def candidate_pairs(
             i, j = i[ok], j[ok]
             a, b = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
             found.append((x["item"][a], x["item"][b]))
+            if ordered and len(a):
+                tie = x["ord"][a] == x["ord"][b]
+                found.append((x["item"][b[tie]], x["item"][a[tie]]))
 
         def by_offset(i: np.ndarray) -> None:
             """Each position with those after it while the list and the length filter last."""
@@ -203,15 +220,20 @@ def candidate_pairs(
                 take(at, np.repeat(first, width))
         a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
         b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
+        times = np.empty(0, np.int64)
         if len(a):
-            pair = np.unique(np.stack([a, b], axis=1), axis=0)
-            a, b = pair[:, 0], pair[:, 1]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            times = np.diff(np.concatenate((cut, [len(a)])))
+            a, b = a[cut], b[cut]
         lists = np.empty(0, np.int64) if second else key[start[size > small]].view(np.int64)
         none = lambda m: pa.nulls(m, pa.int64())
         return pa.table(
             {
                 "a": pa.concat_arrays([pa.array(a), none(len(lists))]),
                 "b": pa.concat_arrays([pa.array(b), none(len(lists))]),
+                "n": pa.concat_arrays([pa.array(times), none(len(lists))]),
                 "list": pa.concat_arrays([none(len(a)), pa.array(lists)]),
             }
         )
