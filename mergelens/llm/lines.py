@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, release, sketch_bits, text_slices, word_hashes, written
 from .njoin import flags_of
-from .setjoin import candidate_pairs, prefix_length
+from .setjoin import candidate_pairs, prefix_length, still_open
 
 PCT = 80
 #: Lines of fewer distinct words take no part: they coincide by chance.
@@ -153,14 +153,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) ->
     return with_b.mapInArrow(test, "a long, b long")
 
 
-def _with_long_lists(lines: DataFrame, live) -> DataFrame:
-    """The rows that have a prefix token of a long list."""
+def _with_open_lists(lines: DataFrame, sketch, live) -> DataFrame:
+    """The rows that have a prefix token whose list the first round did not finish."""
 
     def run(batches):
         for batch in batches:
             prefix = batch.column("prefix").to_pylist()
             sizes = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
-            hit = flagged(live.value, mix64(np.frombuffer(b"".join(prefix), np.uint64)))
+            hit = still_open(np.frombuffer(b"".join(prefix), np.uint64), sketch.value, live.value)
             row = np.repeat(np.arange(len(sizes)), sizes)[hit]
             yield batch.filter(pa.array(np.bincount(row, minlength=len(sizes)) > 0))
 
@@ -219,7 +219,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     settled = matched.select(F.col("key1").alias("a")).distinct()
     rest = pairs.select("a", "b").join(settled, "a", "left_anti").join(tried, ["a", "b"], "left_anti")
     live = sc.broadcast(flags_of(first.where("list is not null"), "list"))
-    open_items = _with_long_lists(items, live).join(settled.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left")
+    open_items = _with_open_lists(items, sketch, live).join(settled.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left")
     more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b")
     more = more.join(tried, ["a", "b"], "left_anti")
     rest = checkpoint(rest.unionByName(more).distinct())

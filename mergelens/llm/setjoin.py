@@ -55,9 +55,18 @@ def _widen(blobs: list[bytes], sizes: list[int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
+def list_parts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Into how many parts the tokens' lists are dealt."""
+    return (1 + counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)] // HOT).astype(np.uint64)
+
+
+def still_open(h: np.ndarray, counts: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Tokens whose lists the first round did not finish: long ones, and those in parts."""
+    return flagged(live, mix64(h)) | (list_parts(h, counts) > 1)
+
+
 def _postings(columns: list[str], counts, live, buckets: int):
     """Of record batches (item, n, prefix, ..., probe): packed postings by bucket."""
-    mask = np.uint64(len(counts.value) - 1)
     kinds = {"n": np.int32, "ord": np.float32}
 
     def run(batches):
@@ -70,9 +79,9 @@ def _postings(columns: list[str], counts, live, buckets: int):
             cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(kinds.get(c, np.int64)) for c in columns if c != "sig"}
             cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(len(sizes), -1)
             probe = batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-            parts = (1 + counts.value[(h & mask).astype(np.int64)] // HOT).astype(np.uint64)
+            parts = list_parts(h, counts.value)
             if live is not None:
-                keep = flagged(live.value, mix64(h)) | (parts > 1)
+                keep = still_open(h, counts.value, live.value)
                 h, row, pos, parts = h[keep], row[keep], pos[keep], parts[keep]
             salt = mix64(cols["item"].view(np.uint64))[row] % parts
             role = probe[row].astype(np.int8)
