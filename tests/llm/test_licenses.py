@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from mergelens.llm import licenses
 
-NOISE = "the river and its hill were quiet that day while nobody came along"
+NOISE = "quiet rivers ran below seven green hills while nobody came along"
 
 
 def lcs(a, b):
