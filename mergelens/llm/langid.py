@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, encoded, id_remainder, mix64
+from .common import id_remainder, mix64, text_slices
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -188,13 +188,10 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
         own = sent.value
         scorer = Scorer(own) if own else None
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column("text").to_pylist()
             if scorer:
-                langs, scores, rejected = [], [], []
-                for part in batches_of_text(encoded(texts), 8 << 20):
-                    for all_of, some in zip((langs, scores, rejected), scorer.predict(texts[part]), strict=True):
-                        all_of += some
+                langs, scores, rejected = scorer.predict(texts)
             else:
                 langs, scores, rejected = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
             yield pa.RecordBatch.from_arrays(

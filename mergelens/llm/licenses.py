@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 # License notices as their publishers word them.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
@@ -177,7 +179,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     def run(batches):
         scanner = Scanner(templates, coverage)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             found = [scanner.scan(t) for t in batch.column("text").to_pylist()]
             cols = [[[f[i] for f in fs] for fs in found] for i in range(4)]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]

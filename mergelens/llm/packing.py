@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, encoded, map_arrow
+from .common import batches_of_text, encoded, map_arrow, text_slices
 
 SEQUENCE = 4096
 END_ID = 2
@@ -162,10 +162,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, e
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batch):
+    def run(whole):
+        for batch in text_slices(whole):
+            yield from cut(batch)
+
+    def cut(batch):
         coder = tokenizer(tokenizer_path)
         texts, ids = encoded(batch.column("text").to_pylist()), batch.column("doc_id").to_pylist()
-        for part in batches_of_text(texts, 1 << 20):
+        for part in batches_of_text(texts, 2 << 20):
             coder.warm(texts[part])
             rows = []
             for doc, raw in zip(ids[part], coder.ids(texts[part]), strict=True):

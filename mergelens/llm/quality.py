@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches_of_text, encoded, word_hashes
+from .common import BROADCAST_ROWS, batches_of_text, encoded, text_slices, word_hashes
 
 #: Bound of the labelled sample that the document model is fitted on.
 MAX_LABELLED = 8000
@@ -127,18 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return train(np.array([r[2] for r in got]), np.array([float(r[1] > 0) for r in got]))
 
 
-def evidence(docs: DataFrame, model: DocumentModel | None, keys: list[Column]) -> DataFrame:
-    """The key columns and ``logit``, the document model's log-odds of each whole text."""
-    names = docs.select(*keys).columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keys, F.col("text").alias("__text"))
+def evidence(docs: DataFrame, model: DocumentModel | None, keys: list[Column], within: str | None = None) -> DataFrame:
+    """The key columns and ``logit``, the document model's log-odds of each whole text.
+
+    ``within`` names a key, a struct, that holds the text; else the frame's text is read.
+    """
     kinds = docs.select(*keys).withColumn("logit", F.lit(0.0)).schema
+    names = kinds.names[:-1]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select(*keys, *([] if within else [F.col("text").alias("__text")]))
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+        for batch in (part for whole in batches for part in text_slices(whole)):
+            texts = (batch.column(within).field("text") if within else batch.column("__text")).to_pylist()
             z = sent.value.logits(features(texts)) if sent.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(z, pa.float64())], names=[*names, "logit"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(z, pa.float64())], names=[*names, "logit"])
 
     return source.mapInArrow(run, kinds)
 
@@ -213,5 +216,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     model = fit(docs, labels)
     sites = site_posteriors(evidence(docs, model, _sites(host, path)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    scored = evidence(docs, model, [row, *_sites(host, path)])
+    scored = evidence(docs, model, [row, *_sites(host, path)], within="__row")
     return combine(scored, sites).where(F.col("quality") >= REJECT_BELOW).select("__row.*")
