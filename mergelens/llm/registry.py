@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, licenses, lines, lm, njoin, packing, quality, secrets, topk
 from .common import table
+from .oracle import oracle_sql  # noqa: F401  part of this module's interface
 
 
 def _tokenizer() -> str:
@@ -31,7 +32,8 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's kept text and the numbers of its lines that went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "text", "removed_lines", F.size("removed_lines").alias("n_removed"))
+    numbers = F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ",")
+    return lines.dedup_lines(docs).select("doc_id", "text", numbers.alias("removed_lines"), F.size("removed_lines").alias("n_removed"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,3 @@ def queries() -> dict:
             op10_license_scan,
         )
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
