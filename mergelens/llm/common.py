@@ -233,11 +233,11 @@ def batches_of_text(texts: list[bytes], limit: int = 4 << 20) -> Iterator[slice]
 _CHUNK_BITS = 16
 
 
-def _gather(df: DataFrame, hashes_of, bits: int, kind, join) -> dict[int, bytes]:
+def _gather(df: DataFrame, hashes_of, bits: int, counting: bool, kind, join) -> dict[int, bytes]:
     """Packed counters or flags of all hashes by range: one array a task, joined in two levels.
 
-    ``hashes_of(record batch)`` yields uint64 arrays, ``kind(counts)`` packs a range of a
-    task's counters and ``join`` joins packed ranges; a group has at most 256 rows, for up to
+    ``hashes_of(record batch)`` yields uint64 arrays, ``kind(range)`` packs a range of a task's
+    counters (flags if not ``counting``) and ``join`` joins packed ranges; a group has at most 256 rows, for up to
     65,536 tasks.
     """
     import pyarrow as pa
@@ -246,16 +246,25 @@ def _gather(df: DataFrame, hashes_of, bits: int, kind, join) -> dict[int, bytes]
     size, span = 1 << bits, 1 << min(_CHUNK_BITS, bits)
 
     def tally(batches):
-        total, held, n = np.zeros(size, np.int64), [], 0
+        total, held, n = np.zeros(size, np.int64 if counting else bool), [], 0
+
+        def settle():
+            at = (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64)
+            if counting:
+                total[:] += np.bincount(at, minlength=size)
+            else:
+                total[at] = True
+            held.clear()
+
         for batch in batches:
             for h in hashes_of(batch):
                 held.append(h)
                 n += len(h)
                 if n > 1 << 20:
-                    total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-                    held, n = [], 0
+                    settle()
+                    n = 0
         if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            settle()
         level = TaskContext.get().partitionId() // 256
         for i in range(size // span):
             part = total[i * span : (i + 1) * span]
@@ -291,15 +300,19 @@ def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
         return total.tobytes() if total.max() >= 1 << 32 else total.astype(np.uint32).tobytes()
 
     out = np.zeros(1 << bits, np.int64)
-    for i, blob in _gather(df, hashes_of, bits, pack, join).items():
+    for i, blob in _gather(df, hashes_of, bits, True, pack, join).items():
         out[i * span : (i + 1) * span] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * span else np.int64)
     return out
 
 
+def _either(blobs: list[bytes]) -> bytes:
+    return np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in blobs]).tobytes()
+
+
 def flag_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
     """Which residues modulo 2**bits occur among the hashes: 2**bits bits, packed."""
     span = 1 << min(_CHUNK_BITS, bits)
-    packed = _gather(df, hashes_of, bits, lambda part: np.packbits(part > 0).tobytes(), lambda blobs: np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in blobs]).tobytes())
+    packed = _gather(df, hashes_of, bits, False, lambda part: np.packbits(part).tobytes(), _either)
     out = np.zeros((1 << bits) // 8, np.uint8)
     for i, blob in packed.items():
         out[i * span // 8 : (i + 1) * span // 8] = np.frombuffer(blob, np.uint8)
