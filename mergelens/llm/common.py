@@ -67,13 +67,17 @@ def written(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of finished stages' shuffle files.
 
-    Spark removes them once their plans are garbage; asking for a collection after a large
-    stage keeps the disk in use to what is still needed.
+    Spark removes them once their plans are garbage; asking for collections after a large stage
+    keeps the disk in use to what is still needed. What one collection frees holds on to more,
+    and Spark's cleaner works beside it, so there are three, a little apart.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def shuffle_width(spark: SparkSession) -> int:
