@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, release, sketch_bits, text_slices, word_hashes, written
 from .njoin import flags_of
-from .setjoin import candidate_pairs, prefix_length, still_open
+from .setjoin import candidate_pairs, least_overlap, prefix_length, still_open
 
 PCT = 80
 #: Lines of fewer distinct words take no part: they coincide by chance.
@@ -79,32 +79,36 @@ def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least:
             mixed = mix64(tokens)
             key1 = np.add.reduceat(mixed, start).view(np.int64)
             key2 = np.add.reduceat(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start).view(np.int64)
-            sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), start)
+            # four words of parity: the first alone goes with postings, all are compared for pairs
+            word, bit = (mixed >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (mixed & np.uint64(63))
+            wide = np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start) for k in range(4)], axis=1)
+            sig = np.bitwise_xor.reduce(wide, axis=1)
         own = lines[start]
         of = np.searchsorted(first, own, side="right") - 1
         keep = np.flatnonzero(n >= least)
         doc = np.array(ids[part], np.int64)[of] if len(own) else np.empty(0, np.int64)
-        yield start, n, key1, key2, sig, doc, own - first[of], tokens, keep
+        yield start, n, key1, key2, sig, wide, doc, own - first[of], tokens, keep
 
 
 def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
-    """(doc_id, line, n, key1, key2, sig, prefix) of each line.
+    """(doc_id, line, n, key1, key2, sig, wide, prefix) of each line.
 
-    Within a slice of 512 documents only the first line of a set has sig and prefix; those of
+    Within a slice of 512 documents only the first line of a set has the last three; those of
     its later lines are null, so a very common line leaves a row with them for each slice.
     """
-    schema = "doc_id long, line long, n long, key1 long, key2 long, sig binary, prefix binary"
+    schema = "doc_id long, line long, n long, key1 long, key2 long, sig binary, wide binary, prefix binary"
 
     def run(batches):
         for batch in (part for whole in batches for part in text_slices(whole)):
             out = [[] for _ in range(5)]
-            sigs, prefixes = [], []
-            for start, n, key1, key2, sig, doc, number, tokens, keep in _grouped(
+            sigs, wides, prefixes = [], [], []
+            for start, n, key1, key2, sig, wide, doc, number, tokens, keep in _grouped(
                 batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least
             ):
                 p = prefix_length(n, pct)
                 prefixes += [tokens[start[i] : start[i] + p[i]].tobytes() for i in keep]
                 sigs += [x.tobytes() for x in sig[keep]]
+                wides += [x.tobytes() for x in wide[keep]]
                 for o, x in zip(out, (doc, number, n, key1, key2), strict=True):
                     o.append(x[keep])
             if not out[0]:
@@ -113,8 +117,8 @@ def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
             order = np.lexsort((number, doc, key2, key1))
             repeat = np.zeros(len(order), bool)
             repeat[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
-            blobs = [pa.array(x, pa.binary(), mask=repeat) for x in (np.array(sigs, object), np.array(prefixes, object))]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "prefix"])
+            blobs = [pa.array(x, pa.binary(), mask=repeat) for x in (np.array(sigs, object), np.array(wides, object), np.array(prefixes, object))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "wide", "prefix"])
 
     return docs.mapInArrow(run, schema)
 
@@ -188,6 +192,22 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     placed = leading.select("key1", "key2", "doc_id", "line", place.alias("place"))
     firsts = placed.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count("*").alias("times"))
     firsts = checkpoint(firsts)
+    signed = leading.select("key1", "n", "wide").dropDuplicates(["key1"])
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose parities leave room for the overlap: the sets of others need not meet."""
+        side = lambda c: signed.select(F.col("key1").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+
+        def run(batches):
+            for batch in batches:
+                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("wide_a", "wide_b")]
+                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+                out = batch.filter(pa.array(differ <= total - 2 * least_overlap(total, pct)))
+                yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
     later = placed.join(firsts.where("times > 1").drop("times"), ["key1", "key2"]).where("place > first").select("doc_id", "line")
     repeats = lines.where("prefix is null").select("doc_id", "line").unionByName(later)
 
@@ -222,7 +242,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     open_items = _with_open_lists(items, sketch, live).join(settled.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left")
     more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b")
     more = more.join(tried, ["a", "b"], "left_anti")
-    rest = checkpoint(rest.unionByName(more).distinct())
+    rest = checkpoint(plausible(rest.unionByName(more).distinct()))
     release(spark)
     if not rest.isEmpty():
         matched = matched.unionByName(similar_to_earlier(rest))
