@@ -6,9 +6,10 @@ class for each range of counts, within which a word's probability is its smoothe
 class. So p(word) = p(class | state) * p(word | class, state), and the probabilities of the V
 known words and of "unknown" add up to one.
 
-The network is trained by truncated backpropagation in rounds: every partition trains a copy on
-its share of the training documents (a fixed fraction of all, so it grows with the corpus) and
-the copies are averaged, weighted by their tokens, by grouped aggregation. In training as in
+The network is trained by truncated backpropagation in rounds: the training documents are split
+over the rounds, every partition trains a copy on its share of them, slice by slice, and the
+copies are averaged, weighted by their tokens, by grouped aggregation. So every training
+document is trained on once, at every size of corpus. In training as in
 scoring the state is carried from window to window, so a text's score is the log-likelihood of
 the complete document.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, checkpoint, encoded, id_remainder, word_hashes
+from .common import batches_of_text, checkpoint, encoded, id_remainder, text_slices, word_hashes
 
 NEURAL = 2048
 CLASS_SIZE = 32
@@ -36,10 +37,6 @@ FREQUENT = 1 << 18
 EMBED, HIDDEN = 24, 24
 WINDOW = 24
 ROUNDS = 2
-#: Fraction of the training documents that a round trains on, and the tokens below which a
-#: corpus counts as small: of small ones a larger fraction, up to all, is used.
-FRACTION = 1 / 32
-SMALL_TOKENS = 400_000
 _COUNT_TOKENS = 4 << 20
 #: Parts that a copy's parameters are averaged in, each by a task of its own.
 PARTS = 16
@@ -230,7 +227,7 @@ def _backward(p, grads, x, kept, d_states):
     """Backpropagation through one window."""
     k = HIDDEN
     dh = np.zeros_like(d_states[0])
-    d_table = np.zeros((len(p["emb"]), 3 * k), np.float32)
+    das, dgs = [], []
     for t in range(len(x) - 1, -1, -1):
         h, z, r, n, gn = kept[t]
         dh = dh + d_states[t]
@@ -239,15 +236,18 @@ def _backward(p, grads, x, kept, d_states):
         dr = dn * gn * r * (1 - r)
         da = np.concatenate([dz, dr, dn], axis=1)
         dg = np.concatenate([dz, dr, dn * r], axis=1)
-        order = np.argsort(x[t], kind="stable")
-        ids = x[t][order]
-        cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        d_table[ids[cut]] += np.add.reduceat(da[order], cut)
-        grads["wh"] += h.T @ dg
+        das.append(da)
+        dgs.append(dg)
         dh = dh * z + dg @ p["wh"].T
+    grads["wh"] += np.concatenate([h for h, *_ in kept]).T @ np.concatenate(dgs[::-1])
+    # one row for each word of the window
+    order = np.argsort(x, axis=None, kind="stable")
+    ids = x.ravel()[order]
+    cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    d_table, ids = np.add.reduceat(np.concatenate(das[::-1])[order], cut), ids[cut]
     grads["b"] += d_table.sum(axis=0)
-    grads["wx"] += p["emb"].T @ d_table
-    grads["emb"] += d_table @ p["wx"].T
+    grads["wx"] += p["emb"][ids].T @ d_table
+    grads["emb"][ids] += d_table @ p["wx"].T
 
 
 def locate(vocab: Vocabulary, h: np.ndarray):
@@ -277,11 +277,55 @@ def _windows(first: np.ndarray, texts: np.ndarray, window: int):
         yield at, steps, live
 
 
-def train_copy(p0: dict, vocab: Vocabulary, texts: list[str | None], rate: float, batch: int = 32, seed: int = 3):
-    """Train a copy of the parameters on the texts by Adam; (parameters, tokens)."""
-    p = {k: v.copy() for k, v in p0.items()}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v2 = {k: np.zeros_like(v) for k, v in p.items()}
+def _views(flat: np.ndarray, like: dict) -> dict:
+    """The arrays of ``like`` as views of one flat array, in the order of their names."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+class _Adam:
+    """Parameters in one flat array with Adam's state, kept from slice to slice."""
+
+    def __init__(self, p0: dict, rate: float):
+        self.flat = _flat(p0)
+        self.p = _views(self.flat, p0)
+        self.gradient = np.zeros_like(self.flat)
+        self.grads = _views(self.gradient, p0)
+        self.m, self.v2, self.work = (np.zeros_like(self.flat) for _ in range(3))
+        self.rate, self.step = rate, 0
+
+    def move(self, scale: float) -> None:
+        """One step along the scaled and clipped gradients, which start again from zero."""
+        g, m, v2, work = self.gradient, self.m, self.v2, self.work
+        self.step += 1
+        g *= np.float32(scale)
+        np.clip(g, -1, 1, out=g)
+        m += np.multiply(np.subtract(g, m, out=work), np.float32(0.1), out=work)
+        g *= g
+        v2 += np.multiply(np.subtract(g, v2, out=work), np.float32(0.01), out=work)
+        np.sqrt(np.divide(v2, np.float32(1 - 0.99**self.step), out=work), out=work)
+        work += np.float32(1e-6)
+        np.divide(m, work, out=work)
+        work *= np.float32(self.rate / (1 - 0.9**self.step))
+        self.flat -= work
+        g[:] = 0
+
+
+def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float, batch: int = 32, seed: int = 3):
+    """Train a copy of the parameters by Adam on lists of texts in turn; (parameters, tokens)."""
+    adam = _Adam(p0, rate)
+    rng = np.random.default_rng(seed)
+    tokens = 0
+    for texts in slices:
+        tokens += _train_slice(adam, vocab, texts, batch, rng)
+    return adam.p, tokens
+
+
+def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], batch: int, rng) -> int:
+    p, grads = adam.p, adam.grads
     h_all, first = token_hashes(texts)
     entry, cls, slot, *_ = locate(vocab, h_all)
     prev = np.concatenate(([0], entry[:-1]))
@@ -289,8 +333,7 @@ def train_copy(p0: dict, vocab: Vocabulary, texts: list[str | None], rate: float
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-    step = 0
-    for g in np.random.default_rng(seed).permutation(len(groups)):
+    for g in rng.permutation(len(groups)):
         texts_of = groups[g]
         h = np.zeros((len(texts_of), HIDDEN), np.float32)
         for at, steps, live in _windows(first, texts_of, WINDOW):
@@ -303,7 +346,6 @@ def train_copy(p0: dict, vocab: Vocabulary, texts: list[str | None], rate: float
             x = prev[idx]
             table = p["emb"] @ p["wx"] + p["b"]
             states, kept, h = _forward(p, table, x, h[:k])
-            grads = {n: np.zeros_like(w) for n, w in p.items()}
             flat = np.stack(states)
             sel = there.ravel()
             rows = flat.reshape(-1, HIDDEN)[sel]
@@ -311,33 +353,22 @@ def train_copy(p0: dict, vocab: Vocabulary, texts: list[str | None], rate: float
             d = np.zeros((flat.shape[0] * flat.shape[1], HIDDEN), np.float32)
             d[sel] = back
             _backward(p, grads, x, kept, d.reshape(flat.shape))
-            step += 1
-            scale = 1.0 / max(int(sel.sum()), 1)
-            for n, w in p.items():
-                gr = np.clip(grads[n] * scale, -1, 1)
-                m[n] += 0.1 * (gr - m[n])
-                v2[n] += 0.01 * (gr * gr - v2[n])
-                w -= rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v2[n] / (1 - 0.99**step)) + 1e-6)
-    return p, len(h_all)
+            adam.move(1.0 / max(int(sel.sum()), 1))
+    return len(h_all)
 
 
 def _flat(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def _unflat(flat: np.ndarray, like: dict) -> dict:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
-    return out
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 0.004) -> dict:
+    """Rounds of local training and averaging over the training rows of (draw, text).
 
-
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, fraction: float = FRACTION, rate: float = 0.004) -> dict:
-    """Rounds of local training and averaging over the training rows of (draw, text)."""
+    A round trains on the rows whose draw (below 2**30) falls into its part; the parts together
+    are all rows.
+    """
     sc = docs.sparkSession.sparkContext
     p = start_parameters(vocab)
-    share = min(1.0 / rounds, max(fraction, SMALL_TOKENS / max(vocab.n, 1)))
 
     merged = "part long, weighted binary, tokens long"
 
@@ -353,9 +384,15 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, fraction: fl
             from pyspark import TaskContext
 
             p0, voc = sent.value
-            texts = [t for b in batches for t in b.column("text").to_pylist()]
-            if texts:
-                own, n = train_copy(p0, voc, texts, rate / (r + 1))
+
+            def slices():
+                for batch in (part for whole in batches for part in text_slices(whole)):
+                    texts = batch.column("text").to_pylist()
+                    for part in batches_of_text(encoded(texts), 4 << 20):
+                        yield texts[part]
+
+            own, n = train_copy(p0, voc, slices(), rate / (r + 1))
+            if n:
                 blobs = [x.tobytes() for x in np.array_split(_flat(own).astype(np.float64) * n, PARTS)]
                 level = TaskContext.get().partitionId() // 256
                 yield pa.RecordBatch.from_arrays(
@@ -363,13 +400,13 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, fraction: fl
                     names=["level", "part", "weighted", "tokens"],
                 )
 
-        low, high = (int((1 << 30) * share * (r + k)) for k in (0, 1))
+        low, high = ((1 << 30) * (r + k) // rounds for k in (0, 1))
         copies = docs.where((F.col("draw") >= low) & (F.col("draw") < high)).select("text").mapInArrow(run, f"level long, {merged}")
         halfway = copies.groupBy("level", "part").applyInArrow(merge, merged)
         rows = sorted(halfway.groupBy("part").applyInArrow(merge, merged).collect(), key=lambda x: x["part"])
         if rows:
             flat = np.concatenate([np.frombuffer(bytes(x["weighted"]), np.float64) / x["tokens"] for x in rows])
-            p = _unflat(flat, p)
+            p = _views(flat.astype(np.float32), p)
     return p
 
 

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import zlib
 from collections import Counter
@@ -93,6 +94,16 @@ def test_windows_carry_the_state(spark, monkeypatch):
     assert lm.score_texts(p, vocab, h, first)[0] == pytest.approx(alone, rel=1e-4)
 
 
+def test_trains_on_every_document(spark):
+    """Each document has a word of its own; all their embeddings move, also if the corpus counts as large."""
+    texts = [f"d{i} " * 20 for i in range(90)]
+    vocab = dataclasses.replace(small_vocab(spark, texts, neural=400), n=1 << 30)
+    df = spark.createDataFrame([(i * (1 << 30) // 90, t) for i, t in enumerate(texts)], "draw long, text string").repartition(3)
+    own = vocab.entry[vocab.words != lm.END]
+    moved = np.abs(lm.train(df, vocab)["emb"] - lm.start_parameters(vocab)["emb"])[own].max(axis=1)
+    assert len(own) == 90 and (moved > 1e-4).all()
+
+
 def test_learns_and_handles_empty_tables(spark, docs_of):
     rows = [(i, " ".join(["the cat sat on the mat .", "der hund lief in das haus ."][i % 2] for _ in range(30))) for i in range(300)]
     got = lm.score_documents(docs_of(rows)).toPandas()
