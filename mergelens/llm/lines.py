@@ -95,6 +95,7 @@ def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
 
     Within a slice of 512 documents only the first line of a set has the last three; those of
     its later lines are null, so a very common line leaves a row with them for each slice.
+    Equal lines at equal places of rows that share an id are one line.
     """
     schema = "doc_id long, line long, n long, key1 long, key2 long, sig binary, wide binary, prefix binary"
 
@@ -117,8 +118,11 @@ def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
             order = np.lexsort((number, doc, key2, key1))
             repeat = np.zeros(len(order), bool)
             repeat[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
+            same = np.zeros(len(order), bool)
+            same[order[1:]] = repeat[order[1:]] & (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] == number[order[:-1]])
             blobs = [pa.array(x, pa.binary(), mask=repeat) for x in (np.array(sigs, object), np.array(wides, object), np.array(prefixes, object))]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "wide", "prefix"])
+            found = pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "wide", "prefix"])
+            yield found.filter(pa.array(~same)) if same.any() else found
 
     return docs.mapInArrow(run, schema)
 
@@ -225,7 +229,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     def similar_to_earlier(pairs: DataFrame) -> DataFrame:
         """(key1, first): the later item of each pair that passes the exact test."""
         side = lambda c: firsts.select(F.col("key1").alias(c), F.col("first").alias(f"first_{c}"))
-        both = _verify(pairs, docs, rarity, pct, least).join(side("a"), "a").join(side("b"), "b")
+        both = _verify(pairs, docs, rarity, pct, least).join(side("a"), "a").join(side("b"), "b").where("first_a != first_b")
         later_a = F.col("first_a") > F.col("first_b")
         out = both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("key1"), F.greatest("first_a", "first_b").alias("first")).distinct()
         out = checkpoint(out)

@@ -81,6 +81,16 @@ def test_dedup_lines(docs_of):
     assert out[5]["text"] == "short" and out[5]["removed"] == "x"
 
 
+def test_repeated_rows_keep_their_lines(spark):
+    """One occurrence within a partition and over two; similar lines at one place are not earlier ones either."""
+    same = "one two three four five six"
+    rows = [(1, same), (1, same), (1, f"{same} seven"), (2, f"new words for a line\n{same}")]
+    make = lambda some: spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+    for docs in (make(rows), make(rows[:1]).union(make(rows[1:])), make(rows[:2]).union(make(rows[2:]))):
+        got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect())
+        assert got == [(1, same), (1, same), (1, f"{same} seven"), (2, "new words for a line")]
+
+
 def test_empty(docs_of):
     assert njoin.jaccard_components(docs_of([])).count() == 0
     assert lines.dedup_lines(docs_of([])).count() == 0
