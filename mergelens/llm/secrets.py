@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A wider set of words that announce a credential, with values of any printable characters.
 CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|credential|login|pin)["']?\x20*(?::|=|\x20is\x20)\x20*["']?([^\s"'<>]{6,128})""",
+    r"""(?:password|passwd|passphrase|pwd|secret|token|api_?key|credential|login|pin)["']?\x20*(?::|=|\x20is\x20)\x20*["']?([^\s"'<>]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "credential", "login", "pin")
@@ -61,16 +61,35 @@ def _brute(ch: str) -> float:
     return math.log10(size)
 
 
-def guess_cost(value: str) -> float:
+def _repeats(value: str, size: int) -> list[int]:
+    """How often the block of ``size`` characters that starts at each place follows itself, itself included."""
+    n = len(value)
+    run = [0] * (n + 1)  # characters from here on that equal those a block later
+    for i in range(n - size - 1, -1, -1):
+        run[i] = run[i + 1] + 1 if value[i] == value[i + size] else 0
+    return [1 + r // size for r in run]
+
+
+def _walks(low: str) -> list[int]:
+    """The end of the keyboard walk that each place lies in."""
+    ends = [len(low)] * len(low)
+    for i in range(len(low) - 2, -1, -1):
+        ends[i] = ends[i + 1] if (low[i], low[i + 1]) in _NEXT else i + 1
+    return ends
+
+
+def guess_cost(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty value.
 
-    best[k][i] is the least sum for the first i characters in k segments; k segments can be
-    tried in k! orders.
+    A row of the table holds the least sum for the first i characters in k segments; k segments
+    can be tried in k! orders. Rows end when k! alone exceeds the best cost, or ``enough``: then
+    the result may be above the least cost, but neither is below ``enough``. The whole value is
+    looked at, in memory linear in its length.
     """
     n, low = len(value), value.lower()
     if not n:
         return 0.0
-    found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
+    found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost), without walks
     for i in range(n):
         for j in range(i + 2, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(low[i:j])
@@ -79,32 +98,44 @@ def guess_cost(value: str) -> float:
                 found[j].append((i, math.log10(rank * variants + 1)))
         if m := _DATE.match(value, i):
             found[m.end()].append((i, math.log10(365 * 200) if m.end() - i > 4 else math.log10(200)))
-        for size in (1, 2, 3, 4):
-            j = i + size
-            while value[i : i + size] and value[j : j + size] == value[i : i + size]:
-                j += size
-            times = (j - i) // size
+    for size in (1, 2, 3, 4):
+        for i, times in enumerate(_repeats(value, size)[:n]):
             if times >= 3 or times == 2 and size >= 3:
-                found[j].append((i, sum(map(_brute, value[i : i + size])) + math.log10(times)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-        for end in range(i + 3, j + 1):
-            found[end].append((i, math.log10(len(_NEXT)) + math.log10(end - i)))
+                found[i + size * times].append((i, sum(map(_brute, value[i : i + size])) + math.log10(times)))
+    walk, step = _walks(low), math.log10(len(_NEXT))
     single = [_brute(c) for c in value]
     upto = [0.0]
     for c in single:
         upto.append(upto[-1] + c)
-    best, most = math.inf, min(n, 24)
+    best, orders = math.inf, 0.0
     row = [0.0] + [math.inf] * n
-    for k in range(1, most + 1):
+    for k in range(1, n + 1):
+        orders += math.log10(k)
+        if orders >= min(best, enough):
+            return min(best, orders)
         nxt, run = [math.inf] * (n + 1), math.inf  # run: least row[i] - upto[i] so far
+        starts: list[int] = []  # of the walk that goes on, those that can still be the cheapest
         for j in range(1, n + 1):
             run = min(run, row[j - 1] - upto[j - 1])
-            nxt[j] = run + upto[j]
+            least = run + upto[j]
             for i, cost in found[j]:
-                nxt[j] = min(nxt[j], row[i] + cost)
-        best = min(best, nxt[n] + math.log10(math.factorial(k)))
+                least = min(least, row[i] + cost)
+            if j >= 3 and walk[j - 3] >= j:
+                if starts and walk[starts[-1]] < j:
+                    starts.clear()
+                i = j - 3
+                if row[i] < math.inf:
+                    while starts and row[starts[-1]] >= row[i]:
+                        starts.pop()
+                    starts.append(i)
+                if starts:
+                    costs = [row[i] + step + math.log10(j - i) for i in starts]
+                    cheapest = min(costs)
+                    least = min(least, cheapest)
+                    # a later start that is dearer now stays dearer
+                    del starts[costs.index(cheapest) + 1 :]
+            nxt[j] = least
+        best = min(best, nxt[n] + orders)
         row = nxt
     return best
 
@@ -123,7 +154,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if hinted:
         for m in CONTEXT.finditer(text):
-            if guess_cost(m[1]) >= STRONG:
+            if guess_cost(m[1], STRONG) >= STRONG:
                 spans.append(("guess", m.start(1), m.end(1)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))

@@ -80,6 +80,14 @@ def test_cost_is_the_cheapest(value):
     assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1.0)
 
 
+def test_long_values_are_read_whole():
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(10))
+    for value in (noise, "x" * 200 + noise, "qw" * 100 + noise[:40]):
+        assert [s for s in secrets.scan_text(f"login={value} end") if s[0] == "guess"] == [("guess", 6, 6 + len(value))]
+    for cheap in ("x" * 5000, "asasas" * 3000):
+        assert not [s for s in secrets.scan_text(f"login={cheap} end") if s[0] == "guess"]
+
+
 def test_empty(docs_of):
     assert secrets.guess_cost("") == 0
     assert secrets.digest(secrets.find_secrets(docs_of([]))).count() == 0
