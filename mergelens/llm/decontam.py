@@ -20,6 +20,8 @@ MASKS = ("1111011", "1100010111", "1011010011")
 #: An overlap counts from this many matching tokens on (or all tokens of a shorter item).
 LEAST_MATCHES = 12
 MATCH, MISMATCH = 2, -3
+#: Or this many consecutive tokens of the item hold that many matches, 0.8 of a shorter item's.
+STRETCH, SHARE = 16, 0.8
 
 
 def token_hashes(text: Column) -> Column:
@@ -53,7 +55,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES)
 
     One row for each document and item that overlap, that of the best diagonal; positions are
     in tokens. Null and empty texts and rows of null id have none. Items of equal tokens are
-    one, by their smallest id; items shorter than the shortest mask cannot be found. Rows that
+    one, by their smallest id; items shorter than the shortest mask are found by all their
+    tokens. An overlap that only STRETCH admits still has its best-scoring part's figures. Rows that
     share a doc_id are one document with the overlaps of any of them.
     """
     items = (
@@ -63,14 +66,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES)
         .agg(F.min("item_id").alias("item_id"))
     )
     items = checkpoint(items)
-    seeds = items.select("item_id", F.explode(seed_hashes(F.col("item"), F.size("item"))).alias("s"))
+    shortest = min(map(len, MASKS))
+    short = items.where((F.size("item") > 0) & (F.size("item") < shortest)).select(F.size("item").alias("n")).distinct()
+    short = sorted(r["n"] for r in short.collect())  # a mask's length at most
+    whole = lambda c, least: F.concat(
+        seed_hashes(F.col(c), F.size(c)),
+        *[F.when((F.size(c) == n) | least, _mask_hashes(F.col(c), F.size(c), len(MASKS) + n, "1" * n)).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")) for n in short],
+    )
+    seeds = items.select("item_id", F.explode(whole("item", F.lit(False))).alias("s"))
     seeds = seeds.select("item_id", F.col("s.pos").alias("item_pos"), F.col("s.seed").alias("seed"))
     seeds = checkpoint(seeds)
     n_seeds = seeds.count()
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    at = tokens.select("doc_id", F.explode(seed_hashes(F.col("tokens"), F.size("tokens"))).alias("s"))
+    at = tokens.select("doc_id", F.explode(whole("tokens", F.lit(True))).alias("s"))
     at = at.select("doc_id", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
     hits = at.join(_fitting(seeds, n_seeds), "seed")
     diagonals = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count("*").alias("hits"))
@@ -85,7 +95,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES)
     pairs = again.select("doc_id", "tokens", "f.item_id", "f.diagonal").join(_fitting(items, n_items), "item_id")
     scored = pairs.withColumn("best", _best_stretch(F.col("tokens"), F.col("item"), F.col("diagonal")))
     full = F.least(F.lit(least), F.size("item")) * MATCH
-    kept = scored.where(F.col("best.score") >= full).select(
+    enough = F.least(F.lit(least), F.ceil(F.size("item") * F.lit(SHARE)))
+    kept = scored.where((F.col("best.score") >= full) | (F.col("best.most") >= enough)).select(
         "doc_id",
         "item_id",
         F.struct(F.col("best.score").alias("score"), F.col("best.matches").alias("matches"), (-F.col("best.start")).alias("early"), "diagonal").alias("top"),
@@ -103,8 +114,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES)
 
 
 def _best_stretch(tokens: Column, item: Column, diagonal: Column) -> Column:
-    """struct<score, matches, start>: the best-scoring stretch of the item along a diagonal."""
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("run", "n", "from", "at", "score", "matches", "start")])
+    """struct<score, matches, start, most>: the best-scoring stretch of the item along a diagonal,
+    and the most matches among STRETCH consecutive tokens."""
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("run", "n", "from", "at", "score", "matches", "start", "bits", "most")])
 
     def step(acc: Column, token: Column) -> Column:
         there = acc["at"] + diagonal
@@ -114,6 +126,7 @@ def _best_stretch(tokens: Column, item: Column, diagonal: Column) -> Column:
         n = F.when(fresh, 0).otherwise(acc["n"]) + F.when(same, 1).otherwise(0)
         begin = F.when(fresh, acc["at"]).otherwise(acc["from"])
         better = run > acc["score"]
+        bits = (acc["bits"] * 2).bitwiseAND(F.lit((1 << STRETCH) - 1)) + F.when(same, 1).otherwise(0)
         return F.struct(
             run.cast("int").alias("run"),
             n.cast("int").alias("n"),
@@ -122,6 +135,8 @@ def _best_stretch(tokens: Column, item: Column, diagonal: Column) -> Column:
             F.when(better, run).otherwise(acc["score"]).cast("int").alias("score"),
             F.when(better, n).otherwise(acc["matches"]).cast("int").alias("matches"),
             F.when(better, begin).otherwise(acc["start"]).cast("int").alias("start"),
+            bits.cast("int").alias("bits"),
+            F.greatest(acc["most"], F.bit_count(bits)).cast("int").alias("most"),
         )
 
     return F.aggregate(item, zero, step)

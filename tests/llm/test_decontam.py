@@ -64,6 +64,17 @@ def test_masks_hit_most_substituted_stretches():
     assert hit / 2000 > 0.97
 
 
+def test_substitutions_in_short_items(spark, docs_of):
+    """Items of 10 to 16 tokens with 1 to 4 interior substitutions, and one shorter than a mask."""
+    items = {1: (16, (5, 10)), 2: (16, (1, 8, 14)), 3: (14, (6,)), 4: (10, (4,)), 5: (16, (2, 7, 11, 14)), 6: (3, ())}
+    words = {i: [f"i{i}w{k}" for k in range(n)] for i, (n, _) in items.items()}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "item_id long, text string")
+    rows = [(i, " ".join(text(20) + [("other" if k in items[i][1] else x) for k, x in enumerate(w)] + text(20))) for i, w in words.items()]
+    rows += [(50, " ".join(text(20) + words[1][:11] + text(20))), (51, " ".join(text(20) + words[6][:2] + text(20)))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.overlaps(docs_of(rows), bench).collect()}
+    assert got == {(i, i) for i in items}
+
+
 def test_no_python_in_the_plan(docs_of, bench):
     plan = decontam.overlaps(docs_of([(1, "a")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
