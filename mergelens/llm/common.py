@@ -64,20 +64,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished stages' shuffle files.
+def shared(spark: SparkSession, value):
+    """A broadcast; ``done`` takes it back once all that reads it is checkpointed."""
+    return spark.sparkContext.broadcast(value)
 
-    Spark removes them once their plans are garbage; asking for collections after a large stage
-    keeps the disk in use to what is still needed. What one collection frees holds on to more,
-    and Spark's cleaner works beside it, so there are three, a little apart.
-    """
-    import gc
-    import time
 
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def done(*sent) -> None:
+    """Destroy broadcasts, on the driver and the executors, that no later job can need."""
+    for b in sent:
+        b.destroy()
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -234,15 +229,34 @@ def batches_of_text(texts: list[bytes], limit: int = 4 << 20) -> Iterator[slice]
 
 # --- counting sketch ----------------------------------------------------------------------
 
-_CHUNK_BITS = 16
+_CHUNK_BITS = 14
+
+
+def _sparse(part: np.ndarray) -> bytes:
+    """Counters as places and values if that is shorter: a task sees few of a corpus's words."""
+    at = np.flatnonzero(part)
+    values = part[at].astype(np.uint32 if part.max() < 1 << 32 else np.int64)
+    if len(at) * (2 + values.itemsize) < len(part) * values.itemsize:
+        return b"s%d " % len(at) + at.astype(np.uint16).tobytes() + values.tobytes()
+    return b"d " + part.astype(values.dtype).tobytes()
+
 
+def _add_to(total: np.ndarray, blob: bytes) -> None:
+    head, _, rest = blob.partition(b" ")
+    if head == b"d":
+        total += np.frombuffer(rest, np.uint32 if len(rest) == 4 * len(total) else np.int64)
+    else:
+        n = int(head[1:])
+        total[np.frombuffer(rest, np.uint16, n)] += np.frombuffer(rest[2 * n :], np.uint32 if len(rest) == 6 * n else np.int64)
 
-def _gather(df: DataFrame, hashes_of, bits: int, counting: bool, kind, join) -> dict[int, bytes]:
-    """Packed counters or flags of all hashes by range: one array a task, joined in two levels.
 
-    ``hashes_of(record batch)`` yields uint64 arrays, ``kind(range)`` packs a range of a task's
-    counters (flags if not ``counting``) and ``join`` joins packed ranges; a group has at most 256 rows, for up to
-    65,536 tasks.
+def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
+    """Counts of all hashes over every row of ``df``, modulo 2**bits counters (int64).
+
+    ``hashes_of(record batch)`` yields uint64 arrays. Each task sends its counters by ranges of
+    2**14, packed, which are added up in two levels of 256 tasks and more; the driver gets
+    8 * 2**bits bytes at most whatever the size of the input. A counter is an upper bound of each
+    of its hashes' counts, so sorting by it puts frequent hashes last.
     """
     import pyarrow as pa
     from pyspark import TaskContext
@@ -250,21 +264,17 @@ def _gather(df: DataFrame, hashes_of, bits: int, counting: bool, kind, join) ->
     size, span = 1 << bits, 1 << min(_CHUNK_BITS, bits)
 
     def tally(batches):
-        total, held, n = np.zeros(size, np.int64 if counting else bool), [], 0
+        total, held, n = np.zeros(size, np.uint32), [], 0
 
         def settle():
-            at = (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64)
-            if counting:
-                total[:] += np.bincount(at, minlength=size)
-            else:
-                total[at] = True
+            total[:] += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
             held.clear()
 
         for batch in batches:
             for h in hashes_of(batch):
                 held.append(h)
                 n += len(h)
-                if n > 1 << 20:
+                if n > max(size, 1 << 20):
                     settle()
                     n = 0
         if held:
@@ -274,59 +284,61 @@ def _gather(df: DataFrame, hashes_of, bits: int, counting: bool, kind, join) ->
             part = total[i * span : (i + 1) * span]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([level], pa.int32()), pa.array([kind(part)], pa.binary())],
+                    [pa.array([i], pa.int32()), pa.array([level], pa.int32()), pa.array([_sparse(part)], pa.binary())],
                     names=["chunk", "level", "packed"],
                 )
 
     def merge(rows):
-        return pa.table({"chunk": rows["chunk"][:1], "packed": pa.array([join(rows["packed"].to_pylist())], pa.binary())})
+        total = np.zeros(span, np.int64)
+        for blob in rows["packed"]:
+            _add_to(total, blob.as_py())
+        return pa.table({"chunk": rows["chunk"][:1], "packed": pa.array([_sparse(total)], pa.binary())})
 
     parts = df.mapInArrow(tally, "chunk int, level int, packed binary")
     parts = parts.groupBy("chunk", "level").applyInArrow(merge, "chunk int, packed binary")
-    return {r["chunk"]: bytes(r["packed"]) for r in parts.groupBy("chunk").applyInArrow(merge, "chunk int, packed binary").toLocalIterator()}
-
-
-def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
-    """Counts of all hashes over every row of ``df``, modulo 2**bits counters (int64).
-
-    The driver gets 8 * 2**bits bytes whatever the size of the input. A counter is an upper
-    bound of each of its hashes' counts, so sorting by it puts frequent hashes last.
-    """
-    span = 1 << min(_CHUNK_BITS, bits)
-
-    def pack(part):
-        return part.astype(np.uint32 if part.max() < 1 << 32 else np.int64).tobytes()
-
-    def join(blobs):
-        total = np.zeros(span, np.int64)
-        for blob in blobs:
-            total += np.frombuffer(blob, np.uint32 if len(blob) == 4 * span else np.int64)
-        return total.tobytes() if total.max() >= 1 << 32 else total.astype(np.uint32).tobytes()
-
-    out = np.zeros(1 << bits, np.int64)
-    for i, blob in _gather(df, hashes_of, bits, True, pack, join).items():
-        out[i * span : (i + 1) * span] = np.frombuffer(blob, np.uint32 if len(blob) == 4 * span else np.int64)
+    out = np.zeros(size, np.int64)
+    for r in parts.groupBy("chunk").applyInArrow(merge, "chunk int, packed binary").collect():
+        _add_to(out[r["chunk"] * span : (r["chunk"] + 1) * span], bytes(r["packed"]))
     return out
 
 
-def _either(blobs: list[bytes]) -> bytes:
-    return np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in blobs]).tobytes()
+# --- flags --------------------------------------------------------------------------------
 
+#: Bits of one row of Spark's bitmap functions.
+_BITMAP = 32768
 
-def flag_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
-    """Which residues modulo 2**bits occur among the hashes: 2**bits bits, packed."""
-    span = 1 << min(_CHUNK_BITS, bits)
-    packed = _gather(df, hashes_of, bits, False, lambda part: np.packbits(part).tobytes(), _either)
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for i, blob in packed.items():
-        out[i * span // 8 : (i + 1) * span // 8] = np.frombuffer(blob, np.uint8)
-    return out
 
+def flag_sketch(df: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """Which residues the whole numbers in the columns have, as 2**bits packed bits; nulls have none.
 
-def flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether each hash's residue is set in a packed flag sketch."""
-    at = h & np.uint64(8 * len(flags) - 1)
-    return ((flags[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+    Built by Spark's bitmap aggregate; the driver gets 2**bits / 8 bytes.
+    """
+    flat = df.select(F.col(columns[0]).cast("long").alias("x"))
+    for c in columns[1:]:
+        flat = flat.union(df.select(F.col(c).cast("long")))
+    flat = flat.where("x is not null")
+    x = F.col("x")
+    for shift in (bits, 2 * bits):
+        if shift < 64:
+            x = x.bitwiseXOR(F.shiftrightunsigned("x", shift))
+    flat = flat.select((x.bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("r"))
+    maps = flat.groupBy(F.bitmap_bucket_number("r").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("r")).alias("bits"))
+    out = np.zeros(max((1 << bits) // 8, _BITMAP // 8), np.uint8)
+    for r in maps.collect():
+        out[(r["k"] - 1) * _BITMAP // 8 : r["k"] * _BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out[: (1 << bits) // 8]
+
+
+def flagged(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the flags hold each number's residue: true for all that went in, and for few others."""
+    bits = (8 * len(flags)).bit_length() - 1
+    x = x.view(np.uint64)
+    at = x.copy()
+    for shift in (bits, 2 * bits):
+        if shift < 64:
+            at ^= x >> np.uint64(shift)
+    at &= np.uint64((1 << bits) - 1)
+    return ((flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def text_slices(batch, rows: int = 512):
@@ -335,16 +347,6 @@ def text_slices(batch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
-def id_hashes(*columns: str):
-    """For count_sketch: mixed values of integer columns without nulls."""
-
-    def run(batch):
-        for c in columns:
-            yield mix64(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-
-    return run
-
-
 def sketch_bits(rows: int, least: int = 16, most: int = 22) -> int:
     """Counters for a corpus of ``rows`` documents: about 8 a document, 2**22 (32 MB) at most."""
     return min(most, max(least, math.ceil(math.log2(max(rows, 1) * 8))))

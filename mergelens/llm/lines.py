@@ -2,31 +2,62 @@
 
 A line's tokens are its distinct ASCII-lower-cased words, ordered by their rarity in the whole
 corpus. A line goes if an earlier line (by doc_id, then line number), kept or not, has a Jaccard
-of at least 0.8 with it. Lines of equal sets form one item, placed at its first occurrence;
-items are joined by rare-first prefixes under length, positional and parity filters, and
-verified on whole sets. An item that has an earlier match needs no further comparison, so
-long lists are compared in two rounds (see setjoin).
+of at least 0.8 with it. Lines of equal sets form one item, placed at its first occurrence.
 
-Tokens are compared by a rarity class of 8 bits and 44 bits of their hash.
+Items are joined by rare-first prefixes under length, positional and parity filters, and
+verified on whole sets. Where the first token that two items share is rare, it is the key under
+which they meet. Else all that they share is at least as frequent, so they meet under their
+first two, three or four shared tokens, which lie in a prefix longer by as many; the number
+depends on that first token's count, so that a key's list stays short as the corpus grows.
+
+An item that has an earlier match needs no further comparison: its likeliest candidate is
+verified first, then the others of items that it leaves open. A list gives an item a few
+candidates; for an item that none of them settles, the list is searched, in parts if it is long.
+
+Sets are told apart by 128 bits and tokens of a pair compared by 40 bits of their hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_text, checkpoint, count_sketch, encoded, flagged, mix64, release, sketch_bits, text_slices, word_hashes, written
-from .njoin import flags_of
-from .setjoin import candidate_pairs, least_overlap, prefix_length, still_open
+from .common import (
+    batches_of_text,
+    checkpoint,
+    count_sketch,
+    done,
+    encoded,
+    flag_sketch,
+    flagged,
+    mix64,
+    shared,
+    shuffle_width,
+    sketch_bits,
+    text_slices,
+    word_hashes,
+)
+from .setjoin import least_overlap, prefix_length
 
 PCT = 80
-#: Lines of fewer distinct words take no part: they coincide by chance.
-MIN_WORDS = 5
-#: Posting lists up to this length yield all their candidate pairs at once.
-SMALL_LIST = 64
+#: Lines of fewer distinct words take no part: one word is enough.
+MIN_WORDS = 1
+#: Lists up to this length have all their pairs looked at; longer ones have a star at first.
+SHORT_LIST = 4096
+#: Candidates that an item gets from a list at once; lists with more are searched for items that these leave open.
+MOST_CANDIDATES = 8
+#: The expected length of a key's list, by its first token's count, above which keys take one token more.
+EXPECTED = 1024
+#: Most items of a long list that are searched by one task.
+PART = 4096
 _LINES = 4096  # lines sorted at once: their number has 12 bits beside a token's 52
+_HELD_LINES = 400_000  # described lines that a task holds before it sends them
+_FLAG_BITS = 23
+#: Kinds of packed rows; part p of a list is of kind _LIST + p.
+_ITEMS, _REMOVED, _LIKELIEST, _OTHERS, _LIST = range(5)
 
 
 def _line_words(texts: list[bytes]):
@@ -65,8 +96,115 @@ def rarity_classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
+def key_sizes(lines: int) -> np.ndarray:
+    """For each rarity class, how many tokens a key has that begins with a token of the class.
+
+    The least number k (4 at most) for which k independent tokens of that count are expected
+    in at most EXPECTED of ``lines`` lines; 0 for words that occur once, which nothing shares.
+    """
+    c = 2.0 ** ((np.arange(256) + 1) / 8)
+    out = np.full(256, 4)
+    for k in (3, 2, 1):
+        out[c * (c / max(lines, 1)) ** (k - 1) <= EXPECTED] = k
+    out[0] = 0
+    return out
+
+
+def _most_tokens(n: np.ndarray) -> np.ndarray:
+    """Bound of a key's tokens where the smaller set has n: long lines have too many combinations."""
+    return np.where(n <= 24, 4, np.where(n <= 60, 3, np.where(n <= 200, 2, 1)))
+
+
+def _words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the parity of a set of n tokens: more tokens need more bits to tell sets apart."""
+    return np.where(n <= 96, 1, np.where(n <= 208, 2, np.where(n <= 432, 4, 8)))
+
+
+def _parities(mixed: np.ndarray, start: np.ndarray, n: np.ndarray):
+    """(sig, wide): each set's parity in 64 bits, and the words after the first of its full parity.
+
+    A token flips the bit that its hash names. All words of the full parity together give sig.
+    """
+    k, bit = _words(n), np.uint64(1) << (mixed & np.uint64(63))
+    flips = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(bit)))
+    sig = flips[start + n] ^ flips[start]
+    wide = np.zeros(int((k - 1).sum()), np.uint64)
+    begin = np.cumsum(k - 1) - (k - 1)
+    for most in np.unique(k[k > 1]).tolist():
+        at = np.flatnonzero(k == most)
+        own = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(int(n[at].sum()))
+        word, own_bit, cut = (mixed[own] >> np.uint64(6)) & np.uint64(most - 1), bit[own], np.cumsum(n[at]) - n[at]
+        for w in range(1, most):
+            wide[begin[at] + w - 1] = np.bitwise_xor.reduceat(np.where(word == w, own_bit, np.uint64(0)), cut)
+    return sig, wide
+
+
+def _full_parities(sig: np.ndarray, wide: np.ndarray, n: np.ndarray) -> dict[int, np.ndarray]:
+    """For 2, 4 and 8 words: the parities in as many words of the sets that have them (rows of zeros else)."""
+    k = _words(n)
+    begin = np.cumsum(k - 1) - (k - 1)
+    out = {}
+    for words in (2, 4, 8):
+        full = np.zeros((len(n) if (k >= words).any() else 0, words), np.uint64)
+        for most in (m for m in (2, 4, 8) if m >= words):
+            at = np.flatnonzero(k == most)
+            if len(at):
+                own = np.stack([wide[begin[at] + w - 1] for w in range(1, most)])
+                own = np.concatenate([[sig[at] ^ np.bitwise_xor.reduce(own, axis=0)], own])
+                full[at] = np.bitwise_xor.reduce(own.reshape(-1, words, len(at)), axis=0).T
+        out[words] = full
+    return out
+
+
+def _runs(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of the rows ``at``, where each row has as many consecutive values as its size."""
+    begin, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    return values[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def posting_keys(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, sizes: np.ndarray, pct: int):
+    """(set, key, position of its first token) of every key of sets of sorted tokens.
+
+    ``sizes`` are the key sizes by class. Sets that only equal sets resemble have none.
+    """
+    least = (pct * n + 99) // 100  # tokens that any similar set shares
+    alone = (least == n) & (100 * n // pct == n) & (least_overlap(2 * n, pct) == n)
+    # a pair's keys are bounded by its smaller set, of ``least`` to n tokens, and by what it shares
+    low, high = np.minimum(_most_tokens(n), (pct * least + 99) // 100), np.minimum(_most_tokens(least), least)
+    out = []
+    for most in range(1, 5):
+        use = np.flatnonzero(~alone & (n > 0) & (low <= most) & (high >= most))
+        if not len(use):
+            continue
+        p = prefix_length(n[use], pct)
+        own = np.repeat(use, p)
+        pos = np.arange(len(own)) - np.repeat(np.cumsum(p) - p, p)
+        head = tokens[start[own] + pos]
+        k = np.minimum(sizes[(head >> np.uint64(44)).astype(np.int64)], most)
+        for size in range(1, most + 1):
+            at = np.flatnonzero(k == size)
+            row, first, key = own[at], pos[at], mix64(head[at] + np.uint64(size))
+            last = first
+            for _ in range(size - 1):
+                # every later token of the prefix that is longer by the tokens added
+                more = np.maximum(np.minimum(prefix_length(n[row], pct) + size - 1, n[row]) - last - 1, 0)
+                grown = np.repeat(np.arange(len(row)), more)
+                step = np.arange(len(grown)) - np.repeat(np.cumsum(more) - more, more)
+                row, first, last = row[grown], first[grown], last[grown] + 1 + step
+                with np.errstate(over="ignore"):
+                    key = mix64(key[grown] * np.uint64(3) + tokens[start[row] + last])
+            out.append((row, key, first))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    row, key, first = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort((row.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24)))
+    row, key, first = row[order], key[order], first[order]
+    fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))
+    return row[fresh], key[fresh], first[fresh]
+
+
 def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least: int):
-    """For each slice of a batch: arrays over its lines of at least ``least`` distinct words."""
+    """For each slice of a batch: (tokens, start, n, doc, line) of its lines of at least ``least`` words."""
     raw = encoded(texts)
     for part in batches_of_text(raw, 4 << 20):
         h, line, first = _line_words(raw[part])
@@ -75,110 +213,399 @@ def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least:
             continue
         start = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1])))
         n = np.diff(np.concatenate((start, [len(lines)])))
-        with np.errstate(over="ignore"):
-            mixed = mix64(tokens)
-            key1 = np.add.reduceat(mixed, start).view(np.int64)
-            key2 = np.add.reduceat(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start).view(np.int64)
-            # four words of parity: the first alone goes with postings, all are compared for pairs
-            word, bit = (mixed >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (mixed & np.uint64(63))
-            wide = np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start) for k in range(4)], axis=1)
-            sig = np.bitwise_xor.reduce(wide, axis=1)
         own = lines[start]
         of = np.searchsorted(first, own, side="right") - 1
-        keep = np.flatnonzero(n >= least)
-        doc = np.array(ids[part], np.int64)[of] if len(own) else np.empty(0, np.int64)
-        yield start, n, key1, key2, sig, wide, doc, own - first[of], tokens, keep
+        doc, number = np.array(ids[part], np.int64)[of], own - first[of]
+        enough = n >= least
+        yield tokens, start[enough], n[enough], doc[enough], number[enough]
 
 
-def _describe(docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
-    """(doc_id, line, n, key1, key2, sig, wide, prefix) of each line.
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them all; hashes and negative ones stay as they are."""
+    return x if x.dtype == np.uint64 or x.min(initial=0) < 0 else x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _widened(blobs, counted: list[int], kind) -> np.ndarray:
+    """Joined columns of packed rows of so many values each, as uint64 or int64."""
+    parts = [np.frombuffer(b.as_buffer(), kind if kind == np.uint64 else np.int64 if b.as_buffer().size == 8 * m else f"u{b.as_buffer().size // m}") for b, m in zip(blobs, counted, strict=True) if m]
+    return np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+
+
+def _blobs(bucket: np.ndarray, kind: int, columns: dict[str, np.ndarray], runs: dict[str, tuple] | None = None):
+    """A packed row for each bucket; ``runs`` are (values, how many of them each row has)."""
+    order = np.lexsort((columns["doc"], bucket)) if kind == _ITEMS else np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(np.concatenate(([-1], bucket[order], [-1]))))
+    pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
+    out = {"bucket": pa.array(bucket[order][cuts[:-1]].astype(np.int64)), "kind": pa.array([kind] * len(pairs), pa.int64())}
+    for c, x in columns.items():
+        x = x[order]
+        if kind == _ITEMS and c == "doc":
+            # ids by their steps, which are small
+            x = np.diff(x, prepend=0)
+            x[cuts[:-1]] = columns["doc"][order][cuts[:-1]]
+        out[c] = pa.array([(x[a:b] if kind == _REMOVED else _narrow(x[a:b])).tobytes() for a, b in pairs], pa.binary())
+    for c, (x, sizes) in (runs or {}).items():
+        ends, x = np.concatenate(([0], np.cumsum(sizes[order]))), _runs(x, sizes, order)
+        out[c] = pa.array([_narrow(x[ends[a] : ends[b]]).tobytes() for a, b in pairs], pa.binary())
+    return out, len(pairs)
+
+
+_KINDS = {
+    "key": np.uint64, "key2": np.uint64, "doc": np.int64, "line": np.int64, "n": np.int64, "sig": np.uint64, "wide": np.uint64,
+    "posts": np.int64, "post": np.int64, "post_high": np.int64, "pos": np.int64, "rest": np.int64, "item": np.uint64, "to": np.uint64, "to_doc": np.int64, "differ": np.int64,
+}
+_PER_POST = ("post", "post_high", "pos")
+_LINES_ROW = ("key", "key2", "doc", "line", "n", "sig", "wide", "posts", *_PER_POST)
+_LISTS_ROW = ("rest", "doc", "line", "n", "pos", "sig", "wide")
+_FOUND_ROW = ("item", "to", "doc", "to_doc", "line", "differ", "n", "sig")
+#: Bits of a key that travel; in a bucket the rest of these, modulo 2**32, tells keys apart. Two
+#: keys taken for one only add candidates.
+_KEY_BITS = 48
+
+
+def _schema(names) -> str:
+    return "bucket long, kind long, " + ", ".join(f"{c} binary" for c in names)
+
+
+def _rows(made, names) -> pa.RecordBatch:
+    out, m = made
+    return pa.RecordBatch.from_arrays([out["bucket"], out["kind"], *[out.get(c, pa.nulls(m, pa.binary())) for c in names]], names=["bucket", "kind", *names])
+
+
+def _opened(rows, kind: int, names) -> dict[str, np.ndarray]:
+    rows = rows.filter(pa.compute.equal(rows["kind"], kind))
+    counted = [b.as_buffer().size // 8 for b in rows["sig"]]
+    ragged = {"wide": lambda x: _words(x["n"]) - 1} | {c: (lambda x: x["posts"]) for c in _PER_POST if "posts" in names}
+    out = {c: _widened(rows[c], counted, _KINDS[c]) for c in names if c not in ragged}
+    if len(counted):
+        out["doc"] = np.concatenate([np.cumsum(steps) for steps in np.split(out["doc"], np.cumsum(counted)[:-1])])
+    cuts = np.cumsum(counted)[:-1]
+    for c, sizes in ragged.items():
+        if c in names and len(counted):
+            out[c] = _widened(rows[c], [int(part.sum()) for part in np.split(sizes(out), cuts)], _KINDS[c])
+    return out | {c: np.empty(0, _KINDS[c]) for c in names if c not in out}
+
+
+def _removed(doc: np.ndarray, line: np.ndarray, names, bucket: int) -> pa.RecordBatch:
+    return _rows(_blobs(np.full(len(doc), bucket), _REMOVED, {"doc": doc, "line": line}), names)
 
-    Within a slice of 512 documents only the first line of a set has the last three; those of
-    its later lines are null, so a very common line leaves a row with them for each slice.
-    Equal lines at equal places of rows that share an id are one line.
-    """
-    schema = "doc_id long, line long, n long, key1 long, key2 long, sig binary, wide binary, prefix binary"
+
+def _passed_on(rows: pa.Table, names) -> pa.Table:
+    gone = rows.filter(pa.compute.equal(rows["kind"], _REMOVED))
+    return pa.table({c: gone[c] if c in gone.column_names else pa.nulls(len(gone), pa.binary()) for c in ("bucket", "kind", *names)})
+
+
+def _first_of_each(x: dict[str, np.ndarray]):
+    """(rows of each key's first place, rows at later places)."""
+    order = np.lexsort((x["line"], x["doc"], x["key2"], x["key"]))
+    k1, k2, doc, line = (x[c][order] for c in ("key", "key2", "doc", "line"))
+    new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(order) else np.zeros(0, bool)
+    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
+    later = (doc != doc[head]) | (line != line[head])
+    return order[new], order[later]
+
+
+def _describe(docs: DataFrame, rarity, sizes, buckets: int, pct: int, least: int) -> DataFrame:
+    """Packed lines by bucket of their sets: each task sends a set's first line, and the places of later ones."""
 
     def run(batches):
+        held: list[dict] = []
+        n_held = 0
+        spread = TaskContext.get().partitionId() % buckets
+
+        def settle():
+            x = {c: np.concatenate([h[c] for h in held]) for c in _LINES_ROW}
+            held.clear()
+            first, later = _first_of_each(x)
+            if len(later):
+                yield _removed(x["doc"][later], x["line"][later], _LINES_ROW, spread)
+            runs = {"wide": (_runs(x["wide"], _words(x["n"]) - 1, first), _words(x["n"][first]) - 1)}
+            runs |= {c: (_runs(x[c], x["posts"], first), x["posts"][first]) for c in _PER_POST}
+            x = {c: x[c][first] for c in _LINES_ROW if c not in runs}
+            bucket = (mix64(x["key"]) % np.uint64(buckets)).astype(np.int64)
+            yield _rows(_blobs(bucket, _ITEMS, x, runs), _LINES_ROW)
+
         for batch in (part for whole in batches for part in text_slices(whole)):
-            out = [[] for _ in range(5)]
-            sigs, wides, prefixes = [], [], []
-            for start, n, key1, key2, sig, wide, doc, number, tokens, keep in _grouped(
-                batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least
-            ):
-                p = prefix_length(n, pct)
-                prefixes += [tokens[start[i] : start[i] + p[i]].tobytes() for i in keep]
-                sigs += [x.tobytes() for x in sig[keep]]
-                wides += [x.tobytes() for x in wide[keep]]
-                for o, x in zip(out, (doc, number, n, key1, key2), strict=True):
-                    o.append(x[keep])
-            if not out[0]:
-                continue
-            doc, number, n, key1, key2 = (np.concatenate(o) for o in out)
-            order = np.lexsort((number, doc, key2, key1))
-            repeat = np.zeros(len(order), bool)
-            repeat[order[1:]] = (key1[order[1:]] == key1[order[:-1]]) & (key2[order[1:]] == key2[order[:-1]])
-            same = np.zeros(len(order), bool)
-            same[order[1:]] = repeat[order[1:]] & (doc[order[1:]] == doc[order[:-1]]) & (number[order[1:]] == number[order[:-1]])
-            blobs = [pa.array(x, pa.binary(), mask=repeat) for x in (np.array(sigs, object), np.array(wides, object), np.array(prefixes, object))]
-            found = pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (doc, number, n, key1, key2)], *blobs], names=["doc_id", "line", "n", "key1", "key2", "sig", "wide", "prefix"])
-            yield found.filter(pa.array(~same)) if same.any() else found
-
-    return docs.mapInArrow(run, schema)
+            for tokens, start, n, doc, line in _grouped(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least):
+                if not len(n):
+                    continue
+                # sums and parities over each line's tokens
+                mixed, ends = mix64(tokens), start + n
+                with np.errstate(over="ignore"):
+                    run1 = np.concatenate(([np.uint64(0)], np.cumsum(mixed)))
+                    run2 = np.concatenate(([np.uint64(0)], np.cumsum(mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
+                    key, key2 = run1[ends] - run1[start], run2[ends] - run2[start]
+                sig, wide = _parities(mixed, start, n)
+                row, post, pos = posting_keys(tokens, start, n, sizes, pct)
+                post = (post >> np.uint64(64 - _KEY_BITS)).view(np.int64)
+                held.append(
+                    {
+                        "key": key, "key2": key2, "doc": doc, "line": line, "n": n, "sig": sig, "wide": wide,
+                        "posts": np.bincount(row, minlength=len(n)), "post": post & 0xFFFFFFFF, "post_high": post >> 32, "pos": pos,
+                    }
+                )
+                n_held += len(n)
+                if n_held > _HELD_LINES:
+                    yield from settle()
+                    n_held = 0
+        if held:
+            yield from settle()
+
+    return docs.mapInArrow(run, _schema(_LINES_ROW))
+
+
+def _postings(buckets: int):
+    """For a bucket of lines: the keys of each distinct set's first line, by bucket of the key."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = _opened(rows, _ITEMS, _LINES_ROW)
+        first, later = _first_of_each(x)
+        out = [_passed_on(rows, _LISTS_ROW)]
+        if len(later):
+            out.append(pa.Table.from_batches([_removed(x["doc"][later], x["line"][later], _LISTS_ROW, rows["bucket"][0].as_py())]))
+        low, high, pos = (_runs(x[c], x["posts"], first) for c in _PER_POST)
+        if len(low):
+            own = np.repeat(first, x["posts"][first])
+            rest, bucket = np.divmod((high << 32) | low, buckets)
+            columns = {"rest": rest & 0xFFFFFFFF, "pos": pos, **{c: x[c][own] for c in ("doc", "line", "n", "sig")}}
+            wide = _runs(x["wide"], _words(x["n"]) - 1, own), _words(x["n"][own]) - 1
+            out.append(pa.Table.from_batches([_rows(_blobs(bucket, _ITEMS, columns, {"wide": wide}), _LISTS_ROW)]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _candidates(pct: int):
+    """For a bucket of keys: packed candidate pairs and the members of long lists."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = _opened(rows, _ITEMS, _LISTS_ROW)
+        out, number = [_passed_on(rows, _FOUND_ROW)], rows["bucket"][0].as_py()
+        # by key, then length
+        order = np.argsort((x["rest"] << 30) | np.minimum(x["n"], (1 << 30) - 1))
+        key = x["rest"][order]
+        met = np.zeros(len(key), bool)
+        met[1:] = key[1:] == key[:-1]
+        met[:-1] |= met[1:]
+        order = order[met]  # a key of one set finds nothing
+        wide = _runs(x["wide"], _words(x["n"]) - 1, order)
+        x = {c: v[order] for c, v in x.items() if c != "wide"}
+        full = _full_parities(x["sig"], wide, x["n"])
+        key, n, pos = x["rest"], x["n"].astype(np.int32), x["pos"].astype(np.int32)
+        after = n - pos - 1
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((start, [len(key)])))
+        size_of, last, list_of = np.repeat(size, size), np.repeat(start + size, size), np.repeat(np.arange(len(size)), size)
+        item = _item(x["doc"], x["line"], x["sig"])
+        found: list[tuple[np.ndarray, ...]] = []
+        have = np.zeros(len(key), np.int64)
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            """Keep what passes the filters; i and j are positions in the same list."""
+            total = n[i] + n[j]
+            room = total - 2 * least_overlap(total, pct)  # tokens that are in one of the two
+            ok = total - room <= 2 * (np.minimum(pos[i], pos[j]) + 1 + np.minimum(after[i], after[j]))
+            i, j, room = i[ok], j[ok], room[ok]
+            differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j])
+            ok = (differ <= room) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j]))
+            ok &= (x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j])
+            i, j, differ, room = i[ok], j[ok], differ[ok].astype(np.int64), room[ok]
+            for words, bits in full.items():
+                at = np.flatnonzero(_words(np.minimum(n[i], n[j])) >= words)
+                if len(at):
+                    differ[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
+            ok = differ <= room
+            i, j, differ = i[ok], j[ok], differ[ok]
+            if not len(i):
+                return
+            swap = (x["doc"][i] < x["doc"][j]) | ((x["doc"][i] == x["doc"][j]) & (x["line"][i] < x["line"][j]))
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            ok = have[a] < MOST_CANDIDATES
+            a, b, differ = a[ok], b[ok], differ[ok]
+            np.add.at(have, a, 1)
+            found.append((item[a], item[b], x["doc"][a], x["doc"][b], x["line"][a], differ))
+
+        i, d = np.flatnonzero(size_of <= SHORT_LIST), 1
+        while len(i):
+            i = i[i + d < last[i]]
+            i = i[pct * n[i + d] <= 100 * n[i]]
+            open_pairs = i[(have[i] < MOST_CANDIDATES) | (have[i + d] < MOST_CANDIDATES)]
+            take(open_pairs, open_pairs + d)
+            d += 1
+        at = np.flatnonzero(size_of > SHORT_LIST)
+        if len(at):
+            # a star against the first place of each length in eighths of powers of two
+            grade = np.floor(8 * np.log2(n[at])).astype(np.int64)
+            new = np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (grade[1:] != grade[:-1])))
+            of = np.cumsum(new) - 1
+            order = np.lexsort((x["line"][at], x["doc"][at], of))
+            take(at, at[order[np.flatnonzero(new)]][of])
+        # members that more of the list may resemble than the candidates they have
+        may = (have >= MOST_CANDIDATES) | (size_of > SHORT_LIST)
+        dense = np.bincount(list_of[may], minlength=len(size)) > 0
+        for k in np.flatnonzero(dense).tolist():
+            s, m = start[k], size[k]
+            for p in range(0, m, PART):
+                some = slice(s + p, s + min(p + PART, m))
+                columns = {"item": item[some], "doc": x["doc"][some], "line": x["line"][some], "differ": may[some].astype(np.int64), "n": x["n"][some], "sig": x["sig"][some]}
+                out.append(pa.Table.from_batches([_rows(_blobs(np.full(len(item[some]), number * (1 << 32) + key[s]), _LIST + p // PART, columns), _FOUND_ROW)]))
+        if found:
+            own, to, doc, to_doc, line, differ = (np.concatenate(f) for f in zip(*found, strict=True))
+            order = np.lexsort((to, differ, own))
+            own, to, doc, to_doc, line, differ = (v[order] for v in (own, to, doc, to_doc, line, differ))
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            again = np.concatenate(([False], (own[1:] == own[:-1]) & (to[1:] == to[:-1])))
+            for kind, some in ((_LIKELIEST, new), (_OTHERS, ~new & ~again)):
+                if some.any():
+                    columns = {c: v[some] for c, v in zip(_FOUND_ROW[:-2], (own, to, doc, to_doc, line, differ), strict=True)}
+                    out.append(pa.Table.from_batches([_rows(_blobs(np.zeros(int(some.sum()), np.int64), kind, columns), _FOUND_ROW)]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _found_row(batch, row: int, prefix: str = "") -> dict[str, np.ndarray]:
+    blobs = {c: batch.column(prefix + c)[row] for c in _FOUND_ROW}
+    m = blobs["item" if blobs["item"].is_valid else "doc"].as_buffer().size // 8
+    return {c: _widened([blob], [m], _KINDS[c]) for c, blob in blobs.items() if blob.is_valid}
+
+
+def _unpacked(found: DataFrame, wanted: str, open_items=None) -> DataFrame:
+    """(item, to, doc, line, differ, bucket, kind) of the packed rows for which ``wanted`` holds.
+
+    With ``open_items``, a broadcast flag sketch, only of the items that it has.
+    """
+
+    def run(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 16)):
+            for row in range(batch.num_rows):
+                x = _found_row(batch, row)
+                m = len(x["doc"])
+                keep = np.arange(m) if open_items is None else np.flatnonzero(flagged(open_items.value, x["item"]))
+                columns = [pa.array(x[c][keep].view(np.int64)) if c in x else pa.nulls(len(keep), pa.int64()) for c in _FOUND_ROW]
+                same = [pa.array(np.full(len(keep), batch.column(c)[row].as_py(), np.int64)) for c in ("bucket", "kind")]
+                yield pa.RecordBatch.from_arrays([*columns, *same], names=[*_FOUND_ROW, "bucket", "kind"])
+
+    names = ", ".join(f"{c} long" for c in (*_FOUND_ROW, "bucket", "kind"))
+    return found.where(wanted).mapInArrow(run, names).withColumn("line", F.col("line").cast("int"))
+
+
+def _item(doc: np.ndarray, line: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """A number for a set at a place."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(1)) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix64(sig))
+
+
+def _flags(rows: DataFrame):
+    """Broadcast flags of the items in the columns item and to, and of the documents in doc and to_doc."""
+    names = [c for c in ("item", "to", "doc", "to_doc") if c in rows.columns]
+    return shared(rows.sparkSession, flag_sketch(rows, names, _FLAG_BITS))
+
+
+def _packed_set(tokens: np.ndarray) -> bytes:
+    """Tokens by 40 bits of their hashes."""
+    low = tokens & np.uint64(0xFFFFFFFF)
+    return low.astype(np.uint32).tobytes() + ((tokens >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def _set_tokens(packed) -> np.ndarray:
+    blob = packed.as_buffer()
+    n = blob.size // 5
+    return np.frombuffer(blob, np.uint32, n) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
 def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
-    """(id, set) of the lines whose key passes the flag sketch; once for each slice of a batch."""
+    """(item, set): the packed tokens of the lines whose item passes the flag sketch."""
 
     def run(batches):
-        for batch in (part for whole in batches for part in text_slices(whole)):
-            for start, n, key1, *_, tokens, keep in _grouped(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least):
-                keep = keep[flagged(wanted.value, mix64(key1[keep].view(np.uint64)))]
-                keep = keep[np.unique(key1[keep], return_index=True)[1]]
-                sets = [tokens[start[i] : start[i] + n[i]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key1[keep]), pa.array(sets, pa.binary())], names=["id", "set"])
+        for batch in (part for whole in batches for part in text_slices(whole, 2048)):
+            ids = batch.column("doc_id").to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(flagged(wanted.value, ids))))
+            for part in text_slices(batch):
+                for tokens, start, n, doc, line in _grouped(part.column("text").to_pylist(), part.column("doc_id").to_pylist(), rarity.value, least):
+                    item = _item(doc, line, _parities(mix64(tokens), start, n)[0])
+                    keep = np.flatnonzero(flagged(wanted.value, item))
+                    keep = keep[np.unique(item[keep], return_index=True)[1]]
+                    sets = [_packed_set(tokens[a:b]) for a, b in zip(start[keep].tolist(), (start + n)[keep].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(item[keep].view(np.int64)), pa.array(sets, pa.binary())], names=["item", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    # rows that repeat a document repeat its sets
+    return docs.mapInArrow(run, "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
-    """The candidate pairs (a, b) that pass the exact test."""
-    sc = docs.sparkSession.sparkContext
-    sets = _sets_of(docs, sc.broadcast(flags_of(pairs, "a", "b")), rarity, least).dropDuplicates(["id"])
+def _similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(item, doc, line) of the pairs (item, to, doc, line) that pass the exact test."""
 
     def test(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= pct * (len(x) + len(y) - shared))
+            for x, y in zip(batch.column("set"), batch.column("to_set"), strict=True):
+                both = np.concatenate([_set_tokens(x), _set_tokens(y)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * common >= pct * (len(both) - common))
             out = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([out.column(c) for c in ("item", "doc", "line")], names=["item", "doc", "line"])
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.mapInArrow(test, "a long, b long")
+    to = sets.select(F.col("item").alias("to"), F.col("set").alias("to_set"))
+    both = pairs.join(to, "to").select("item", "doc", "line", "to_set").join(sets, "item")
+    return both.mapInArrow(test, "item long, doc long, line int")
 
 
-def _with_open_lists(lines: DataFrame, sketch, live) -> DataFrame:
-    """The rows that have a prefix token whose list the first round did not finish."""
+def _verified(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
+    wanted = _flags(pairs)
+    out = checkpoint(_similar(pairs, _sets_of(docs, wanted, rarity, least), pct))
+    done(wanted)
+    return out
 
-    def run(batches):
-        for batch in batches:
-            prefix = batch.column("prefix").to_pylist()
-            sizes = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
-            hit = still_open(np.frombuffer(b"".join(prefix), np.uint64), sketch.value, live.value)
-            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-            yield batch.filter(pa.array(np.bincount(row, minlength=len(sizes)) > 0))
 
-    return lines.mapInArrow(run, lines.schema)
+def _pairs_in_lists(lists: DataFrame, open_items, pct: int) -> DataFrame:
+    """(item, to, doc, to_doc, line): of packed lists, the open items with all earlier members that pass the filters.
+
+    Lists of one part are looked at where they are; the open items of others visit all parts.
+    """
+
+    def search(x, y):
+        """The open items of x against the members y."""
+        for i in np.flatnonzero(flagged(open_items.value, x["item"]) & (x["differ"] > 0)).tolist():
+            n, m = int(x["n"][i]), y["n"]
+            room = n + m - 2 * least_overlap(n + m, pct)
+            ok = (np.bitwise_count(y["sig"] ^ x["sig"][i]) <= room) & (100 * np.minimum(n, m) >= pct * np.maximum(n, m))
+            doc, line = x["doc"][i], x["line"][i]
+            at = np.flatnonzero(ok & ((y["doc"] < doc) | ((y["doc"] == doc) & (y["line"] < line))))
+            if len(at):
+                own = [np.full(len(at), v, np.int64) for v in (x["item"][i : i + 1].view(np.int64)[0], doc, line)]
+                columns = [own[0], y["item"][at].view(np.int64), own[1], y["doc"][at], own[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "to", "doc", "to_doc", "line"])
+
+    def within(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 16)):
+            for row in range(batch.num_rows):
+                x = _found_row(batch, row)
+                yield from search(x, x)
+
+    def across(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 16)):
+            for row in range(batch.num_rows):
+                yield from search(_found_row(batch, row, "of_"), _found_row(batch, row))
+
+    def having(batches):
+        """The rows with open items."""
+        for batch in (part for whole in batches for part in text_slices(whole, 16)):
+            rows = (_found_row(batch, row) for row in range(batch.num_rows))
+            yield batch.filter(pa.array([bool((flagged(open_items.value, x["item"]) & (x["differ"] > 0)).any()) for x in rows], pa.bool_()))
+
+    schema = "item long, to long, doc long, to_doc long, line long"
+    several = lists.where(F.col("kind") > _LIST).select("bucket").distinct()
+    dealt = lists.join(several, "bucket").select("bucket", "kind", *_FOUND_ROW)
+    visits = dealt.mapInArrow(having, dealt.schema).select("bucket", F.col("kind").alias("of_kind"), *[F.col(c).alias(f"of_{c}") for c in _FOUND_ROW])
+    visits = visits.join(dealt, "bucket").where("kind != of_kind")
+    return lists.mapInArrow(within, schema).unionByName(visits.mapInArrow(across, schema)).withColumn("line", F.col("line").cast("int"))
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of each document's lines that go, if any."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
@@ -186,74 +613,52 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
             yield word_hashes(encoded(part.column("text").to_pylist()))[0]
 
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
-    rarity = sc.broadcast(rarity_classes(counts))
-    lines = written(_describe(docs, rarity, pct, least))
-    release(spark)
-
-    # Each set's first line, as one number, from the first lines of the slices.
-    leading = lines.where("prefix is not null")
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("line").cast("decimal(14,0)")
-    placed = leading.select("key1", "key2", "doc_id", "line", place.alias("place"))
-    firsts = placed.groupBy("key1", "key2").agg(F.min("place").alias("first"), F.count("*").alias("times"))
-    firsts = checkpoint(firsts)
-    signed = leading.select("key1", "n", "wide").dropDuplicates(["key1"])
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose parities leave room for the overlap: the sets of others need not meet."""
-        side = lambda c: signed.select(F.col("key1").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
-
-        def run(batches):
-            for batch in batches:
-                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("wide_a", "wide_b")]
-                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-                out = batch.filter(pa.array(differ <= total - 2 * least_overlap(total, pct)))
-                yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
-
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
-
-    later = placed.join(firsts.where("times > 1").drop("times"), ["key1", "key2"]).where("place > first").select("doc_id", "line")
-    repeats = lines.where("prefix is null").select("doc_id", "line").unionByName(later)
-
-    # How long a token's list can get: its number of prefixes.
-    def prefix_tokens(batch):
-        yield np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
-
-    sketch = count_sketch(leading.select("prefix"), prefix_tokens, 20)
-    sketch = sc.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    items = leading.select(F.col("key1").alias("item"), "n", "sig", F.col("doc_id").cast("double").alias("ord"), "prefix")
-    first = checkpoint(candidate_pairs(items.withColumn("probe", F.lit(False)), sketch, pct, small=SMALL_LIST, ordered=True))
-    pairs = checkpoint(first.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    release(spark)
-
-    def similar_to_earlier(pairs: DataFrame) -> DataFrame:
-        """(key1, first): the later item of each pair that passes the exact test."""
-        side = lambda c: firsts.select(F.col("key1").alias(c), F.col("first").alias(f"first_{c}"))
-        both = _verify(pairs, docs, rarity, pct, least).join(side("a"), "a").join(side("b"), "b").where("first_a != first_b")
-        later_a = F.col("first_a") > F.col("first_b")
-        out = both.select(F.when(later_a, F.col("a")).otherwise(F.col("b")).alias("key1"), F.greatest("first_a", "first_b").alias("first")).distinct()
-        out = checkpoint(out)
-        release(spark)
-        return out
-
-    # One candidate of each item first, the one that it shares most lists with; the others only
-    # of items that it does not settle, together with those of long lists.
-    tried = pairs.groupBy("a").agg(F.max_by("b", "n").alias("b"))
-    matched = similar_to_earlier(tried)
-    settled = matched.select(F.col("key1").alias("a")).distinct()
-    rest = pairs.select("a", "b").join(settled, "a", "left_anti").join(tried, ["a", "b"], "left_anti")
-    live = sc.broadcast(flags_of(first.where("list is not null"), "list"))
-    open_items = _with_open_lists(items, sketch, live).join(settled.select(F.col("a").alias("item"), F.lit(False).alias("probe")), "item", "left")
-    more = candidate_pairs(open_items.fillna(True, ["probe"]), sketch, pct, live=live, ordered=True).select("a", "b")
-    more = more.join(tried, ["a", "b"], "left_anti")
-    rest = checkpoint(plausible(rest.unionByName(more).distinct()))
-    release(spark)
+    # key sizes need the lines' number roughly: a token in 32 begins one
+    rarity, sizes = shared(spark, rarity_classes(counts)), key_sizes(int(counts.sum()) // 32)
+    buckets = 2 * shuffle_width(spark)
+    posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(_postings(buckets), _schema(_LISTS_ROW))
+    found = checkpoint(posted.groupBy("bucket").applyInArrow(_candidates(pct), _schema(_FOUND_ROW)))
+
+    # Of each item its likeliest candidate first.
+    likely = _unpacked(found, f"kind = {_LIKELIEST}")
+    tried = checkpoint(likely.groupBy("item", "doc", "line").agg(F.min_by("to", "differ").alias("to"), F.min_by("to_doc", "differ").alias("to_doc")))
+    matched = _verified(tried, docs, rarity, pct, least)
+
+    # Then the others of the items that it leaves open.
+    still = _flags(tried.join(matched, "item", "left_anti").select("item"))
+    rest = checkpoint(_unpacked(found, f"kind in ({_LIKELIEST}, {_OTHERS})", still).select("item", "to", "doc", "to_doc", "line").distinct())
+    done(still)
     if not rest.isEmpty():
-        matched = matched.unionByName(similar_to_earlier(rest))
-    unit = F.lit(1 << 40).cast("decimal(14,0)")
-    doc = F.floor(F.col("first") / unit).cast("long")
-    similar = matched.select(doc.alias("doc_id"), F.pmod(F.col("first"), unit).cast("long").alias("line"))
-    return repeats.unionByName(similar).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+        matched = matched.unionByName(_verified(rest, docs, rarity, pct, least))
+
+    # And all others of the lists that hold more for an item than these.
+    lists = found.where(f"kind >= {_LIST}")
+    left = checkpoint(_unpacked(found, f"kind >= {_LIST}").where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
+    if not left.isEmpty():
+        still = _flags(left)
+        more = _pairs_in_lists(lists, still, pct).distinct().join(left, "item", "left_semi")
+        more = checkpoint(more.select("item", "to", "doc", "to_doc", "line"))
+        done(still)
+        matched = matched.unionByName(_verified(more, docs, rarity, pct, least))
+    done(rarity)
+    gone = _unpacked(found, f"kind = {_REMOVED}").select("doc", "line").unionByName(matched.select("doc", "line"))
+    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("removed"))
+
+
+def _masked(gone: DataFrame) -> DataFrame:
+    """Adds ``__mask`` to (__doc, __removed): a byte for each line up to the last removed, 1 if it goes."""
+
+    def run(batches):
+        for batch in batches:
+            masks = []
+            for numbers in batch.column("__removed"):
+                at = numbers.values.to_numpy()
+                mask = np.zeros(int(at.max()) + 1, np.uint8)
+                mask[at] = 1
+                masks.append(mask.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(masks, pa.binary())], names=[*batch.schema.names, "__mask"])
+
+    return gone.mapInArrow(run, "__doc long, __removed array<bigint>, __mask binary")
 
 
 def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
@@ -265,9 +670,10 @@ def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> Data
     ``removed_lines`` is an array of line numbers from 0, empty if none goes.
     """
     gone = repeated_lines(docs.select("doc_id", "text"), pct, least).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left")
+    joined = docs.join(_masked(gone).hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left")
     removed = F.coalesce("__removed", F.array().cast("array<bigint>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__removed", i.cast("long")))
+    # the mask has a byte for each line, so that a look at one takes no search
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"\1"))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     return joined.select(*others, removed.alias("removed_lines"))

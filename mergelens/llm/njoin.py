@@ -22,9 +22,7 @@ from .common import (
     encoded,
     flag_sketch,
     flagged,
-    id_hashes,
     mix64,
-    release,
     shingle_sets,
     sketch_bits,
     text_slices,
@@ -96,7 +94,7 @@ def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
 
 def flags_of(df: DataFrame, *columns: str, bits: int = _FLAG_BITS) -> np.ndarray:
     """Which residues the mixed values of the columns have: a filter of fixed size."""
-    return flag_sketch(df, id_hashes(*columns), bits)
+    return flag_sketch(df, list(columns), bits)
 
 
 def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
@@ -105,7 +103,7 @@ def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.flatnonzero(flagged(wanted.value, mix64(ids.view(np.uint64))))
+            at = np.flatnonzero(flagged(wanted.value, ids))
             texts = batch.column("text").take(pa.array(at))
             for some in range(0, len(at), 256):
                 sets = [s.tobytes() for s in _sets(texts.slice(some, 256).to_pylist(), k)]
@@ -179,10 +177,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     # earliest, is verified before the others: most of a group of copies then hangs together.
     first = checkpoint(candidate_pairs(items(reps, F.lit(False), "sig"), counts, pct))
     pairs = checkpoint(first.where("b is not null").select("a", "b").distinct())
-    release(spark)
     tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
     links = checkpoint(_verify(tried, known, reps, k, pct))
-    release(spark)
     part = connected_components(links)
 
     # Second round: the pairs not yet verified, of long lists too, whose components differ.

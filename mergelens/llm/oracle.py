@@ -46,7 +46,7 @@ LINES = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(len(ls))) AS line, ls FROM d WHERE text IS NOT NULL),
 t AS (SELECT doc_id, line, list_sort(list_distinct({_words("ls[line + 1]")})) AS s FROM u),
-lines AS (SELECT * FROM t WHERE len(s) >= 5),
+lines AS (SELECT * FROM t WHERE len(s) > 0),
 items AS (SELECT s, len(s) AS n, MIN({{'d': doc_id, 'l': line}}) AS born FROM lines GROUP BY s),
 tok AS (SELECT s, n, born, unnest(s) AS w FROM items),
 df AS (SELECT w, COUNT(*) AS f FROM tok GROUP BY 1),

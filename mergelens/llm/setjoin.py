@@ -62,7 +62,7 @@ def list_parts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def still_open(h: np.ndarray, counts: np.ndarray, live: np.ndarray) -> np.ndarray:
     """Tokens whose lists the first round did not finish: long ones, and those in parts."""
-    return flagged(live, mix64(h)) | (list_parts(h, counts) > 1)
+    return flagged(live, h) | (list_parts(h, counts) > 1)
 
 
 def _postings(columns: list[str], counts, live, buckets: int):

@@ -24,12 +24,22 @@ def test_long_texts_are_cut_at_white_space():
 
 def test_sketches(spark):
     df = spark.range(1000).selectExpr("id % 10 as id").repartition(5)
-    counts = common.count_sketch(df, common.id_hashes("id"), 17)
+    counts = common.count_sketch(df, lambda batch: [common.mix64(batch.column("id").to_numpy().view(np.uint64))], 17)
     assert counts.sum() == 1000
     h = common.mix64(np.arange(10, dtype=np.uint64))
     assert (counts[(h & np.uint64(2**17 - 1)).astype(int)] >= 100).all()
-    flags = common.flag_sketch(df, common.id_hashes("id"), 17)
-    assert common.flagged(flags, h).all() and common.flagged(flags, common.mix64(np.arange(10, 1000, dtype=np.uint64))).sum() < 5
+
+
+def test_flags(spark):
+    rng = np.random.default_rng(2)
+    held, other = rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(-(2**63), 2**63 - 1, 5000)
+    rows = spark.createDataFrame([(int(x), None, -i) for i, x in enumerate(held)], "a long, b long, c long").repartition(5)
+    for bits in (17, 23):
+        flags = common.flag_sketch(rows, ["a", "b", "c"], bits)
+        assert len(flags) == 2**bits // 8
+        assert common.flagged(flags, held).all() and common.flagged(flags, -np.arange(500)).all()
+        assert common.flagged(flags, other).mean() < 0.02
+    assert not common.flag_sketch(rows.where("false"), ["a"], 17).any()
 
 
 def test_components(spark):

@@ -29,7 +29,7 @@ def brute_components(rows):
     return sorted((i, len(s), find(i)) for i, ss in sets.items() for s in ss)
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows, least=1):
     found = sorted((i, k, frozenset(line.encode().lower().split())) for i, t in rows if i is not None for k, line in enumerate((t or "").split("\n")))
     seen, out = [], defaultdict(list)
     for i, k, s in found:
@@ -57,7 +57,34 @@ def test_second_round_and_parts(docs_of, near_copies, monkeypatch):
     """Lists count as hot from 10 postings on, so that they are dealt into parts."""
     monkeypatch.setattr(setjoin, "HOT", 10)
     test_components(docs_of, near_copies)
+
+
+def test_long_lists_of_lines(docs_of, near_copies, monkeypatch):
+    """Keys of several tokens, stars, and lists searched in parts."""
+    monkeypatch.setattr(lines, "EXPECTED", 1)
+    monkeypatch.setattr(lines, "SHORT_LIST", 6)
+    monkeypatch.setattr(lines, "MOST_CANDIDATES", 2)
+    monkeypatch.setattr(lines, "PART", 5)
     test_lines(docs_of, near_copies)
+    words = "a b c d e f g h i j k l".split()
+    chain = [" ".join(words[i:] + [f"x{j}" for j in range(i)]) for i in range(11)]
+    rows = [(i, line) for i, line in enumerate(chain * 2 + [" ".join(words[:k]) for k in range(12)])]
+    test_lines(docs_of, rows)
+
+
+@given(st.sets(st.integers(0, 80), min_size=1), st.sets(st.integers(0, 80), max_size=5), st.sets(st.integers(0, 90), max_size=5), st.integers(0, 60), st.sampled_from([50, 80, 95]))
+def test_similar_lines_share_a_key(x, drop, add, frequent, pct):
+    """Whatever tokens count as frequent, in the order of rarity."""
+    y = (x - drop) | add
+    if x == y or 100 * len(x & y) < pct * len(x | y):
+        return
+    sizes = np.ones(256, np.int64)
+    sizes[np.arange(256) > frequent] = 2
+    sizes[np.arange(256) > frequent + 4] = 3
+    sizes[np.arange(256) > frequent + 6] = 4
+    sets = [np.array(sorted((t << 44) | t for t in s), np.uint64) for s in (x, y)]
+    keys = [set(lines.posting_keys(s, np.zeros(1, np.int64), np.array([len(s)]), sizes, pct)[1].tolist()) for s in sets]
+    assert keys[0] & keys[1]
 
 
 def test_keep_one(docs_of, near_copies):
@@ -76,9 +103,11 @@ def test_dedup_lines(docs_of):
     same = "one two three four five"
     rows = [(2, f"{same}\nshort\nrest of it\n"), (1, f"{same}\nshort\n"), (3, None), (4, ""), (None, same), (5, f"{same} six\nshort")]
     out = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(rows)).collect()}
-    assert out[1]["text"] == f"{same}\nshort\n" and out[2]["text"] == "short\nrest of it\n" and out[2]["removed_lines"] == [0]
+    assert out[1]["text"] == f"{same}\nshort\n" and out[2]["text"] == "rest of it\n" and out[2]["removed_lines"] == [0, 1]
     assert out[3]["text"] is None and out[4]["text"] == "" and out[None]["text"] == same
-    assert out[5]["text"] == "short" and out[5]["removed"] == "x"
+    assert out[5]["text"] == "" and out[5]["removed_lines"] == [0, 1] and out[5]["removed"] == "x"
+    longer = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(rows), least=5).collect()}
+    assert longer[2]["text"] == "short\nrest of it\n" and longer[5]["text"] == "short"
 
 
 def test_repeated_rows_keep_their_lines(spark):
