@@ -147,14 +147,15 @@ def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(h), starts, ends
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """64-bit hashes of the ASCII-lower-cased words of all texts, in order.
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """64-bit hashes of the words of all texts, ASCII-lower-cased if ``lower``, in order.
 
     Returns (hashes, first word of each text plus an end mark, word starts, word ends, buffer);
     starts and ends are byte positions in the buffer. Work is done in blocks of about 256 KB cut
     at white space, so memory stays a small multiple of the input.
     """
-    buf = b"\n".join(texts).lower()
+    buf = b"\n".join(texts)
+    buf = buf.lower() if lower else buf
     hashes, starts, ends = [], [], []
     at = 0
     while at < len(buf):

@@ -22,18 +22,23 @@ def reference_ids(text):
     return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
+def ids_of(coder, texts):
+    flat, cuts = coder.ids([t.encode() for t in texts])
+    return [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def test_ids_equal_the_tokenizer(monkeypatch):
     coder = packing.WordTokenizer(PATH)
-    for text in ODD:
-        got = np.frombuffer(next(coder.ids([text.encode()])), "<u4").tolist()
-        assert got == reference_ids(text)[:-1], text
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    want = [reference_ids(t)[:-1] for t in ODD]
+    assert [ids_of(coder, [t])[0] for t in ODD] == want
+    assert ids_of(coder, ODD) == want and ids_of(packing.WordTokenizer(PATH), ODD[::-1]) == want[::-1]
+    assert ids_of(coder, []) == []
+    monkeypatch.setattr(packing, "CACHE_WORDS", 25)
     small, rnd = packing.WordTokenizer(PATH), random.Random(1)
-    words = [f"{rnd.choice(['the', 'Haus', 'œuf', '#', 'x1'])}{i % 40}" for i in range(300)]
-    for at in range(0, 300, 30):
-        text = " ".join(words[at : at + 30])
-        small.warm([text.encode()])
-        assert np.frombuffer(next(small.ids([text.encode()])), "<u4").tolist() == reference_ids(text)[:-1]
+    words = [f"{rnd.choice(['the', 'Haus', 'œuf', '#', 'x1', 'THE', '<|endoftext|>', '½'])}{rnd.choice(['', '.', i % 40])}" for i in range(300)]
+    for at in range(0, 300, 10):
+        text = " ".join(words[at : at + 10])
+        assert ids_of(small, [text, "", text.upper()]) == [reference_ids(text)[:-1], [], reference_ids(text.upper())[:-1]]
 
 
 def first_fit(sizes, capacity):
