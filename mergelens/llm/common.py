@@ -356,23 +356,51 @@ def sketch_bits(rows: int, least: int = 16, most: int = 22) -> int:
 # --- connected components -----------------------------------------------------------------
 
 
+#: Edges that one task joins: 16 MB of them.
+LOCAL_EDGES = 1 << 20
+
+
+def _union_find(batches):
+    """(u, v) for each node of a partition's edges but the smallest of its component there, v."""
+    import pyarrow as pa
+
+    ends = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()], axis=1) for b in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(nodes))
+    while True:
+        # hook the larger root to the smaller of every edge, then shorten all paths
+        a, b = root[at[:, 0]], root[at[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every id in ``edges``; component is the smallest id reachable.
+    """(id, component) for every id in ``edges`` that differ; component is the smallest id reachable.
 
-    Alternates large-star and small-star until no edge changes, each round checkpointed. Every
-    step is a grouped minimum and an equi-join against a table with one row an id, so hubs are
-    pre-aggregated and skewed joins can be split.
+    Each partition joins its own edges by union-find, at most LOCAL_EDGES in a task; where those
+    of all fit in one task, that is the result. Else rounds of large-star and small-star follow
+    until no edge changes, each checkpointed: every step is a grouped minimum and an equi-join
+    against a table with one row an id, so hubs are pre-aggregated and skewed joins can be split.
     """
-    cur = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col("u") != F.col("v"))
-        .distinct()
-    )
-    cur = checkpoint(cur)
+    cur = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where(F.col("u") != F.col("v"))
+    cur = checkpoint(cur.distinct())
+    n = cur.count()
+    if n:
+        cur = checkpoint(cur.repartition(max(1, -(-n // max(1, LOCAL_EDGES)))).mapInArrow(_union_find, "u long, v long"))
+    if n <= LOCAL_EDGES:
+        return _labelled(cur)
     state = cur.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-    while state["n"]:
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("m"))
         large = (
             both.where(F.col("v") > F.col("u"))
             .join(low, "u")
@@ -394,8 +422,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == state:
             break
         state = now
-    roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    return _labelled(cur)
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")

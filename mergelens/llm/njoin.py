@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have a Jaccard of 0.8 or more.
 
-Documents with equal sets form a class with one representative. Representatives are joined by
+Documents with equal sets are one item, named by a hash of the set. Items are joined by
 rare-first prefixes (rarity measured by a counting sketch over all documents) under length,
 positional and suffix filters, and each candidate pair is verified once on the whole sets.
 Links are joined to components in two rounds: long lists first contribute a star, and then
@@ -19,10 +19,12 @@ from .common import (
     checkpoint,
     connected_components,
     count_sketch,
+    done,
     encoded,
     flag_sketch,
     flagged,
     mix64,
+    shared,
     shingle_sets,
     sketch_bits,
     text_slices,
@@ -65,31 +67,36 @@ def within_suffix_filter(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes, pct: in
     return differ <= n_a + n_b - 2 * int(least_overlap(n_a + n_b, pct))
 
 
+def _item(s: np.ndarray) -> int:
+    """A 64-bit hash of a set, as a signed number."""
+    with np.errstate(over="ignore"):
+        low, high = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+        return int(mix64(np.array([low * np.uint64(3) + high + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
-    """(doc_id, n, key1, key2, sig, big, prefix) of each document."""
+    """(doc_id, n, item, sig, wide, big, prefix) of each document; without words item is null."""
     mask = np.uint64(len(counts.value) - 1)
-    schema = "doc_id long, n long, key1 long, key2 long, sig binary, wide binary, big binary, prefix binary"
+    names = ["doc_id", "n", "item", "sig", "wide", "big", "prefix"]
 
     def run(batches):
         for batch in (part for whole in batches for part in text_slices(whole)):
-            n, key1, key2, sig, wide, big, prefix = [], [], [], [], [], [], []
+            n, item, sig, wide, big, prefix = [], [], [], [], [], []
             for s in _sets(batch.column("text").to_pylist(), k):
                 m = len(s)
                 n.append(m)
-                with np.errstate(over="ignore"):
-                    key1.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
-                    key2.append(int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
+                item.append(_item(s) if m else None)
                 sig.append(parity(s, _FIRST_BITS).tobytes())
                 wide.append(parity(s, _SECOND_BITS).tobytes())
                 big.append(_suffix_parity(s))
                 p = prefix_length(m, pct) if m else 0
                 rare = np.lexsort((s, counts.value[(s & mask).astype(np.int64)]))[:p]
                 prefix.append(s[rare].tobytes())
-            ints = [pa.array(x, pa.int64()) for x in (n, key1, key2)]
+            ints = [pa.array(x, pa.int64()) for x in (n, item)]
             blobs = [pa.array(x, pa.binary()) for x in (sig, wide, big, prefix)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *blobs], names=["doc_id", "n", "key1", "key2", "sig", "wide", "big", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *blobs], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n long, item long, sig binary, wide binary, big binary, prefix binary")
 
 
 def flags_of(df: DataFrame, *columns: str, bits: int = _FLAG_BITS) -> np.ndarray:
@@ -98,34 +105,35 @@ def flags_of(df: DataFrame, *columns: str, bits: int = _FLAG_BITS) -> np.ndarray
 
 
 def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
-    """(id, set) of the documents whose id passes the flag sketch."""
+    """(item, set) of the documents whose id, and the sets whose item, pass the flag sketch."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.flatnonzero(flagged(wanted.value, ids))
+            at = np.flatnonzero(flagged(wanted.value, batch.column("doc_id").to_numpy()))
             texts = batch.column("text").take(pa.array(at))
             for some in range(0, len(at), 256):
-                sets = [s.tobytes() for s in _sets(texts.slice(some, 256).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at[some : some + 256]]), pa.array(sets, pa.binary())], names=["id", "set"])
+                sets = [s for s in _sets(texts.slice(some, 256).to_pylist(), k) if len(s)]
+                items = np.array([_item(s) for s in sets], np.int64)
+                own = np.flatnonzero(flagged(wanted.value, items)) if len(items) else []
+                yield pa.RecordBatch.from_arrays([pa.array(items[own]), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["item", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, pct: int) -> DataFrame:
-    """The candidate pairs (a, b) that pass the suffix filter and then the exact test."""
-    side = lambda c: described.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("big").alias(f"big_{c}"))
+def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: int) -> DataFrame:
+    """The candidate pairs (a, b) of items that pass the suffix filter and then the exact test."""
+    side = lambda c: items.select(*[F.col(x).alias(f"{x}_{c}" if x != "item" else c) for x in ("item", "n", "big", "rep")])
 
     def suffix(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("n_a", "big_a", "n_b", "big_b")]
             ok = [within_suffix_filter(*x, pct) for x in zip(*cols, strict=True)]
             out = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([out.column(c) for c in ("a", "b", "rep_a", "rep_b")], names=["a", "b", "rep_a", "rep_b"])
 
-    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long").distinct())
-    sc = docs.sparkSession.sparkContext
-    sets = _sets_of(docs, sc.broadcast(flags_of(left, "a", "b")), k).dropDuplicates(["id"])
+    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long, rep_a long, rep_b long"))
+    wanted = shared(docs.sparkSession, flags_of(left, "a", "b", "rep_a", "rep_b"))
+    sets = _sets_of(docs, wanted, k)
 
     def test(batches):
         for batch in batches:
@@ -134,14 +142,16 @@ def _verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, pct
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= pct * (len(both) - shared))
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * common >= pct * (len(both) - common))
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
-    with_a = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.mapInArrow(test, "a long, b long")
+    with_a = left.select("a", "b").join(sets.select(F.col("item").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = with_a.join(sets.select(F.col("item").alias("b"), F.col("set").alias("set_b")), "b")
+    out = checkpoint(with_b.mapInArrow(test, "a long, b long"))
+    done(wanted)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
@@ -154,7 +164,6 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
     compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
@@ -162,53 +171,56 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
             yield from _sets(part.column("text").to_pylist(), k)
 
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
-    counts = sc.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    counts = shared(spark, np.minimum(counts, 2**31 - 1).astype(np.int32))
     described = checkpoint(_describe(docs, counts, k, pct))
-    usable = described.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"))
-    member = checkpoint(usable.select("doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"]).select("doc_id", "rep"))
-    reps = usable.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    usable = described.where("doc_id is not null and item is not null")
+    kept = [F.first(c).alias(c) for c in ("n", "sig", "wide", "big", "prefix")]
+    items = checkpoint(usable.groupBy("item").agg(F.min("doc_id").alias("rep"), *kept))
     known = docs.where("doc_id is not null")
 
-    def items(frame, probe, sig):
-        return frame.select(F.col("doc_id").alias("item"), "n", F.col(sig).alias("sig"), "prefix", probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
+    def postings(frame, probe, sig):
+        return frame.select("item", "n", F.col(sig).alias("sig"), "prefix", F.col("rep").alias("place"), probe.alias("probe"), *(["label"] if "label" in frame.columns else []))
 
     # First round: all pairs of short lists, stars of long ones. One candidate of each item, its
     # earliest, is verified before the others: most of a group of copies then hangs together.
-    first = checkpoint(candidate_pairs(items(reps, F.lit(False), "sig"), counts, pct))
-    pairs = checkpoint(first.where("b is not null").select("a", "b").distinct())
-    tried = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    links = checkpoint(_verify(tried, known, reps, k, pct))
-    part = connected_components(links)
+    first = checkpoint(candidate_pairs(postings(items, F.lit(False), "sig"), counts, pct))
+    pairs = checkpoint(first.where("b is not null").groupBy("a", "b").agg(F.min("place").alias("place")))
+    tried = pairs.groupBy("a").agg(F.min_by("b", "place").alias("b"))
+    links = _verify(tried, known, items, k, pct)
+    part = checkpoint(connected_components(links))
 
     # Second round: the pairs not yet verified, of long lists too, whose components differ.
-    label = part.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    label = part.select(F.col("id").alias("item"), F.col("component").alias("label"))
     largest = part.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).collect()
     # of two different components one is not the largest, so its items probe
     probe = F.col("label") != F.lit(largest[0]["component"]) if largest else F.lit(True)
-    marked = reps.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    live = sc.broadcast(flags_of(first.where("list is not null"), "list"))
-    more = candidate_pairs(items(marked, probe, "wide"), counts, pct, live=live, labelled=True).select("a", "b")
+    marked = items.join(label, "item", "left").withColumn("label", F.coalesce("label", "item"))
+    live = shared(spark, flags_of(first.where("list is not null"), "list"))
+    more = candidate_pairs(postings(marked, probe, "wide"), counts, pct, live=live, labelled=True).select("a", "b")
     apart = (
-        pairs.join(label.withColumnRenamed("doc_id", "a").withColumnRenamed("label", "la"), "a", "left")
-        .join(label.withColumnRenamed("doc_id", "b").withColumnRenamed("label", "lb"), "b", "left")
+        pairs.join(label.withColumnRenamed("item", "a").withColumnRenamed("label", "la"), "a", "left")
+        .join(label.withColumnRenamed("item", "b").withColumnRenamed("label", "lb"), "b", "left")
         .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
         .select("a", "b")
     )
-    more = checkpoint(more.unionByName(apart).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(checkpoint(_verify(more, known, reps, k, pct)))
+    more = checkpoint(more.unionByName(apart).distinct())
+    done(live, counts)
+    # the texts of a repeated id are linked as well
+    own = usable.select("doc_id", "item").distinct()
+    low = own.groupBy("doc_id").agg(F.min("item").alias("low"), F.count("*").alias("times")).where("times > 1")
+    same = own.join(low, "doc_id").select(F.col("item").alias("a"), F.col("low").alias("b"))
+    links = links.unionByName(same)
+    if not more.isEmpty():
+        links = links.unionByName(_verify(more, known, items, k, pct))
     part = connected_components(links)
-    component = member.join(part.withColumnRenamed("id", "rep"), "rep", "left")
-    # a repeated id can be in several classes: join these as well
-    several = component.select("doc_id", F.coalesce("component", "rep").alias("c")).distinct()
-    final = several.groupBy("doc_id").agg(F.min("c").alias("c"), F.count("*").alias("times"))
-    twice = several.join(final.where("times > 1").select("doc_id"), "doc_id")
-    if not twice.isEmpty():
-        meet = connected_components(twice.select(F.col("doc_id").alias("a"), F.col("c").alias("b")).unionByName(final.where("times > 1").select(F.col("doc_id").alias("a"), F.col("c").alias("b"))).unionByName(links))
-        final = several.join(meet.withColumnRenamed("id", "c"), "c", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "c")).alias("c"))
+    # a component is named by its least document
+    named = items.select("item", "rep").join(part.withColumnRenamed("id", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
+    least = named.groupBy("component").agg(F.min("rep").alias("c"))
+    of_item = named.join(least, "component").select("item", "c")
+    of_doc = own.join(of_item, "item").groupBy("doc_id").agg(F.min("c").alias("c"))
     return (
         described.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(final.select("doc_id", "c"), "doc_id", "left")
+        .join(of_doc, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     )
 

@@ -27,7 +27,7 @@ from .common import flagged, mix64, shuffle_width
 HOT = 200_000
 _CLASS_STEP = 1.25
 
-PAIRS = "a long, b long, n long, list long"
+PAIRS = "a long, b long, place long, list long"
 
 
 def prefix_length(n, pct: int):
@@ -46,13 +46,14 @@ def parity(tokens: np.ndarray, bits: int = 64) -> np.ndarray:
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
-    """Small non-negative integers in as few bytes as hold them all."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    """Non-negative integers in as few bytes as hold them all, others as they are."""
+    return x if x.min(initial=0) < 0 else x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _widen(blobs: list[bytes], sizes: list[int]) -> np.ndarray:
-    parts = [np.frombuffer(b, f"u{len(b) // n}").astype(np.int32) for b, n in zip(blobs, sizes, strict=True) if n]
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+def _widen(blobs: list[bytes], sizes: list[int], kind=np.int32) -> np.ndarray:
+    """Eight bytes are signed numbers."""
+    parts = [np.frombuffer(b, "i8" if len(b) == 8 * n else f"u{len(b) // n}").astype(kind) for b, n in zip(blobs, sizes, strict=True) if n]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def list_parts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def still_open(h: np.ndarray, counts: np.ndarray, live: np.ndarray) -> np.ndarra
 
 def _postings(columns: list[str], counts, live, buckets: int):
     """Of record batches (item, n, prefix, ..., probe): packed postings by bucket."""
-    kinds = {"n": np.int32, "ord": np.float32}
+    kinds = {"n": np.int32}
 
     def run(batches):
         for batch in batches:
@@ -100,7 +101,7 @@ def _postings(columns: list[str], counts, live, buckets: int):
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             key, row, pos, role = key[order], row[order], pos[order], role[order]
-            packed = [key, _narrow(pos), role, *[_narrow(cols[c])[row] if c == "n" else cols[c][row] for c in columns]]
+            packed = [key, _narrow(pos), role, *[_narrow(cols[c])[row] if c in ("n", "place") else cols[c][row] for c in columns]]
             some = np.flatnonzero(np.diff(cuts))
             if not len(some):
                 continue
@@ -111,59 +112,46 @@ def _postings(columns: list[str], counts, live, buckets: int):
 
 
 def candidate_pairs(
-    items: DataFrame, counts, pct: int = 80, small: int = 6, live=None, ordered: bool = False, labelled: bool = False
+    items: DataFrame, counts, pct: int = 80, small: int = 6, live=None, labelled: bool = False
 ) -> DataFrame:
-    """(a, b, n, list): candidate pairs with b earlier than a and in how many lists of a bucket
-    they met; with null b, the long lists.
+    """(a, b, place, list): candidate pairs with b earlier than a, and b's place; with null b, the long lists.
 
-    ``items`` has (item, n, prefix, sig, probe[, ord][, label]) without nulls. ``a`` comes later
-    than ``b`` in the order of (ord, item), of item if not ``ordered``; ord is a float32 whose
-    ties give the pair both ways, and an item may occur with several, of which the smallest holds. The ``sig`` is their packed parity, of as many bits for
+    ``items`` has (item, n, prefix, sig, place, probe[, label]) without nulls, each item once.
+    Earlier is the smaller (place, item). The ``sig`` is the packed parity, of as many bits for
     all. ``counts`` is the broadcast counting sketch of the tokens. With ``live`` (a broadcast
-    flag sketch of lists) it is
-    the second round: only pairs of a probe, with different labels if ``labelled`` and, if
-    ``ordered``, only with items that may be earlier than the probe.
+    flag sketch of lists) it is the second round: only pairs of a probe, with different labels
+    if ``labelled``.
     """
     spark = items.sparkSession
     buckets = 4 * shuffle_width(spark)
-    columns = ["item", "n", "sig", *(["ord"] if ordered else []), *(["label"] if labelled else [])]
+    columns = ["item", "n", "sig", "place", *(["label"] if labelled else [])]
     blobs = items.select(*columns, "prefix", "probe").mapInArrow(
         _postings(columns, counts, live, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in ("key", "pos", "role", *columns))
     )
     second = live is not None
 
     def join(table: pa.Table) -> pa.Table:
-        kinds = {"key": np.uint64, "role": np.int8, "ord": np.float32, "sig": np.uint64}
+        kinds = {"key": np.uint64, "role": np.int8, "sig": np.uint64}
 
         counted = [len(r) for r in table["role"].to_pylist()]
 
         def column(c):
             blobs = table[c].to_pylist()
-            return _widen(blobs, counted) if c in ("pos", "n") else np.frombuffer(b"".join(blobs), kinds.get(c, np.int64))
+            return _widen(blobs, counted, np.int64 if c == "place" else np.int32) if c in ("pos", "n", "place") else np.frombuffer(b"".join(blobs), kinds.get(c, np.int64))
 
         x = {c: column(c) for c in ("key", "pos", "role", *columns)}
         x["sig"] = x["sig"].reshape(len(x["key"]), -1)
-        if ordered:
-            # an item once in a list, by its smallest ord
-            place = np.lexsort((x["ord"], x["item"], x["key"]))
-            k, it = x["key"][place], x["item"][place]
-            place = place[np.concatenate(([True], (k[1:] != k[:-1]) | (it[1:] != it[:-1])))]
-            x = {c: v[place] for c, v in x.items()}
-        # an item's rank in the order of items; equal items share it
-        by = (x["item"], x["ord"]) if ordered else (x["item"],)
-        place = np.lexsort(by)
-        new = np.zeros(len(place), bool)
-        for c in by:
-            new[1:] |= c[place][1:] != c[place][:-1]
-        x["rank"] = np.empty(len(place), np.int64)
-        x["rank"][place] = np.cumsum(new)
+        # an item's rank by (place, item); one in several lists has one
+        order = np.lexsort((x["item"], x["place"]))
+        x["rank"] = np.empty(len(order), np.int64)
+        x["rank"][order] = np.cumsum(np.concatenate(([True], x["item"][order[1:]] != x["item"][order[:-1]])))[: len(order)]
         order = np.lexsort((x["rank"], x["n"], x["key"]))
         x = {c: v[order] for c, v in x.items()}
         key, n, rank = x["key"], x["n"].astype(np.int64), x["rank"]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.concatenate((start, [len(key)])))
         size_of, last = np.repeat(size, size), np.repeat(start + size, size)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
             """Keep what passes the filters; i and j are positions in the same list."""
@@ -180,17 +168,10 @@ def candidate_pairs(
                     ok &= x["label"][i] != x["label"][j]
                 ri, rj = x["role"][i], x["role"][j]
                 ok &= (ri < 2) | (rj < 2)
-                if ordered:
-                    oi, oj = x["ord"][i], x["ord"][j]
-                    ok &= ((oi >= oj) & (ri > 0)) | ((oj >= oi) & (rj > 0))
-                else:
-                    ok &= (ri > 0) | (rj > 0)
+                ok &= (ri > 0) | (rj > 0)
             i, j = i[ok], j[ok]
             a, b = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
-            found.append((x["item"][a], x["item"][b]))
-            if ordered and len(a):
-                tie = x["ord"][a] == x["ord"][b]
-                found.append((x["item"][b[tie]], x["item"][a[tie]]))
+            found.append((x["item"][a], x["item"][b], x["place"][b]))
 
         def by_offset(i: np.ndarray) -> None:
             """Each position with those after it while the list and the length filter last."""
@@ -229,20 +210,19 @@ def candidate_pairs(
                 take(at, np.repeat(first, width))
         a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
         b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        times = np.empty(0, np.int64)
+        place = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)
         if len(a):
             order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            times = np.diff(np.concatenate((cut, [len(a)])))
-            a, b = a[cut], b[cut]
+            a, b, place = a[order], b[order], place[order]
+            cut = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            a, b, place = a[cut], b[cut], place[cut]
         lists = np.empty(0, np.int64) if second else key[start[size > small]].view(np.int64)
         none = lambda m: pa.nulls(m, pa.int64())
         return pa.table(
             {
                 "a": pa.concat_arrays([pa.array(a), none(len(lists))]),
                 "b": pa.concat_arrays([pa.array(b), none(len(lists))]),
-                "n": pa.concat_arrays([pa.array(times), none(len(lists))]),
+                "place": pa.concat_arrays([pa.array(place), none(len(lists))]),
                 "list": pa.concat_arrays([none(len(a)), pa.array(lists)]),
             }
         )

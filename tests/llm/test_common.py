@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from mergelens.llm import common
 
@@ -42,7 +43,9 @@ def test_flags(spark):
     assert not common.flag_sketch(rows.where("false"), ["a"], 17).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [common.LOCAL_EDGES, 0, 7])
+def test_components(spark, local, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     edges = [(1, 2), (2, 3), (10, 11), (12, 11), (20, 20), (3, 2), (30, 31), *[(100, i) for i in range(101, 140)]]
     got = {r["id"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[3] == 1 and got[12] == 10 and got[31] == 30 and got[139] == 100 and 20 not in got

@@ -53,6 +53,19 @@ def test_components_with_repeated_and_null_ids(docs_of):
     assert got == brute_components(rows)
 
 
+def test_near_links_of_a_repeated_id(docs_of):
+    """A document of several texts has the links of each, near ones too, in whatever order the rows come."""
+    rnd = __import__("random").Random(5)
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, near(a)), (5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (5, None), (8, "z")]
+    for _ in range(3):
+        rnd.shuffle(rows)
+        got = sorted(map(tuple, njoin.jaccard_components(docs_of(rows)).collect()))
+        assert got == brute_components(rows)
+        assert {r[2] for r in got if r[0] != 8} == {1}
+
+
 def test_second_round_and_parts(docs_of, near_copies, monkeypatch):
     """Lists count as hot from 10 postings on, so that they are dealt into parts."""
     monkeypatch.setattr(setjoin, "HOT", 10)
