@@ -562,8 +562,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -
 def _pairs_in_lists(lists: DataFrame, open_items, pct: int) -> DataFrame:
     """(item, to, doc, to_doc, line): of packed lists, the open items with all earlier members that pass the filters.
 
-    Lists of one part are looked at where they are; the open items of others visit all parts.
+    Lists of one part are looked at where they are; the open items of others visit all parts. A
+    pair meets in several lists, so pairs travel packed and each is given once.
     """
+    buckets = 2 * shuffle_width(lists.sparkSession)
 
     def search(x, y):
         """The open items of x against the members y."""
@@ -574,33 +576,66 @@ def _pairs_in_lists(lists: DataFrame, open_items, pct: int) -> DataFrame:
             doc, line = x["doc"][i], x["line"][i]
             at = np.flatnonzero(ok & ((y["doc"] < doc) | ((y["doc"] == doc) & (y["line"] < line))))
             if len(at):
-                own = [np.full(len(at), v, np.int64) for v in (x["item"][i : i + 1].view(np.int64)[0], doc, line)]
-                columns = [own[0], y["item"][at].view(np.int64), own[1], y["doc"][at], own[2]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["item", "to", "doc", "to_doc", "line"])
+                one = lambda v: np.full(len(at), v, np.int64)
+                yield np.full(len(at), x["item"][i]), y["item"][at], one(doc), y["doc"][at], one(line)
+
+    def packed(found):
+        held, n = [], 0
+        for part in found:
+            held.append(part)
+            n += len(part[0])
+            if n > _HELD_LINES:
+                yield send(held)
+                held, n = [], 0
+        if held:
+            yield send(held)
 
-    def within(batches):
+    def send(held):
+        columns = distinct(dict(zip(names, (np.concatenate(c) for c in zip(*held, strict=True)), strict=True)))
+        bucket = mix64(columns["item"] ^ mix64(columns["to"])) % np.uint64(buckets)
+        return _rows(_blobs(bucket.astype(np.int64), _OTHERS, columns), _FOUND_ROW)
+
+    def distinct(columns):
+        order = np.lexsort((columns["to"], columns["item"]))
+        item, to = columns["item"][order], columns["to"][order]
+        order = order[np.concatenate(([True], (item[1:] != item[:-1]) | (to[1:] != to[:-1])))]
+        return {c: v[order] for c, v in columns.items()}
+
+    def opened(rows: pa.Table) -> pa.Table:
+        parts = [_found_row(batch, row) for batch in rows.to_batches() for row in range(batch.num_rows)]
+        columns = distinct({c: np.concatenate([x[c] for x in parts]) for c in names})
+        return pa.table({c: v.view(np.int64) for c, v in columns.items()})
+
+    def pairs_within(batches):
         for batch in (part for whole in batches for part in text_slices(whole, 16)):
             for row in range(batch.num_rows):
                 x = _found_row(batch, row)
                 yield from search(x, x)
 
-    def across(batches):
+    def pairs_across(batches):
         for batch in (part for whole in batches for part in text_slices(whole, 16)):
             for row in range(batch.num_rows):
                 yield from search(_found_row(batch, row, "of_"), _found_row(batch, row))
 
+    def within(batches):
+        yield from packed(pairs_within(batches))
+
+    def across(batches):
+        yield from packed(pairs_across(batches))
+
     def having(batches):
         """The rows with open items."""
         for batch in (part for whole in batches for part in text_slices(whole, 16)):
             rows = (_found_row(batch, row) for row in range(batch.num_rows))
             yield batch.filter(pa.array([bool((flagged(open_items.value, x["item"]) & (x["differ"] > 0)).any()) for x in rows], pa.bool_()))
 
-    schema = "item long, to long, doc long, to_doc long, line long"
+    names, schema = _FOUND_ROW[:5], "item long, to long, doc long, to_doc long, line long"
     several = lists.where(F.col("kind") > _LIST).select("bucket").distinct()
     dealt = lists.join(several, "bucket").select("bucket", "kind", *_FOUND_ROW)
     visits = dealt.mapInArrow(having, dealt.schema).select("bucket", F.col("kind").alias("of_kind"), *[F.col(c).alias(f"of_{c}") for c in _FOUND_ROW])
     visits = visits.join(dealt, "bucket").where("kind != of_kind")
-    return lists.mapInArrow(within, schema).unionByName(visits.mapInArrow(across, schema)).withColumn("line", F.col("line").cast("int"))
+    both = lists.mapInArrow(within, _schema(_FOUND_ROW)).unionByName(visits.mapInArrow(across, _schema(_FOUND_ROW)))
+    return both.groupBy("bucket").applyInArrow(opened, schema).withColumn("line", F.col("line").cast("int"))
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
@@ -636,7 +671,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     left = checkpoint(_unpacked(found, f"kind >= {_LIST}").where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
     if not left.isEmpty():
         still = _flags(left)
-        more = _pairs_in_lists(lists, still, pct).distinct().join(left, "item", "left_semi")
+        more = _pairs_in_lists(lists, still, pct).join(left, "item", "left_semi")
         more = checkpoint(more.select("item", "to", "doc", "to_doc", "line"))
         done(still)
         matched = matched.unionByName(_verified(more, docs, rarity, pct, least))
