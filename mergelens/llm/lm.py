@@ -19,6 +19,7 @@ leave as hashes and meet their counts in a shuffled join.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,9 @@ FREQUENT = 1 << 18
 EMBED, HIDDEN = 24, 24
 WINDOW = 24
 ROUNDS = 2
+#: Streams of texts that run side by side, and bytes of text dealt to them at once.
+STREAMS = 256
+DEALT_BYTES = 24 << 20
 _COUNT_TOKENS = 4 << 20
 #: Parts that a copy's parameters are averaged in, each by a task of its own.
 PARTS = 16
@@ -104,6 +108,21 @@ class Vocabulary:
     n: int
     v: int
     rare_mass: float
+    _jump: np.ndarray | None = None
+    _ended: np.ndarray | None = None
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in ``words``, -1 if it is not there."""
+        if self._jump is None:
+            # first word of each range of hashes, which holds few; one more than all ends the last
+            self._jump = np.searchsorted(self.words, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+            self._ended = np.append(self.words, np.uint64(2**64 - 1))
+        at = self._jump[(h >> np.uint64(44)).astype(np.int64)]
+        behind = np.flatnonzero(self._ended[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self._ended[at[behind]] < h[behind]]
+        return np.where((self._ended[at] == h) & (at < len(self.words)), at, -1)
 
     @property
     def rare(self) -> int:
@@ -174,11 +193,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _forward(p, table: np.ndarray, x: np.ndarray, h: np.ndarray):
-    """States after each step of a window: x is (steps, texts); table is emb @ wx + b."""
+def _forward(p, table: np.ndarray, x: np.ndarray, h: np.ndarray, goes_on=None):
+    """States after each step of a window: x is (steps, texts); table is emb @ wx + b.
+
+    Where ``goes_on`` (of x's shape) is 0 a new text begins, from the zero state.
+    """
     states, kept = [], []
     k = HIDDEN
-    for ids in x:
+    for t, ids in enumerate(x):
+        if goes_on is not None:
+            h = h * goes_on[t][:, None]
         a, g = table[ids], h @ p["wh"]
         zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
@@ -189,62 +213,76 @@ def _forward(p, table: np.ndarray, x: np.ndarray, h: np.ndarray):
     return states, kept, h
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log probabilities of the chosen places; ``z``, held within 60 of 0, is turned into all probabilities."""
+    np.clip(z, -60, 60, out=z)
+    own = z[at, chosen]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    z *= (1 / total)[:, None]
+    return own - np.log(total)
 
 
 def _output(p, h, cls, slot, grads=None):
     """Natural log probabilities of (class, place) given the states; adds gradients to grads."""
-    logc = _log_softmax(h @ p["wc"] + p["bc"])
     at = np.arange(len(h))
-    out = logc[at, cls]
+    d = h @ p["wc"]
+    d += p["bc"]
+    out = _softmax(d, at, cls)
     if grads is not None:
-        d = np.exp(logc)
         d[at, cls] -= 1
         grads["wc"] += h.T @ d
         grads["bc"] += d.sum(axis=0)
         back = d @ p["wc"].T
     own = np.flatnonzero(slot >= 0)
     order = own[np.argsort(cls[own], kind="stable")]
+    hs, slots = h[order], slot[order]
+    more, backs = np.empty(len(order), h.dtype), np.empty_like(hs)
     cuts = np.flatnonzero(np.diff(np.concatenate(([-1], cls[order], [-1]))))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        rows, c = order[a:b], cls[order[a]]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        c = int(cls[order[a]])
         s = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        logw = _log_softmax(h[rows] @ p["wi"][s].T + p["bi"][s])
-        i = np.arange(len(rows))
-        out[rows] += logw[i, slot[rows]]
+        rows, wi = hs[a:b], p["wi"][s]
+        d = rows @ wi.T
+        d += p["bi"][s]
+        more[a:b] = _softmax(d, at[: b - a], slots[a:b])
         if grads is not None:
-            d = np.exp(logw)
-            d[i, slot[rows]] -= 1
-            grads["wi"][s] += d.T @ h[rows]
+            d[at[: b - a], slots[a:b]] -= 1
+            grads["wi"][s] += d.T @ rows
             grads["bi"][s] += d.sum(axis=0)
-            back[rows] += d @ p["wi"][s]
-    return (out, back) if grads is not None else out
+            np.matmul(d, wi, out=backs[a:b])
+    out[order] += more
+    if grads is None:
+        return out
+    back[order] += backs
+    return out, back
 
 
-def _backward(p, grads, x, kept, d_states):
-    """Backpropagation through one window."""
+def _backward(p, grads, x, kept, d_states, goes_on):
+    """Backpropagation through one window, within each text."""
     k = HIDDEN
     dh = np.zeros_like(d_states[0])
-    das, dgs = [], []
+    da, dg = (np.empty((*d_states.shape[:2], 3 * k), d_states.dtype) for _ in range(2))
+    back = np.ascontiguousarray(p["wh"].T)
     for t in range(len(x) - 1, -1, -1):
         h, z, r, n, gn = kept[t]
-        dh = dh + d_states[t]
+        dh += d_states[t]
+        a, g = da[t], dg[t]
         dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        da = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        das.append(da)
-        dgs.append(dg)
-        dh = dh * z + dg @ p["wh"].T
-    grads["wh"] += np.concatenate([h for h, *_ in kept]).T @ np.concatenate(dgs[::-1])
+        a[:, :k] = dh * (h - n) * z * (1 - z)
+        a[:, k : 2 * k] = dn * gn * r * (1 - r)
+        a[:, 2 * k :] = dn
+        g[:, : 2 * k] = a[:, : 2 * k]
+        g[:, 2 * k :] = dn * r
+        dh *= z
+        dh += g @ back
+        dh *= goes_on[t][:, None]
+    grads["wh"] += np.concatenate([h for h, *_ in kept]).T @ dg.reshape(-1, 3 * k)
     # one row for each word of the window
     order = np.argsort(x, axis=None, kind="stable")
     ids = x.ravel()[order]
     cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    d_table, ids = np.add.reduceat(np.concatenate(das[::-1])[order], cut), ids[cut]
+    d_table, ids = np.add.reduceat(da.reshape(-1, 3 * k)[order], cut), ids[cut]
     grads["b"] += d_table.sum(axis=0)
     grads["wx"] += p["emb"][ids].T @ d_table
     grads["emb"][ids] += d_table @ p["wx"].T
@@ -252,11 +290,10 @@ def _backward(p, grads, x, kept, d_states):
 
 def locate(vocab: Vocabulary, h: np.ndarray):
     """(input row, class, place, log p within the class, count or -1 if not in the table)."""
+    at = vocab.find(h)
     if not len(vocab.words):
-        rare = np.full(len(h), -1, np.int64)
-        return np.full(len(h), vocab.neural + BANDS, np.int32), np.full(len(h), vocab.rare, np.int32), rare.astype(np.int32), np.zeros(len(h)), rare
-    at = np.minimum(np.searchsorted(vocab.words, h), len(vocab.words) - 1)
-    here = vocab.words[at] == h
+        return np.full(len(h), vocab.neural + BANDS, np.int32), np.full(len(h), vocab.rare, np.int32), at.astype(np.int32), np.zeros(len(h)), at
+    here = at >= 0
     return (
         np.where(here, vocab.entry[at], vocab.neural + BANDS).astype(np.int32),
         np.where(here, vocab.cls[at], vocab.rare).astype(np.int32),
@@ -266,17 +303,6 @@ def locate(vocab: Vocabulary, h: np.ndarray):
     )
 
 
-def _windows(first: np.ndarray, texts: np.ndarray, window: int):
-    """Windows over texts sorted by falling length: (texts live, start, steps, live at each)."""
-    size = np.diff(first)[texts]
-    longest = int(size[0]) if len(size) else 0
-    for at in range(0, longest, window):
-        steps = min(window, longest - at)
-        # a text takes part in a window's step while it has tokens left
-        live = np.searchsorted(-size, -(at + np.arange(steps)), side="left")
-        yield at, steps, live
-
-
 def _views(flat: np.ndarray, like: dict) -> dict:
     """The arrays of ``like`` as views of one flat array, in the order of their names."""
     out, at = {}, 0
@@ -314,46 +340,65 @@ class _Adam:
         g[:] = 0
 
 
-def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float, batch: int = 32, seed: int = 3):
+def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float, streams: int = STREAMS):
     """Train a copy of the parameters by Adam on lists of texts in turn; (parameters, tokens)."""
     adam = _Adam(p0, rate)
-    rng = np.random.default_rng(seed)
     tokens = 0
     for texts in slices:
-        tokens += _train_slice(adam, vocab, texts, batch, rng)
+        tokens += _train_slice(adam, vocab, texts, streams)
     return adam.p, tokens
 
 
-def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], batch: int, rng) -> int:
+def deal(size: np.ndarray, streams: int) -> list[list[int]]:
+    """Texts of these sizes over at most ``streams`` streams of about equal length, the longest stream first."""
+    loads = [(0, i) for i in range(min(streams, len(size)))]
+    out: list[list[int]] = [[] for _ in loads]
+    for t in np.argsort(-size, kind="stable").tolist():
+        load, i = heapq.heappop(loads)
+        out[i].append(t)
+        heapq.heappush(loads, (load + int(size[t]), i))
+    return [out[i] for _, i in sorted(loads, reverse=True)]
+
+
+def _streams(first: np.ndarray, streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token numbers, one column a stream; the streams' lengths, falling)."""
+    size = np.diff(first)
+    dealt = deal(size, streams)
+    length = np.array([size[ts].sum() for ts in dealt], np.int64)
+    place = np.zeros((int(length[0]) if len(length) else 0, len(dealt)), np.int32)
+    for c, ts in enumerate(dealt):
+        place[: length[c], c] = np.concatenate([np.arange(first[t], first[t + 1], dtype=np.int32) for t in ts])
+    return place, length
+
+
+def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], streams: int) -> int:
+    """One pass over the texts, dealt to streams that run side by side; a text's state is carried
+    from window to window of its stream, and the next text begins anew."""
     p, grads = adam.p, adam.grads
     h_all, first = token_hashes(texts)
     entry, cls, slot, *_ = locate(vocab, h_all)
     prev = np.concatenate(([0], entry[:-1]))
     prev[first[:-1]] = vocab.inputs - 1
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-    for g in rng.permutation(len(groups)):
-        texts_of = groups[g]
-        h = np.zeros((len(texts_of), HIDDEN), np.float32)
-        for at, steps, live in _windows(first, texts_of, WINDOW):
-            # whole steps of the texts that last through the window; the rest end in it
-            k = int(live[0])
-            steps = int(min(steps, size[texts_of[0]] - at))
-            idx = first[texts_of[:k]][None, :] + at + np.arange(steps)[:, None]
-            there = (at + np.arange(steps))[:, None] < size[texts_of[:k]][None, :]
-            idx = np.minimum(idx, len(prev) - 1)
-            x = prev[idx]
-            table = p["emb"] @ p["wx"] + p["b"]
-            states, kept, h = _forward(p, table, x, h[:k])
-            flat = np.stack(states)
-            sel = there.ravel()
-            rows = flat.reshape(-1, HIDDEN)[sel]
-            _, back = _output(p, rows, cls[idx].ravel()[sel], slot[idx].ravel()[sel], grads)
-            d = np.zeros((flat.shape[0] * flat.shape[1], HIDDEN), np.float32)
-            d[sel] = back
-            _backward(p, grads, x, kept, d.reshape(flat.shape))
-            adam.move(1.0 / max(int(sel.sum()), 1))
+    begins = np.zeros(len(h_all), bool)
+    begins[first[:-1]] = True
+    place, length = _streams(first, streams)
+    if not len(length):
+        return 0
+    h = np.zeros((len(length), HIDDEN), np.float32)
+    for at in range(0, len(place), WINDOW):
+        k = int(np.searchsorted(-length, -at, side="left"))  # streams that reach this window
+        idx = place[at : at + WINDOW, :k]
+        there = (at + np.arange(len(idx)))[:, None] < length[:k]
+        x, goes_on = prev[idx], (~begins[idx]).astype(np.float32)
+        table = p["emb"] @ p["wx"] + p["b"]
+        states, kept, h = _forward(p, table, x, h[:k], goes_on)
+        flat, sel = np.stack(states), there.ravel()
+        rows = flat.reshape(-1, HIDDEN)[sel]
+        _, back = _output(p, rows, cls[idx].ravel()[sel], slot[idx].ravel()[sel], grads)
+        d = np.zeros((flat.shape[0] * flat.shape[1], HIDDEN), np.float32)
+        d[sel] = back
+        _backward(p, grads, x, kept, d.reshape(flat.shape), goes_on)
+        adam.move(1.0 / max(int(sel.sum()), 1))
     return len(h_all)
 
 
@@ -386,10 +431,16 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             p0, voc = sent.value
 
             def slices():
+                held, total = [], 0
                 for batch in (part for whole in batches for part in text_slices(whole)):
-                    texts = batch.column("text").to_pylist()
-                    for part in batches_of_text(encoded(texts), 4 << 20):
-                        yield texts[part]
+                    for text in batch.column("text").to_pylist():
+                        held.append(text)
+                        total += len(text or "")
+                        if total >= DEALT_BYTES:
+                            yield held
+                            held, total = [], 0
+                if held:
+                    yield held
 
             own, n = train_copy(p0, voc, slices(), rate / (r + 1))
             if n:
@@ -410,33 +461,28 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
     return p
 
 
-def score_texts(p: dict, vocab: Vocabulary, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(natural log probability of each text without p(word | rare), class of each token).
+def score_texts(p: dict, vocab: Vocabulary, h: np.ndarray, first: np.ndarray, streams: int = STREAMS) -> tuple[np.ndarray, np.ndarray]:
+    """(natural log probability of each text without p(word | rare), count of each token or -1 if it is rare).
 
-    Texts run side by side, longest first, so that a step serves all texts that last that long.
+    Texts are dealt to streams that run side by side; each begins from the zero state.
     """
-    entry, cls, slot, within, _ = locate(vocab, h)
+    entry, cls, slot, within, counts = locate(vocab, h)
     prev = np.concatenate(([0], entry[:-1])).astype(np.int32)
     prev[first[:-1]] = vocab.inputs - 1
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
+    begins = np.zeros(len(h), bool)
+    begins[first[:-1]] = True
+    place, length = _streams(first, streams)
     table = p["emb"] @ p["wx"] + p["b"]
     logp = within.copy()
-    state = np.zeros((len(order), HIDDEN), np.float32)
-    for at, steps, live in _windows(first, order, WINDOW):
-        held, where = [], []
-        for t in range(steps):
-            k = int(live[t])
-            idx = first[order[:k]] + at + t
-            states, _, new = _forward(p, table, prev[idx][None, :], state[:k])
-            state[:k] = new
-            held.append(states[0])
-            where.append(idx)
-        rows, idx = np.concatenate(held), np.concatenate(where)
-        for a in range(0, len(rows), 16_384):
-            some = slice(a, a + 16_384)
-            logp[idx[some]] += _output(p, rows[some], cls[idx[some]], slot[idx[some]])
-    return np.add.reduceat(logp, first[:-1]) if len(size) else np.empty(0), cls
+    state = np.zeros((len(length), HIDDEN), np.float32)
+    for at in range(0, len(place), WINDOW):
+        k = int(np.searchsorted(-length, -at, side="left"))
+        idx = place[at : at + WINDOW, :k]
+        there = ((at + np.arange(len(idx)))[:, None] < length[:k]).ravel()
+        states, _, state = _forward(p, table, prev[idx], state[:k], (~begins[idx]).astype(np.float32))
+        idx = idx.ravel()[there]
+        logp[idx] += _output(p, np.stack(states).reshape(-1, HIDDEN)[there], cls[idx], slot[idx])
+    return np.add.reduceat(logp, first[:-1]) if len(first) > 1 else np.empty(0), counts
 
 
 def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
@@ -465,10 +511,9 @@ def score_documents(docs: DataFrame, held_out=None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for part in batches_of_text(encoded(texts), 24 << 20):
                 h, first = token_hashes(texts[part])
-                logp, cls = score_texts(p, voc, h, first)
-                at = np.minimum(np.searchsorted(voc.words, h), max(len(voc.words) - 1, 0))
-                rare = cls == voc.rare
-                c = np.where(rare, 0, voc.counts[at] if len(voc.words) else 0)
+                logp, c = score_texts(p, voc, h, first)
+                rare = c < 0
+                c = np.where(rare, 0, c)
                 base = np.add.reduceat(np.where(rare, 0.0, np.log10(c + 0.5) - base_total), first[:-1])
                 known = np.add.reduceat((~rare).astype(np.int64), first[:-1])
                 words = h.view(np.int64)

@@ -57,13 +57,14 @@ def test_gradients(spark):
     x = rng.integers(0, 20, (5, 3))
     cls, slot = vocab.cls[:15], vocab.slot[:15]
     h0 = rng.normal(0, 0.3, (3, lm.HIDDEN))
+    goes_on = np.array([[1, 0, 1], [1, 1, 1], [0, 1, 1], [1, 1, 0], [1, 0, 1]], float)  # texts begin within the window
 
     def loss(grads=None):
-        states, kept, _ = lm._forward(p, p["emb"] @ p["wx"] + p["b"], x, h0)
+        states, kept, _ = lm._forward(p, p["emb"] @ p["wx"] + p["b"], x, h0, goes_on)
         flat = np.stack(states)
         out = lm._output(p, flat.reshape(-1, lm.HIDDEN), cls, slot, grads)
         if grads is not None:
-            lm._backward(p, grads, x, kept, out[1].reshape(flat.shape))
+            lm._backward(p, grads, x, kept, out[1].reshape(flat.shape), goes_on)
             out = out[0]
         return -out.sum()
 
@@ -94,6 +95,18 @@ def test_windows_carry_the_state(spark, monkeypatch):
     assert lm.score_texts(p, vocab, h, first)[0] == pytest.approx(alone, rel=1e-4)
 
 
+def test_streams_hold_every_token_once():
+    sizes = np.array([5, 1, 40, 7, 7, 1, 1])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    for streams in (1, 3, 50):
+        place, length = lm._streams(first, streams)
+        columns = [place[:n, c].tolist() for c, n in enumerate(length)]
+        assert sorted(i for c in columns for i in c) == list(range(62)) and (np.diff(length) <= 0).all()
+        for c in columns:  # texts stay whole and in one stream
+            assert all(b == a + 1 or b in first for a, b in zip(c, c[1:], strict=False))
+    assert lm._streams(np.zeros(1, np.int64), 4)[1].size == 0
+
+
 def test_trains_on_every_document(spark):
     """Each document has a word of its own; all their embeddings move, also if the corpus counts as large."""
     texts = [f"d{i} " * 20 for i in range(90)]
