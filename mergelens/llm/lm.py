@@ -38,9 +38,10 @@ FREQUENT = 1 << 18
 EMBED, HIDDEN = 24, 24
 WINDOW = 24
 ROUNDS = 2
-#: Streams of texts that run side by side, and bytes of text dealt to them at once.
-STREAMS = 256
-DEALT_BYTES = 24 << 20
+#: Streams of texts that run side by side, and bytes of text dealt to them at once: every copy
+#: begins with short steps on its first bytes.
+STREAMS, FIRST_STREAMS = 256, 32
+DEALT_BYTES, FIRST_BYTES = 24 << 20, 1 << 18
 _COUNT_TOKENS = 4 << 20
 #: Parts that a copy's parameters are averaged in, each by a task of its own.
 PARTS = 16
@@ -340,12 +341,12 @@ class _Adam:
         g[:] = 0
 
 
-def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float, streams: int = STREAMS):
+def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float):
     """Train a copy of the parameters by Adam on lists of texts in turn; (parameters, tokens)."""
     adam = _Adam(p0, rate)
     tokens = 0
-    for texts in slices:
-        tokens += _train_slice(adam, vocab, texts, streams)
+    for i, texts in enumerate(slices):
+        tokens += _train_slice(adam, vocab, texts, STREAMS if i else FIRST_STREAMS)
     return adam.p, tokens
 
 
@@ -431,14 +432,14 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             p0, voc = sent.value
 
             def slices():
-                held, total = [], 0
+                held, total, most = [], 0, FIRST_BYTES
                 for batch in (part for whole in batches for part in text_slices(whole)):
                     for text in batch.column("text").to_pylist():
                         held.append(text)
                         total += len(text or "")
-                        if total >= DEALT_BYTES:
+                        if total >= most:
                             yield held
-                            held, total = [], 0
+                            held, total, most = [], 0, DEALT_BYTES
                 if held:
                     yield held
 
