@@ -10,10 +10,10 @@ calibrated threshold is marked as rejected.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +21,12 @@ from .common import id_remainder, mix64, text_slices
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Bound of the labelled sample for training, and of the stretches drawn from all of a text's.
-MAX_LABELLED = 3000
+#: Bound of the labelled sample for training, for each language, and of the stretches drawn from all of a text's.
+MAX_LABELLED = 1000
 STRETCHES, STRETCH_WORDS = 4, 40
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _CACHE_WORDS = 300_000
 
 
@@ -117,19 +117,34 @@ def train(texts: list[str], labels: list[str], dim: int = DIM, epochs: int = 6,
     return LanguageModel(langs, scores, bias, temperature, threshold)
 
 
+def _excerpts(batches):
+    """The drawn stretches of each text, from anywhere in it, in place of the text."""
+    import pyarrow as pa
+
+    for batch in (part for whole in batches for part in text_slices(whole)):
+        out = []
+        for text, draw in zip(batch.column("text").to_pylist(), batch.column("draw").to_pylist(), strict=True):
+            runs = letter_runs(text)
+            starts = np.random.default_rng(draw).permutation(range(0, len(runs), STRETCH_WORDS))[:STRETCHES].tolist()
+            out.append(" ".join(w for at in starts for w in runs[at : at + STRETCH_WORDS]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("lang"), batch.column("draw")], names=["text", "lang", "draw"])
+
+
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel | None:
-    """Train on about ``max_labelled`` labelled rows at most, drawn by a hash of the id.
+    """Train on about ``max_labelled`` labelled rows of each language at most, drawn by a hash of the id.
 
-    Rows of null text or lang, or whose crc32(doc_id) is divisible by 5, are not looked at.
-    None if there is no row to learn from.
+    So a rare language is learnt as well. Rows of null text or lang, or whose crc32(doc_id) is
+    divisible by 5, are not looked at; the driver gets STRETCHES * STRETCH_WORDS words of a row
+    at most. None if there is no row with a letter to learn from.
     """
     rows = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0)
     ).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    n = rows.select("draw").count()
-    kept = rows.where(F.col("draw") < int((1 << 30) * min(1.0, max_labelled / max(n, 1)))).collect()
-    kept = sorted((r["draw"], r["lang"], r["text"]) for r in kept)[:max_labelled]
-    kept = [r for r in kept if _LETTERS.search(r[2])]
+    # one row a language
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1 << 30), F.lit((1 << 30) * max_labelled) / F.count("*")).alias("below"))
+    drawn = rows.join(F.broadcast(shares), "lang").where("draw < below").select("text", "lang", "draw")
+    kept = drawn.mapInArrow(_excerpts, "text string, lang string, draw long").where("text != ''").collect()
+    kept = sorted((r["draw"], r["lang"], r["text"]) for r in kept)
     return train([r[2] for r in kept], [r[1] for r in kept]) if kept else None
 
 

@@ -43,3 +43,17 @@ def test_lang_is_no_input(spark):
     other = df.withColumn("lang", F.when(langid.id_remainder(F.col("doc_id"), 5) == 0, "zz").otherwise(F.col("lang")))
     rows = lambda d: sorted(map(tuple, langid.identify_languages(d).collect()))
     assert rows(df) == rows(other)
+
+
+def test_numbers_and_marks_are_no_letters(docs_of):
+    rows = [(i, t) for i, t in enumerate(["½ ② ³", "Ⅷ ①", "12 _ -", None, "", "ª", "日本"])]
+    model = langid.train(["ja da ein haus", "oui la maison"] * 20, ["de", "fr"] * 20)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs_of(rows), model).collect()}
+    assert [got[i] for i in range(5)] == [("und", 0.0)] * 5
+    assert got[5][0] in ("de", "fr") and got[6][0] in ("de", "fr")
+
+
+def test_a_rare_language_is_learnt(spark):
+    rows = [(i, "der hund und das haus", "de") for i in range(3000)] + [(5000 + i, "qua quo quibus", "la") for i in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_labelled=50)
+    assert model.langs == ["de", "la"]
