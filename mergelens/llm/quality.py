@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches_of_text, encoded, text_slices, word_hashes
+from .common import BROADCAST_ROWS, batches_of_text, checkpoint, encoded, text_slices, word_hashes
 
 #: Bound of the labelled sample that the document model is fitted on.
 MAX_LABELLED = 8000
@@ -204,7 +204,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
     model = fit(docs, labels)
-    scored = evidence(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), *_sites(host, path)])
+    # the texts are read once for all that follows
+    scored = checkpoint(evidence(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), *_sites(host, path)]))
     sites = site_posteriors(scored)
     return combine(scored, sites).withColumn("keep", F.col("quality") >= REJECT_BELOW)
 
@@ -214,7 +215,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, pa
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
     model = fit(docs, labels)
-    sites = site_posteriors(evidence(docs, model, _sites(host, path)))
+    sites = site_posteriors(checkpoint(evidence(docs, model, _sites(host, path))))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     scored = evidence(docs, model, [row, *_sites(host, path)], within="__row")
     return combine(scored, sites).where(F.col("quality") >= REJECT_BELOW).select("__row.*")
