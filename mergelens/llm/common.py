@@ -38,10 +38,13 @@ def id_remainder(doc_id: Column, mod: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is set."""
+    """Keep the cluster's shared checkpoint folder; set one only where none is set, on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/mergelens-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "/tmp/mergelens-checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -50,20 +53,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet to the shared checkpoint folder and read from there.
-
-    Takes less room than a checkpoint for wide rows. The files stay until the folder is cleared.
-    """
-    import uuid
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shared(spark: SparkSession, value):
     """A broadcast; ``done`` takes it back once all that reads it is checkpointed."""
     return spark.sparkContext.broadcast(value)
