@@ -22,7 +22,7 @@ END_ID = 2
 #: Documents a group has on average. More fill sequences better, fewer need less memory.
 GROUP_DOCS = 2048
 #: Entries after which a worker's word or piece cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
