@@ -54,7 +54,7 @@ def gather(spark, args, run=None) -> str:
     (store.upsert_prs if args.upsert else store.write_prs)(prs, f"{args.output}/data")
     stamp = (args.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
     export = f"{args.output}/pr_data_{store.sanitize_org_name(org)}_{stamp}.csv"
-    store.write_csv(kept, export)
+    store.write_csv(kept, export, single=True)
     note = f"Filtered out {dropped} repos with fewer than {args.min_prs} PRs\n" if dropped else ""
     return f"{note}{collection_report(kept, args.days)}\nStore: {args.output}/data\nExport: {export}"
 

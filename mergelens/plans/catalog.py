@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import expr as E
 from ..operators import collect, health, metrics, normalize, scope, trends
 from ..schema import FLAT_PR, LATER_FIELDS, RAW_PR
@@ -365,23 +366,26 @@ def active_repos(spark, sf_dir):
 
 
 _MIN = 3
-_RECENT = "SELECT * REPLACE (repo || '-' || author AS repo) FROM prs WHERE created_at >= TIMESTAMP '2001-01-01'"
+#: Repositories of a finer kind, so that some fall below the limit.
+_FINER = "SELECT * REPLACE (concat_ws('-', repo, author, CAST(year AS VARCHAR), CAST(month AS VARCHAR)) AS repo) FROM prs"
 
 
-@query(f", r AS ({_RECENT}) SELECT pr_number, repo FROM r WHERE repo IN (SELECT repo FROM r GROUP BY repo HAVING COUNT(*) >= {_MIN})")
+def _finer(prs: DataFrame) -> DataFrame:
+    return prs.withColumn("repo", F.concat_ws("-", "repo", "author", "year", "month"))
+
+
+
+@query(f", r AS ({_FINER}) SELECT pr_number, repo FROM r WHERE repo IN (SELECT repo FROM r GROUP BY repo HAVING COUNT(*) >= {_MIN})")
 def min_pr_repo_filter(spark, sf_dir):
-    """Repositories here are repo-author pairs, so that some fall below the limit."""
-    recent = fixture_prs(spark, sf_dir).where(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return scope.with_min_prs(recent.withColumn("repo", F.concat_ws("-", "repo", "author")), _MIN).select("pr_number", "repo")
+    return scope.with_min_prs(_finer(fixture_prs(spark, sf_dir)), _MIN).select("pr_number", "repo")
 
 
 @query(
-    f", r AS ({_RECENT}), c AS (SELECT repo, COUNT(*) AS n FROM r GROUP BY repo) "
+    f", r AS ({_FINER}), c AS (SELECT repo, COUNT(*) AS n FROM r GROUP BY repo) "
     f"SELECT COUNT(CASE WHEN n < {_MIN} THEN 1 END) AS dropped_repos, COUNT(*) AS all_repos FROM c"
 )
 def dropped_repo_count(spark, sf_dir):
-    recent = fixture_prs(spark, sf_dir).where(F.col("created_at") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return scope.dropped_repos(recent.withColumn("repo", F.concat_ws("-", "repo", "author")), _MIN)
+    return scope.dropped_repos(_finer(fixture_prs(spark, sf_dir)), _MIN)
 
 
 @query(
@@ -419,8 +423,7 @@ def sanitize_org(spark, sf_dir):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder, which all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/mergelens-checkpoints"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT org, repo, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, pr_number, author, created_at, state, pr_size, labels FROM scoped")
@@ -435,22 +438,22 @@ def hive_roundtrip(spark, sf_dir):
     return _plain_times(kept.select("org", "repo", "year", "month", "pr_number", "author", "created_at", "state", "pr_size", "labels"))
 
 
-@query("SELECT pr_number, author, created_at, state, pr_size, self_merged, time_to_merge_hours FROM scoped")
+@query("SELECT pr_number, author, created_at, state, pr_size, self_merged, time_to_merge_hours FROM prs")
 def csv_roundtrip(spark, sf_dir):
     path = scratch(spark, "csv")
-    store.write_csv(store.conform(scoped(spark, sf_dir)), path)
+    store.write_csv(store.conform(fixture_prs(spark, sf_dir)), path)
     back = store.read_csv(spark, path)
     return _plain_times(back.select("pr_number", "author", "created_at", "state", "pr_size", "self_merged", "time_to_merge_hours"))
 
 
 @query(
     "SELECT pr_number, CASE WHEN pr_number % 2 = 0 THEN changed_files END AS changed_files, "
-    "CASE WHEN pr_number % 2 = 0 THEN self_merged END AS self_merged, pr_size FROM scoped"
+    "CASE WHEN pr_number % 2 = 0 THEN self_merged END AS self_merged, pr_size FROM prs"
 )
 def schema_evolution_read(spark, sf_dir):
     """Files with and without the later fields, read as one."""
     path = scratch(spark, "mixed")
-    prs = store.conform(scoped(spark, sf_dir))
+    prs = store.conform(fixture_prs(spark, sf_dir))
     prs.where("pr_number % 2 = 0").write.parquet(f"{path}/new")
     prs.where("pr_number % 2 = 1").drop(*LATER_FIELDS).write.parquet(f"{path}/old")
     both = store.read_foreign(spark, [f"{path}/new", f"{path}/old"])

@@ -147,9 +147,9 @@ def sanitize_org_name(name: str) -> str:
     return name.lower().replace(" ", "-").replace("_", "-")
 
 
-def write_csv(prs: DataFrame, path: str) -> None:
-    """One CSV file with a header, for people; the store is what is read back."""
-    prs.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(prs: DataFrame, path: str, single: bool = False) -> None:
+    """CSV files with a header, one for each partition; ``single`` merges an export for people in one task."""
+    (prs.coalesce(1) if single else prs).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
