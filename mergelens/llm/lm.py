@@ -388,18 +388,20 @@ def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], stream
     h = np.zeros((len(length), HIDDEN), np.float32)
     for at in range(0, len(place), WINDOW):
         k = int(np.searchsorted(-length, -at, side="left"))  # streams that reach this window
-        idx = place[at : at + WINDOW, :k]
+        idx = place[at : at + WINDOW, :k].astype(np.intp)
+        whole = int(length[k - 1]) >= at + len(idx)  # no stream ends in this window
         there = (at + np.arange(len(idx)))[:, None] < length[:k]
         x, goes_on = prev[idx], (~begins[idx]).astype(np.float32)
         table = p["emb"] @ p["wx"] + p["b"]
         states, kept, h = _forward(p, table, x, h[:k], goes_on)
-        flat, sel = np.stack(states), there.ravel()
-        rows = flat.reshape(-1, HIDDEN)[sel]
-        _, back = _output(p, rows, cls[idx].ravel()[sel], slot[idx].ravel()[sel], grads)
-        d = np.zeros((flat.shape[0] * flat.shape[1], HIDDEN), np.float32)
-        d[sel] = back
+        flat, sel = np.stack(states), slice(None) if whole else np.flatnonzero(there.ravel())
+        of, rows = idx.ravel()[sel], flat.reshape(-1, HIDDEN)[sel]
+        _, d = _output(p, rows, cls[of], slot[of], grads)
+        if not whole:
+            back, d = d, np.zeros((flat.shape[0] * flat.shape[1], HIDDEN), np.float32)
+            d[sel] = back
         _backward(p, grads, x, kept, d.reshape(flat.shape), goes_on)
-        adam.move(1.0 / max(int(sel.sum()), 1))
+        adam.move(1.0 / max(len(of), 1))
     return len(h_all)
 
 
@@ -478,8 +480,8 @@ def score_texts(p: dict, vocab: Vocabulary, h: np.ndarray, first: np.ndarray, st
     state = np.zeros((len(length), HIDDEN), np.float32)
     for at in range(0, len(place), WINDOW):
         k = int(np.searchsorted(-length, -at, side="left"))
-        idx = place[at : at + WINDOW, :k]
-        there = ((at + np.arange(len(idx)))[:, None] < length[:k]).ravel()
+        idx = place[at : at + WINDOW, :k].astype(np.intp)
+        there = slice(None) if int(length[k - 1]) >= at + len(idx) else ((at + np.arange(len(idx)))[:, None] < length[:k]).ravel()
         states, _, state = _forward(p, table, prev[idx], state[:k], (~begins[idx]).astype(np.float32))
         idx = idx.ravel()[there]
         logp[idx] += _output(p, np.stack(states).reshape(-1, HIDDEN)[there], cls[idx], slot[idx])
