@@ -121,5 +121,46 @@ FROM kept WHERE place = 1
 """
 
 
+#: crc32 of a number's decimal text, bit by bit: each character is mixed in, then shifted out in eight steps.
+_CRC = (
+    "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+    "lambda ch: list_concat([CAST(ascii(ch) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))), "
+    "lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, CAST(3988292384 AS BIGINT) * (c & 1)) END), CAST(4294967295 AS BIGINT))"
+)
+
+SNAPSHOTS = f"""
+WITH earlier AS (SELECT CAST(doc_id AS BIGINT) AS k, text, lang, source, {_CRC} % 16 AS r FROM documents),
+later AS (
+  SELECT CASE WHEN r IN (3, 4) OR again THEN -1 - k ELSE k END AS k, CASE WHEN r = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+         CASE WHEN r = 2 THEN source ELSE lang END AS lang, CASE WHEN r = 2 THEN lang WHEN r <> 4 THEN source END AS source
+  FROM (SELECT *, false AS again FROM earlier WHERE r <> 0 UNION ALL SELECT *, true FROM earlier WHERE r = 5)
+),
+hashed AS (
+  SELECT *, sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) AS sha FROM later
+),
+joined AS (
+  SELECT a.k AS ak, b.k AS bk, a.text AS a_text, b.text AS b_text, a.lang AS a_lang, b.lang AS b_lang, a.source AS a_source, b.source AS b_source, b.sha
+  FROM earlier a FULL OUTER JOIN hashed b ON a.k = b.k
+),
+gone AS (SELECT ak, a_text, a_lang, a_source, row_number() OVER (PARTITION BY a_text ORDER BY ak) AS place FROM joined WHERE bk IS NULL),
+come AS (SELECT bk, b_text, b_lang, b_source, sha, row_number() OVER (PARTITION BY b_text ORDER BY bk) AS place FROM joined WHERE ak IS NULL),
+pairs AS (
+  SELECT *, 'key' AS met FROM joined WHERE ak IS NOT NULL AND bk IS NOT NULL
+  UNION ALL
+  SELECT ak, bk, a_text, b_text, a_lang, b_lang, a_source, b_source, sha, 'content'
+  FROM gone FULL OUTER JOIN come ON a_text IS NOT DISTINCT FROM b_text AND gone.place = come.place
+),
+told AS (
+  SELECT *, CASE WHEN ak IS NULL OR bk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a_text IS DISTINCT FROM b_text THEN 'text' END,
+         CASE WHEN a_lang IS DISTINCT FROM b_lang THEN 'lang' END, CASE WHEN a_source IS DISTINCT FROM b_source THEN 'source' END) END AS changed
+  FROM pairs
+)
+SELECT coalesce(bk, ak) AS key, ak AS old_key,
+       CASE WHEN ak IS NULL THEN 'insert' WHEN bk IS NULL THEN 'delete' WHEN met = 'content' THEN 'rekey' WHEN changed = '' THEN 'same' ELSE 'update' END AS op,
+       changed, sha AS row_sha256
+FROM told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OVERLAPS, "op3_exact_top_k": TOP_K, "op4_line_dedup": LINES, "op9_ngram_join": COMPONENTS}
+    return {"op1_decontamination": OVERLAPS, "op3_exact_top_k": TOP_K, "op4_line_dedup": LINES, "op9_ngram_join": COMPONENTS, "op12_snapshot_diff": SNAPSHOTS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lines, lm, njoin, packing, quality, secrets, topk
+from . import decontam, langid, licenses, lines, lm, njoin, packing, quality, secrets, snapdiff, topk, whitening
 from .common import table
 from .oracle import oracle_sql  # noqa: F401  part of this module's interface
 
@@ -60,6 +60,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapdiff.snapshot_report(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -74,5 +83,7 @@ def queries() -> dict:
             op8_packing,
             op9_ngram_join,
             op10_license_scan,
+            op12_snapshot_diff,
+            op13_embedding_whitening,
         )
     }
