@@ -39,12 +39,15 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 def number_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place (from 1) in its group by ``order``; equal rows in any order.
 
-    No task needs a whole group: rows are dealt by range over group and order. At most one group
-    goes on from a range to the next, so the carried counts are fewer than the ranges. Nulls
-    group together.
+    No task needs a whole group: rows are dealt by range over a hash of the group and the order,
+    so a group's ranges follow each other, and few groups have more than one. Rows that are equal
+    in both are told apart by their place in ``df``, which is to be checkpointed. Nulls group
+    together. What Spark samples to find the ranges is narrow, as are the keys.
     """
-    in_range = df.repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id())
+    in_range = df.withColumns({"__row": F.monotonically_increasing_id(), "__group": F.xxhash64(*group)})
+    in_range = in_range.repartitionByRange("__group", *order, "__row").drop("__group").withColumn("__range", F.spark_partition_id())
     in_range = checkpoint(in_range)  # a range's number must not change between its readers
+    order = [*order, F.col("__row")]
     counts = in_range.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
     earlier = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     carried = counts.withColumn("__before", F.sum("__n").over(earlier)).where("__before is not null").drop("__n")
@@ -65,7 +68,7 @@ def _occurrences(rows: DataFrame, columns: list[str]) -> DataFrame:
     back = [F.col(f"a_{c}").alias(c) for c in rows.columns]
     many = a.join(b, on, "left_semi").select(*back)
     once = a.join(b, on, "left_anti").select(*back, F.lit(1).cast("long").alias("nth"))
-    return once.unionByName(number_within(many, ["key"], [F.asc(c) for c in columns], "nth"))
+    return once.unionByName(number_within(checkpoint(many), ["key"], [F.xxhash64(*columns)], "nth"))
 
 
 def diff_snapshots(
@@ -88,7 +91,7 @@ def diff_snapshots(
     key order; the directions are ascending unless told otherwise.
 
     Nulls equal only nulls, in keys, contents and compared columns; null keys come first. Where a
-    key repeats on a side, its rows pair by their place in order of the compared columns' digests,
+    key repeats on a side, its rows pair by their place in order of a hash of the compared columns,
     the rest stay unpaired; rows that repeat wholly are told apart by that place alone. Values
     are compared by the SHA-256 of their text form, so columns must be of atomic types. Other
     columns are not read, so their names cannot clash. An empty or missing side gives inserts or
@@ -125,8 +128,8 @@ def diff_snapshots(
         kept = [c for c in joined.columns if c.startswith(f"{side}_") and c not in (f"{side}_nth", f"{side}_here")]
         rows = rows.select(*[F.col(c).alias(c[2:]) for c in kept])
         direction = F.desc_nulls_last("key") if descending else F.asc_nulls_first("key")
-        # digests only settle which of a repeated key's rows comes first
-        return _prefixed(number_within(rows, by, [direction, *[F.asc(d) for d in digests]], "place"), side)
+        # the hash only settles which of a repeated key's rows comes first
+        return _prefixed(number_within(rows, by, [direction, F.xxhash64(*digests)], "place"), side)
 
     gone = left_over("a", "b", old_descending).withColumn("a_here", F.lit(True))
     come = left_over("b", "a", new_descending).withColumn("b_here", F.lit(True))
