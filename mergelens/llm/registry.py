@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lines, lm, njoin, packing, quality, secrets, snapdiff, topk, whitening
+from . import decontam, langid, licenses, lines, lm, njoin, packing, pii, quality, secrets, snapdiff, topk, whitening
 from .common import table
 from .oracle import oracle_sql  # noqa: F401  part of this module's interface
 
@@ -60,6 +60,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapdiff.snapshot_report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ def queries() -> dict:
             op8_packing,
             op9_ngram_join,
             op10_license_scan,
+            op11_personal_data,
             op12_snapshot_diff,
             op13_embedding_whitening,
         )
