@@ -300,8 +300,9 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     scanned = checkpoint(scan_documents(docs)).withColumn("__row", F.monotonically_increasing_id())
     edges = checkpoint(pattern_edges(scanned))
-    shared_by = edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= LEAST_SUPPORT)
-    patterns = checkpoint(shared_by.select("pattern"))
+    # a pattern without a candidate has nothing to pass on
+    shared_by = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.min("kind").alias("least"))
+    patterns = checkpoint(shared_by.where((F.col("values") >= LEAST_SUPPORT) & (F.col("least") < 0)).select("pattern"))
     n = patterns.count()
     words = F.transform(F.filter(F.arrays_zip("kind", "start", "end"), lambda s: s["kind"] >= 0), lambda s: F.struct(s["kind"].alias("order"), s["start"].alias("start"), s["end"].alias("end")))
     base = scanned.select("__row", "doc_id", words.alias("base"))

@@ -48,7 +48,7 @@ ODD = [
     "4785380592391139 4785-3805 9239 1139 47853805923911390 1 2 3 4 4785380592391139,4785380592391138",
     "+1 (743) 555-3824 ++1 22 33 44 5 +1 +12((( 3 +1 234 567 890 123 456 7 +1 743 555 3824(",
     "é😀 x@y.zé ü+44 20 7946 0958 ip=10.0.0.1\r\n10.0.0.2", "", None, "+" * 3000 + "@" * 3000, "9" * 5000, "a" * 5000 + "@" + "b" * 5000,
-    "0" * 5000 + "1.2.3.4", "x" * 300_000,
+    "0" * 4500 + "1.2.3.4", "x" * 20_000,
 ]
 
 
