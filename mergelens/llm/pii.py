@@ -227,12 +227,13 @@ def pattern_edges(scanned: DataFrame) -> DataFrame:
     return each.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
 
 
-def pattern_totals(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
-    """(pattern, total): how often the words of each pattern stand around any single token, over all texts.
+def _counted(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``patterns`` with ``total``: how often each one's words stand around any single token of ``docs``.
 
     A bitmap, sized from the number of patterns, only spares the exchange what cannot be one of them.
     """
-    flags = shared(docs.sparkSession, flag_sketch(patterns, ["pattern"], max(16, min(27, (16 * max(n, 1)).bit_length()))))
+    bits = max(16, min(27, (16 * max(patterns.count(), 1)).bit_length()))
+    flags = shared(docs.sparkSession, flag_sketch(patterns, ["pattern"], bits))
 
     def count(batch):
         held = []
@@ -252,16 +253,33 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
             yield {"pattern": p, "total": c}
 
     counted = map_arrow(docs.select("text"), count, "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-    out = checkpoint(patterns.join(counted, "pattern", "left").select("pattern", F.coalesce("total", F.lit(0)).alias("total")))
+    out = checkpoint(patterns.join(counted, "pattern", "left").withColumn("total", F.coalesce("total", F.lit(0))))
     done(flags)
     return out
 
 
+#: The first count is over one text in so many.
+FIRST_SHARE = 32
+
+
+def pattern_totals(docs: DataFrame, patterns: DataFrame, share: int = FIRST_SHARE) -> DataFrame:
+    """(pattern, taken, total) of the patterns (pattern, taken) that can reach LEAST_PRECISION.
+
+    ``taken`` is how often values stand in a pattern, so its precision is taken / total at most.
+    A count over some of the texts never exceeds the one over all: a pattern whose part alone is
+    too large is left out before all texts are counted, which changes no result.
+    """
+    able = F.col("taken") >= LEAST_PRECISION * F.col("total")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+    left = _counted(some, patterns).where(able).drop("total")
+    return _counted(docs, left).where(able)
+
+
 def score_graph(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, kind, confidence) of the candidates that reach LEAST_CONFIDENCE.
 
     ``edges``: (pattern, value, kind, n); ``totals``: (pattern, total) of the patterns that enough
-    distinct values share. In each round a pattern's precision for a kind is the share of its
+    distinct values share, without those that cannot reach LEAST_PRECISION if one likes. In each round a pattern's precision for a kind is the share of its
     occurrences that values take, each weighted by its confidence, and a candidate's confidence is
     1 - product(1 - precision) over the patterns it stands in, of those with LEAST_SUPPORT and
     LEAST_PRECISION. Seeds keep the confidence 1 for their kind. A candidate goes to its best
@@ -301,13 +319,12 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scanned = checkpoint(scan_documents(docs)).withColumn("__row", F.monotonically_increasing_id())
     edges = checkpoint(pattern_edges(scanned))
     # a pattern without a candidate has nothing to pass on
-    shared_by = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.min("kind").alias("least"))
-    patterns = checkpoint(shared_by.where((F.col("values") >= LEAST_SUPPORT) & (F.col("least") < 0)).select("pattern"))
-    n = patterns.count()
+    shared_by = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.min("kind").alias("least"), F.sum("n").alias("taken"))
+    patterns = checkpoint(shared_by.where((F.col("values") >= LEAST_SUPPORT) & (F.col("least") < 0)).select("pattern", "taken"))
     words = F.transform(F.filter(F.arrays_zip("kind", "start", "end"), lambda s: s["kind"] >= 0), lambda s: F.struct(s["kind"].alias("order"), s["start"].alias("start"), s["end"].alias("end")))
     base = scanned.select("__row", "doc_id", words.alias("base"))
-    if n:
-        found = score_graph(edges, pattern_totals(docs, patterns, n), rounds)
+    if not patterns.isEmpty():
+        found = score_graph(edges, pattern_totals(docs, patterns).select("pattern", "total"), rounds)
         loose = scanned.select("__row", F.explode(F.arrays_zip("kind", "value", "start", "end")).alias("s")).where("s.kind < 0")
         loose = loose.select("__row", F.col("s.value").alias("value"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
         more = loose.join(found, "value").groupBy("__row").agg(

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from mergelens.llm import pii, registry
 
@@ -150,10 +151,13 @@ def test_totals_count_every_place(spark, docs_of):
     texts = ["call me at x", "Call me at, y! call me", "at z", None, "me at (me at) me at"]
     docs = docs_of(list(enumerate(texts)))
     edges = pii.pattern_edges(pii.scan_documents(docs_of([(0, "call me at 743-555-2000 z"), (1, "")])))
-    patterns = edges.select("pattern")
-    got = sorted(r["total"] for r in pii.pattern_totals(docs, patterns, 3).collect())
+    patterns = edges.select("pattern", F.lit(9).alias("taken"))
+    got = sorted(r["total"] for r in pii.pattern_totals(docs, patterns).collect())
     # "me at _": x, y!, "(me" of the last text and its two followers; "at _ z" and "_ z <end>": none and "at z"
     assert got == [0, 1, 4]
+    few = edges.select("pattern", F.lit(2).alias("taken"))
+    for share in (1, 2, 100):  # whatever part is counted first, a pattern of precision 2 / 4 goes
+        assert sorted(r["total"] for r in pii.pattern_totals(docs, few, share).collect()) == [0, 1]
 
 
 def test_empty_table_and_repeated_rows(docs_of):
