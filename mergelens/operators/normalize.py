@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..schema import FLAT_PR
+from ..schema import FLAT_EVENT, FLAT_PR
+
+
+_EVENTS = "array<struct<kind: string, seq: int, actor: string, happened_at: timestamp, decision: string>>"
 
 
 def _moment(text: Column) -> Column:
@@ -55,6 +58,53 @@ def normalize(raw: DataFrame, org: str | Column) -> DataFrame:
     return flat.select(*[F.col(f.name).cast(f.dataType) for f in FLAT_PR])
 
 
+def normalize_events(raw: DataFrame, org: str | Column) -> DataFrame:
+    """The events of raw pull requests: a row for each review, request, comment and commit author.
+
+    ``seq`` numbers a pull request's events of a kind from 0 in the order of its list; authors of
+    one commit share a number and are distinct. A request without a time counts as made when the
+    pull request was opened; other times that are missing or cannot be read are null. A missing
+    or empty name is null. Year and month are the pull request's, so both tables have the same partitions.
+    """
+    org = F.lit(org) if isinstance(org, str) else org
+    created = _moment(F.col("createdAt"))
+
+    def name(x: Column) -> Column:
+        return F.nullif(x, F.lit(""))
+
+    def event(kind: str, i: Column, actor: Column, at: Column, decision: Column | None = None) -> Column:
+        decision = F.lit(None).cast("string") if decision is None else decision
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("seq"), name(actor).alias("actor"), at.alias("happened_at"), decision.alias("decision"))
+
+    reviews = F.transform("reviews", lambda x, i: event("review", i, x["author"]["login"], _moment(x["submittedAt"]), x["state"]))
+    requests = F.transform("reviewRequests", lambda x, i: event("request", i, x["login"], F.coalesce(_moment(x["requestedAt"]), created)))
+    comments = F.transform("comments", lambda x, i: event("comment", i, x["author"]["login"], _moment(x["createdAt"])))
+    nobody = F.array(F.lit(None).cast("string"))
+    commits = F.flatten(
+        F.transform(
+            "commits",
+            lambda x, i: F.transform(
+                # a commit without authors is an event of nobody
+                F.coalesce(F.when(F.size(x["authors"]) > 0, F.array_distinct(x["authors"]["login"])), nobody),
+                lambda who: event("commit", i, who, _moment(x["committedDate"])),
+            ),
+        )
+    )
+    # one pass over the raw rows: the four lists are joined and then exploded
+    each = F.concat(*[F.coalesce(x, F.array().cast(_EVENTS)) for x in (reviews, requests, comments, commits)])
+    flat = raw.select(
+        org.alias("org"),
+        "repo",
+        F.year(created).alias("year"),
+        F.month(created).alias("month"),
+        F.col("number").alias("pr_number"),
+        F.coalesce("author.login", F.lit("unknown")).alias("author"),
+        created.alias("created_at"),
+        F.inline(each),
+    )
+    return flat.select(*[F.col(f.name).cast(f.dataType) for f in FLAT_EVENT])
+
+
 def created_since(raw: DataFrame, since: str) -> DataFrame:
     """Raw rows whose creation day, as text, is not before ``since`` (YYYY-MM-DD)."""
     return raw.where(F.substring("createdAt", 1, 10) >= since)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..checkpoints import shared_folder
 from ..functions import expr as E
-from ..operators import collect, health, metrics, normalize, scope, trends
-from ..schema import FLAT_PR, LATER_FIELDS, RAW_PR
+from ..operators import collect, health, metrics, normalize, reviews, scope, trends
+from ..schema import FLAT_PR, LATER_FIELDS
 from ..sources import store
-from .fixture import AS_OF, AUTHOR, ORG, REPO, SQL, fixture_prs, scoped
+from .fixture import AS_OF, AUTHOR, EVENTS_SQL, ORG, REPO, SQL, fixture_prs, raw_prs, scoped, scratch
 
 Q: dict = {}
 ORACLE: dict[str, str] = {}
@@ -301,47 +300,14 @@ def size_share_bar(spark, sf_dir):
 # --- collection, filters and storage ------------------------------------------------------
 
 _SHARED = (
-    "pr_number", "author", "created_at", "merged_at", "state", "pr_size", "reviews", "reviewers", "time_to_merge_hours", "merged_by",
-    "changed_files", "comments_count", "self_merged", "is_draft", "labels", "org", "repo", "year", "month",
+    "pr_number", "author", "created_at", "merged_at", "state", "pr_size", "commits", "reviews", "reviewers", "time_to_merge_hours",
+    "time_to_first_review_hours", "merged_by", "changed_files", "comments_count", "self_merged", "is_draft", "labels", "org", "repo", "year", "month",
 )
 
 
-def raw_from_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw nested records, through JSON text, that normalize to the fixture's rows."""
-    prs = fixture_prs(spark, sf_dir)
-    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    who = F.when(F.col("reviewers") == "", F.array().cast("array<string>")).otherwise(F.split("reviewers", ","))
-    # reviews beyond one for each reviewer have no author
-    fill = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("reviews").cast("int"))), lambda i: F.get(who, i - 1))
-    reviews = F.when(F.col("reviews") == 0, F.array().cast("array<string>")).otherwise(fill)
-    remarks = F.when(F.col("comments_count") > 0, F.array_repeat(F.lit("x"), F.col("comments_count").cast("int"))).otherwise(F.array().cast("array<string>"))
-    raw = prs.select(
-        "org",
-        "repo",
-        F.to_json(
-            F.struct(
-                F.col("pr_number").alias("number"),
-                F.struct(F.col("author").alias("login")).alias("author"),
-                time(F.col("created_at")).alias("createdAt"),
-                time(F.col("merged_at")).alias("mergedAt"),
-                F.when(F.col("state") == "closed", time(F.col("created_at"))).alias("closedAt"),
-                F.lit("OPEN").alias("state"),
-                F.col("pr_size").alias("additions"),
-                F.col("is_draft").alias("isDraft"),
-                F.array(F.struct(F.col("labels").alias("name"))).alias("labels"),
-                F.transform(reviews, lambda r: F.struct(F.struct(r.alias("login")).alias("author"))).alias("reviews"),
-                F.when(F.col("merged_by").isNotNull(), F.struct(F.col("merged_by").alias("login"))).alias("mergedBy"),
-                F.transform(remarks, lambda r: F.struct(F.struct(r.alias("login")).alias("author"))).alias("comments"),
-                F.col("changed_files").alias("changedFiles"),
-            )
-        ).alias("value"),
-    )
-    return raw.select("org", "repo", F.from_json("value", RAW_PR).alias("p")).select("org", "repo", "p.*")
-
-
 @query(f"SELECT {', '.join(_SHARED)} FROM prs")
 def normalize_prs(spark, sf_dir):
-    flat = normalize.normalize(raw_from_fixture(spark, sf_dir), F.col("org"))
+    flat = normalize.normalize(raw_prs(spark, sf_dir), F.col("org"))
     wide = flat.withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
     return _plain_times(wide.select(*_SHARED))
 
@@ -421,19 +387,14 @@ def sanitize_org(spark, sf_dir):
     return fixture_prs(spark, sf_dir).select("org", E.sanitized_org(name).alias("clean")).distinct()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder, which all executors see."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT org, repo, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, pr_number, author, created_at, state, pr_size, labels FROM scoped")
+@query("SELECT org, repo, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, pr_number, author, created_at, state, pr_size, labels FROM prs")
 def hive_roundtrip(spark, sf_dir):
-    """Written, partly written again and read back."""
+    """Every org and repository written, some partitions written again and all read back."""
     path = scratch(spark, "store")
-    prs = scoped(spark, sf_dir)
+    prs = fixture_prs(spark, sf_dir)
     store.write_prs(prs, path)
     store.write_prs(prs.where("year = 2000 and month = 3"), path)
-    kept = store.load_store(spark, path, org=ORG, repo=REPO)
+    kept = store.load_store(spark, path)
     kept = store.conform(spark.createDataFrame([], FLAT_PR)) if kept is None else kept
     return _plain_times(kept.select("org", "repo", "year", "month", "pr_number", "author", "created_at", "state", "pr_size", "labels"))
 
@@ -460,15 +421,19 @@ def schema_evolution_read(spark, sf_dir):
     return both.select("pr_number", "changed_files", "self_merged", "pr_size")
 
 
-@query("SELECT pr_number, author, state, pr_size FROM scoped")
+@query("SELECT org, pr_number, author, state, pr_size FROM prs")
 def legacy_fallback(spark, sf_dir):
-    """Without a store the newest readable snapshot of the org is loaded."""
+    """Without a store the newest readable snapshot of each org is loaded."""
     folder = scratch(spark, "snapshots")
-    prs = store.conform(scoped(spark, sf_dir))
-    prs.limit(5).write.parquet(f"{folder}/{store.SNAPSHOT_PREFIX}{ORG.lower()}_20240101.parquet")
-    prs.write.parquet(f"{folder}/{store.SNAPSHOT_PREFIX}{ORG.lower()}_20240201.parquet")
-    found = store.load_prs(spark, f"{folder}/none", folder, org=ORG, repo=REPO)
-    return found.select("pr_number", "author", "state", "pr_size")
+    prs = store.conform(fixture_prs(spark, sf_dir))
+    orgs = [r["org"] for r in prs.select("org").distinct().collect()]  # as many as regions
+    for org in orgs:
+        own = prs.where(F.col("org") == org)
+        name = f"{folder}/{store.SNAPSHOT_PREFIX}{store.sanitize_org_name(org)}"
+        own.limit(5).write.parquet(f"{name}_20240101.parquet")
+        own.write.parquet(f"{name}_20240201.parquet")
+    found = [store.load_prs(spark, f"{folder}/none", folder, org=org) for org in orgs]
+    return reduce(DataFrame.unionByName, found).select("org", "pr_number", "author", "state", "pr_size")
 
 
 @query(
@@ -482,6 +447,131 @@ def latest_per_repo(spark, sf_dir):
     return ranked.where("nth <= 20").select("org", "repo", "pr_number", "created_at")
 
 
+# --- events -------------------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize_events(raw_prs(spark, sf_dir), F.col("org"))
+
+
+@query(f"{EVENTS_SQL} SELECT org, repo, pr_number, author, kind, actor, happened_at, decision FROM ev")
+def review_events(spark, sf_dir):
+    return _plain_times(_events(spark, sf_dir).select("org", "repo", "pr_number", "author", "kind", "actor", "happened_at", "decision"))
+
+
+@query(f"{EVENTS_SQL} SELECT DISTINCT org, repo, pr_number, kind, actor, happened_at, decision FROM ev")
+def event_store_roundtrip(spark, sf_dir):
+    """Both tables written, then some pull requests upserted without their events, and as they were."""
+    folder = scratch(spark, "both")
+    prs, events = fixture_prs(spark, sf_dir), _events(spark, sf_dir)
+    some = prs.where("year = 2000 and month < 3 and pr_number % 3 = 0")
+    store.write_both(prs, events, folder)
+    store.write_both(some, events.where("false"), folder, keep_others=True)
+    store.write_both(some, events.where("year = 2000 and month < 3 and pr_number % 3 = 0"), folder, keep_others=True)
+    back = store.read_events(spark, f"{folder}/events")
+    return _plain_times(back.select("org", "repo", "pr_number", "kind", "actor", "happened_at", "decision").distinct())
+
+
+@query(
+    f"{EVENTS_SQL}, t AS (SELECT actor AS reviewer, COUNT(CASE WHEN kind = 'review' THEN 1 END) AS reviews_given, "
+    "COUNT(DISTINCT CASE WHEN kind = 'review' THEN pr_number END) AS prs_reviewed, COUNT(CASE WHEN decision = 'APPROVED' THEN 1 END) AS approvals, "
+    "COUNT(CASE WHEN decision = 'CHANGES_REQUESTED' THEN 1 END) AS changes_requested, COUNT(CASE WHEN kind = 'comment' THEN 1 END) AS comments_made, "
+    "ROUND(AVG(CASE WHEN kind = 'review' AND actor <> author THEN CAST(epoch(happened_at - created_at) AS DOUBLE) / 3600 END), 1) AS avg_hours_to_review FROM ev GROUP BY actor) "
+    "SELECT *, ROUND(CAST(100 AS DOUBLE) * approvals / NULLIF(reviews_given, 0), 1) AS approval_rate FROM t WHERE reviews_given + comments_made > 0"
+)
+def reviewer_stats(spark, sf_dir):
+    return reviews.reviewer_stats(_events(spark, sf_dir))
+
+
+_TURN = """, turned AS (
+  SELECT r.org, r.repo, r.pr_number, r.actor AS reviewer, r.happened_at AS reviewed_at, MAX(q.happened_at) AS requested_at,
+         CAST(epoch(r.happened_at - coalesce(MAX(q.happened_at), r.created_at)) AS DOUBLE) / 3600 AS hours
+  FROM (SELECT *, row_number() OVER () AS id FROM ev WHERE kind = 'review') r
+  LEFT JOIN ev q ON q.kind = 'request' AND q.pr_number = r.pr_number AND q.actor = r.actor AND q.happened_at <= r.happened_at
+  GROUP BY r.id, r.org, r.repo, r.pr_number, r.actor, r.happened_at, r.created_at
+)
+"""
+
+
+@query(f"{EVENTS_SQL}{_TURN} SELECT * FROM turned")
+def review_turnaround(spark, sf_dir):
+    return _plain_times(reviews.review_turnaround(_events(spark, sf_dir)).drop("seq"))
+
+
+@query(
+    f"{EVENTS_SQL}{_TURN} SELECT reviewer, COUNT(*) AS reviews, COUNT(requested_at) AS requested_reviews, "
+    "ROUND(AVG(CASE WHEN requested_at IS NOT NULL THEN hours END), 2) AS avg_hours_after_request, "
+    "ROUND(AVG(CASE WHEN requested_at IS NULL THEN hours END), 2) AS avg_hours_after_opening, ROUND(MAX(hours), 2) AS longest_hours FROM turned GROUP BY reviewer"
+)
+def turnaround_by_reviewer(spark, sf_dir):
+    return reviews.turnaround_by_reviewer(_events(spark, sf_dir))
+
+
+@query(
+    f"""{EVENTS_SQL}, steps AS (
+  SELECT pr_number, org, repo, 'commit' AS kind, created_at + to_hours(CAST(l_partkey % 60 AS BIGINT)) AS happened_at, NULL AS decision FROM l WHERE l_linestatus = 'F'
+  UNION ALL SELECT pr_number, org, repo, kind, happened_at, decision FROM ev WHERE kind = 'review'
+),
+marked AS (
+  SELECT *, lag(kind) OVER w AS last_kind, lag(happened_at) OVER w AS last_at, MIN(CASE WHEN kind = 'review' THEN happened_at END) OVER (PARTITION BY pr_number) AS first_review
+  FROM steps WINDOW w AS (PARTITION BY pr_number ORDER BY happened_at, kind)
+)
+SELECT org, repo, pr_number, COUNT(CASE WHEN kind = 'commit' THEN 1 END) AS commits, COUNT(CASE WHEN kind = 'review' THEN 1 END) AS reviews,
+       COUNT(CASE WHEN kind = 'commit' AND last_kind = 'review' THEN 1 END) AS cycles,
+       COUNT(CASE WHEN kind = 'commit' AND happened_at > first_review THEN 1 END) AS commits_after_review,
+       ROUND(coalesce(SUM(CASE WHEN kind = 'commit' AND last_kind = 'review' THEN CAST(epoch(happened_at - last_at) AS DOUBLE) / 3600 END), 0), 2) AS rework_hours
+FROM marked GROUP BY org, repo, pr_number"""
+)
+def revision_cycles(spark, sf_dir):
+    # two reviews of one moment have no order in the tables, so the outcome has no twin
+    return reviews.revision_cycles(_events(spark, sf_dir)).drop("outcome")
+
+
+_ASKED = f"""{EVENTS_SQL}{_TURN}, pairs AS (
+  SELECT org, repo, pr_number, actor AS reviewer, COUNT(CASE WHEN kind = 'request' THEN 1 END) AS requests, COUNT(CASE WHEN kind = 'review' THEN 1 END) AS reviews,
+         MIN(CASE WHEN kind = 'request' THEN happened_at END) AS asked
+  FROM ev WHERE kind IN ('request', 'review') AND actor <> author GROUP BY org, repo, pr_number, actor
+),
+asked AS (
+  SELECT org, repo, pr_number, reviewer, requests, reviews,
+         CASE WHEN requests > 0 AND reviews > 0 THEN 'responded' WHEN requests > 0 THEN 'silent' ELSE 'unasked' END AS status,
+         (SELECT CAST(epoch(MIN(e.happened_at) - p.asked) AS DOUBLE) / 3600 FROM ev e WHERE e.kind = 'review' AND e.pr_number = p.pr_number AND e.actor = p.reviewer AND e.happened_at >= p.asked) AS first_hours
+  FROM pairs p
+)
+"""
+
+
+@query(f"{_ASKED} SELECT * FROM asked")
+def requested_reviews(spark, sf_dir):
+    return reviews.requested_reviews(_events(spark, sf_dir))
+
+
+@query(
+    f"{_ASKED} SELECT reviewer, COUNT(CASE WHEN status <> 'unasked' THEN 1 END) AS requested, COUNT(CASE WHEN status = 'responded' THEN 1 END) AS responded, "
+    "COUNT(CASE WHEN status = 'unasked' THEN 1 END) AS unasked, ROUND(AVG(first_hours), 2) AS avg_first_hours, ROUND(CAST(100 AS DOUBLE) * "
+    "COUNT(CASE WHEN status = 'responded' THEN 1 END) / NULLIF(COUNT(CASE WHEN status <> 'unasked' THEN 1 END), 0), 1) AS response_rate FROM asked GROUP BY reviewer"
+)
+def response_rates(spark, sf_dir):
+    return reviews.response_rates(_events(spark, sf_dir))
+
+
+@query(
+    f"{EVENTS_SQL}, wrote AS (SELECT DISTINCT org, repo, pr_number, actor FROM ev WHERE kind = 'commit') "
+    "SELECT x.org, x.repo, x.actor AS a, y.actor AS b, COUNT(*) AS prs FROM wrote x JOIN wrote y ON x.pr_number = y.pr_number AND x.actor < y.actor GROUP BY ALL"
+)
+def co_authors(spark, sf_dir):
+    return reviews.co_authors(_events(spark, sf_dir))
+
+
+@query(
+    f"{EVENTS_SQL}, each AS (SELECT org, repo, pr_number, COUNT(DISTINCT actor) AS n FROM ev WHERE kind = 'commit' GROUP BY ALL) "
+    "SELECT org, repo, COUNT(*) AS prs, COUNT(CASE WHEN n > 1 THEN 1 END) AS co_authored, "
+    "ROUND(CAST(100 AS DOUBLE) * COUNT(CASE WHEN n > 1 THEN 1 END) / COUNT(*), 1) AS co_authorship_rate FROM each GROUP BY org, repo"
+)
+def co_authorship_rate(spark, sf_dir):
+    return reviews.co_authorship_rate(_events(spark, sf_dir))
+
+
 def queries() -> dict:
     return dict(Q)
 

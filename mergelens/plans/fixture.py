@@ -1,26 +1,65 @@
-"""Pull-request-shaped view over the order tables, in Spark and in SQL."""
+"""Pull-request-shaped view over the order tables, in Spark and in SQL.
+
+An order is a pull request; each of its lines gives a review, a request for one, comments and
+perhaps a commit. What Spark derives is kept for the session in the shared folder, as raw JSON
+for the collecting side and as flat rows for the analytics, so that queries time themselves and
+not the derivation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
+from ..schema import RAW_PR
+
 ORG, REPO, AUTHOR, AS_OF = "ASIA", "building", "dev7", "2001-08-02"
 
 
-def _dev(number) -> F.Column:
+def _dev(number) -> Column:
     return F.concat(F.lit("dev"), (number % 40).cast("string"))
 
 
-def fixture_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pull request for each order; its lines give sizes, reviews and reviewers.
+def _after(start: Column, hours: Column) -> Column:
+    return start + F.make_dt_interval(F.lit(0), hours.cast("int"), F.lit(0), F.lit(0))
+
 
-    Lines are aggregated by order before the join, and the order key's partitioning serves
-    both. Customers and the small tables join by size.
-    """
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their place, author, merge and labels. Small tables join by size."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    places = read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    people = read("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = read("orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    key, author, done = F.col("o_orderkey"), _dev(F.col("o_custkey")), F.col("o_orderstatus") == "F"
+    # some have a second label, some a third one without a name
+    labels = F.array_compact(
+        F.array(
+            F.col("o_orderpriority"),
+            F.when(key % 3 == 0, F.concat(F.lit("area-"), (key % 5).cast("string"))),
+            F.when(key % 7 == 0, ""),
+        )
+    )
+    return rows.select(
+        F.col("r_name").alias("org"),
+        F.lower("c_mktsegment").alias("repo"),
+        key.alias("pr_number"),
+        author.alias("author"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(done, _after(F.col("o_orderdate"), key % 97)).alias("merged_at"),
+        F.when(done, "merged").when(F.col("o_orderstatus") == "P", "closed").otherwise("open").alias("state"),
+        F.when(done, F.when(key % 4 == 0, author).otherwise(_dev(key))).alias("merged_by"),
+        (F.col("o_orderpriority") == "5-LOW").alias("is_draft"),
+        labels.alias("labels"),
+    )
+
+
+def derive_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rows; lines are aggregated by order before the join."""
     lines = (
-        read("lineitem")
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .groupBy("l_orderkey")
         .agg(
             F.sum("l_quantity").cast("long").alias("size"),
@@ -29,39 +68,131 @@ def fixture_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_quantity").alias("first_hours"),
             F.countDistinct("l_partkey").alias("files"),
             F.sum("l_linenumber").cast("long").alias("remarks"),
+            F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("commits"),
         )
     )
-    places = read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    people = read("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = read("orders").join(people, F.col("o_custkey") == F.col("c_custkey")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    author = _dev(F.col("o_custkey"))
-    done = F.col("o_orderstatus") == "F"
-    late = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 97).cast("int"), F.lit(0), F.lit(0))
-    merger = F.when(done, F.when(F.col("o_orderkey") % 4 == 0, author).otherwise(_dev(F.col("o_orderkey"))))
-    flat = rows.select(
-        F.col("r_name").alias("org"),
-        F.lower("c_mktsegment").alias("repo"),
-        F.year("o_orderdate").cast("long").alias("year"),
-        F.month("o_orderdate").cast("long").alias("month"),
-        F.col("o_orderkey").alias("pr_number"),
-        author.alias("author"),
-        F.col("o_orderdate").alias("created_at"),
-        F.when(done, F.col("o_orderdate") + late).alias("merged_at"),
-        F.when(done, "merged").when(F.col("o_orderstatus") == "P", "closed").otherwise("open").alias("state"),
+    rows = _orders(spark, sf_dir).join(lines, F.col("pr_number") == F.col("l_orderkey"), "left")
+    return rows.select(
+        "org",
+        "repo",
+        F.year("created_at").cast("long").alias("year"),
+        F.month("created_at").cast("long").alias("month"),
+        "pr_number",
+        "author",
+        "created_at",
+        "merged_at",
+        "state",
         F.coalesce("size", F.lit(0)).cast("long").alias("pr_size"),
-        F.lit(0).cast("long").alias("commits"),
+        F.coalesce("commits", F.lit(0)).cast("long").alias("commits"),
         F.coalesce("n", F.lit(0)).cast("long").alias("reviews"),
         F.coalesce("who", F.lit("")).alias("reviewers"),
-        F.when(done, (F.col("o_orderkey") % 97).cast("double")).alias("time_to_merge_hours"),
+        F.when(F.col("state") == "merged", (F.col("pr_number") % 97).cast("double")).alias("time_to_merge_hours"),
         F.col("first_hours").alias("time_to_first_review_hours"),
-        merger.alias("merged_by"),
+        "merged_by",
         F.coalesce("files", F.lit(0)).cast("long").alias("changed_files"),
         F.coalesce("remarks", F.lit(0)).cast("long").alias("comments_count"),
-        F.coalesce(merger == author, F.lit(False)).alias("self_merged"),
-        (F.col("o_orderpriority") == "5-LOW").alias("is_draft"),
-        F.col("o_orderpriority").alias("labels"),
+        F.coalesce(F.col("merged_by") == F.col("author"), F.lit(False)).alias("self_merged"),
+        "is_draft",
+        F.array_join("labels", ",").alias("labels"),
+    )
+
+
+def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(org, repo, value): nested records as JSON text, which normalize to the flat rows and the events."""
+    line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey")
+    lines = lines.agg(F.collect_list(line).alias("lines"), F.countDistinct("l_partkey").alias("files"), F.sum("l_quantity").cast("long").alias("size"))
+    rows = _orders(spark, sf_dir).join(lines, F.col("pr_number") == F.col("l_orderkey"), "left")
+    start = F.col("created_at")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    login = lambda c: F.struct(c.alias("login"))
+    decision = lambda x: F.when(x["l_returnflag"] == "A", "APPROVED").when(x["l_returnflag"] == "R", "CHANGES_REQUESTED").otherwise("COMMENTED")
+    own = F.coalesce("lines", F.array().cast("array<struct<l_partkey: bigint, l_suppkey: bigint, l_linenumber: int, l_quantity: double, l_returnflag: string, l_linestatus: string>>"))
+    committed = F.filter(own, lambda x: x["l_linestatus"] == "F")
+    remark = lambda x, k: F.struct(
+        login(_dev(x["l_suppkey"] + k)).alias("author"), text(_after(start, (x["l_suppkey"] + 5 * k) % 120)).alias("createdAt")
     )
-    return flat
+    return rows.select(
+        "org",
+        "repo",
+        F.to_json(
+            F.struct(
+                F.col("pr_number").alias("number"),
+                login(F.col("author")).alias("author"),
+                text(start).alias("createdAt"),
+                text(F.col("merged_at")).alias("mergedAt"),
+                F.when(F.col("state") == "closed", text(start)).alias("closedAt"),
+                F.lit("OPEN").alias("state"),
+                F.coalesce("size", F.lit(0)).alias("additions"),
+                F.col("is_draft").alias("isDraft"),
+                F.transform("labels", lambda x: F.struct(F.nullif(x, F.lit("")).alias("name"))).alias("labels"),
+                F.transform(
+                    own,
+                    lambda x: F.struct(
+                        login(_dev(x["l_suppkey"])).alias("author"), text(_after(start, x["l_quantity"])).alias("submittedAt"), decision(x).alias("state")
+                    ),
+                ).alias("reviews"),
+                F.transform(
+                    own,
+                    lambda x: F.struct(
+                        F.when(x["l_linestatus"] == "F", _dev(x["l_suppkey"])).otherwise(_dev(x["l_partkey"])).alias("login"),
+                        text(_after(start, x["l_partkey"] % 24)).alias("requestedAt"),
+                    ),
+                ).alias("reviewRequests"),
+                F.when(F.col("merged_by").isNotNull(), login(F.col("merged_by"))).alias("mergedBy"),
+                F.flatten(F.transform(own, lambda x: F.transform(F.sequence(F.lit(1), x["l_linenumber"]), lambda k: remark(x, k)))).alias("comments"),
+                F.coalesce("files", F.lit(0)).alias("changedFiles"),
+                F.transform(
+                    committed,
+                    lambda x: F.struct(
+                        text(_after(start, x["l_partkey"] % 60)).alias("committedDate"),
+                        F.when(x["l_linenumber"] % 2 == 0, F.array(login(F.col("author")), login(_dev(x["l_suppkey"]))))
+                        .otherwise(F.array(login(F.col("author"))))
+                        .alias("authors"),
+                    ),
+                ).alias("commits"),
+            )
+        ).alias("value"),
+    )
+
+
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder, which all executors see."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """The path to which ``write(path)`` has written, once for an application and a folder of tables."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _kept:
+        path = scratch(spark, name)
+        write(path)
+        _kept[at] = path
+    return _kept[at]
+
+
+def fixture_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rows, derived once and then read from Parquet, so that scans are pruned."""
+    path = _once(spark, sf_dir, "prs", lambda p: derive_prs(spark, sf_dir).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON lines, ``org=/repo=`` for each repository, as collection lands them."""
+
+    def write(path: str) -> None:
+        derive_raw(spark, sf_dir).hint("rebalance", "org", "repo").write.partitionBy("org", "repo").text(path)
+
+    return _once(spark, sf_dir, "landed", write)
+
+
+def raw_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw nested records with org and repo, parsed from the landed JSON."""
+    lines = spark.read.schema("value string, org string, repo string").text(landed(spark, sf_dir))
+    return lines.select("org", "repo", F.from_json("value", RAW_PR).alias("p")).select("org", "repo", "p.*")
 
 
 def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +204,7 @@ lines AS (
   SELECT l_orderkey, CAST(SUM(l_quantity) AS BIGINT) AS size, COUNT(*) AS n,
          string_agg(DISTINCT 'dev' || CAST(l_suppkey % 40 AS VARCHAR), ',' ORDER BY 'dev' || CAST(l_suppkey % 40 AS VARCHAR)) AS who,
          MIN(l_quantity) AS first_hours, COUNT(DISTINCT l_partkey) AS files,
-         CAST(SUM(l_linenumber) AS BIGINT) AS remarks
+         CAST(SUM(l_linenumber) AS BIGINT) AS remarks, COUNT(CASE WHEN l_linestatus = 'F' THEN 1 END) AS n_commits
   FROM lineitem GROUP BY l_orderkey
 ),
 base AS (
@@ -92,13 +223,37 @@ prs AS (
          CAST(o_orderdate AS TIMESTAMP) AS created_at,
          CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 97 AS BIGINT)) END AS merged_at,
          CASE WHEN o_orderstatus = 'F' THEN 'merged' WHEN o_orderstatus = 'P' THEN 'closed' ELSE 'open' END AS state,
-         COALESCE(size, 0) AS pr_size, CAST(0 AS BIGINT) AS commits, COALESCE(n, 0) AS reviews,
+         COALESCE(size, 0) AS pr_size, COALESCE(n_commits, 0) AS commits, COALESCE(n, 0) AS reviews,
          COALESCE(who, '') AS reviewers,
          CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey % 97 AS DOUBLE) END AS time_to_merge_hours,
          first_hours AS time_to_first_review_hours, who_merged AS merged_by, COALESCE(files, 0) AS changed_files,
          COALESCE(remarks, 0) AS comments_count, COALESCE(who_merged = who_wrote, false) AS self_merged,
-         o_orderpriority = '5-LOW' AS is_draft, o_orderpriority AS labels
+         o_orderpriority = '5-LOW' AS is_draft,
+         o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ',area-' || CAST(o_orderkey % 5 AS VARCHAR) ELSE '' END
+           || CASE WHEN o_orderkey % 7 = 0 THEN ',' ELSE '' END AS labels
   FROM merging
 ),
 scoped AS (SELECT * FROM prs WHERE org = 'ASIA' AND repo = 'building')
 """
+
+#: The events of all pull requests, after SQL.
+EVENTS_SQL = """
+, l AS (SELECT p.org, p.repo, p.pr_number, p.author, p.created_at, lineitem.* FROM lineitem JOIN prs p ON l_orderkey = p.pr_number),
+ev AS (
+  SELECT org, repo, pr_number, author, created_at, 'review' AS kind, 'dev' || CAST(l_suppkey % 40 AS VARCHAR) AS actor,
+         created_at + to_hours(CAST(l_quantity AS BIGINT)) AS happened_at,
+         CASE l_returnflag WHEN 'A' THEN 'APPROVED' WHEN 'R' THEN 'CHANGES_REQUESTED' ELSE 'COMMENTED' END AS decision FROM l
+  UNION ALL
+  SELECT org, repo, pr_number, author, created_at, 'request', 'dev' || CAST((CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_partkey END) % 40 AS VARCHAR),
+         created_at + to_hours(CAST(l_partkey % 24 AS BIGINT)), NULL FROM l
+  UNION ALL
+  SELECT org, repo, pr_number, author, created_at, 'comment', 'dev' || CAST((l_suppkey + k) % 40 AS VARCHAR),
+         created_at + to_hours(CAST((l_suppkey + 5 * k) % 120 AS BIGINT)), NULL
+  FROM (SELECT *, unnest(range(1, l_linenumber + 1)) AS k FROM l)
+  UNION ALL
+  SELECT org, repo, pr_number, author, created_at, 'commit', unnest(CASE WHEN l_linenumber % 2 = 0 AND l_suppkey % 40 <> CAST(substr(author, 4) AS BIGINT)
+         THEN [author, 'dev' || CAST(l_suppkey % 40 AS VARCHAR)] ELSE [author] END),
+         created_at + to_hours(CAST(l_partkey % 60 AS BIGINT)), NULL
+  FROM l WHERE l_linestatus = 'F'
+)
+"""

@@ -39,11 +39,11 @@ RAW_PR = _struct(
     labels=ArrayType(_struct(name=_TEXT)),
     reviewDecision=_TEXT,
     reviews=ArrayType(_struct(author=_PERSON, submittedAt=_TEXT, state=_TEXT)),
-    reviewRequests=ArrayType(_PERSON),
+    reviewRequests=ArrayType(_struct(login=_TEXT, requestedAt=_TEXT)),
     mergedBy=_PERSON,
     comments=ArrayType(_struct(author=_PERSON, createdAt=_TEXT)),
     changedFiles=_LONG,
-    commits=ArrayType(_struct(oid=_TEXT)),
+    commits=ArrayType(_struct(oid=_TEXT, committedDate=_TEXT, authors=ArrayType(_PERSON))),
 )
 
 #: One wide row for each pull request.
@@ -71,6 +71,22 @@ FLAT_PR = _struct(
     labels=_TEXT,
 )
 
+#: One row for each review, request, comment and author of a commit; a pull request's are kept together.
+FLAT_EVENT = _struct(
+    org=_TEXT,
+    repo=_TEXT,
+    year=IntegerType(),
+    month=IntegerType(),
+    pr_number=_LONG,
+    author=_TEXT,
+    created_at=_TIME,
+    kind=_TEXT,
+    seq=IntegerType(),
+    actor=_TEXT,
+    happened_at=_TIME,
+    decision=_TEXT,
+)
+
 PARTITIONS = ("org", "repo", "year", "month")
 
 #: Fields that older files lack.

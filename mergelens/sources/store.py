@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.scope import scope
-from ..schema import FLAT_PR, PARTITIONS
+from ..schema import FLAT_EVENT, FLAT_PR, PARTITIONS
 
 SNAPSHOT_PREFIX = "pr_data_"
 
@@ -24,17 +24,21 @@ def conform(prs: DataFrame, schema: StructType = FLAT_PR) -> DataFrame:
     )
 
 
+def _replace_partitions(rows: DataFrame, path: str) -> None:
+    """Spark's rebalancing splits large partitions among tasks and puts small ones together."""
+    spread = rows.hint("rebalance", *PARTITIONS)
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
 def write_prs(prs: DataFrame, path: str) -> bool:
     """Replace the partitions (org, repo, year, month) that occur in ``prs``; others stay.
 
-    Rows are dealt out by partition and a hash of the number, so that a large repository's
-    month is written by several tasks. False, and nothing written, if there is no row.
+    False, and nothing written, if there is no row.
     """
     prs = conform(prs)
     if prs.isEmpty():
         return False
-    spread = prs.repartition(*PARTITIONS, F.pmod(F.xxhash64("pr_number"), F.lit(8)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    _replace_partitions(prs, path)
     return True
 
 
@@ -58,19 +62,63 @@ def upsert_prs(prs: DataFrame, path: str) -> bool:
     return write_prs(checkpoint(kept), path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store as a lazy frame; None if there is none.
+def write_events(prs: DataFrame, events: DataFrame, path: str, keep_others: bool = False) -> bool:
+    """Replace the events of the partitions that occur in ``prs``; they need not have any.
 
-    The schema is explicit, so a repository named 007 keeps its name and fields that older
-    files lack are null.
+    ``keep_others`` keeps the events of those partitions' pull requests that are not in ``prs``.
+    Each partition gets a row without a kind, which readers leave out: it makes a partition whose
+    last events are gone be replaced as well. Repeated events are one. False, and nothing
+    written, if ``prs`` has no row.
     """
+    from ..checkpoints import checkpoint
+
+    prs, events = conform(prs), conform(events, FLAT_EVENT).distinct()
+    if prs.isEmpty():
+        return False
+    touched = prs.select(*PARTITIONS).distinct()
+    rows = events.unionByName(touched, allowMissingColumns=True)
+    old = read_events(prs.sparkSession, path) if keep_others else None
+    if old is not None:
+        keys = ["org", "repo", "pr_number"]
+        others = old.join(touched, list(PARTITIONS), "left_semi").join(prs.select(*keys).distinct(), keys, "left_anti")
+        rows = checkpoint(rows.unionByName(others))
+    _replace_partitions(rows, path)
+    return True
+
+
+def write_both(prs: DataFrame, events: DataFrame, folder: str, keep_others: bool = False) -> bool:
+    """Both tables of a collection, under ``folder``; run again after a failure it gives the same tables.
+
+    Events are written first: a pull request that is in the store has its events there.
+    """
+    if not write_events(prs, events, f"{folder}/events", keep_others):
+        return False
+    return (upsert_prs if keep_others else write_prs)(prs, f"{folder}/data")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored events as a lazy frame; None if there are none."""
+    out = _read(spark, path, FLAT_EVENT)
+    return None if out is None else out.where("kind is not null")
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     try:
-        out = spark.read.schema(FLAT_PR).parquet(path)
+        out = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return out.select(*FLAT_PR.names)
+    return out.select(*schema.names)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store as a lazy frame; None if there is none.
+
+    The schema is explicit, so a repository named 007 keeps its name and fields that older
+    files lack are null.
+    """
+    return _read(spark, path, FLAT_PR)
 
 
 def read_foreign(spark: SparkSession, paths: list[str]) -> DataFrame:
