@@ -5,10 +5,13 @@ from __future__ import annotations
 import argparse
 from datetime import datetime
 
+from .checkpoints import checkpoint
+from .operators.normalize import normalize, normalize_events
 from .operators.scope import dropped_repos, with_min_prs
 from .reports.build import collection_report, contributor_report, dashboard, markdown_report
 from .session import get_session
 from .sources import hosting, store
+from .sources.tool import run_tool
 
 OUTPUT = "output"
 
@@ -40,23 +43,24 @@ def report(spark, args) -> str:
 
 def gather(spark, args, run=None) -> str:
     org = hosting.resolve_org(args.org)
-    run = run or hosting._run
+    run = run or run_tool
     repos = hosting.org_repos(org, run) if args.full_scan else hosting.recent_repos(spark, org, args.days, args.as_of, run)
-    prs = hosting.collect(spark, store.sanitize_org_name(org), repos, args.days, args.as_of, run)
-    if prs is None or prs.isEmpty():
-        return "No PR data found"
-    prs = prs.cache()
+    # the tool is asked under the organization's own name, and once; only what is stored has the sanitized one
+    raw = checkpoint(hosting.collect_raw(spark, org, repos, args.days, args.as_of, run))
+    prs = normalize(raw, store.sanitize_org_name(org))
+    if prs.isEmpty():
+        return f"Nothing collected from {org}"
     kept = with_min_prs(prs, args.min_prs)
     if kept.isEmpty():
-        return f"No repos found with at least {args.min_prs} PRs"
+        return f"None of the repositories has {args.min_prs} or more pull requests"
     dropped = dropped_repos(prs, args.min_prs).first()["dropped_repos"]
     # the store keeps every repository, the export only the reported ones
-    (store.upsert_prs if args.upsert else store.write_prs)(prs, f"{args.output}/data")
+    store.write_both(prs, normalize_events(raw, store.sanitize_org_name(org)), args.output, keep_others=args.upsert)
     stamp = (args.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
     export = f"{args.output}/pr_data_{store.sanitize_org_name(org)}_{stamp}.csv"
     store.write_csv(kept, export, single=True)
-    note = f"Filtered out {dropped} repos with fewer than {args.min_prs} PRs\n" if dropped else ""
-    return f"{note}{collection_report(kept, args.days)}\nStore: {args.output}/data\nExport: {export}"
+    note = f"Left out of the export: {dropped} repositories with fewer than {args.min_prs} pull requests\n" if dropped else ""
+    return f"{note}{collection_report(kept, args.days)}\nStore: {args.output}/data and {args.output}/events\nExport: {export}"
 
 
 def main(argv: list[str] | None = None) -> None:

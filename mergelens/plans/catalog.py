@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import collect, health, metrics, normalize, reviews, scope, trends
 from ..schema import FLAT_PR, LATER_FIELDS
-from ..sources import store
-from .fixture import AS_OF, AUTHOR, EVENTS_SQL, ORG, REPO, SQL, fixture_prs, raw_prs, scoped, scratch
+from ..sources import hosting, store
+from ..sources.tool import LandedTool
+from .fixture import AS_OF, AUTHOR, EVENTS_SQL, ORG, REPO, SQL, fixture_prs, landed, raw_prs, scoped, scratch
 
 Q: dict = {}
 ORACLE: dict[str, str] = {}
@@ -447,6 +448,21 @@ def latest_per_repo(spark, sf_dir):
     return ranked.where("nth <= 20").select("org", "repo", "pr_number", "created_at")
 
 
+@query(
+    ", marked AS (SELECT *, row_number() OVER (PARTITION BY org, repo ORDER BY created_at DESC, pr_number DESC) AS nth FROM prs) "
+    "SELECT org, repo, pr_number, author, created_at, state, commits, labels FROM marked WHERE nth <= 20 AND created_at >= TIMESTAMP '2001-07-19'"
+)
+def collected_prs(spark, sf_dir):
+    """Each org's repositories discovered, read by the data source, limited, cut by day and normalized."""
+    from datetime import date
+
+    run = LandedTool(landed(spark, sf_dir))
+    orgs = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect()]
+    raw = [hosting.collect_raw(spark, org, hosting.org_repos(org, run), 14, date.fromisoformat(AS_OF), run, limit=20) for org in orgs]
+    flat = normalize.normalize(reduce(DataFrame.unionByName, raw), F.col("org"))
+    return _plain_times(flat.select("org", "repo", "pr_number", "author", "created_at", "state", "commits", "labels"))
+
+
 # --- events -------------------------------------------------------------------------------
 
 

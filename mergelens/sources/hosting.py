@@ -1,15 +1,13 @@
-"""Connector to the hosting service's command-line tool. It runs on the driver alone.
+"""Collection from the hosting service: which repositories, and their pull requests.
 
-The tool is called without a shell; ``run`` can be replaced in tests and other deployments.
+Repository names are asked for on the driver; the pull requests are read by a data source with a
+partition a repository.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import subprocess
-import time
-from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,50 +15,18 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cutoff
 from ..operators.collect import active_repos
-from ..operators.normalize import created_since, normalize
 from ..schema import RAW_PR
+from .pull_requests import register
+from .tool import PR_LIMIT, REPO_LIMIT, SEARCH_LIMIT, Runner, call, run_tool
 
-Runner = Callable[[list[str]], subprocess.CompletedProcess]
 
-# What marks an error as passing.
-PASSING_ERRORS = ("502", "503", "504", "timeout", "rate limit")
-# The fields that are asked for.
-PR_FIELDS = (
-    "number,author,title,createdAt,mergedAt,closedAt,state,additions,deletions,isDraft,labels,"
-    "reviewDecision,reviews,reviewRequests,mergedBy,comments,changedFiles"
-)
-REPO_LIMIT, SEARCH_LIMIT, PR_LIMIT = 100, 1000, 20
-
-
-def _run(args: list[str]) -> subprocess.CompletedProcess:
-    return subprocess.run(args, capture_output=True, text=True, check=False)
-
-
-def call(args: list[str], tries: int = 3, delay: float = 2.0, run: Runner = _run, sleep=time.sleep) -> list:
-    """The tool's JSON output; an empty list on failure. Passing errors are tried again."""
-    for attempt in range(tries):
-        done = run(["gh", *args])
-        if done.returncode == 0:
-            try:
-                return json.loads(done.stdout) if done.stdout.strip() else []
-            except json.JSONDecodeError as e:
-                print(f"Unreadable output: {e}")
-                return []
-        error = done.stderr.strip()
-        if attempt + 1 == tries or not any(x in error for x in PASSING_ERRORS):
-            print(f"Failed: {error}")
-            return []
-        sleep(delay * 2**attempt)
-    return []
-
-
-def org_repos(org: str, run: Runner = _run) -> list[str]:
+def org_repos(org: str, run: Runner = run_tool) -> list[str]:
     """Repositories that are neither archived nor forks."""
     found = call(["repo", "list", org, "--json", "name", "--no-archived", "--source", "--limit", str(REPO_LIMIT)], run=run)
     return [r["name"] for r in found]
 
 
-def recent_repos(spark: SparkSession, org: str, days_back: int = 14, as_of: datetime | date | None = None, run: Runner = _run) -> list[str]:
+def recent_repos(spark: SparkSession, org: str, days_back: int = 14, as_of: datetime | date | None = None, run: Runner = run_tool) -> list[str]:
     """Repositories with pull requests created in the window; all of them if none is found."""
     since = cutoff(days_back, as_of)
     query = ["search", "prs", "--owner", org, "--json", "repository", "--limit", str(SEARCH_LIMIT)]
@@ -71,23 +37,20 @@ def recent_repos(spark: SparkSession, org: str, days_back: int = 14, as_of: date
     return [r["name"] for r in active_repos(frame).collect()]
 
 
-def repo_prs(spark: SparkSession, org: str, repo: str, days_back: int = 14, as_of: datetime | date | None = None, run: Runner = _run) -> DataFrame:
-    """Raw pull requests of a repository, with ``repo``; GH_PR_LIMIT bounds how many are asked for."""
-    limit = int(os.environ.get("GH_PR_LIMIT", PR_LIMIT))
-    found = call(["pr", "list", "--repo", f"{org}/{repo}", "--state", "all", "--json", PR_FIELDS, "--limit", str(limit)], run=run)
-    rows = spark.createDataFrame([(json.dumps(x),) for x in found], "value string")
-    raw = rows.select(F.from_json("value", RAW_PR).alias("p")).select("p.*").withColumn("repo", F.lit(repo))
-    since = cutoff(days_back, as_of)
-    return created_since(raw, since.isoformat()) if since else raw.where("createdAt != ''")
-
+def collect_raw(
+    spark: SparkSession, org: str, repos: list[str], days_back: int = 14, as_of: datetime | date | None = None, run: Runner = run_tool, limit: int | None = None
+) -> DataFrame:
+    """Raw pull requests with ``org`` and ``repo``, as the tool knows them, of all repositories at once.
 
-def collect(spark: SparkSession, org: str, repos: list[str], days_back: int = 14, as_of=None, run: Runner = _run) -> DataFrame | None:
-    """Flat pull requests of the repositories; None without repositories."""
-    out = None
-    for repo in repos:
-        flat = normalize(repo_prs(spark, org, repo, days_back, as_of, run), org)
-        out = flat if out is None else out.unionByName(flat)
-    return out
+    GH_PR_LIMIT bounds how many are asked for in each repository. The frame is lazy: what reads
+    it twice asks the tool twice, so write or checkpoint it first.
+    """
+    register(spark, run)
+    limit = limit or int(os.environ.get("GH_PR_LIMIT", PR_LIMIT))
+    rows = spark.read.format("pull_requests").option("org", org).option("repos", json.dumps(repos)).option("limit", limit).load()
+    since = cutoff(days_back, as_of)
+    rows = rows.where(F.col("created_day") >= since.isoformat()) if since else rows.where(F.col("created_day") > "")
+    return rows.select("org", "repo", F.from_json("value", RAW_PR).alias("p")).select("org", "repo", "p.*")
 
 
 def resolve_org(given: str | None = None) -> str:

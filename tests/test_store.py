@@ -6,7 +6,7 @@ import pytest
 
 from mergelens import cli
 from mergelens.schema import FLAT_PR, LATER_FIELDS, RAW_PR
-from mergelens.sources import hosting, store
+from mergelens.sources import hosting, store, tool as host_tool
 from mergelens.streaming import ingest
 
 
@@ -90,11 +90,11 @@ def done(out="", code=0, err=""):
 def test_retries():
     waits = []
     answers = iter([done(code=1, err="HTTP 502"), done(code=1, err="timeout"), done("[1]")])
-    assert hosting.call(["x"], run=lambda _: next(answers), sleep=waits.append) == [1]
+    assert host_tool.call(["x"], run=lambda _: next(answers), sleep=waits.append) == [1]
     assert waits == [2.0, 4.0]
-    assert hosting.call(["x"], run=lambda _: done(code=1, err="denied"), sleep=waits.append) == []
-    assert hosting.call(["x"], run=lambda _: done("{"), sleep=waits.append) == []
-    assert hosting.call(["x"], run=lambda _: done(""), sleep=waits.append) == []
+    assert host_tool.call(["x"], run=lambda _: done(code=1, err="denied"), sleep=waits.append) == []
+    assert host_tool.call(["x"], run=lambda _: done("{"), sleep=waits.append) == []
+    assert host_tool.call(["x"], run=lambda _: done(""), sleep=waits.append) == []
 
 
 def test_resolve_org(monkeypatch):
@@ -119,7 +119,7 @@ def tool(args):
 def test_collect_and_report(spark, tmp_path):
     args = cli.parser().parse_args(["--org", "My Org", "--output", str(tmp_path), "--as-of", "2024-02-10"])
     text = cli.gather(spark, args, tool)
-    assert "Filtered out 1 repos" in text and "Total PRs: 4" in text
+    assert "Left out of the export: 1 repositories" in text and "Total PRs: 4" in text
     assert store.read_store(spark, f"{tmp_path}/data").count() == 5
     args.report = True
     assert "| z | 5 |" in cli.report(spark, args)
@@ -132,7 +132,7 @@ def test_collect_and_report(spark, tmp_path):
     assert hosting.recent_repos(spark, "o", run=tool) == ["a", "b"]
     assert hosting.recent_repos(spark, "o", run=lambda a: tool(a) if a[1] == "repo" else done("")) == ["all"]
     args.min_prs = 50
-    assert "No repos found" in cli.gather(spark, args, tool)
+    assert "None of the repositories has 50" in cli.gather(spark, args, tool)
 
 
 def test_stream(spark, tmp_path):
