@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators import collect, health, metrics, normalize, reviews, scope, trends
-from ..schema import FLAT_PR, LATER_FIELDS
+from ..schema import FLAT_PR, LATER_FIELDS, RAW_PR
 from ..sources import hosting, store
 from ..sources.tool import LandedTool
+from ..streaming import weekly
 from .fixture import AS_OF, AUTHOR, EVENTS_SQL, ORG, REPO, SQL, fixture_prs, landed, raw_prs, scoped, scratch
 
 Q: dict = {}
@@ -463,6 +464,32 @@ def collected_prs(spark, sf_dir):
     return _plain_times(flat.select("org", "repo", "pr_number", "author", "created_at", "state", "commits", "labels"))
 
 
+# --- streaming ----------------------------------------------------------------------------
+
+
+def _landed_stream(spark: SparkSession, sf_dir: str, files_per_batch: int) -> DataFrame:
+    """Flat pull requests as their files arrive."""
+    lines = spark.readStream.schema("value string, org string, repo string").option("maxFilesPerTrigger", files_per_batch).text(landed(spark, sf_dir))
+    raw = lines.select("org", "repo", F.from_json("value", RAW_PR).alias("p")).select("org", "repo", "p.*")
+    return normalize.normalize(raw, F.col("org"))
+
+
+@query(_WEEKLY.removesuffix(" LIMIT 6"))
+def streaming_weekly_activity(spark, sf_dir):
+    """Every pull request delivered, a quarter of them twice, in several batches and two starts."""
+    folder, progress = scratch(spark, "weekly"), scratch(spark, "progress")
+    again = _landed_stream(spark, sf_dir, 5).where("pr_number % 4 = 0")
+    for _ in range(2):
+        stream = _landed_stream(spark, sf_dir, 8).unionByName(again)
+        # files are of one repository each, so weeks come in no order at all
+        running = weekly.start(stream, folder, progress, lateness="36500 days")
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    weekly.compact(spark, folder)
+    return _plain_times(weekly.roll_up(weekly.newest_sums(spark, folder)))
+
+
 # --- events -------------------------------------------------------------------------------
 
 
