@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import collect, health, metrics, normalize, reviews, scope, trends
+from ..operators import collect, health, metrics, normalize, reviews, rhythm, rollup, scope, trends
 from ..schema import FLAT_PR, LATER_FIELDS, RAW_PR
 from ..sources import hosting, store
 from ..sources.tool import LandedTool
@@ -464,6 +464,65 @@ def collected_prs(spark, sf_dir):
     return _plain_times(flat.select("org", "repo", "pr_number", "author", "created_at", "state", "commits", "labels"))
 
 
+# --- roll-ups and rhythm ------------------------------------------------------------------
+
+_ROLLED = (
+    f"COUNT(*) AS pr_count, {M} AS merged_count, COUNT(DISTINCT author) AS active_authors, {SIZE} AS avg_pr_size, {HOURS} AS avg_merge_time, {RATE} AS merge_rate FROM prs"
+)
+
+
+@query(
+    f"SELECT 'week' AS level, org, NULL AS repo, {WEEK} AS period, {_ROLLED} GROUP BY org, {WEEK} "
+    f"UNION ALL SELECT 'month', org, NULL, CAST(date_trunc('month', created_at) AS TIMESTAMP), {_ROLLED} GROUP BY org, 4 "
+    f"UNION ALL SELECT 'repo', org, repo, NULL, {_ROLLED} GROUP BY org, repo UNION ALL SELECT 'org', org, NULL, NULL, {_ROLLED} GROUP BY org "
+    f"UNION ALL SELECT 'all', NULL, NULL, NULL, {_ROLLED}"
+)
+def incremental_roll_up(spark, sf_dir):
+    """Sums of the pull requests up to March 2000, then of the rest by the partitions that it touches."""
+    path, prs = scratch(spark, "sums"), store.conform(fixture_prs(spark, sf_dir))
+    early = prs.where("created_at < timestamp '2000-03-15'")
+    rollup.refresh(early, path)
+    rollup.refresh(prs, path, prs.join(early.select("org", "repo", "pr_number"), ["org", "repo", "pr_number"], "left_anti"))
+    return _plain_times(rollup.roll_up(rollup.read_sums(spark, path)))
+
+
+_STREAKS = (
+    f", w AS (SELECT author, {WEEK} AS week, COUNT(*) AS n FROM prs GROUP BY 1, 2), "
+    "i AS (SELECT *, date_diff('day', TIMESTAMP '1970-01-05', week) // 7 - row_number() OVER (PARTITION BY author ORDER BY week) AS island FROM w), "
+    "runs AS (SELECT author, MIN(week) AS from_week, MAX(week) AS to_week, COUNT(*) AS weeks, CAST(SUM(n) AS BIGINT) AS prs FROM i GROUP BY author, island)"
+)
+
+
+@query(f"{_STREAKS} SELECT * FROM runs")
+def submission_streaks(spark, sf_dir):
+    return _plain_times(rhythm.streaks(fixture_prs(spark, sf_dir)))
+
+
+@query(
+    f"{_STREAKS}, p AS (SELECT *, date_diff('day', lag(to_week) OVER (PARTITION BY author ORDER BY from_week), from_week) // 7 - 1 AS pause FROM runs) "
+    "SELECT author, CAST(SUM(prs) AS BIGINT) AS prs, CAST(SUM(weeks) AS BIGINT) AS active_weeks, date_diff('day', MIN(from_week), MAX(to_week)) // 7 + 1 AS span_weeks, "
+    "MAX(weeks) AS longest_streak, COALESCE(MAX(pause), 0) AS longest_pause, "
+    "ROUND(CAST(SUM(prs) AS DOUBLE) / (date_diff('day', MIN(from_week), MAX(to_week)) // 7 + 1), 2) AS prs_per_week FROM p GROUP BY author"
+)
+def submission_frequency(spark, sf_dir):
+    return rhythm.submission_frequency(fixture_prs(spark, sf_dir))
+
+
+@query(
+    f", h AS (SELECT org, CAST(date_trunc('month', {WEEK}) AS TIMESTAMP) AS month, CAST(CASE WHEN time_to_first_review_hours <= {rhythm.LEAST} THEN 0 "
+    f"ELSE ceil(ln(time_to_first_review_hours / {rhythm.LEAST}) / ln({rhythm.GROWTH})) END AS INTEGER) AS bucket FROM prs WHERE time_to_first_review_hours IS NOT NULL), "
+    f"v AS (SELECT org, month, ROUND(CASE WHEN bucket = 0 THEN {rhythm.LEAST} ELSE {rhythm.LEAST} * pow({rhythm.GROWTH}, bucket - 0.5) END, 4) AS v, "
+    "row_number() OVER (PARTITION BY org, month ORDER BY bucket) AS nth, COUNT(*) OVER (PARTITION BY org, month) AS n FROM h) "
+    "SELECT org, month, MAX(n) AS n, MAX(CASE WHEN nth = ceil(0.5 * n) THEN v END) AS p50, MAX(CASE WHEN nth = ceil(0.9 * n) THEN v END) AS p90 FROM v GROUP BY org, month"
+)
+def response_time_quantiles(spark, sf_dir):
+    """Weekly histograms, kept as a table, merged to the months in which the weeks begin."""
+    path = scratch(spark, "histograms")
+    rhythm.response_histogram(fixture_prs(spark, sf_dir)).write.parquet(path)
+    weeks = spark.read.parquet(path).withColumn("month", F.date_trunc("month", "week"))
+    return _plain_times(rhythm.response_quantiles(weeks, ["org", "month"]))
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 

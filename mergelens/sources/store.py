@@ -121,15 +121,52 @@ def read_store(spark: SparkSession, path: str) -> DataFrame | None:
     return _read(spark, path, FLAT_PR)
 
 
+def file_schemas(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, schema): each Parquet file's physical types, read from its footer in tasks.
+
+    Footers are read through pyarrow, so the files must lie on a file system that it opens.
+    """
+    import pyarrow as pa
+
+    def footers(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            told = []
+            for p in paths:
+                system, inner = fs.FileSystem.from_uri(p) if ":/" in p else (fs.LocalFileSystem(), p)
+                with system.open_input_file(inner) as f:
+                    told.append("\n".join(f"{x.name}: {x.type}" for x in pq.read_schema(f)))
+            yield pa.RecordBatch.from_pydict({"path": paths, "schema": told})
+
+    rows = spark.createDataFrame([(p,) for p in files], "path string")
+    return rows.repartition(max(1, -(-len(files) // FOOTERS))).mapInArrow(footers, "path string, schema string")
+
+
+#: Footers that one task reads.
+FOOTERS = 64
+
+
 def read_foreign(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files whose physical types differ (such as all-null columns of another type).
+    """Files whose physical types differ (such as all-null columns of another type), as flat rows.
 
-    Each file is read by its own schema, cast and united by name.
+    ``paths`` are Parquet files or folders of them. Files of equal schema are one scan, whatever
+    their number; the scans are cast and united by name. The driver holds the file names, as it
+    does for any scan.
     """
-    frames = [conform(spark.read.parquet(p)) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    from ..checkpoints import list_files
+
+    files = []
+    for p in paths:
+        inner = [f for f in list_files(spark, p) if f.endswith(".parquet")]
+        files += inner or [p]
+    found = file_schemas(spark, files).groupBy("schema").agg(F.collect_list("path").alias("paths")).orderBy("schema").collect() if files else []
+    out = spark.createDataFrame([], FLAT_PR)
+    for i, r in enumerate(found):
+        same = conform(spark.read.parquet(*sorted(r["paths"])))
+        out = out.unionByName(same) if i else same
     return out
 
 

@@ -65,6 +65,21 @@ def test_older_files(spark, tmp_path):
     assert both.count() == 2 and both.where("self_merged is null").count() == 1
 
 
+def test_foreign_files_are_scanned_by_schema(spark, tmp_path):
+    df = rows(spark, {"pr_number": 1, "created_at": JAN}, {"pr_number": 2, "created_at": FEB})
+    for i in range(6):
+        one = df if i % 3 else df.withColumn("labels", df["pr_size"].cast("int"))
+        (one if i % 2 else one.drop("commits")).coalesce(1).write.parquet(f"{tmp_path}/f{i}")
+    files = [str(f) for f in tmp_path.rglob("*.parquet")]
+    schemas = {r["schema"] for r in store.file_schemas(spark, files).collect()}
+    assert len(schemas) == 4
+    for given in (files, [f"{tmp_path}/f{i}" for i in range(6)]):
+        both = store.read_foreign(spark, given)
+        assert both.count() == 12 and both._jdf.queryExecution().executedPlan().toString().count("FileScan") == 4
+        assert both.schema.names == FLAT_PR.names
+    assert store.read_foreign(spark, []).count() == 0
+
+
 def test_snapshots(spark, tmp_path):
     df = rows(spark, {"pr_number": 1, "created_at": JAN}, {"pr_number": 2, "created_at": FEB, "repo": "x"})
     df.write.parquet(f"{tmp_path}/pr_data_my-org_20240101.parquet")
