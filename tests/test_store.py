@@ -134,16 +134,16 @@ def tool(args):
 def test_collect_and_report(spark, tmp_path):
     args = cli.parser().parse_args(["--org", "My Org", "--output", str(tmp_path), "--as-of", "2024-02-10"])
     text = cli.gather(spark, args, tool)
-    assert "Left out of the export: 1 repositories" in text and "Total PRs: 4" in text
+    assert "Left out of the export: 1 repositories" in text and "Collected 4 pull requests" in text
     assert store.read_store(spark, f"{tmp_path}/data").count() == 5
     args.report = True
     assert "| z | 5 |" in cli.report(spark, args)
     args.terminal = True
-    assert "Top Contributors" in cli.report(spark, args)
+    assert "== People ==" in cli.report(spark, args)
     args.repo = "a"
-    assert "Health Check" in cli.report(spark, args)
+    assert "== Balance ==" in cli.report(spark, args)
     args.repo = "none"
-    assert "No data available" in cli.report(spark, args)
+    assert "Nothing has been collected" in cli.report(spark, args)
     assert hosting.recent_repos(spark, "o", run=tool) == ["a", "b"]
     assert hosting.recent_repos(spark, "o", run=lambda a: tool(a) if a[1] == "repo" else done("")) == ["all"]
     args.min_prs = 50
