@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns plus guess-cost analysis of values in credential contexts.
 
-A value next to a word such as ``password`` or ``pin`` is segmented into dictionary words,
-dates, repeats, keyboard walks and brute-force spans so that the product of the segments'
+A value next to a word such as ``password`` or ``pin`` is segmented into words of a fixed list
+and of the corpus itself, dates, repeats, keyboard walks and brute-force spans so that the product of the segments'
 guess counts (times the orderings of the segments) is least. A value that takes many guesses is
 no placeholder, so it is reported as a span of kind ``guess``.
 """
@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_slices
+from .common import map_arrow, shared, text_slices
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -52,10 +52,15 @@ _DATE = re.compile(
     r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
     r"|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d"
 )
+_DATE_LENGTHS = (4, 8, 9, 10)
 #: log10 of guesses from which a value counts as a secret.
 STRONG = 10.0
 
 
+#: Words of the corpus that count as guessable: the most frequent ones, of these lengths, that occur so often.
+DICTIONARY, WORD_LENGTH, LEAST_COUNT = 30_000, (3, 24), 3
+
+
 def _brute(ch: str) -> float:
     size = 10 if ch.isdigit() else 26 if ch.islower() or ch.isupper() else 33
     return math.log10(size)
@@ -78,35 +83,70 @@ def _walks(low: str) -> list[int]:
     return ends
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def _least_times(size: int) -> int:
+    return 3 if size < 3 else 2
+
+
+class _Growing:
+    """Segments that may end at any of many places and cost log10 of their length more.
+
+    Of two starts the later, if it is dearer once, stays dearer; so the open starts are a stack in
+    which prices rise, cut behind the cheapest.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+
+    def step(self, j: int, new: int | None, row: list[float], end_of, unit: int) -> float:
+        """The cheapest start's price at j, with ``new`` as one more start; inf if none reaches j."""
+        starts = self.starts
+        if starts and end_of(starts[-1]) < j:
+            starts.clear()
+        if new is not None and row[new] < math.inf:
+            while starts and row[starts[-1]] >= row[new]:
+                starts.pop()
+            starts.append(new)
+        if not starts:
+            return math.inf
+        costs = [row[i] + math.log10((j - i) // unit) for i in starts]
+        cheapest = min(costs)
+        del starts[costs.index(cheapest) + 1 :]
+        return cheapest
+
+
+def guess_cost(value: str, enough: float = math.inf, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``; 0 for an empty value.
 
-    A row of the table holds the least sum for the first i characters in k segments; k segments
-    can be tried in k! orders. Rows end when k! alone exceeds the best cost, or ``enough``: then
-    the result may be above the least cost, but neither is below ``enough``. The whole value is
+    ``ranks`` gives dictionary words (lower case) and how many words are guessed before and with
+    each; longer ones than WORD_LENGTH are not found. A row of the table holds the least sum for the first i characters in k segments; k
+    segments can be tried in k! orders. Rows end when k! alone exceeds the best cost, or
+    ``enough``: then the result may be above the least cost, but neither is below ``enough``. All
+    words, dates, walks and repeats of every admissible length take part; the whole value is
     looked at, in memory linear in its length.
     """
     n, low = len(value), value.lower()
     if not n:
         return 0.0
-    found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost), without walks
+    if len(low) != n:  # lower-casing can lengthen rare letters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    longest = max(_LONGEST, WORD_LENGTH[1])
+    found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost) of words and dates
     for i in range(n):
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
+        for j in range(i + 2, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j])
             if rank:
                 variants = 1 if value[i:j] == low[i:j] else 2 if value[i:j].istitle() or value[i:j].isupper() else 2 ** min(j - i, 20)
                 found[j].append((i, math.log10(rank * variants + 1)))
-        if m := _DATE.match(value, i):
-            found[m.end()].append((i, math.log10(365 * 200) if m.end() - i > 4 else math.log10(200)))
-    for size in (1, 2, 3, 4):
-        for i, times in enumerate(_repeats(value, size)[:n]):
-            if times >= 3 or times == 2 and size >= 3:
-                found[i + size * times].append((i, sum(map(_brute, value[i : i + size])) + math.log10(times)))
-    walk, step = _walks(low), math.log10(len(_NEXT))
+        if value[i].isdigit():
+            for length in _DATE_LENGTHS:
+                if i + length <= n and _DATE.fullmatch(value, i, i + length):
+                    found[i + length].append((i, math.log10(365 * 200) if length > 4 else math.log10(200)))
     single = [_brute(c) for c in value]
     upto = [0.0]
     for c in single:
         upto.append(upto[-1] + c)
+    walk, step = _walks(low), math.log10(len(_NEXT))
+    repeats = {size: _repeats(value, size) for size in (1, 2, 3, 4) if any(t >= _least_times(size) for t in _repeats(value, size)[:n])}
     best, orders = math.inf, 0.0
     row = [0.0] + [math.inf] * n
     for k in range(1, n + 1):
@@ -114,33 +154,40 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         if orders >= min(best, enough):
             return min(best, orders)
         nxt, run = [math.inf] * (n + 1), math.inf  # run: least row[i] - upto[i] so far
-        starts: list[int] = []  # of the walk that goes on, those that can still be the cheapest
+        walking = _Growing()
+        repeating = {(size, phase): _Growing() for size in repeats for phase in range(size)}
         for j in range(1, n + 1):
             run = min(run, row[j - 1] - upto[j - 1])
             least = run + upto[j]
             for i, cost in found[j]:
                 least = min(least, row[i] + cost)
-            if j >= 3 and walk[j - 3] >= j:
-                if starts and walk[starts[-1]] < j:
-                    starts.clear()
-                i = j - 3
-                if row[i] < math.inf:
-                    while starts and row[starts[-1]] >= row[i]:
-                        starts.pop()
-                    starts.append(i)
-                if starts:
-                    costs = [row[i] + step + math.log10(j - i) for i in starts]
-                    cheapest = min(costs)
-                    least = min(least, cheapest)
-                    # a later start that is dearer now stays dearer
-                    del starts[costs.index(cheapest) + 1 :]
+            new = j - 3 if j >= 3 and walk[j - 3] >= j else None
+            least = min(least, step + walking.step(j, new, row, lambda i: walk[i], 1))
+            for size, times in repeats.items():
+                i = j - size * _least_times(size)
+                new = i if i >= 0 and times[i] >= _least_times(size) else None
+                of = repeating[size, j % size].step(j, new, row, lambda i, s=size, t=times: i + s * t[i], size)
+                if of < math.inf:  # the last block is the repeated one
+                    least = min(least, of + upto[j] - upto[j - size])
             nxt[j] = least
         best = min(best, nxt[n] + orders)
         row = nxt
     return best
 
 
-def scan_text(text: str) -> list[tuple[str, int, int]]:
+def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
+    """The corpus's most frequent words with their ranks, over all texts; ties by the word.
+
+    Values in credential contexts are taken out first, so a secret does not make itself a word.
+    The driver gets ``most`` words at most.
+    """
+    context = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(context), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    counts = words.where(F.length("word").between(*WORD_LENGTH)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect())}
+
+
+def scan_text(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, by start and then kind."""
     spans: list[tuple[str, int, int]] = []
     low = text.lower()
@@ -154,7 +201,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if hinted:
         for m in CONTEXT.finditer(text):
-            if guess_cost(m[1], STRONG) >= STRONG:
+            if guess_cost(m[1], STRONG, ranks) >= STRONG:
                 spans.append(("guess", m.start(1), m.end(1)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
@@ -166,12 +213,17 @@ SCANNED = "doc_id long, kind array<string>, start array<long>, end array<long>"
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end) with arrays of all spans of each whole text.
 
-    Null and empty texts give empty arrays; repeated rows give a row each. Positions are code
-    points, ends exclusive.
+    Words that are guessable are those of COMMON_WORDS and the frequent ones of ``docs``, each by
+    its better rank. Null and empty texts give empty arrays; repeated rows give a row each.
+    Positions are code points, ends exclusive.
     """
+    ranks = dict(_RANK)
+    for word, rank in frequent_words(docs).items():
+        ranks[word] = min(rank, ranks.get(word, rank))
+    sent = shared(docs.sparkSession, ranks)
 
     def scan(batch):
-        found = [scan_text(t or "") for t in batch.column("text").to_pylist()]
+        found = [scan_text(t or "", sent.value) for t in batch.column("text").to_pylist()]
         yield {
             "doc_id": batch.column("doc_id"),
             "kind": [[s[0] for s in f] for f in found],

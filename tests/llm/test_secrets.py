@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import pytest
@@ -76,8 +77,38 @@ def brute_cost(value):
 
 @pytest.mark.parametrize("value", ["pass1999", "qwertyab", "aaaaaa", "abcabcx", "Love2024", "x9!Kq", "testTEST", "asdfgh1", "20240131"])
 def test_cost_is_the_cheapest(value):
-    assert secrets.guess_cost(value) <= brute_cost(value) + 1e-9
-    assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1.0)
+    assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1e-9)
+
+
+@pytest.mark.parametrize("letters", ["adminADM12", "ab1", "09qwer1", "2012-.a"])
+def test_random_values_cost_the_least(letters):
+    rnd = random.Random(letters)
+    for _ in range(150):
+        value = "".join(rnd.choices(letters, k=rnd.randint(1, 10)))
+        if rnd.random() < 0.3:
+            value = value[: rnd.randint(1, 4)] * rnd.randint(1, 5)
+        value = value[:11]
+        assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1e-9), value
+
+
+@pytest.mark.parametrize(
+    ("value", "cost"), [("aaaaaadmin", 3.26), ("pppppassword", 2.62), ("ttttoken", 2.80), ("aaaaadmintttttoken", 6.86), ("bbbbbaseballfffffootball", 8.12), ("dddddragonsssshadow", 7.77)]
+)
+def test_repeats_stop_before_words(value, cost):
+    assert secrets.guess_cost(value) == pytest.approx(cost, abs=0.01) and secrets.guess_cost(value) < secrets.STRONG
+
+
+def test_words_of_the_corpus_are_no_secrets(docs_of):
+    prose = "the information about user accounts follows and informations remain"
+    texts = [prose] * 5 + ["pin is information about", "The login: information about user accounts", "login: xqzvkwpjh", "pwd: kdjqwhzxv", "pwd: kdjqwhzxv", "pwd: kdjqwhzxv"]
+    got = {r["doc_id"]: r["n_guess"] for r in secrets.digest(secrets.find_secrets(docs_of(list(enumerate(texts))))).collect()}
+    assert [got[i] for i in range(len(texts))] == [0] * 7 + [1, 1, 1, 1]  # a repeated secret does not become a word
+
+
+def test_frequent_words(docs_of):
+    ranks = secrets.frequent_words(docs_of([(i, "Éa the THE of\nthe über-über über") for i in range(2)] + [(9, None)]))
+    assert ranks == {"the": 1, "über": 2}
+    assert secrets.frequent_words(docs_of([])) == {}
 
 
 def test_long_values_are_read_whole():
