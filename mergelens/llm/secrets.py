@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared, text_slices
+from .common import checkpoint, map_arrow, shared, text_slices
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -179,12 +179,23 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> dict[str, int]:
     """The corpus's most frequent words with their ranks, over all texts; ties by the word.
 
     Values in credential contexts are taken out first, so a secret does not make itself a word.
-    The driver gets ``most`` words at most.
+    Words are taken by classes of counts (an eighth of a doubling wide) from the highest on, as
+    many classes as have ``most`` words at most: that is what the driver gets, whatever the number of tasks.
     """
     context = F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(context), F.lit(r"(\p{L}+)"), 1)).alias("word"))
     counts = words.where(F.length("word").between(*WORD_LENGTH)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect())}
+    counts = checkpoint(counts.withColumn("class", F.floor(F.log2("n") * 8)))
+    least, held = None, 0
+    for r in counts.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():
+        held += r["words"]
+        if held > most:
+            break
+        least = r["class"]
+    if least is None:
+        return {}
+    kept = counts.where(F.col("class") >= least).select("word", "n").collect()
+    return {r["word"]: i + 1 for i, r in enumerate(sorted(kept, key=lambda r: (-r["n"], r["word"])))}
 
 
 def scan_text(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:

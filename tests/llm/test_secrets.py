@@ -109,6 +109,8 @@ def test_frequent_words(docs_of):
     ranks = secrets.frequent_words(docs_of([(i, "Éa the THE of\nthe über-über über") for i in range(2)] + [(9, None)]))
     assert ranks == {"the": 1, "über": 2}
     assert secrets.frequent_words(docs_of([])) == {}
+    many = docs_of([(i, "one one one one two two three") for i in range(9)])
+    assert secrets.frequent_words(many, 2) == {"one": 1, "two": 2} and secrets.frequent_words(many, 0) == {}
 
 
 def test_long_values_are_read_whole():
