@@ -53,6 +53,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the name with underscores before it that no column of ``df`` has (case does not tell names apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared(spark: SparkSession, value):
     """A broadcast; ``done`` takes it back once all that reads it is checkpointed."""
     return spark.sparkContext.broadcast(value)

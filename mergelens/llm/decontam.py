@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint
+from .common import BROADCAST_ROWS, checkpoint, free_name
 
 #: Six marked positions each; together they hit 98.9% of the 16-token stretches with 2 to 4
 #: random substitutions, the best three found by trying.
@@ -144,7 +144,8 @@ def _best_stretch(tokens: Column, item: Column, diagonal: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     """The rows, all columns, of documents without a verified overlap; null ids stay."""
-    gone = overlaps(docs.select("doc_id", "text"), benchmark, least).select(F.col("doc_id").alias("__gone")).distinct()
+    name = free_name(docs, "__gone")
+    gone = overlaps(docs.select("doc_id", "text"), benchmark, least).select(F.col("doc_id").alias(name)).distinct()
     gone = checkpoint(gone)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -33,6 +33,7 @@ from .common import (
     encoded,
     flag_sketch,
     flagged,
+    free_name,
     mix64,
     shared,
     shuffle_width,
@@ -55,6 +56,7 @@ EXPECTED = 1024
 PART = 4096
 _LINES = 4096  # lines sorted at once: their number has 12 bits beside a token's 52
 _HELD_LINES = 400_000  # described lines that a task holds before it sends them
+_GROUP_TOKENS = 1 << 22  # tokens whose lines a group of lists holds on average at most
 _FLAG_BITS = 23
 #: Kinds of packed rows; part p of a list is of kind _LIST + p.
 _ITEMS, _REMOVED, _LIKELIEST, _OTHERS, _LIST = range(5)
@@ -559,13 +561,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -
     return out
 
 
-def _pairs_in_lists(lists: DataFrame, open_items, pct: int) -> DataFrame:
+def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) -> DataFrame:
     """(item, to, doc, to_doc, line): of packed lists, the open items with all earlier members that pass the filters.
 
     Lists of one part are looked at where they are; the open items of others visit all parts. A
     pair meets in several lists, so pairs travel packed and each is given once.
     """
-    buckets = 2 * shuffle_width(lists.sparkSession)
+    buckets = max(2 * shuffle_width(lists.sparkSession), groups)
 
     def search(x, y):
         """The open items of x against the members y."""
@@ -650,7 +652,8 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
     # key sizes need the lines' number roughly: a token in 32 begins one
     rarity, sizes = shared(spark, rarity_classes(counts)), key_sizes(int(counts.sum()) // 32)
-    buckets = 2 * shuffle_width(spark)
+    # a line's keys are fewer than its tokens, so their number bounds what a group holds
+    buckets = max(2 * shuffle_width(spark), int(counts.sum()) // _GROUP_TOKENS)
     posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(_postings(buckets), _schema(_LISTS_ROW))
     found = checkpoint(posted.groupBy("bucket").applyInArrow(_candidates(pct), _schema(_FOUND_ROW)))
 
@@ -671,7 +674,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     left = checkpoint(_unpacked(found, f"kind >= {_LIST}").where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
     if not left.isEmpty():
         still = _flags(left)
-        more = _pairs_in_lists(lists, still, pct).join(left, "item", "left_semi")
+        more = _pairs_in_lists(lists, still, pct, buckets).join(left, "item", "left_semi")
         more = checkpoint(more.select("item", "to", "doc", "to_doc", "line"))
         done(still)
         matched = matched.unionByName(_verified(more, docs, rarity, pct, least))
@@ -702,13 +705,15 @@ def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> Data
     Lines of fewer than ``least`` distinct words, empty texts, null texts and rows of null id
     stay as they are. Rows that share an id count as one document: their equal lines at equal
     places are one occurrence. Lines are cut at \\n; a text's other lines keep their order.
-    ``removed_lines`` is an array of line numbers from 0, empty if none goes.
+    ``removed_lines`` is an array of line numbers from 0, empty if none goes; it takes the place of
+    a column of that name, so the operator can be applied to its own result.
     """
     gone = repeated_lines(docs.select("doc_id", "text"), pct, least).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    joined = docs.join(_masked(gone).hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left")
-    removed = F.coalesce("__removed", F.array().cast("array<bigint>"))
+    doc, cut, mask = (free_name(docs, c) for c in ("__doc", "__removed", "__mask"))
+    joined = docs.join(_masked(gone).toDF(doc, cut, mask).hint("shuffle_hash"), F.col("doc_id") == F.col(doc), "left")
+    removed = F.coalesce(cut, F.array().cast("array<bigint>"))
     # the mask has a byte for each line, so that a look at one takes no search
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"\1"))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\1"))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns if c.lower() != "removed_lines"]
     return joined.select(*others, removed.alias("removed_lines"))

@@ -2,7 +2,8 @@
 
 Documents with equal sets are one item, named by a hash of the set. Items are joined by
 rare-first prefixes (rarity measured by a counting sketch over all documents) under length,
-positional and suffix filters, and each candidate pair is verified once on the whole sets.
+positional and parity filters; each candidate pair is verified once, by the suffix filter and then
+on the whole sets.
 Links are joined to components in two rounds: long lists first contribute a star, and then
 only pairs of different components, so groups of copies are not expanded into all pairs.
 """
@@ -23,6 +24,7 @@ from .common import (
     encoded,
     flag_sketch,
     flagged,
+    free_name,
     mix64,
     shared,
     shingle_sets,
@@ -33,7 +35,10 @@ from .setjoin import candidate_pairs, least_overlap, parity, prefix_length
 
 WORDS = 5
 PCT = 80
-_FLAG_BITS = 23
+#: Bits of a flag sketch: 16 a value, these at least and at most.
+_FLAG_BITS, _MOST_FLAG_BITS = 23, 30
+#: How often the suffix filter halves two sets.
+_DEPTH = 4
 #: Bits of the parity in postings of the first round and of the second, over long lists alone.
 _FIRST_BITS, _SECOND_BITS = 64, 512
 
@@ -44,7 +49,22 @@ def _sets(texts, k: int):
         yield from shingle_sets(raw[part], k)
 
 
-def _suffix_parity(tokens: np.ndarray) -> bytes:
+def suffix_difference(x: np.ndarray, y: np.ndarray, depth: int = _DEPTH) -> int:
+    """A lower bound of the symmetric difference of two sorted sets.
+
+    Both are split at the middle token of the longer one; what lies below it in one set can only
+    meet what lies below it in the other, and so on for the halves.
+    """
+    if depth == 0 or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    if len(x) < len(y):
+        x, y = y, x
+    middle = len(x) // 2
+    cut = int(np.searchsorted(y, x[middle]))
+    return suffix_difference(x[:middle], y[:cut], depth - 1) + suffix_difference(x[middle:], y[cut:], depth - 1)
+
+
+def _set_parity(tokens: np.ndarray) -> bytes:
     """A parity bitmap of about one bit a token, packed; lengths are powers of two."""
     bits = 64
     while bits < len(tokens):
@@ -59,7 +79,7 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def within_suffix_filter(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes, pct: int = PCT) -> bool:
+def within_parity_filter(n_a: int, sig_a: bytes, n_b: int, sig_b: bytes, pct: int = PCT) -> bool:
     """Whether the parity bitmaps leave room for an overlap that reaches pct/100."""
     a, b = np.frombuffer(sig_a, np.uint8), np.frombuffer(sig_b, np.uint8)
     size = min(len(a), len(b))
@@ -88,7 +108,7 @@ def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
                 item.append(_item(s) if m else None)
                 sig.append(parity(s, _FIRST_BITS).tobytes())
                 wide.append(parity(s, _SECOND_BITS).tobytes())
-                big.append(_suffix_parity(s))
+                big.append(_set_parity(s))
                 p = prefix_length(m, pct) if m else 0
                 rare = np.lexsort((s, counts.value[(s & mask).astype(np.int64)]))[:p]
                 prefix.append(s[rare].tobytes())
@@ -99,9 +119,10 @@ def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, item long, sig binary, wide binary, big binary, prefix binary")
 
 
-def flags_of(df: DataFrame, *columns: str, bits: int = _FLAG_BITS) -> np.ndarray:
-    """Which residues the mixed values of the columns have: a filter of fixed size."""
-    return flag_sketch(df, list(columns), bits)
+def flags_of(df: DataFrame, *columns: str) -> np.ndarray:
+    """Which residues the mixed values of the columns have: a filter sized by the number of rows."""
+    bits = (16 * len(columns) * max(df.count(), 1)).bit_length()
+    return flag_sketch(df, list(columns), min(_MOST_FLAG_BITS, max(_FLAG_BITS, bits)))
 
 
 def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
@@ -121,17 +142,17 @@ def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: int) -> DataFrame:
-    """The candidate pairs (a, b) of items that pass the suffix filter and then the exact test."""
+    """The candidate pairs (a, b) of items that pass the parity and suffix filters and then the exact test."""
     side = lambda c: items.select(*[F.col(x).alias(f"{x}_{c}" if x != "item" else c) for x in ("item", "n", "big", "rep")])
 
-    def suffix(batches):
+    def by_parity(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("n_a", "big_a", "n_b", "big_b")]
-            ok = [within_suffix_filter(*x, pct) for x in zip(*cols, strict=True)]
+            ok = [within_parity_filter(*x, pct) for x in zip(*cols, strict=True)]
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(c) for c in ("a", "b", "rep_a", "rep_b")], names=["a", "b", "rep_a", "rep_b"])
 
-    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long, rep_a long, rep_b long"))
+    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(by_parity, "a long, b long, rep_a long, rep_b long"))
     wanted = shared(docs.sparkSession, flags_of(left, "a", "b", "rep_a", "rep_b"))
     sets = _sets_of(docs, wanted, k)
 
@@ -140,6 +161,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: in
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                total = len(x) + len(y)
+                if suffix_difference(x, y) > total - 2 * int(least_overlap(total, pct)):
+                    ok.append(False)
+                    continue
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -203,7 +228,8 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataF
         .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
         .select("a", "b")
     )
-    more = checkpoint(more.unionByName(apart).distinct())
+    # a pair that failed in the first round is not tried again
+    more = checkpoint(more.unionByName(apart).distinct().join(tried, ["a", "b"], "left_anti"))
     done(live, counts)
     # the texts of a repeated id are linked as well
     own = usable.select("doc_id", "item").distinct()
@@ -231,5 +257,6 @@ def keep_one(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
     Rows of null id stay; rows that repeat a kept id all stay.
     """
     found = jaccard_components(docs.select("doc_id", "text"), k, pct)
-    gone = found.where("doc_id is not null and component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "__gone")
+    gone = found.where("doc_id is not null and component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")

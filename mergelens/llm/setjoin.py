@@ -21,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import flagged, mix64, shuffle_width
 
 HOT = 200_000
+#: Postings that a task's group holds on average at most.
+GROUP = 1 << 20
 _CLASS_STEP = 1.25
 
 PAIRS = "a long, b long, place long, list long"
@@ -123,7 +126,8 @@ def candidate_pairs(
     if ``labelled``.
     """
     spark = items.sparkSession
-    buckets = 4 * shuffle_width(spark)
+    posted = items.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    buckets = max(4 * shuffle_width(spark), -(-posted // (8 * GROUP)))
     columns = ["item", "n", "sig", "place", *(["label"] if labelled else [])]
     blobs = items.select(*columns, "prefix", "probe").mapInArrow(
         _postings(columns, counts, live, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in ("key", "pos", "role", *columns))

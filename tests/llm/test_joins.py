@@ -1,13 +1,15 @@
 """The two set joins against brute force."""
 
 import itertools
+import random
 from collections import defaultdict
 
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from mergelens.llm import lines, njoin, setjoin
+from mergelens.llm import decontam, lines, njoin, setjoin
 
 
 def brute_components(rows):
@@ -146,5 +148,67 @@ def test_filters_lose_no_pair(x, y):
     px, py = (set(sorted(s)[: setjoin.prefix_length(len(s), 80)]) for s in (x, y))
     assert px & py
     assert len(x & y) >= setjoin.least_overlap(len(x) + len(y), 80)
-    bits = [njoin._suffix_parity(np.array(sorted(s), np.uint64)) for s in (x, y)]
-    assert njoin.within_suffix_filter(len(x), bits[0], len(y), bits[1])
+    bits = [njoin._set_parity(np.array(sorted(s), np.uint64)) for s in (x, y)]
+    assert njoin.within_parity_filter(len(x), bits[0], len(y), bits[1])
+
+
+@given(st.sets(st.integers(0, 200)), st.sets(st.integers(0, 200)))
+def test_suffix_bound_is_never_above_the_difference(x, y):
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    for depth in range(6):
+        assert abs(len(x) - len(y)) <= njoin.suffix_difference(a, b, depth) <= len(x ^ y)
+
+
+def test_no_pair_is_verified_twice(docs_of, monkeypatch):
+    """Many pairs a little below the limit fail in the first round and stay apart."""
+    rnd = random.Random(1)
+    base = [[f"w{g}x{i}" for i in range(60)] for g in range(20)]
+    rows = []
+    for g, words in enumerate(base):
+        for c in range(8):
+            own = list(words)
+            for at in rnd.sample(range(60), rnd.choice([1, 2, 3])):
+                own[at] = f"o{g}_{c}_{at}"
+            rows.append((len(rows), " ".join(own)))
+    seen = []
+    real = njoin._verify
+
+    def verify(pairs, *rest):
+        seen.append({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()})
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(njoin, "_verify", verify)
+    assert sorted(map(tuple, njoin.jaccard_components(docs_of(rows)).collect())) == brute_components(rows)
+    assert len(seen) == 2 and seen[0] and not seen[0] & seen[1]
+    assert not {(b, a) for a, b in seen[0]} & seen[1]
+
+
+def test_groups_grow_in_number_not_in_size(docs_of, monkeypatch):
+    """At a fixed setting of shuffle partitions five times the rows make more groups."""
+    rnd = random.Random(2)
+    monkeypatch.setattr(setjoin, "GROUP", 50)
+    sizes = {}
+    real = setjoin._postings
+    monkeypatch.setattr(setjoin, "_postings", lambda columns, counts, live, buckets: sizes.setdefault(n, buckets) and real(columns, counts, live, buckets))
+    for n in (200, 1000):
+        rows = [(i, " ".join(rnd.choices([f"v{j}" for j in range(5000)], k=40))) for i in range(n)]
+        njoin.jaccard_components(docs_of(rows)).count()
+    assert 16 < sizes[200] < 40 and 4 <= sizes[1000] / sizes[200] <= 6
+
+
+def test_clashing_names_and_a_second_run(spark):
+    rows = [(1, "a b c d\nx y z w"), (2, "a b c d\nq r s t"), (3, "a b c d e f g h"), (4, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__doc", "__mask", "__removed", "__gone", "___gone", "removed_lines"):
+        df = df.withColumn(name, F.lit(name))
+    once = lines.dedup_lines(df)
+    assert sorted(once.columns) == sorted(df.columns)
+    got = {r["doc_id"]: r for r in once.collect()}
+    assert got[2]["text"] == "q r s t" and got[2]["removed_lines"] == [0] and got[2]["__doc"] == "__doc" and got[1]["removed_lines"] == []
+    again = {r["doc_id"]: r for r in lines.dedup_lines(once).collect()}
+    assert {i: r["text"] for i, r in again.items()} == {i: r["text"] for i, r in got.items()} and again[2]["removed_lines"] == []
+    kept = njoin.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    left = decontam.drop_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2]
