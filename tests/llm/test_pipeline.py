@@ -26,5 +26,5 @@ def test_empty_table(spark, sf):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_join", "decontamination", "packing"]
