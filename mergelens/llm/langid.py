@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its subwords (character 1- to 4-grams of each letter
 run, in boundary marks, hashed into a fixed number of rows); a linear layer and a softmax give
 the languages' probabilities. Embeddings and layer are trained together by stochastic gradient
-descent in numpy on the driver, on a bounded sample of labelled rows. A temperature fitted on
-rows kept out of training calibrates the probabilities; a text whose probability is below the
-calibrated threshold is marked as rejected.
+descent in numpy on the driver, on the subword counts of a bounded sample of labelled rows,
+which tasks take from their whole texts. A temperature that depends on a text's length, fitted
+on whole documents kept out of training, calibrates the probabilities; a text whose probability
+is below the calibrated threshold is marked as rejected.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from .common import id_remainder, mix64, text_slices
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Bound of the labelled sample for training, for each language, and of the stretches drawn from all of a text's.
-MAX_LABELLED = 1000
-STRETCHES, STRETCH_WORDS = 4, 40
+#: Bounds of the sample for training: labelled rows of each language, and languages.
+MAX_LABELLED, MAX_LANGUAGES = 1000, 256
 UNDETERMINED = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -59,11 +59,13 @@ class LanguageModel:
     langs: list[str]
     scores: np.ndarray  # BUCKETS x langs: each row's embedding times the linear layer
     bias: np.ndarray
-    temperature: float
+    temperature: float  # of a text of one subword
+    power: float  # of a text's number of subwords, that its temperature falls with
     threshold: float
 
     def logits(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        count = np.maximum(count, 1)[:, None]
+        return (total / count + self.bias) * count**self.power / self.temperature
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -71,81 +73,107 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], dim: int = DIM, epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 5) -> LanguageModel:
-    """Fit by SGD on three quarters of the rows; the rest calibrates."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their counts) of a whole text's subwords: BUCKETS numbers at most, however long it is."""
+    total = np.zeros(BUCKETS, np.int64)
+    runs = letter_runs(text)
+    for i in range(0, len(runs), 20_000):
+        total += np.bincount(subwords(runs[i : i + 20_000])[0], minlength=BUCKETS)
+    rows = np.flatnonzero(total)
+    return rows, total[rows].astype(np.float32)
+
+
+def train(texts: list[str], labels: list[str], **more) -> LanguageModel:
+    """Fit to whole texts; those without a letter are left out."""
+    features = [counted(t) for t in texts]
+    some = [i for i, (rows, _) in enumerate(features) if len(rows)]
+    return train_counted([features[i] for i in some], [labels[i] for i in some], **more)
+
+
+def _held_out(ys: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A quarter of each language's documents; a language of fewer than four keeps all for training."""
+    held = np.zeros(len(ys), bool)
+    for y in np.unique(ys):
+        own = rng.permutation(np.flatnonzero(ys == y))
+        held[own[: len(own) // 4]] = True
+    return held
+
+
+def train_counted(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = DIM, epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 5) -> LanguageModel:
+    """Fit by SGD on three quarters of the documents; the others, whole, calibrate."""
     langs = sorted(set(labels))
-    feats, ys = [], []
+    number = {lang: i for i, lang in enumerate(langs)}
+    ys = np.array([number[x] for x in labels])
     rng = np.random.default_rng(seed)
-    for text, lab in zip(texts, labels, strict=True):
-        runs = letter_runs(text)
-        # stretches from anywhere in the text, so that short texts are learnt as well
-        starts = range(0, len(runs), STRETCH_WORDS)
-        drawn = rng.permutation(len(starts))[:STRETCHES]
-        for at in (starts[i] for i in drawn):
-            feats.append(subwords(runs[at : at + STRETCH_WORDS])[0])
-            ys.append(langs.index(lab))
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
     out, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
-    order = rng.permutation(len(feats))
-    cut = max(1, len(order) * 3 // 4)
-    fit, held = order[:cut], order[cut:]
+    held = _held_out(ys, rng)
+    fit, held = np.flatnonzero(~held), np.flatnonzero(held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         turn = rng.permutation(fit)
         for some in (turn[i : i + batch] for i in range(0, len(turn), batch)):
-            sizes = np.array([len(feats[i]) for i in some])
-            flat, of = np.concatenate([feats[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
-            mean = np.add.reduceat(emb[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes[:, None]
+            sizes = np.array([len(features[i][0]) for i in some])
+            flat, of = np.concatenate([features[i][0] for i in some]), np.repeat(np.arange(len(some)), sizes)
+            share = np.concatenate([features[i][1] / features[i][1].sum() for i in some])[:, None]
+            mean = np.add.reduceat(emb[flat] * share, np.concatenate(([0], np.cumsum(sizes)[:-1])))
             p = _softmax(mean @ out + bias)
-            p[np.arange(len(some)), [ys[i] for i in some]] -= 1
-            back = (p @ out.T / sizes[:, None])[of]
+            p[np.arange(len(some)), ys[some]] -= 1
+            back = (p @ out.T)[of] * share
             out -= step * mean.T @ p / len(some) * 8
             bias -= 0.1 * step * p.mean(axis=0)
             for d in range(dim):
                 emb[:, d] -= 2 * step * np.bincount(flat, back[:, d], minlength=BUCKETS)
-    scores = emb @ out
-    temperature, threshold = 1.0, 0.0
+    model = LanguageModel(langs, emb @ out, bias, 1.0, 0.0, 0.0)
     if len(held):
-        z = np.array([scores[feats[i]].mean(axis=0) + bias for i in held])
-        y = np.array([ys[i] for i in held])
-        grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        p = _softmax(z / temperature)
+        sizes = np.array([features[i][1].sum() for i in held], float)
+        z = np.array([features[i][1] @ model.scores[features[i][0]] for i in held])
+        y, at = ys[held], np.arange(len(held))
+        best = np.inf
+        for power in (0.0, 0.125, 0.25, 0.375, 0.5):
+            for temperature in np.geomspace(0.05, 50, 60):
+                tried = LanguageModel(langs, model.scores, bias, float(temperature), power, 0.0)
+                loss = -np.log(_softmax(tried.logits(z, sizes))[at, y] + 1e-12).mean()
+                if loss < best:
+                    best, model = loss, tried
+        p = _softmax(model.logits(z, sizes))
         right = p.max(axis=1)[p.argmax(axis=1) == y]
-        threshold = float(np.quantile(right, 0.005)) if len(right) else 0.0
-    return LanguageModel(langs, scores, bias, temperature, threshold)
+        model.threshold = float(np.quantile(right, 0.005)) if len(right) else 0.0
+    return model
 
 
-def _excerpts(batches):
-    """The drawn stretches of each text, from anywhere in it, in place of the text."""
+def _counts(batches):
+    """Each whole text's counted subwords in place of the text; none for texts without a letter."""
     import pyarrow as pa
 
     for batch in (part for whole in batches for part in text_slices(whole)):
-        out = []
-        for text, draw in zip(batch.column("text").to_pylist(), batch.column("draw").to_pylist(), strict=True):
-            runs = letter_runs(text)
-            starts = np.random.default_rng(draw).permutation(range(0, len(runs), STRETCH_WORDS))[:STRETCHES].tolist()
-            out.append(" ".join(w for at in starts for w in runs[at : at + STRETCH_WORDS]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("lang"), batch.column("draw")], names=["text", "lang", "draw"])
+        found = [counted(t) for t in batch.column("text").to_pylist()]
+        some = [i for i, (rows, _) in enumerate(found) if len(rows)]
+        blobs = [pa.array([found[i][j].astype(kind).tobytes() for i in some], pa.binary()) for j, kind in enumerate(("<i4", "<f4"))]
+        taken = pa.array(some, pa.int64())
+        yield pa.RecordBatch.from_arrays([*blobs, batch.column("lang").take(taken), batch.column("draw").take(taken)], names=["rows", "counts", "lang", "draw"])
 
 
-def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel | None:
-    """Train on about ``max_labelled`` labelled rows of each language at most, drawn by a hash of the id.
+def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED, max_languages: int = MAX_LANGUAGES) -> LanguageModel | None:
+    """Train on the whole texts of about ``max_labelled`` labelled rows of each language at most.
 
-    So a rare language is learnt as well. Rows of null text or lang, or whose crc32(doc_id) is
-    divisible by 5, are not looked at; the driver gets STRETCHES * STRETCH_WORDS words of a row
-    at most. None if there is no row with a letter to learn from.
+    They are drawn by a hash of id and text, so a rare language is learnt as well, and equal
+    rows count once. Of more than ``max_languages`` values of lang those with most rows are
+    learnt, ties by name. Rows of null text or lang, or whose crc32(doc_id) is divisible by 5,
+    are not looked at. The driver gets BUCKETS counts of a row at most. None if there is no row
+    with a letter to learn from.
     """
     rows = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0)
-    ).select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    # one row a language
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1 << 30), F.lit((1 << 30) * max_labelled) / F.count("*")).alias("below"))
-    drawn = rows.join(F.broadcast(shares), "lang").where("draw < below").select("text", "lang", "draw")
-    kept = drawn.mapInArrow(_excerpts, "text string, lang string, draw long").where("text != ''").collect()
-    kept = sorted((r["draw"], r["lang"], r["text"]) for r in kept)
-    return train([r[2] for r in kept], [r[1] for r in kept]) if kept else None
+    ).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
+    # max_languages rows at most
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    shares = shares.select("lang", F.least(F.lit(1 << 30), F.lit((1 << 30) * max_labelled) / F.col("n")).alias("below"))
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("below")).select("text", "lang", "draw")
+    kept = drawn.mapInArrow(_counts, "rows binary, counts binary, lang string, draw long").dropDuplicates(["lang", "draw"]).collect()
+    kept = sorted(kept, key=lambda r: (r["draw"], r["lang"]))
+    features = [(np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in kept]
+    return train_counted(features, [r["lang"] for r in kept]) if kept else None
 
 
 class Scorer:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mergelens.llm import langid
@@ -57,3 +58,40 @@ def test_a_rare_language_is_learnt(spark):
     rows = [(i, "der hund und das haus", "de") for i in range(3000)] + [(5000 + i, "qua quo quibus", "la") for i in range(8)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_labelled=50)
     assert model.langs == ["de", "la"]
+
+
+def test_predictions_equal_a_plain_mean_over_whole_texts(spark):
+    """Against every subword of a text looked up one by one; texts of several batches of words too."""
+    df = sample(spark, 80)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()] + [(1000, "schung  eion " * 15_000)]
+    model = langid.fit(df)
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect()}
+    for i, text in rows:
+        total, n = np.zeros(len(model.langs)), 0
+        for word in langid.letter_runs(text):
+            for row in langid.subwords([word])[0]:
+                total += model.scores[row]
+                n += 1
+        z = (total / n + model.bias) * n**model.power / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert got[i]["lang_pred"] == model.langs[int(p.argmax())]
+        assert abs(got[i]["score"] - p.max()) < 1e-6
+
+
+def test_counts_cover_whole_texts_and_documents_stay_on_one_side():
+    rows, counts = langid.counted("ab " * 50_000 + "zq")
+    assert counts.sum() == 50_000 * len(langid.subwords(["ab"])[0]) + len(langid.subwords(["zq"])[0])
+    assert set(langid.subwords(["zq"])[0]) <= set(rows.tolist())
+    ys = np.array([0] * 40 + [1] * 3 + [2])
+    held = langid._held_out(ys, np.random.default_rng(0))
+    assert held[:40].sum() == 10 and not held[40:].any()
+
+
+def test_many_languages_and_repeated_rows_are_bounded(spark):
+    rows = [(i, f"w{chr(97 + i % 26)} text", f"l{i % 40}") for i in range(200)] + [(None, "der hund", "de")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id is not null"), max_languages=7)
+    assert len(model.langs) == 7
+    got = langid.identify_languages(df).groupBy("held_out").count().collect()
+    assert sum(r["count"] for r in got) == 700
