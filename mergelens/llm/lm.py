@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import batches_of_text, checkpoint, encoded, id_remainder, text_slices, word_hashes
 
 NEURAL = 2048
-CLASS_SIZE = 32
+CLASS_SIZE = 64
 #: Classes of the other frequent words, by powers of four of their counts.
 BANDS = 12
 #: Bound of the table of frequent words that every executor gets.
@@ -38,11 +38,14 @@ FREQUENT = 1 << 18
 EMBED, HIDDEN = 24, 24
 WINDOW = 24
 ROUNDS = 2
-#: Streams of texts that run side by side, and bytes of text dealt to them at once: every copy
-#: begins with short steps on its first bytes.
-STREAMS, FIRST_STREAMS = 256, 32
-DEALT_BYTES, FIRST_BYTES = 24 << 20, 1 << 18
+#: Streams of texts that run side by side at most, the steps that training on a slice of texts
+#: takes at least where it can (by fewer streams), and bytes of text dealt to them at once.
+STREAMS, STEPS = 128, 64
+DEALT_BYTES = 24 << 20
 _COUNT_TOKENS = 4 << 20
+#: Rows of the network's output that are worked on at once, and of a class within these.
+_ROWS, _BLOCK = 1536, 16
+_LEAST = 8  # streams
 #: Parts that a copy's parameters are averaged in, each by a task of its own.
 PARTS = 16
 
@@ -190,100 +193,154 @@ def start_parameters(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The matrices of a stack transposed."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+#: The gates' arguments are kept negated, and the new state's times -2, so that exp gives
+#: sigmoid as 1 / (1 + exp) and tanh as 2 / (1 + exp) - 1.
+_SCALE = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
 
 
 def _forward(p, table: np.ndarray, x: np.ndarray, h: np.ndarray, goes_on=None):
     """States after each step of a window: x is (steps, texts); table is emb @ wx + b.
 
-    Where ``goes_on`` (of x's shape) is 0 a new text begins, from the zero state.
+    Where ``goes_on`` (of x's shape) is 0 a new text begins, from the zero state. Returns the
+    states, what ``_backward`` needs, and the last states.
     """
-    states, kept = [], []
     k = HIDDEN
-    for t, ids in enumerate(x):
-        if goes_on is not None:
-            h = h * goes_on[t][:, None]
-        a, g = table[ids], h @ p["wh"]
-        zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-        kept.append((h, z, r, n, g[:, 2 * k :]))
-        h = n + z * (h - n)
-        states.append(h)
-    return states, kept, h
-
-
-def _softmax(z: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log probabilities of the chosen places; ``z``, held within 60 of 0, is turned into all probabilities."""
+    # one column a text, so that each gate lies together
+    acts = _turned((table * _SCALE).take(x, axis=0))
+    wh, h = np.ascontiguousarray((p["wh"] * _SCALE).T), np.ascontiguousarray(h.T)
+    products = np.empty_like(acts)
+    states = np.empty((len(x), k, x.shape[1]), acts.dtype)
+    begins = np.zeros(len(x), bool) if goes_on is None else (goes_on == 0).any(axis=1)
+    before = h
+    for t in range(len(x)):
+        if begins[t]:
+            h = h * goes_on[t]
+        if t == 0:
+            before = h
+        a, g, new = acts[t], np.matmul(wh, h, out=products[t]), states[t]
+        gates, n = a[: 2 * k], a[2 * k :]
+        gates += g[: 2 * k]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        n += np.multiply(gates[k:], g[2 * k :], out=new)
+        np.exp(n, out=n)
+        n += 1
+        np.divide(2, n, out=n)
+        n -= 1
+        np.subtract(h, n, out=new)
+        new *= gates[:k]
+        new += n
+        h = new
+    return _turned(states), (before, acts, products, states), h.T
+
+
+def _softmax(z: np.ndarray, at: np.ndarray, chosen: np.ndarray, whole: bool) -> np.ndarray:
+    """Log probabilities of the chosen places; ``z``, held within 60 of 0, is turned into all probabilities if ``whole``."""
     np.clip(z, -60, 60, out=z)
     own = z[at, chosen]
     np.exp(z, out=z)
-    total = z.sum(axis=1)
-    z *= (1 / total)[:, None]
-    return own - np.log(total)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if whole:
+        z *= (1 / total)[:, None]
+    own -= np.log(total)
+    return own
 
 
 def _output(p, h, cls, slot, grads=None):
     """Natural log probabilities of (class, place) given the states; adds gradients to grads."""
     at = np.arange(len(h))
-    d = h @ p["wc"]
-    d += p["bc"]
-    out = _softmax(d, at, cls)
-    if grads is not None:
-        d[at, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(axis=0)
-        back = d @ p["wc"].T
-    own = np.flatnonzero(slot >= 0)
-    order = own[np.argsort(cls[own], kind="stable")]
-    hs, slots = h[order], slot[order]
-    more, backs = np.empty(len(order), h.dtype), np.empty_like(hs)
-    cuts = np.flatnonzero(np.diff(np.concatenate(([-1], cls[order], [-1]))))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        c = int(cls[order[a]])
-        s = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        rows, wi = hs[a:b], p["wi"][s]
-        d = rows @ wi.T
-        d += p["bi"][s]
-        more[a:b] = _softmax(d, at[: b - a], slots[a:b])
+    out, back = np.empty(len(h), h.dtype), np.empty_like(h) if grads is not None else None
+    over = np.ascontiguousarray(p["wc"].T)
+    # all classes of a block of rows fit in a core's cache
+    for i in range(0, len(h), _ROWS):
+        rows, own = h[i : i + _ROWS], cls[i : i + _ROWS]
+        d = rows @ p["wc"]
+        d += p["bc"]
+        out[i : i + _ROWS] = _softmax(d, at[: len(rows)], own, grads is not None)
         if grads is not None:
-            d[at[: b - a], slots[a:b]] -= 1
-            grads["wi"][s] += d.T @ rows
-            grads["bi"][s] += d.sum(axis=0)
-            np.matmul(d, wi, out=backs[a:b])
-    out[order] += more
+            d[at[: len(rows)], own] -= 1
+            grads["wc"] += rows.T @ d
+            grads["bc"] += d.sum(axis=0)
+            np.matmul(d, over, out=back[i : i + _ROWS])
+    own = np.flatnonzero(slot >= 0)
+    if len(own):
+        _places(p, h, own, cls, slot, out, back, grads)
+    return out if grads is None else (out, back)
+
+
+def _places(p, h, own, cls, slot, out, back, grads) -> None:
+    """Adds log p(place | class) of the rows ``own`` to ``out``, by blocks of rows of one class.
+
+    A class's rows fill its blocks up from the first; what is left of its last one is padding.
+    """
+    k = HIDDEN
+    own = own[np.argsort(cls[own].astype(np.int16), kind="stable")]
+    classes = cls[own]
+    begin = np.flatnonzero(np.diff(classes, prepend=-1))
+    size = np.diff(begin, append=len(own))
+    used, blocks = classes[begin], -(-size // _BLOCK)
+    first_block = np.concatenate(([0], np.cumsum(blocks)))
+    place = np.arange(len(own)) + np.repeat(first_block[:-1] * _BLOCK - begin, size)
+    n = int(first_block[-1])
+    of = np.repeat(used, blocks)
+    rows, chosen = np.zeros((n * _BLOCK, k), h.dtype), np.zeros(n * _BLOCK, np.intp)
+    rows[place], chosen[place] = h[own], slot[own]
+    wi = p["wi"].reshape(-1, CLASS_SIZE, k)[of]
+    stacked = rows.reshape(n, _BLOCK, k)
+    d = stacked @ wi.transpose(0, 2, 1)
+    d += p["bi"].reshape(-1, 1, CLASS_SIZE)[of]
+    flat, at = d.reshape(n * _BLOCK, CLASS_SIZE), np.arange(n * _BLOCK)
+    out[own] += _softmax(flat, at, chosen, grads is not None)[place]
     if grads is None:
-        return out
-    back[order] += backs
-    return out, back
+        return
+    flat[at, chosen] -= 1
+    padding = np.ones(n * _BLOCK, bool)
+    padding[place] = False
+    flat[padding] = 0
+    grads["wi"].reshape(-1, CLASS_SIZE, k)[used] += np.add.reduceat(d.transpose(0, 2, 1) @ stacked, first_block[:-1], axis=0)
+    grads["bi"].reshape(-1, CLASS_SIZE)[used] += np.add.reduceat(d.sum(axis=1), first_block[:-1], axis=0)
+    back[own] += (d @ wi).reshape(-1, k)[place]
 
 
 def _backward(p, grads, x, kept, d_states, goes_on):
     """Backpropagation through one window, within each text."""
     k = HIDDEN
+    first, acts, products, states = kept
+    z, r, n = acts[:, :k], acts[:, k : 2 * k], acts[:, 2 * k :]
+    before = np.concatenate((first[None], states[:-1] * goes_on[1:, None].astype(states.dtype)))
+    # each step's derivatives but for what comes back to it, for the whole window at once
+    by_new = (1 - z) * (1 - n * n)
+    by_update = (before - n) * z * (1 - z)
+    by_reset = products[:, 2 * k :] * r * (1 - r)
+    by_reset *= -0.5  # the scale that the products are kept in
+    begins = (goes_on == 0).any(axis=1)
+    da, dg = np.empty_like(acts), np.empty_like(acts)
+    d_states = _turned(d_states)
     dh = np.zeros_like(d_states[0])
-    da, dg = (np.empty((*d_states.shape[:2], 3 * k), d_states.dtype) for _ in range(2))
-    back = np.ascontiguousarray(p["wh"].T)
     for t in range(len(x) - 1, -1, -1):
-        h, z, r, n, gn = kept[t]
         dh += d_states[t]
         a, g = da[t], dg[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        a[:, :k] = dh * (h - n) * z * (1 - z)
-        a[:, k : 2 * k] = dn * gn * r * (1 - r)
-        a[:, 2 * k :] = dn
-        g[:, : 2 * k] = a[:, : 2 * k]
-        g[:, 2 * k :] = dn * r
-        dh *= z
-        dh += g @ back
-        dh *= goes_on[t][:, None]
-    grads["wh"] += np.concatenate([h for h, *_ in kept]).T @ dg.reshape(-1, 3 * k)
+        dn = np.multiply(dh, by_new[t], out=a[2 * k :])
+        np.multiply(dh, by_update[t], out=a[:k])
+        np.multiply(dn, by_reset[t], out=a[k : 2 * k])
+        g[: 2 * k] = a[: 2 * k]
+        np.multiply(dn, r[t], out=g[2 * k :])
+        dh *= z[t]
+        dh += p["wh"] @ g
+        if begins[t]:
+            dh *= goes_on[t]
+    grads["wh"] += (before @ dg.transpose(0, 2, 1)).sum(axis=0)
     # one row for each word of the window
-    order = np.argsort(x, axis=None, kind="stable")
+    order = np.argsort(x.astype(np.int16), axis=None, kind="stable")
     ids = x.ravel()[order]
     cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    d_table, ids = np.add.reduceat(da.reshape(-1, 3 * k)[order], cut), ids[cut]
+    d_table, ids = np.add.reduceat(_turned(da).reshape(-1, 3 * k)[order], cut), ids[cut]
     grads["b"] += d_table.sum(axis=0)
     grads["wx"] += p["emb"][ids].T @ d_table
     grads["emb"][ids] += d_table @ p["wx"].T
@@ -345,8 +402,8 @@ def train_copy(p0: dict, vocab: Vocabulary, slices, rate: float):
     """Train a copy of the parameters by Adam on lists of texts in turn; (parameters, tokens)."""
     adam = _Adam(p0, rate)
     tokens = 0
-    for i, texts in enumerate(slices):
-        tokens += _train_slice(adam, vocab, texts, STREAMS if i else FIRST_STREAMS)
+    for texts in slices:
+        tokens += _train_slice(adam, vocab, texts)
     return adam.p, tokens
 
 
@@ -372,7 +429,7 @@ def _streams(first: np.ndarray, streams: int) -> tuple[np.ndarray, np.ndarray]:
     return place, length
 
 
-def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], streams: int) -> int:
+def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], streams: int = STREAMS) -> int:
     """One pass over the texts, dealt to streams that run side by side; a text's state is carried
     from window to window of its stream, and the next text begins anew."""
     p, grads = adam.p, adam.grads
@@ -382,7 +439,7 @@ def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], stream
     prev[first[:-1]] = vocab.inputs - 1
     begins = np.zeros(len(h_all), bool)
     begins[first[:-1]] = True
-    place, length = _streams(first, streams)
+    place, length = _streams(first, min(streams, max(_LEAST, len(h_all) // (WINDOW * STEPS))))
     if not len(length):
         return 0
     h = np.zeros((len(length), HIDDEN), np.float32)
@@ -394,7 +451,7 @@ def _train_slice(adam: _Adam, vocab: Vocabulary, texts: list[str | None], stream
         x, goes_on = prev[idx], (~begins[idx]).astype(np.float32)
         table = p["emb"] @ p["wx"] + p["b"]
         states, kept, h = _forward(p, table, x, h[:k], goes_on)
-        flat, sel = np.stack(states), slice(None) if whole else np.flatnonzero(there.ravel())
+        flat, sel = states, slice(None) if whole else np.flatnonzero(there.ravel())
         of, rows = idx.ravel()[sel], flat.reshape(-1, HIDDEN)[sel]
         _, d = _output(p, rows, cls[of], slot[of], grads)
         if not whole:
@@ -434,14 +491,14 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             p0, voc = sent.value
 
             def slices():
-                held, total, most = [], 0, FIRST_BYTES
+                held, total = [], 0
                 for batch in (part for whole in batches for part in text_slices(whole)):
                     for text in batch.column("text").to_pylist():
                         held.append(text)
                         total += len(text or "")
-                        if total >= most:
+                        if total >= DEALT_BYTES:
                             yield held
-                            held, total, most = [], 0, DEALT_BYTES
+                            held, total = [], 0
                 if held:
                     yield held
 
@@ -484,7 +541,7 @@ def score_texts(p: dict, vocab: Vocabulary, h: np.ndarray, first: np.ndarray, st
         there = slice(None) if int(length[k - 1]) >= at + len(idx) else ((at + np.arange(len(idx)))[:, None] < length[:k]).ravel()
         states, _, state = _forward(p, table, prev[idx], state[:k], (~begins[idx]).astype(np.float32))
         idx = idx.ravel()[there]
-        logp[idx] += _output(p, np.stack(states).reshape(-1, HIDDEN)[there], cls[idx], slot[idx])
+        logp[idx] += _output(p, states.reshape(-1, HIDDEN)[there], cls[idx], slot[idx])
     return np.add.reduceat(logp, first[:-1]) if len(first) > 1 else np.empty(0), counts
 
 
