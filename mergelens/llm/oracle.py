@@ -69,8 +69,11 @@ FROM d LEFT JOIN removed USING (doc_id)
 """
 
 
-def _seeds(table: str, key: str) -> str:
-    parts = []
+def _seeds(table: str, key: str, all_lengths: bool) -> str:
+    """Seeds of all masks, and of whole short items: at all their lengths, or at the row's own."""
+    least = min(map(len, decontam.MASKS))
+    lengths = f"(SELECT DISTINCT len(t) AS n FROM b WHERE len(t) > 0 AND len(t) < {least}) JOIN {table} ON len(t) {'>=' if all_lengths else '='} n"
+    parts = [f"SELECT {key}, p AS pos, 'whole ' || array_to_string(t[p + 1:p + n], ' ') AS seed FROM (SELECT {key}, t, n, unnest(range(len(t) - n + 1)) AS p FROM {lengths})"]
     for number, mask in enumerate(decontam.MASKS):
         marks = ", ".join(f"t[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
         parts.append(
@@ -87,8 +90,8 @@ def _tokens(text: str) -> str:
 OVERLAPS = f"""
 WITH d AS (SELECT doc_id, {_tokens("text")} AS t FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT MIN(item_id) AS item_id, t FROM (SELECT item_id, {_tokens("text")} AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY t),
-ds AS ({_seeds("d", "doc_id")}),
-bs AS ({_seeds("b", "item_id")}),
+ds AS ({_seeds("d", "doc_id", True)}),
+bs AS ({_seeds("b", "item_id", False)}),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (seed)),
 cells AS (
   SELECT doc_id, item_id, diagonal, i, b_len,
@@ -97,7 +100,8 @@ cells AS (
         FROM hits JOIN d USING (doc_id) JOIN b USING (item_id))
 ),
 sums AS (
-  SELECT *, SUM(CASE WHEN same = 1 THEN {decontam.MATCH} ELSE {decontam.MISMATCH} END) OVER w AS p, SUM(same) OVER w AS k
+  SELECT *, SUM(CASE WHEN same = 1 THEN {decontam.MATCH} ELSE {decontam.MISMATCH} END) OVER w AS p, SUM(same) OVER w AS k,
+         SUM(same) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i ROWS BETWEEN {decontam.STRETCH - 1} PRECEDING AND CURRENT ROW) AS near
   FROM cells WINDOW w AS (PARTITION BY doc_id, item_id, diagonal ORDER BY i)
 ),
 lows AS (
@@ -106,6 +110,7 @@ lows AS (
 ),
 runs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p - low DESC, i) AS place FROM lows),
 best AS (SELECT doc_id, item_id, diagonal, i, b_len, p - low AS score, low, k FROM runs WHERE place = 1),
+dense AS (SELECT doc_id, item_id, diagonal, MAX(near) AS most FROM sums GROUP BY ALL),
 begun AS (
   SELECT best.doc_id, best.item_id, best.diagonal, best.b_len, best.score, best.k, coalesce(MAX(s.i) + 1, 0) AS start, best.k - coalesce(max_by(s.k, s.i), 0) AS matches
   FROM best LEFT JOIN sums s ON s.doc_id = best.doc_id AND s.item_id = best.item_id AND s.diagonal = best.diagonal AND s.i < best.i AND s.p = best.low
@@ -113,8 +118,8 @@ begun AS (
 ),
 kept AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, matches DESC, start, diagonal DESC) AS place
-  FROM (SELECT begun.* EXCLUDE (matches, k), CAST(matches AS BIGINT) AS matches FROM begun)
-  WHERE score >= least({decontam.LEAST_MATCHES}, b_len) * {decontam.MATCH}
+  FROM (SELECT begun.* EXCLUDE (matches, k), CAST(matches AS BIGINT) AS matches, most FROM begun JOIN dense USING (doc_id, item_id, diagonal))
+  WHERE score >= least({decontam.LEAST_MATCHES}, b_len) * {decontam.MATCH} OR most >= least({decontam.LEAST_MATCHES}, ceil(b_len * {decontam.SHARE}))
 )
 SELECT doc_id, item_id, matches, CAST(score AS BIGINT) AS score, CAST(start + diagonal AS BIGINT) AS doc_start, CAST(start AS BIGINT) AS item_start
 FROM kept WHERE place = 1

@@ -1,9 +1,12 @@
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from mergelens.llm import decontam
+from mergelens.llm.oracle import OVERLAPS
 
 RND = random.Random(5)
 WORDS = [f"w{i}x" for i in range(500)]
@@ -75,6 +78,32 @@ def test_substitutions_in_short_items(spark, docs_of):
     assert got == {(i, i) for i in items}
 
 
+def test_the_sql_agrees_on_short_items_dense_stretches_and_repetitive_texts(spark, docs_of):
+    """The SQL of the query, on what the given benchmark lacks; some overlaps count by one of the two rules alone."""
+    rnd = random.Random(8)
+    items = {i: rnd.choices(WORDS, k=n) for i, n in enumerate([1, 2, 3, 6, 7, 9, 12, 16, 16, 20, 30, 45])}
+    items |= {20: ["a"] * 8, 21: ["a", "b"] * 10, 22: ["a"] * 5 + ["b"]}
+    rows = []
+    for doc in range(120):
+        words = rnd.choices(WORDS, k=rnd.randint(0, 40))
+        for item in rnd.sample(sorted(items), 2):
+            words += [rnd.choice(WORDS) if rnd.random() < rnd.choice((0, 0.1, 0.2, 0.25)) else w for w in items[item]] + rnd.choices(WORDS, k=5)
+        rows.append((doc, " ".join(words)))
+    rows += [(200, "a " * 300), (201, "a b " * 200), (202, "b " * 50 + "a " * 50), (203, None), (204, ""), (205, "a")]
+    bench = [(i, " ".join(w)) for i, w in items.items()] + [(30, " ".join(items[9])), (31, None), (32, "")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(bench, columns=["item_id", "text"]))
+    found = con.execute(OVERLAPS)
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    got = decontam.overlaps(docs_of(rows), spark.createDataFrame(bench, "item_id long, text string")).select(names)
+    assert sorted(map(tuple, got.collect())) == want
+    score = names.index("score")
+    assert any(r[score] < decontam.LEAST_MATCHES * decontam.MATCH and r[1] in (7, 8, 9, 10, 11) for r in want)
+    assert {0, 1, 2, 3} <= {r[1] for r in want}
+
+
 def test_no_python_in_the_plan(docs_of, bench):
     plan = decontam.overlaps(docs_of([(1, "a")]), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
