@@ -53,6 +53,45 @@ TEMPLATES = {
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
         "GNU General Public License for more details."
     ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version. This library is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "BSD-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution."
+    ),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
+    "BSD-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+        "DAMAGE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "MIT-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
 }
 
 #: Share of a template's words that has to be aligned.
@@ -139,6 +178,20 @@ class Scanner:
             found += self._of(name, words)
         return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
+    def chosen(self, found: list[tuple[str, int, int, float]]) -> list[bool]:
+        """For each finding, in the order of ``scan``, whether none that overlaps it aligns more words.
+
+        Of as many words the larger coverage is chosen, then the earlier name and place.
+        """
+        rank = [(-round(f[3] * len(self.templates[f[0]])), -f[3], f[0], i) for i, f in enumerate(found)]
+        out = [True] * len(found)
+        for i, (_, _, end, _) in enumerate(found):
+            for j in range(i + 1, len(found)):
+                if found[j][1] >= end:
+                    break
+                out[max(i, j, key=rank.__getitem__)] = False
+        return out
+
     def _of(self, name: str, words: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
         template, n = self.templates[name], self.counts[name]
         size, need = len(template), self.coverage * len(template)
@@ -167,14 +220,16 @@ class Scanner:
         return out
 
 
-FOUND = "doc_id long, template array<string>, start array<long>, end array<long>, coverage array<double>"
+FOUND = "doc_id long, template array<string>, start array<long>, end array<long>, coverage array<double>, chosen array<boolean>"
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row for each input row with arrays of the licenses found in its whole text.
 
     Null and empty texts have none; equal and overlapping notices of different templates are
-    all reported; repeated rows give a row each.
+    all reported, and ``chosen`` marks those that no overlapping one outdoes in aligned words (a
+    notice of the LGPL holds nearly all words of the GPL's). Notices of one template do not
+    overlap: the next is looked for behind the one before. Repeated rows give a row each.
     """
 
     def run(batches):
@@ -182,10 +237,11 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
         for batch in (part for whole in batches for part in text_slices(whole)):
             found = [scanner.scan(t) for t in batch.column("text").to_pylist()]
             cols = [[[f[i] for f in fs] for fs in found] for i in range(4)]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
+            cols.append([scanner.chosen(fs) for fs in found])
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, pa.list_(k)) for c, k in zip(cols, kinds, strict=True)]],
-                names=["doc_id", "template", "start", "end", "coverage"],
+                names=["doc_id", "template", "start", "end", "coverage", "chosen"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
