@@ -58,14 +58,21 @@ def normalize(raw: DataFrame, org: str | Column) -> DataFrame:
     return flat.select(*[F.col(f.name).cast(f.dataType) for f in FLAT_PR])
 
 
-def normalize_events(raw: DataFrame, org: str | Column) -> DataFrame:
+#: The kinds of events, in the order of their lists.
+KINDS = ("review", "request", "comment", "commit")
+
+
+def normalize_events(raw: DataFrame, org: str | Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """The events of raw pull requests: a row for each review, request, comment and commit author.
 
     ``seq`` numbers a pull request's events of a kind from 0 in the order of its list; authors of
     one commit share a number and are distinct. A request without a time counts as made when the
     pull request was opened; other times that are missing or cannot be read are null. A missing
     or empty name is null. Year and month are the pull request's, so both tables have the same partitions.
+    Lists of other ``kinds`` than those asked for are neither read nor made.
     """
+    if not kinds or set(kinds) - set(KINDS):
+        raise ValueError(f"kinds are some of {', '.join(KINDS)}")
     org = F.lit(org) if isinstance(org, str) else org
     created = _moment(F.col("createdAt"))
 
@@ -90,8 +97,9 @@ def normalize_events(raw: DataFrame, org: str | Column) -> DataFrame:
             ),
         )
     )
-    # one pass over the raw rows: the four lists are joined and then exploded
-    each = F.concat(*[F.coalesce(x, F.array().cast(_EVENTS)) for x in (reviews, requests, comments, commits)])
+    # one pass over the raw rows: the lists are joined and then exploded
+    lists = dict(zip(KINDS, (reviews, requests, comments, commits), strict=True))
+    each = F.concat(*[F.coalesce(lists[k], F.array().cast(_EVENTS)) for k in KINDS if k in kinds])
     flat = raw.select(
         org.alias("org"),
         "repo",
