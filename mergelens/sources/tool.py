@@ -5,10 +5,12 @@ The tool is called without a shell; ``run`` can be replaced in tests and other d
 
 from __future__ import annotations
 
+import heapq
+import io
 import json
 import subprocess
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 Runner = Callable[[list[str]], subprocess.CompletedProcess]
 
@@ -47,7 +49,8 @@ def call(args: list[str], tries: int = 3, delay: float = 2.0, run: Runner = run_
 class LandedTool:
     """Answers as the tool does, from landed JSON lines in ``root/org=<org>/repo=<repo>/``.
 
-    For collections that another job lands, and for tests: any file system that pyarrow opens.
+    For collections that another job lands, and for tests: any file system that pyarrow opens, files
+    plain or compressed as their names say.
     Names are those of the folders; the newest pull requests come first.
     """
 
@@ -60,20 +63,21 @@ class LandedTool:
         system, path = fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
         return system, system.get_file_info(fs.FileSelector(f"{path}/{below}", allow_not_found=True))
 
+    def _prs(self, org: str, repo: str) -> Iterator[dict]:
+        system, found = self._files(f"org={org}/repo={repo}")
+        for f in found:
+            if f.is_file and not f.base_name.startswith(("_", ".")):
+                with system.open_input_stream(f.path) as stream, io.TextIOWrapper(stream, encoding="utf-8") as lines:
+                    yield from (json.loads(line) for line in lines if line.strip())
+
     def __call__(self, args: list[str]) -> subprocess.CompletedProcess:
         if args[1:3] == ["repo", "list"]:
             _, found = self._files(f"org={args[3]}")
             out = [{"name": f.base_name.removeprefix("repo=")} for f in found if f.base_name.startswith("repo=")]
         elif args[1:3] == ["pr", "list"]:
             org, _, repo = args[args.index("--repo") + 1].partition("/")
-            system, found = self._files(f"org={org}/repo={repo}")
-            prs = []
-            for f in found:
-                if f.is_file and not f.base_name.startswith(("_", ".")):
-                    with system.open_input_stream(f.path) as stream:
-                        prs += [json.loads(line) for line in stream.read().splitlines() if line.strip()]
-            prs.sort(key=lambda p: (p.get("createdAt") or "", p.get("number") or 0), reverse=True)
-            out = prs[: int(args[args.index("--limit") + 1])]
+            # no more is held than a line and the newest so far
+            out = heapq.nlargest(int(args[args.index("--limit") + 1]), self._prs(org, repo), key=lambda p: (p.get("createdAt") or "", p.get("number") or 0))
         else:  # the search index holds nothing here
             out = []
         return subprocess.CompletedProcess(args, 0, json.dumps(out), "")

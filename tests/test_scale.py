@@ -1,9 +1,14 @@
 """What the larger tables must not bring: shuffles, text and memory that the work does not need."""
 
+import gzip
+import json
+import tracemalloc
+
 import pytest
 
 from mergelens.operators import normalize, reviews
 from mergelens.plans import catalog, fixture
+from mergelens.sources.tool import LandedTool
 
 
 def _plan(df) -> str:
@@ -45,3 +50,18 @@ def test_comments_of_a_person_are_one_group(spark):
     events = spark.sql(rows)
     (got,) = reviews.reviewer_stats(events).collect()
     assert (got.reviews_given, got.prs_reviewed, got.comments_made, got.approval_rate) == (0, 0, 50, None)
+
+
+def test_landed_tool_holds_the_newest_alone(tmp_path):
+    folder = tmp_path / "org=o" / "repo=r"
+    folder.mkdir(parents=True)
+    with gzip.open(folder / "part-0.txt.gz", "wt") as f:
+        for i in range(20_000):
+            f.write(json.dumps({"number": i, "createdAt": f"2024-01-{i % 28 + 1:02d}", "title": "x" * 500}) + "\n")
+    LandedTool(str(tmp_path))(["gh", "repo", "list", "o"])  # imports
+    tracemalloc.start()
+    done = LandedTool(str(tmp_path))(["gh", "pr", "list", "--repo", "o/r", "--limit", "3"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p["number"] for p in json.loads(done.stdout)] == [19991, 19963, 19935]
+    assert peak < 2_000_000  # of 11 MB
