@@ -9,6 +9,7 @@ import pytest
 from mergelens.operators import normalize, reviews
 from mergelens.plans import catalog, fixture
 from mergelens.sources.tool import LandedTool
+from mergelens.streaming import weekly
 
 
 def _plan(df) -> str:
@@ -65,3 +66,20 @@ def test_landed_tool_holds_the_newest_alone(tmp_path):
     tracemalloc.stop()
     assert [p["number"] for p in json.loads(done.stdout)] == [19991, 19963, 19935]
     assert peak < 2_000_000  # of 11 MB
+
+
+def test_batches_do_not_grow_with_files_and_state_is_on_disk(spark, tmp_path, monkeypatch):
+    line = json.dumps({"number": 1, "author": {"login": "a"}, "createdAt": "2024-01-01T00:00:00Z"})
+    folder = tmp_path / "landed" / "org=o" / "repo=r"
+    folder.mkdir(parents=True)
+    for i in range(40):
+        (folder / f"part-{i}.txt").write_text(line + "\n")
+    monkeypatch.setattr(catalog, "landed", lambda *_: str(tmp_path / "landed"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    running = weekly.start(catalog._landed_stream(spark, "", 4), str(tmp_path / "out"), str(tmp_path / "progress"), lateness="36500 days")
+    running.awaitTermination()
+    offsets = tmp_path / "progress" / "offsets"
+    assert len([p for p in (tmp_path / "progress" / "sources" / "0").iterdir() if p.name.isdigit()]) == 4
+    assert "RocksDB" in (offsets / "0").read_text()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert [r.opened for r in weekly.newest_sums(spark, str(tmp_path / "out")).collect()] == [1]
