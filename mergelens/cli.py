@@ -6,7 +6,7 @@ import argparse
 from datetime import datetime
 
 from .checkpoints import checkpoint
-from .operators.normalize import normalize, normalize_events
+from .operators.normalize import event_lists, normalize
 from .operators.scope import dropped_repos, with_min_prs
 from .reports.build import collection_report, contributor_report, dashboard, markdown_report
 from .session import get_session
@@ -55,7 +55,7 @@ def gather(spark, args, run=None) -> str:
         return f"None of the repositories has {args.min_prs} or more pull requests"
     dropped = dropped_repos(prs, args.min_prs).first()["dropped_repos"]
     # the store keeps every repository, the export only the reported ones
-    store.write_both(prs, normalize_events(raw, store.sanitize_org_name(org)), args.output, keep_others=args.upsert)
+    store.write_both(prs, event_lists(raw, store.sanitize_org_name(org)), args.output, keep_others=args.upsert)
     stamp = (args.as_of or datetime.now()).strftime("%Y%m%d_%H%M%S")
     export = f"{args.output}/pr_data_{store.sanitize_org_name(org)}_{stamp}.csv"
     store.write_csv(kept, export, single=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..schema import FLAT_EVENT, FLAT_PR
+from ..schema import EVENT_KEYS, EVENT_LISTS, FLAT_EVENT, FLAT_PR
 
 
 _EVENTS = "array<struct<kind: string, seq: int, actor: string, happened_at: timestamp, decision: string>>"
@@ -71,6 +71,16 @@ def normalize_events(raw: DataFrame, org: str | Column, kinds: tuple[str, ...] =
     or empty name is null. Year and month are the pull request's, so both tables have the same partitions.
     Lists of other ``kinds`` than those asked for are neither read nor made.
     """
+    # one pass over the raw rows: the lists are joined and then exploded
+    flat = event_lists(raw, org, kinds).select(*EVENT_KEYS, F.inline("events"))
+    return flat.select(*[F.col(f.name).cast(f.dataType) for f in FLAT_EVENT])
+
+
+def event_lists(raw: DataFrame, org: str | Column, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The same with a row for each raw pull request and its events as a list, which can be empty.
+
+    ``year`` and ``month`` are those of the raw rows, if they have them.
+    """
     if not kinds or set(kinds) - set(KINDS):
         raise ValueError(f"kinds are some of {', '.join(KINDS)}")
     org = F.lit(org) if isinstance(org, str) else org
@@ -97,20 +107,20 @@ def normalize_events(raw: DataFrame, org: str | Column, kinds: tuple[str, ...] =
             ),
         )
     )
-    # one pass over the raw rows: the lists are joined and then exploded
     lists = dict(zip(KINDS, (reviews, requests, comments, commits), strict=True))
     each = F.concat(*[F.coalesce(lists[k], F.array().cast(_EVENTS)) for k in KINDS if k in kinds])
+    own = set(raw.columns)
     flat = raw.select(
         org.alias("org"),
         "repo",
-        F.year(created).alias("year"),
-        F.month(created).alias("month"),
+        F.col("year") if "year" in own else F.year(created).alias("year"),
+        F.col("month") if "month" in own else F.month(created).alias("month"),
         F.col("number").alias("pr_number"),
         F.coalesce("author.login", F.lit("unknown")).alias("author"),
         created.alias("created_at"),
-        F.inline(each),
+        each.alias("events"),
     )
-    return flat.select(*[F.col(f.name).cast(f.dataType) for f in FLAT_EVENT])
+    return flat.select(*[F.col(f.name).cast(f.dataType) for f in EVENT_LISTS])
 
 
 def created_since(raw: DataFrame, since: str) -> DataFrame:

@@ -87,6 +87,16 @@ FLAT_EVENT = _struct(
     decision=_TEXT,
 )
 
+EVENT_KEYS = ("org", "repo", "year", "month", "pr_number", "author", "created_at")
+
+#: The same with the events of a pull request as one list, as the store keeps them.
+EVENT_LISTS = StructType(
+    [
+        *[FLAT_EVENT[c] for c in EVENT_KEYS],
+        StructField("events", ArrayType(StructType([f for f in FLAT_EVENT if f.name not in EVENT_KEYS]))),
+    ]
+)
+
 PARTITIONS = ("org", "repo", "year", "month")
 
 #: Fields that older files lack.

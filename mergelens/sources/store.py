@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.scope import scope
-from ..schema import FLAT_EVENT, FLAT_PR, PARTITIONS
+from ..schema import EVENT_KEYS, EVENT_LISTS, FLAT_EVENT, FLAT_PR, PARTITIONS
 
 SNAPSHOT_PREFIX = "pr_data_"
 
@@ -24,12 +25,28 @@ def conform(prs: DataFrame, schema: StructType = FLAT_PR) -> DataFrame:
     )
 
 
-def _replace_partitions(rows: DataFrame, path: str) -> None:
-    """Spark's rebalancing splits large partitions among tasks and puts small ones together."""
-    spread = rows.hint("rebalance", *PARTITIONS)
+def _replace_partitions(rows: DataFrame, path: str, placed: bool = False) -> None:
+    """Spark's rebalancing splits large partitions among tasks and puts small ones together; ``placed`` rows are so already."""
+    spread = rows if placed else rows.hint("rebalance", *PARTITIONS)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
+def _of_partitions(old: DataFrame, keys: list[Row]) -> DataFrame:
+    """Rows of these partitions; conditions on single columns keep the others unread, and nothing is shuffled."""
+    for c in PARTITIONS:
+        values = {k[c] for k in keys}
+        found = F.col(c).isin(sorted(values - {None}))
+        old = old.where(found | F.col(c).isNull() if None in values else found)
+    asked = old.sparkSession.createDataFrame(keys, StructType([FLAT_PR[c] for c in PARTITIONS])).alias("asked")
+    same = reduce(Column.__and__, [F.col(f"old.{c}").eqNullSafe(F.col(f"asked.{c}")) for c in PARTITIONS])
+    return old.alias("old").join(F.broadcast(asked), same, "left_semi")
+
+
+def _touched(prs: DataFrame) -> list[Row]:
+    """The partitions of the rows: as many as folders, which the driver lists for any scan."""
+    return prs.select(*PARTITIONS).distinct().collect()
+
+
 def write_prs(prs: DataFrame, path: str) -> bool:
     """Replace the partitions (org, repo, year, month) that occur in ``prs``; others stay.
 
@@ -48,58 +65,79 @@ def upsert_prs(prs: DataFrame, path: str) -> bool:
     Of several rows of a pull request the new one holds (of several new ones, one by its merge
     time). The merged rows are written out before the store's partitions are replaced.
     """
-    from ..checkpoints import checkpoint
+    from ..checkpoints import staged
 
     prs = conform(prs)
     spark = prs.sparkSession
     old = read_store(spark, path)
     if old is None:
         return write_prs(prs, path)
-    touched = prs.select(*PARTITIONS).distinct()
-    both = prs.withColumn("__new", F.lit(1)).unionByName(old.join(touched, list(PARTITIONS), "left_semi").withColumn("__new", F.lit(0)))
+    both = prs.withColumn("__new", F.lit(1)).unionByName(_of_partitions(old, _touched(prs)).withColumn("__new", F.lit(0)))
     latest = W.partitionBy("org", "repo", "pr_number").orderBy(F.desc("__new"), F.desc_nulls_last("merged_at"), F.desc_nulls_last("created_at"))
     kept = both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "__new")
-    return write_prs(checkpoint(kept), path)
+    return write_prs(staged(kept), path)
+
 
+def _listed(events: DataFrame) -> DataFrame:
+    """Flat events as a list for each pull request, repeated ones once; lists stay as they are."""
+    if "events" in events.columns:
+        return conform(events, EVENT_LISTS)
+    own = [c for c in FLAT_EVENT.names if c not in EVENT_KEYS]
+    lists = conform(events, FLAT_EVENT).groupBy(*EVENT_KEYS).agg(F.array_distinct(F.collect_list(F.struct(*own))).alias("events"))
+    return conform(lists, EVENT_LISTS)
 
-def write_events(prs: DataFrame, events: DataFrame, path: str, keep_others: bool = False) -> bool:
+
+def write_events(prs: DataFrame, events: DataFrame, path: str, keep_others: bool = False, placed: bool = False) -> bool:
     """Replace the events of the partitions that occur in ``prs``; they need not have any.
 
-    ``keep_others`` keeps the events of those partitions' pull requests that are not in ``prs``.
-    Each partition gets a row without a kind, which readers leave out: it makes a partition whose
-    last events are gone be replaced as well. Repeated events are one. False, and nothing
-    written, if ``prs`` has no row.
+    ``events`` are flat or lists (``normalize.event_lists``, one for a pull request); a row of the
+    store is a pull request with the list of its events. ``keep_others`` keeps the events of those
+    partitions' pull requests that are not in ``prs``. Each partition gets a row without a list,
+    which readers leave out: it makes a partition whose last events are gone be replaced as well.
+    ``placed`` lists have a row for each of ``prs``, lie together by partition, and are written as
+    they lie. Repeated events are one. False, and nothing written, if ``prs`` has no row.
     """
-    from ..checkpoints import checkpoint
+    from ..checkpoints import staged
 
-    prs, events = conform(prs), conform(events, FLAT_EVENT).distinct()
+    prs, rows = conform(prs), _listed(events)
     if prs.isEmpty():
         return False
-    touched = prs.select(*PARTITIONS).distinct()
-    rows = events.unionByName(touched, allowMissingColumns=True)
-    old = read_events(prs.sparkSession, path) if keep_others else None
+    if not placed:
+        rows = rows.unionByName(prs.select(*PARTITIONS).distinct(), allowMissingColumns=True)
+    old = read_event_lists(prs.sparkSession, path) if keep_others else None
     if old is not None:
         keys = ["org", "repo", "pr_number"]
-        others = old.join(touched, list(PARTITIONS), "left_semi").join(prs.select(*keys).distinct(), keys, "left_anti")
-        rows = checkpoint(rows.unionByName(others))
-    _replace_partitions(rows, path)
+        others = _of_partitions(old, _touched(prs)).join(prs.select(*keys).distinct(), keys, "left_anti")
+        rows, placed = staged(rows.unionByName(others)), False
+    _replace_partitions(rows, path, placed)
     return True
 
 
-def write_both(prs: DataFrame, events: DataFrame, folder: str, keep_others: bool = False) -> bool:
+def write_both(prs: DataFrame, events: DataFrame, folder: str, keep_others: bool = False, placed: bool = False) -> bool:
     """Both tables of a collection, under ``folder``; run again after a failure it gives the same tables.
 
     Events are written first: a pull request that is in the store has its events there.
     """
-    if not write_events(prs, events, f"{folder}/events", keep_others):
+    if not write_events(prs, events, f"{folder}/events", keep_others, placed):
         return False
     return (upsert_prs if keep_others else write_prs)(prs, f"{folder}/data")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored events as a lazy frame; None if there are none."""
-    out = _read(spark, path, FLAT_EVENT)
-    return None if out is None else out.where("kind is not null")
+    lists = read_event_lists(spark, path)
+    return None if lists is None else lists.select(*EVENT_KEYS, F.inline("events")).select(*FLAT_EVENT.names)
+
+
+def read_event_lists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored events as lists; None if there are none. An event of an older, flat file is a list of its own."""
+    own = [f for f in FLAT_EVENT if f.name not in EVENT_KEYS]
+    out = _read(spark, path, StructType([*EVENT_LISTS, *own]))
+    if out is None:
+        return None
+    alone = F.when(F.col("kind").isNotNull(), F.array(F.struct(*[f.name for f in own])))
+    lists = out.select(*EVENT_KEYS, F.coalesce("events", alone).alias("events"))
+    return lists.where("events is not null")
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:

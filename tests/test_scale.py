@@ -5,9 +5,13 @@ import json
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
+from mergelens import checkpoints
 from mergelens.operators import normalize, reviews
 from mergelens.plans import catalog, fixture
+from mergelens.schema import EVENT_LISTS, RAW_PR
+from mergelens.sources import store
 from mergelens.sources.tool import LandedTool
 from mergelens.streaming import weekly
 
@@ -83,3 +87,64 @@ def test_batches_do_not_grow_with_files_and_state_is_on_disk(spark, tmp_path, mo
     assert "RocksDB" in (offsets / "0").read_text()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     assert [r.opened for r in weekly.newest_sums(spark, str(tmp_path / "out")).collect()] == [1]
+
+
+def _merged_twice(spark, folder):
+    """A store of three pull requests in two partitions, and the first of them to upsert."""
+    start = ["2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", "2024-02-01T00:00:00Z"]
+    raw = spark.createDataFrame(
+        [({"login": "a"}, i, t, [({"login": "b"}, t, "APPROVED")] * 2, "r") for i, t in enumerate(start)],
+        RAW_PR_ROW,
+    )
+    prs, lists = normalize.normalize(spread(raw), "o"), normalize.event_lists(spread(raw), "o")
+    store.write_both(prs, lists, folder)
+    return prs.where("pr_number = 0"), lists.where("pr_number = 0")
+
+
+RAW_PR_ROW = "author struct<login: string>, number long, createdAt string, reviews array<struct<author: struct<login: string>, submittedAt: string, state: string>>, repo string"
+
+
+def spread(raw):
+    """The other raw fields as nulls."""
+    return raw.select("repo", *[F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_PR])
+
+
+def test_the_store_has_a_row_for_a_pull_request(spark, tmp_path):
+    _merged_twice(spark, str(tmp_path))
+    kept = spark.read.parquet(f"{tmp_path}/events").where("events is not null")
+    assert sorted((r["pr_number"], len(r["events"])) for r in kept.collect()) == [(0, 2), (1, 2), (2, 2)]
+    assert store.read_events(spark, f"{tmp_path}/events").count() == 6
+
+
+def test_flat_files_of_an_older_store_are_read_and_upserted(spark, tmp_path):
+    some, lists = _merged_twice(spark, f"{tmp_path}/new")
+    flat = store.read_events(spark, f"{tmp_path}/new/events")
+    flat.write.partitionBy("org", "repo", "year", "month").parquet(f"{tmp_path}/old")
+    again = store.read_events(spark, f"{tmp_path}/old")
+    assert again.exceptAll(flat).isEmpty() and flat.exceptAll(again).isEmpty()
+    store.write_events(some, lists.where("false"), f"{tmp_path}/old", keep_others=True)
+    assert sorted(r["pr_number"] for r in store.read_events(spark, f"{tmp_path}/old").collect()) == [1, 1, 2, 2]
+
+
+def test_an_upsert_reads_its_partitions_and_shuffles_nothing_else(spark, unicast, tmp_path, monkeypatch):
+    some, lists = _merged_twice(spark, str(tmp_path))
+    seen = []
+    real = checkpoints.staged
+    monkeypatch.setattr(checkpoints, "staged", lambda df: seen.append(df) or real(df))
+    store.write_both(some, lists, str(tmp_path), keep_others=True)
+    assert len(seen) == 2
+    for df, table in zip(seen, ("events", "data"), strict=True):
+        plan = _plan(df)
+        scan = next(line for line in plan.splitlines() if f"{tmp_path}/{table}" in line)
+        assert "month#" in scan[scan.index("PartitionFilters") :] and "PartitionFilters: []" not in scan
+        semi = next(line for line in plan.splitlines() if "LeftSemi" in line)
+        assert "BroadcastHashJoin" in semi
+    assert sorted(r["pr_number"] for r in store.read_events(spark, f"{tmp_path}/events").collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_placed_lists_are_written_as_they_lie(spark, sf, unicast, tmp_path):
+    lists = normalize.event_lists(fixture.placed_prs(spark, sf), F.col("org"))
+    # the shuffle and the sort are below what makes the lists
+    plan = _plan(store.conform(lists, EVENT_LISTS))
+    assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
+    assert "transform(" in plan[: plan.index("REBALANCE_PARTITIONS_BY_COL")] and "transform(" not in plan[plan.index("REBALANCE_PARTITIONS_BY_COL") :]
