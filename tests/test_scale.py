@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelens import checkpoints
-from mergelens.operators import normalize, reviews
+from mergelens.operators import normalize, reviews, rollup
 from mergelens.plans import catalog, fixture
 from mergelens.schema import EVENT_LISTS, RAW_PR
 from mergelens.sources import store
@@ -148,3 +148,18 @@ def test_placed_lists_are_written_as_they_lie(spark, sf, unicast, tmp_path):
     plan = _plan(store.conform(lists, EVENT_LISTS))
     assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
     assert "transform(" in plan[: plan.index("REBALANCE_PARTITIONS_BY_COL")] and "transform(" not in plan[plan.index("REBALANCE_PARTITIONS_BY_COL") :]
+
+
+def test_the_rest_is_rolled_up_without_a_join(spark, sf, unicast, monkeypatch):
+    seen = []
+    real = rollup.refresh
+    monkeypatch.setattr(catalog.rollup, "refresh", lambda prs, path, touched=None: seen.append(touched) or real(prs, path, touched))
+    catalog.queries()["incremental_roll_up"](spark, sf)
+    assert seen[0] is None and "Join" not in _plan(seen[1])
+
+
+def test_orders_are_shuffled_before_they_are_described(spark, sf, unicast):
+    for df in (fixture.derive_prs(spark, sf), fixture.nested_prs(spark, sf)):
+        plan = _plan(df)
+        below = plan[plan.index("SortMergeJoin") :]
+        assert "area-" in plan and "area-" not in below
