@@ -13,6 +13,7 @@ depends on that first token's count, so that a key's list stays short as the cor
 An item that has an earlier match needs no further comparison: its likeliest candidate is
 verified first, then the others of items that it leaves open. A list gives an item a few
 candidates; for an item that none of them settles, the list is searched, in parts if it is long.
+The sets of all candidates are written once, from the candidates' lines alone.
 
 Sets are told apart by 128 bits and tokens of a pair compared by 40 bits of their hashes.
 """
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    BROADCAST_ROWS,
     batches_of_text,
     checkpoint,
     count_sketch,
     done,
-    encoded,
     flag_sketch,
     flagged,
     free_name,
@@ -55,9 +56,10 @@ EXPECTED = 1024
 #: Most items of a long list that are searched by one task.
 PART = 4096
 _LINES = 4096  # lines sorted at once: their number has 12 bits beside a token's 52
+_SLICE = 1 << 20  # bytes of text described at once
 _HELD_LINES = 400_000  # described lines that a task holds before it sends them
 _GROUP_TOKENS = 1 << 22  # tokens whose lines a group of lists holds on average at most
-_FLAG_BITS = 23
+_FLAG_BITS = 23, 27  # least and most
 #: Kinds of packed rows; part p of a list is of kind _LIST + p.
 _ITEMS, _REMOVED, _LIKELIEST, _OTHERS, _LIST = range(5)
 
@@ -67,7 +69,8 @@ def _line_words(texts: list[bytes]):
     h, _, starts, _, buf = word_hashes(texts)
     raw = np.frombuffer(buf, np.uint8)
     cuts = np.flatnonzero(raw == 10)
-    line = np.searchsorted(cuts, starts)
+    # lines are fewer than words
+    line = np.repeat(np.arange(len(cuts) + 1), np.diff(np.searchsorted(starts, cuts), prepend=0, append=len(starts)))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
     # the line that each text begins with, plus the number of all lines
     first = np.concatenate(([0], np.searchsorted(cuts, ends[:-1]) + 1, [len(cuts) + 1])) if len(texts) else np.zeros(1, np.int64)
@@ -119,7 +122,7 @@ def _most_tokens(n: np.ndarray) -> np.ndarray:
 
 def _words(n: np.ndarray) -> np.ndarray:
     """64-bit words of the parity of a set of n tokens: more tokens need more bits to tell sets apart."""
-    return np.where(n <= 96, 1, np.where(n <= 208, 2, np.where(n <= 432, 4, 8)))
+    return 1 << np.searchsorted((96, 208, 432), n)
 
 
 def _parities(mixed: np.ndarray, start: np.ndarray, n: np.ndarray):
@@ -205,21 +208,41 @@ def posting_keys(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, sizes: np
     return row[fresh], key[fresh], first[fresh]
 
 
-def _grouped(texts: list[str | None], ids: list[int], rarity: np.ndarray, least: int):
+def _texts(batch) -> list[bytes]:
+    """A batch's texts in UTF-8 as they are; null ones are empty."""
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _grouped(batch, rarity: np.ndarray, least: int):
     """For each slice of a batch: (tokens, start, n, doc, line) of its lines of at least ``least`` words."""
-    raw = encoded(texts)
-    for part in batches_of_text(raw, 4 << 20):
+    raw, ids = _texts(batch), batch.column("doc_id").to_numpy()
+    for part in batches_of_text(raw, _SLICE):
         h, line, first = _line_words(raw[part])
-        lines, tokens = _token_sets(h, line, rarity)
-        if not len(lines):
-            continue
-        start = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1])))
-        n = np.diff(np.concatenate((start, [len(lines)])))
-        own = lines[start]
+        tokens, start, n, own = _sets(h, line, rarity, least)
         of = np.searchsorted(first, own, side="right") - 1
-        doc, number = np.array(ids[part], np.int64)[of], own - first[of]
-        enough = n >= least
-        yield tokens, start[enough], n[enough], doc[enough], number[enough]
+        yield tokens, start, n, ids[part][of], own - first[of]
+
+
+def _sets(h: np.ndarray, line: np.ndarray, rarity: np.ndarray, least: int):
+    """(tokens, start, n, line) of the lines of at least ``least`` words."""
+    lines, tokens = _token_sets(h, line, rarity)
+    start = np.flatnonzero(np.diff(lines, prepend=-1))
+    n = np.diff(start, append=len(lines))
+    enough = n >= least
+    return tokens, start[enough], n[enough], lines[start[enough]]
+
+
+def _wanted_lines(texts: list[bytes], ids: np.ndarray, flags: np.ndarray):
+    """(line, doc, number) of the lines whose place the flags have."""
+    buf = b"\n".join(texts)
+    ends = np.append(np.flatnonzero(np.frombuffer(buf, np.uint8) == 10), len(buf))
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    first = np.searchsorted(begins, np.cumsum(lengths) - lengths)
+    of = np.repeat(np.arange(len(texts)), np.diff(first, append=len(ends)))
+    doc, number = ids[of], np.arange(len(ends)) - first[of]
+    at = np.flatnonzero(flagged(flags, _place(doc, number)))
+    return [buf[a:b] for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)], doc[at], number[at]
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -254,12 +277,12 @@ def _blobs(bucket: np.ndarray, kind: int, columns: dict[str, np.ndarray], runs:
 
 _KINDS = {
     "key": np.uint64, "key2": np.uint64, "doc": np.int64, "line": np.int64, "n": np.int64, "sig": np.uint64, "wide": np.uint64,
-    "posts": np.int64, "post": np.int64, "post_high": np.int64, "pos": np.int64, "rest": np.int64, "item": np.uint64, "to": np.uint64, "to_doc": np.int64, "differ": np.int64,
+    "posts": np.int64, "post": np.int64, "post_high": np.int64, "pos": np.int64, "rest": np.int64, "item": np.uint64, "to": np.uint64, "to_doc": np.int64, "to_line": np.int64, "differ": np.int64,
 }
 _PER_POST = ("post", "post_high", "pos")
 _LINES_ROW = ("key", "key2", "doc", "line", "n", "sig", "wide", "posts", *_PER_POST)
 _LISTS_ROW = ("rest", "doc", "line", "n", "pos", "sig", "wide")
-_FOUND_ROW = ("item", "to", "doc", "to_doc", "line", "differ", "n", "sig")
+_FOUND_ROW = ("item", "to", "doc", "to_doc", "line", "to_line", "differ", "n", "sig")
 #: Bits of a key that travel; in a bucket the rest of these, modulo 2**32, tells keys apart. Two
 #: keys taken for one only add candidates.
 _KEY_BITS = 48
@@ -328,7 +351,7 @@ def _describe(docs: DataFrame, rarity, sizes, buckets: int, pct: int, least: int
             yield _rows(_blobs(bucket, _ITEMS, x, runs), _LINES_ROW)
 
         for batch in (part for whole in batches for part in text_slices(whole)):
-            for tokens, start, n, doc, line in _grouped(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), rarity.value, least):
+            for tokens, start, n, doc, line in _grouped(batch, rarity.value, least):
                 if not len(n):
                     continue
                 # sums and parities over each line's tokens
@@ -412,8 +435,9 @@ def _candidates(pct: int):
             ok = (differ <= room) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j]))
             ok &= (x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j])
             i, j, differ, room = i[ok], j[ok], differ[ok].astype(np.int64), room[ok]
-            for words, bits in full.items():
-                at = np.flatnonzero(_words(np.minimum(n[i], n[j])) >= words)
+            both = np.minimum(n[i], n[j])
+            for words, bits in full.items() if both.max(initial=0) > 96 else ():
+                at = np.flatnonzero(_words(both) >= words)
                 if len(at):
                     differ[at] = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64)
             ok = differ <= room
@@ -425,7 +449,7 @@ def _candidates(pct: int):
             ok = have[a] < MOST_CANDIDATES
             a, b, differ = a[ok], b[ok], differ[ok]
             np.add.at(have, a, 1)
-            found.append((item[a], item[b], x["doc"][a], x["doc"][b], x["line"][a], differ))
+            found.append((item[a], item[b], x["doc"][a], x["doc"][b], x["line"][a], x["line"][b], differ))
 
         i, d = np.flatnonzero(size_of <= SHORT_LIST), 1
         while len(i):
@@ -445,21 +469,22 @@ def _candidates(pct: int):
         # members that more of the list may resemble than the candidates they have
         may = (have >= MOST_CANDIDATES) | (size_of > SHORT_LIST)
         dense = np.bincount(list_of[may], minlength=len(size)) > 0
-        for k in np.flatnonzero(dense).tolist():
-            s, m = start[k], size[k]
-            for p in range(0, m, PART):
-                some = slice(s + p, s + min(p + PART, m))
-                columns = {"item": item[some], "doc": x["doc"][some], "line": x["line"][some], "differ": may[some].astype(np.int64), "n": x["n"][some], "sig": x["sig"][some]}
-                out.append(pa.Table.from_batches([_rows(_blobs(np.full(len(item[some]), number * (1 << 32) + key[s]), _LIST + p // PART, columns), _FOUND_ROW)]))
+        at = np.flatnonzero(dense[list_of])
+        part = (at - start[list_of[at]]) // PART
+        for p in range(int(part.max(initial=-1)) + 1):
+            some = at[part == p]
+            columns = {"item": item[some], "differ": may[some].astype(np.int64), **{c: x[c][some] for c in ("doc", "line", "n", "sig")}}
+            out.append(pa.Table.from_batches([_rows(_blobs(number * (1 << 32) + key[some], _LIST + p, columns), _FOUND_ROW)]))
         if found:
-            own, to, doc, to_doc, line, differ = (np.concatenate(f) for f in zip(*found, strict=True))
-            order = np.lexsort((to, differ, own))
-            own, to, doc, to_doc, line, differ = (v[order] for v in (own, to, doc, to_doc, line, differ))
+            pairs = dict(zip(_FOUND_ROW[:-2], (np.concatenate(f) for f in zip(*found, strict=True)), strict=True))
+            order = np.lexsort((pairs["to"], pairs["differ"], pairs["item"]))
+            pairs = {c: v[order] for c, v in pairs.items()}
+            own, to = pairs["item"], pairs["to"]
             new = np.concatenate(([True], own[1:] != own[:-1]))
             again = np.concatenate(([False], (own[1:] == own[:-1]) & (to[1:] == to[:-1])))
             for kind, some in ((_LIKELIEST, new), (_OTHERS, ~new & ~again)):
                 if some.any():
-                    columns = {c: v[some] for c, v in zip(_FOUND_ROW[:-2], (own, to, doc, to_doc, line, differ), strict=True)}
+                    columns = {c: v[some] for c, v in pairs.items()}
                     out.append(pa.Table.from_batches([_rows(_blobs(np.zeros(int(some.sum()), np.int64), kind, columns), _FOUND_ROW)]))
         return pa.concat_tables(out)
 
@@ -472,64 +497,102 @@ def _found_row(batch, row: int, prefix: str = "") -> dict[str, np.ndarray]:
     return {c: _widened([blob], [m], _KINDS[c]) for c, blob in blobs.items() if blob.is_valid}
 
 
-def _unpacked(found: DataFrame, wanted: str, open_items=None) -> DataFrame:
-    """(item, to, doc, line, differ, bucket, kind) of the packed rows for which ``wanted`` holds.
+def _unpacked(found: DataFrame, wanted: str, names, open_items=None) -> DataFrame:
+    """The columns ``names`` of the packed rows for which ``wanted`` holds.
 
     With ``open_items``, a broadcast flag sketch, only of the items that it has.
     """
+    sized = names[0]  # of 8 bytes each: the item, or the document of places that are removed
 
     def run(batches):
-        for batch in (part for whole in batches for part in text_slices(whole, 16)):
-            for row in range(batch.num_rows):
-                x = _found_row(batch, row)
-                m = len(x["doc"])
-                keep = np.arange(m) if open_items is None else np.flatnonzero(flagged(open_items.value, x["item"]))
-                columns = [pa.array(x[c][keep].view(np.int64)) if c in x else pa.nulls(len(keep), pa.int64()) for c in _FOUND_ROW]
-                same = [pa.array(np.full(len(keep), batch.column(c)[row].as_py(), np.int64)) for c in ("bucket", "kind")]
-                yield pa.RecordBatch.from_arrays([*columns, *same], names=[*_FOUND_ROW, "bucket", "kind"])
+        for batch in (part for whole in batches for part in text_slices(whole, 32)):
+            counted = [b.as_buffer().size // 8 for b in batch.column(sized)]
+            x = {c: _widened(batch.column(c), counted, _KINDS[c]) for c in names}
+            if open_items is not None:
+                keep = flagged(open_items.value, x["item"])
+                x = {c: v[keep] for c, v in x.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(x[c].view(np.int64)) for c in names], names=list(names))
+
+    return found.where(wanted).select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in names)).withColumns({c: F.col(c).cast("int") for c in names if c == "line"})
+
 
-    names = ", ".join(f"{c} long" for c in (*_FOUND_ROW, "bucket", "kind"))
-    return found.where(wanted).mapInArrow(run, names).withColumn("line", F.col("line").cast("int"))
+def _with_places(x: dict[str, np.ndarray], names) -> dict[str, np.ndarray]:
+    return x | {c: _place(x[of + "doc"], x[of + "line"]) for c, of in (("place", ""), ("to_place", "to_")) if c in names}
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(1)) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _item(doc: np.ndarray, line: np.ndarray, sig: np.ndarray) -> np.ndarray:
     """A number for a set at a place."""
-    with np.errstate(over="ignore"):
-        return mix64(mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(1)) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix64(sig))
+    return mix64(_place(doc, line) ^ mix64(sig))
+
+
+def _flags(rows: DataFrame, bits: int):
+    """Broadcast flags of the items in the columns item and to, of their places and of their documents, or of the numbers x."""
+    names = [c for c in ("x", "item", "to", "place", "to_place", "doc", "to_doc") if c in rows.columns]
+    return shared(rows.sparkSession, flag_sketch(rows, names, bits))
 
 
-def _flags(rows: DataFrame):
-    """Broadcast flags of the items in the columns item and to, and of the documents in doc and to_doc."""
-    names = [c for c in ("item", "to", "doc", "to_doc") if c in rows.columns]
-    return shared(rows.sparkSession, flag_sketch(rows, names, _FLAG_BITS))
+def _candidate_numbers(found: DataFrame) -> DataFrame:
+    """(x): the items and places that packed candidate pairs name, and their documents, each about once a task."""
+    names = ("item", "to", "place", "to_place", "doc", "to_doc")
 
+    def run(batches):
+        held, n = [], 0
+        for batch in (part for whole in batches for part in text_slices(whole, 16)):
+            for row in range(batch.num_rows):
+                x = _with_places(_found_row(batch, row), names)
+                held += [x[c].view(np.int64) for c in names]
+                n += len(x["doc"])
+                if n > _HELD_LINES:
+                    yield send(held)
+                    held, n = [], 0
+        if held:
+            yield send(held)
+
+    def send(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["x"])
+
+    return found.where(f"kind in ({_LIKELIEST}, {_OTHERS})").mapInArrow(run, "x long")
 
-def _packed_set(tokens: np.ndarray) -> bytes:
-    """Tokens by 40 bits of their hashes."""
-    low = tokens & np.uint64(0xFFFFFFFF)
-    return low.astype(np.uint32).tobytes() + ((tokens >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
+def _packed_sets(tokens: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each set its tokens by 40 bits of their hashes."""
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    low = tokens[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    ends = 5 * np.concatenate(([0], np.cumsum(n)))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(low.tobytes())])
 
-def _set_tokens(packed) -> np.ndarray:
-    blob = packed.as_buffer()
-    n = blob.size // 5
-    return np.frombuffer(blob, np.uint32, n) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+def _set_tokens(packed) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all sets, the set of each)."""
+    low = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 5)
+    tokens = np.zeros((len(low), 8), np.uint8)
+    tokens[:, :5] = low
+    sizes = pa.compute.binary_length(packed).to_numpy(zero_copy_only=False) // 5
+    return tokens.view("<u8").ravel(), np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
 
 
 def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
-    """(item, set): the packed tokens of the lines whose item passes the flag sketch."""
+    """(item, set): the packed tokens of the lines whose place and item pass the flag sketch; other lines are not tokenised."""
 
     def run(batches):
         for batch in (part for whole in batches for part in text_slices(whole, 2048)):
             ids = batch.column("doc_id").to_numpy()
             batch = batch.take(pa.array(np.flatnonzero(flagged(wanted.value, ids))))
             for part in text_slices(batch):
-                for tokens, start, n, doc, line in _grouped(part.column("text").to_pylist(), part.column("doc_id").to_pylist(), rarity.value, least):
-                    item = _item(doc, line, _parities(mix64(tokens), start, n)[0])
+                raw, ids = _texts(part), part.column("doc_id").to_numpy()
+                for some in batches_of_text(raw, _SLICE):
+                    found, doc, line = _wanted_lines(raw[some], ids[some], wanted.value)
+                    h, own, _ = _line_words(found)
+                    tokens, start, n, own = _sets(h, own, rarity.value, least)
+                    item = _item(doc[own], line[own], _parities(mix64(tokens), start, n)[0])
                     keep = np.flatnonzero(flagged(wanted.value, item))
                     keep = keep[np.unique(item[keep], return_index=True)[1]]
-                    sets = [_packed_set(tokens[a:b]) for a, b in zip(start[keep].tolist(), (start + n)[keep].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(item[keep].view(np.int64)), pa.array(sets, pa.binary())], names=["item", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(item[keep].view(np.int64)), _packed_sets(tokens, start[keep], n[keep])], names=["item", "set"])
 
     # rows that repeat a document repeat its sets
     return docs.mapInArrow(run, "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
@@ -539,14 +602,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """(item, doc, line) of the pairs (item, to, doc, line) that pass the exact test."""
 
     def test(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set"), batch.column("to_set"), strict=True):
-                both = np.concatenate([_set_tokens(x), _set_tokens(y)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= pct * (len(both) - common))
-            out = batch.filter(pa.array(ok, pa.bool_()))
+        for batch in (part for whole in batches for part in text_slices(whole)):
+            (x, of), (y, to_of) = _set_tokens(batch.column("set")), _set_tokens(batch.column("to_set"))
+            both = np.concatenate([x | (of << np.uint64(40)), y | (to_of << np.uint64(40))])
+            both.sort()
+            common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=batch.num_rows)
+            total = np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=batch.num_rows)
+            out = batch.filter(pa.array(100 * common >= pct * (total - common)))
             yield pa.RecordBatch.from_arrays([out.column(c) for c in ("item", "doc", "line")], names=["item", "doc", "line"])
 
     to = sets.select(F.col("item").alias("to"), F.col("set").alias("to_set"))
@@ -554,15 +616,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return both.mapInArrow(test, "item long, doc long, line int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rarity, pct: int, least: int) -> DataFrame:
-    wanted = _flags(pairs)
-    out = checkpoint(_similar(pairs, _sets_of(docs, wanted, rarity, least), pct))
-    done(wanted)
-    return out
-
-
 def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) -> DataFrame:
-    """(item, to, doc, to_doc, line): of packed lists, the open items with all earlier members that pass the filters.
+    """(item, to, doc, to_doc, line, place, to_place): of packed lists, the open items with all earlier members that pass the filters.
 
     Lists of one part are looked at where they are; the open items of others visit all parts. A
     pair meets in several lists, so pairs travel packed and each is given once.
@@ -579,7 +634,7 @@ def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) ->
             at = np.flatnonzero(ok & ((y["doc"] < doc) | ((y["doc"] == doc) & (y["line"] < line))))
             if len(at):
                 one = lambda v: np.full(len(at), v, np.int64)
-                yield np.full(len(at), x["item"][i]), y["item"][at], one(doc), y["doc"][at], one(line)
+                yield np.full(len(at), x["item"][i]), y["item"][at], one(doc), y["doc"][at], one(line), y["line"][at]
 
     def packed(found):
         held, n = [], 0
@@ -605,8 +660,8 @@ def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) ->
 
     def opened(rows: pa.Table) -> pa.Table:
         parts = [_found_row(batch, row) for batch in rows.to_batches() for row in range(batch.num_rows)]
-        columns = distinct({c: np.concatenate([x[c] for x in parts]) for c in names})
-        return pa.table({c: v.view(np.int64) for c, v in columns.items()})
+        columns = _with_places(distinct({c: np.concatenate([x[c] for x in parts]) for c in names}), places)
+        return pa.table({c: columns[c].view(np.int64) for c in (*names[:5], *places)})
 
     def pairs_within(batches):
         for batch in (part for whole in batches for part in text_slices(whole, 16)):
@@ -631,7 +686,8 @@ def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) ->
             rows = (_found_row(batch, row) for row in range(batch.num_rows))
             yield batch.filter(pa.array([bool((flagged(open_items.value, x["item"]) & (x["differ"] > 0)).any()) for x in rows], pa.bool_()))
 
-    names, schema = _FOUND_ROW[:5], "item long, to long, doc long, to_doc long, line long"
+    names, places = _FOUND_ROW[:6], ("place", "to_place")
+    schema = "item long, to long, doc long, to_doc long, line long, place long, to_place long"
     several = lists.where(F.col("kind") > _LIST).select("bucket").distinct()
     dealt = lists.join(several, "bucket").select("bucket", "kind", *_FOUND_ROW)
     visits = dealt.mapInArrow(having, dealt.schema).select("bucket", F.col("kind").alias("of_kind"), *[F.col(c).alias(f"of_{c}") for c in _FOUND_ROW])
@@ -647,9 +703,11 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
 
     def hashes(batch):
         for part in text_slices(batch):
-            yield word_hashes(encoded(part.column("text").to_pylist()))[0]
+            yield word_hashes(_texts(part))[0]
 
-    counts = count_sketch(docs.select("text"), hashes, sketch_bits(docs.count()))
+    rows = docs.count()
+    bits = sketch_bits(8 * rows, *_FLAG_BITS)
+    counts = count_sketch(docs.select("text"), hashes, sketch_bits(rows))
     # key sizes need the lines' number roughly: a token in 32 begins one
     rarity, sizes = shared(spark, rarity_classes(counts)), key_sizes(int(counts.sum()) // 32)
     # a line's keys are fewer than its tokens, so their number bounds what a group holds
@@ -657,29 +715,38 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(_postings(buckets), _schema(_LISTS_ROW))
     found = checkpoint(posted.groupBy("bucket").applyInArrow(_candidates(pct), _schema(_FOUND_ROW)))
 
+    # The sets of all candidates, written once.
+    wanted = _flags(_candidate_numbers(found), bits)
+    sets = checkpoint(_sets_of(docs, wanted, rarity, least))
+    done(wanted)
+
     # Of each item its likeliest candidate first.
-    likely = _unpacked(found, f"kind = {_LIKELIEST}")
-    tried = checkpoint(likely.groupBy("item", "doc", "line").agg(F.min_by("to", "differ").alias("to"), F.min_by("to_doc", "differ").alias("to_doc")))
-    matched = _verified(tried, docs, rarity, pct, least)
+    likely = _unpacked(found, f"kind = {_LIKELIEST}", ("item", "to", "doc", "line", "differ"))
+    tried = checkpoint(likely.groupBy("item", "doc", "line").agg(F.min_by("to", "differ").alias("to")))
+    matched = checkpoint(_similar(tried, sets, pct))
 
     # Then the others of the items that it leaves open.
-    still = _flags(tried.join(matched, "item", "left_anti").select("item"))
-    rest = checkpoint(_unpacked(found, f"kind in ({_LIKELIEST}, {_OTHERS})", still).select("item", "to", "doc", "to_doc", "line").distinct())
+    still = _flags(tried.join(matched, "item", "left_anti").select("item"), bits)
+    rest = checkpoint(_unpacked(found, f"kind in ({_LIKELIEST}, {_OTHERS})", ("item", "to", "doc", "line"), still).distinct())
     done(still)
     if not rest.isEmpty():
-        matched = matched.unionByName(_verified(rest, docs, rarity, pct, least))
+        matched = matched.unionByName(checkpoint(_similar(rest, sets, pct)))
 
     # And all others of the lists that hold more for an item than these.
     lists = found.where(f"kind >= {_LIST}")
-    left = checkpoint(_unpacked(found, f"kind >= {_LIST}").where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
+    left = checkpoint(_unpacked(found, f"kind >= {_LIST}", ("item", "differ")).where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
     if not left.isEmpty():
-        still = _flags(left)
-        more = _pairs_in_lists(lists, still, pct, buckets).join(left, "item", "left_semi")
-        more = checkpoint(more.select("item", "to", "doc", "to_doc", "line"))
+        still = _flags(left, bits)
+        more = checkpoint(_pairs_in_lists(lists, still, pct, buckets).join(left, "item", "left_semi"))
         done(still)
-        matched = matched.unionByName(_verified(more, docs, rarity, pct, least))
+        wanted = _flags(more, bits)
+        if more.count() <= BROADCAST_ROWS:
+            own = more.select(F.col("doc").alias("doc_id")).union(more.select("to_doc")).distinct()
+            docs = docs.join(F.broadcast(own), "doc_id", "left_semi")
+        matched = matched.unionByName(checkpoint(_similar(more.select("item", "to", "doc", "line"), _sets_of(docs, wanted, rarity, least), pct)))
+        done(wanted)
     done(rarity)
-    gone = _unpacked(found, f"kind = {_REMOVED}").select("doc", "line").unionByName(matched.select("doc", "line"))
+    gone = _unpacked(found, f"kind = {_REMOVED}", ("doc", "line")).unionByName(matched.select("doc", "line"))
     return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("removed"))
 
 

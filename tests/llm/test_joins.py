@@ -135,6 +135,49 @@ def test_repeated_rows_keep_their_lines(spark):
         assert got == [(1, same), (1, same), (1, f"{same} seven"), (2, "new words for a line")]
 
 
+def test_sets_of_candidates_are_written_once(docs_of, monkeypatch):
+    """Items that their likeliest candidate leaves open are compared with others, but no text is read again."""
+    rnd = random.Random(3)
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(60)]
+        for c in range(8):
+            own = list(words)
+            for at in rnd.sample(range(60), rnd.choice([3, 4, 5])):
+                own[at] = f"o{g}_{c}_{at}"
+            rows.append((len(rows), " ".join(own)))
+    calls = []
+    for name in ("_sets_of", "_similar"):
+        real = getattr(lines, name)
+        monkeypatch.setattr(lines, name, lambda *args, _name=name, _real=real: calls.append(_name) or _real(*args))
+    test_lines(docs_of, rows)
+    assert calls.count("_similar") == 2 and calls.count("_sets_of") == 1
+
+
+@given(st.lists(st.text("ab \n", max_size=12), min_size=1, max_size=6))
+def test_only_lines_of_flagged_places_are_tokenised(texts):
+    ids = np.arange(len(texts)) * 7
+    places = [(i, k, line) for i, t in zip(ids.tolist(), texts, strict=True) for k, line in enumerate(t.split("\n"))]
+    numbers = lines._place(np.array([p[0] for p in places]), np.array([p[1] for p in places]))
+    flags = np.zeros(1 << 20, np.uint8)
+    bits = 23
+    wanted = [k for k in range(len(places)) if k % 3 == 0]
+    for x in (int(numbers[k]) for k in wanted):
+        at = (x ^ (x >> bits) ^ (x >> 2 * bits)) & ((1 << bits) - 1)
+        flags[at >> 3] |= 1 << (at & 7)
+    line, doc, number = lines._wanted_lines([t.encode() for t in texts], ids, flags)
+    assert list(zip(doc.tolist(), number.tolist(), (b.decode() for b in line), strict=True)) == [places[k] for k in wanted]
+
+
+@given(st.lists(st.sets(st.integers(0, (1 << 52) - 1), min_size=1), min_size=1, max_size=5))
+def test_packed_sets(sets):
+    """Sets come back by the low 40 bits of their tokens, each with its number."""
+    n = np.array([len(s) for s in sets])
+    tokens = np.array([t for s in sets for t in s], np.uint64)
+    got, of = lines._set_tokens(lines._packed_sets(tokens, np.cumsum(n) - n, n))
+    assert got.tolist() == [t & ((1 << 40) - 1) for s in sets for t in s] and of.tolist() == np.repeat(np.arange(len(n)), n).tolist()
+
+
 def test_empty(docs_of):
     assert njoin.jaccard_components(docs_of([])).count() == 0
     assert lines.dedup_lines(docs_of([])).count() == 0
