@@ -72,6 +72,41 @@ def done(*sent) -> None:
         b.destroy()
 
 
+def give_back() -> None:
+    """Free memory of a Python worker goes back to the system: workers wait for other tasks, and several run beside one JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """``run(batches)``, and free memory is given back at its end."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return mapped
+
+
+def giving_back_group(run):
+    """The same for ``run(table)`` of a group."""
+
+    def applied(rows):
+        out = run(rows)
+        give_back()
+        return out
+
+    return applied
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,7 +127,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
                     names=kinds.names,
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 # --- word hashing -------------------------------------------------------------------------
@@ -147,19 +182,58 @@ def _hash_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(h), starts, ends
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _token_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _hash_block, with other hashes and less work: a word is read eight bytes at a time."""
+    n = len(block)
+    raw = np.frombuffer(block + bytes(8), np.uint8)
+    space = np.empty(n + 2, bool)
+    space[0] = space[-1] = True
+    np.less(raw[:n] - np.uint8(9), 5, out=space[1:-1])
+    space[1:-1] |= raw[:n] == 32
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, ends
+    size = ends - starts
+    eight = np.ndarray(n + 1, "<u8", raw.data, strides=(1,))  # the eight bytes from each position on
+    with np.errstate(over="ignore"):
+        h = mix64(eight[starts] & _FIRST_BYTES[np.minimum(size, 8)])
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) >> 3
+            cut = np.cumsum(more) - more
+            step = np.arange(int(more.sum())) - np.repeat(cut, more) + 1
+            left = np.repeat(size[long], more) - 8 * step
+            rest = eight[np.repeat(starts[long], more) + 8 * step] & _FIRST_BYTES[np.minimum(left, 8)]
+            h[long] += np.add.reduceat(mix64(rest + step.astype(np.uint64) * np.uint64(_BASE)), cut)
+        return mix64(h + size.astype(np.uint64)), starts, ends
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """As word_hashes with ``lower``, for sets that are only compared: other hashes in less time.
+
+    Models that are trained on hashes keep those of word_hashes.
+    """
+    return word_hashes(texts, block_hashes=_token_block, size=1 << 18)
+
+
+def word_hashes(texts: list[bytes], lower: bool = True, block_hashes=_hash_block, size: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """64-bit hashes of the words of all texts, ASCII-lower-cased if ``lower``, in order.
 
     Returns (hashes, first word of each text plus an end mark, word starts, word ends, buffer);
-    starts and ends are byte positions in the buffer. Work is done in blocks of about 128 KB cut
-    at white space, so memory stays a small multiple of the input.
+    starts and ends are byte positions in the buffer. Work is done in blocks of about ``size``
+    bytes cut at white space, so memory stays a small multiple of the input.
     """
     buf = b"\n".join(texts)
     buf = buf.lower() if lower else buf
     hashes, starts, ends = [], [], []
     at = 0
     while at < len(buf):
-        to = min(at + _BLOCK, len(buf))
+        to = min(at + size, len(buf))
         if to < len(buf):
             cut = max(buf.rfind(c, at, to) for c in (b" ", b"\n"))
             if cut > at:
@@ -167,7 +241,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
             else:
                 ahead = [p for p in (buf.find(b" ", to), buf.find(b"\n", to)) if p >= 0]
                 to = min(ahead) + 1 if ahead else len(buf)
-        h, s, e = _hash_block(buf[at:to])
+        h, s, e = block_hashes(buf[at:to])
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
@@ -186,7 +260,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     A text of fewer than k words has its whole sequence as its one shingle; a text without
     words has none.
     """
-    h, first, *_ = word_hashes(texts)
+    h, first, *_ = token_hashes(texts)
     out = []
     n = len(h)
     with np.errstate(over="ignore"):
@@ -265,21 +339,10 @@ def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
     size, span = 1 << bits, 1 << min(_CHUNK_BITS, bits)
 
     def tally(batches):
-        total, held, n = np.zeros(size, np.uint32), [], 0
-
-        def settle():
-            total[:] += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-            held.clear()
-
+        total, one = np.zeros(size, np.uint32), np.uint32(1)
         for batch in batches:
             for h in hashes_of(batch):
-                held.append(h)
-                n += len(h)
-                if n > max(size, 1 << 20):
-                    settle()
-                    n = 0
-        if held:
-            settle()
+                np.add.at(total, (h & np.uint64(size - 1)).astype(np.int64), one)
         level = TaskContext.get().partitionId() // 256
         for i in range(size // span):
             part = total[i * span : (i + 1) * span]
@@ -295,7 +358,7 @@ def count_sketch(df: DataFrame, hashes_of, bits: int) -> np.ndarray:
             _add_to(total, blob.as_py())
         return pa.table({"chunk": rows["chunk"][:1], "packed": pa.array([_sparse(total)], pa.binary())})
 
-    parts = df.mapInArrow(tally, "chunk int, level int, packed binary")
+    parts = df.mapInArrow(giving_back(tally), "chunk int, level int, packed binary")
     parts = parts.groupBy("chunk", "level").applyInArrow(merge, "chunk int, packed binary")
     out = np.zeros(size, np.int64)
     for r in parts.groupBy("chunk").applyInArrow(merge, "chunk int, packed binary").collect():

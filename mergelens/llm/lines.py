@@ -35,12 +35,14 @@ from .common import (
     flag_sketch,
     flagged,
     free_name,
+    giving_back,
+    giving_back_group,
     mix64,
     shared,
     shuffle_width,
     sketch_bits,
     text_slices,
-    word_hashes,
+    token_hashes,
 )
 from .setjoin import least_overlap, prefix_length
 
@@ -60,13 +62,13 @@ _SLICE = 1 << 20  # bytes of text described at once
 _HELD_LINES = 400_000  # described lines that a task holds before it sends them
 _GROUP_TOKENS = 1 << 22  # tokens whose lines a group of lists holds on average at most
 _FLAG_BITS = 23, 27  # least and most
-#: Kinds of packed rows; part p of a list is of kind _LIST + p.
+#: Kinds of packed rows; a list of one part is of kind _LIST, part p (from 1) of others of kind _LIST + p.
 _ITEMS, _REMOVED, _LIKELIEST, _OTHERS, _LIST = range(5)
 
 
 def _line_words(texts: list[bytes]):
     """(hashes, line of each, first line of each text): lines are cut at \\n alone."""
-    h, _, starts, _, buf = word_hashes(texts)
+    h, _, starts, _, buf = token_hashes(texts)
     raw = np.frombuffer(buf, np.uint8)
     cuts = np.flatnonzero(raw == 10)
     # lines are fewer than words
@@ -376,7 +378,7 @@ def _describe(docs: DataFrame, rarity, sizes, buckets: int, pct: int, least: int
         if held:
             yield from settle()
 
-    return docs.mapInArrow(run, _schema(_LINES_ROW))
+    return docs.mapInArrow(giving_back(run), _schema(_LINES_ROW))
 
 
 def _postings(buckets: int):
@@ -416,23 +418,29 @@ def _candidates(pct: int):
         wide = _runs(x["wide"], _words(x["n"]) - 1, order)
         x = {c: v[order] for c, v in x.items() if c != "wide"}
         full = _full_parities(x["sig"], wide, x["n"])
-        key, n, pos = x["rest"], x["n"].astype(np.int32), x["pos"].astype(np.int32)
+        key, n, pos, sig = x["rest"], x["n"].astype(np.int32), x["pos"].astype(np.int32), x["sig"]
         after = n - pos - 1
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((start, [len(key)])))
-        size_of, last, list_of = np.repeat(size, size), np.repeat(start + size, size), np.repeat(np.arange(len(size)), size)
+        size_of, list_of = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
         item = _item(x["doc"], x["line"], x["sig"])
         found: list[tuple[np.ndarray, ...]] = []
         have = np.zeros(len(key), np.int64)
 
+        # by the sum of two sizes, the tokens that may be in one of the sets alone
+        sums = np.arange(2 * min(int(n.max(initial=0)), 1 << 16) + 1, dtype=np.int32)
+        rooms, most = sums - 2 * least_overlap(sums, pct), 2 * int(n.max(initial=0))
+
         def take(i: np.ndarray, j: np.ndarray) -> None:
             """Keep what passes the filters; i and j are positions in the same list."""
             total = n[i] + n[j]
-            room = total - 2 * least_overlap(total, pct)  # tokens that are in one of the two
+            room = rooms[total] if most < len(rooms) else total - 2 * least_overlap(total, pct)
+            # the parity leaves the fewest
+            differ = np.bitwise_count(sig[i] ^ sig[j])
+            ok = np.flatnonzero(differ <= room)
+            i, j, total, room, differ = i[ok], j[ok], total[ok], room[ok], differ[ok]
             ok = total - room <= 2 * (np.minimum(pos[i], pos[j]) + 1 + np.minimum(after[i], after[j]))
-            i, j, room = i[ok], j[ok], room[ok]
-            differ = np.bitwise_count(x["sig"][i] ^ x["sig"][j])
-            ok = (differ <= room) & (100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j]))
+            ok &= 100 * np.minimum(n[i], n[j]) >= pct * np.maximum(n[i], n[j])
             ok &= (x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j])
             i, j, differ, room = i[ok], j[ok], differ[ok].astype(np.int64), room[ok]
             both = np.minimum(n[i], n[j])
@@ -451,13 +459,15 @@ def _candidates(pct: int):
             np.add.at(have, a, 1)
             found.append((item[a], item[b], x["doc"][a], x["doc"][b], x["line"][a], x["line"][b], differ))
 
-        i, d = np.flatnonzero(size_of <= SHORT_LIST), 1
+        # how many of those after it in its list each may resemble by length
+        by_length = (key << 30) | np.minimum(x["n"], (1 << 30) - 1)
+        reach = np.searchsorted(by_length, (key << 30) | np.minimum(100 * x["n"] // pct, (1 << 30) - 1), side="right") - np.arange(len(key)) - 1
+        i, d = np.flatnonzero((size_of <= SHORT_LIST) & (reach > 0)), 1
         while len(i):
-            i = i[i + d < last[i]]
-            i = i[pct * n[i + d] <= 100 * n[i]]
             open_pairs = i[(have[i] < MOST_CANDIDATES) | (have[i + d] < MOST_CANDIDATES)]
             take(open_pairs, open_pairs + d)
             d += 1
+            i = i[reach[i] >= d]
         at = np.flatnonzero(size_of > SHORT_LIST)
         if len(at):
             # a star against the first place of each length in eighths of powers of two
@@ -470,10 +480,10 @@ def _candidates(pct: int):
         may = (have >= MOST_CANDIDATES) | (size_of > SHORT_LIST)
         dense = np.bincount(list_of[may], minlength=len(size)) > 0
         at = np.flatnonzero(dense[list_of])
-        part = (at - start[list_of[at]]) // PART
+        part = (at - start[list_of[at]]) // PART + (size_of[at] > PART)
         for p in range(int(part.max(initial=-1)) + 1):
             some = at[part == p]
-            columns = {"item": item[some], "differ": may[some].astype(np.int64), **{c: x[c][some] for c in ("doc", "line", "n", "sig")}}
+            columns = {"item": item[some], "differ": may[some] * np.where(size_of[some] > SHORT_LIST, 2, 1), **{c: x[c][some] for c in ("doc", "line", "n", "sig")}}
             out.append(pa.Table.from_batches([_rows(_blobs(number * (1 << 32) + key[some], _LIST + p, columns), _FOUND_ROW)]))
         if found:
             pairs = dict(zip(_FOUND_ROW[:-2], (np.concatenate(f) for f in zip(*found, strict=True)), strict=True))
@@ -513,7 +523,36 @@ def _unpacked(found: DataFrame, wanted: str, names, open_items=None) -> DataFram
                 x = {c: v[keep] for c, v in x.items()}
             yield pa.RecordBatch.from_arrays([pa.array(x[c].view(np.int64)) for c in names], names=list(names))
 
-    return found.where(wanted).select(*names).mapInArrow(run, ", ".join(f"{c} long" for c in names)).withColumns({c: F.col(c).cast("int") for c in names if c == "line"})
+    return found.where(wanted).select(*names).mapInArrow(giving_back(run), ", ".join(f"{c} long" for c in names)).withColumns({c: F.col(c).cast("int") for c in names if c == "line"})
+
+
+def _open_in_lists(lists: DataFrame, still) -> DataFrame:
+    """(item): the items that more of a list may resemble, each about once a task.
+
+    In a list whose pairs were all looked at such an item has candidates, so it is open only if
+    the flags ``still`` have it; in a longer one it need not have any.
+    """
+
+    def run(batches):
+        held, n = [], 0
+        for batch in (part for whole in batches for part in text_slices(whole, 32)):
+            counted = [b.as_buffer().size // 8 for b in batch.column("item")]
+            item, may = (_widened(batch.column(c), counted, _KINDS[c]) for c in ("item", "differ"))
+            item, may = item[may > 0], may[may > 0]
+            held.append(np.unique(item[(may > 1) | flagged(still.value, item)]))
+            n += len(held[-1])
+            if n > _HELD_LINES:
+                held = [np.unique(np.concatenate(held))]
+                n = 0
+                if len(held[0]) > _HELD_LINES:
+                    yield send(held.pop())
+        if held:
+            yield send(np.unique(np.concatenate(held)))
+
+    def send(items):
+        return pa.RecordBatch.from_arrays([pa.array(items.view(np.int64))], names=["item"])
+
+    return lists.select("item", "differ").mapInArrow(giving_back(run), "item long")
 
 
 def _with_places(x: dict[str, np.ndarray], names) -> dict[str, np.ndarray]:
@@ -556,7 +595,7 @@ def _candidate_numbers(found: DataFrame) -> DataFrame:
     def send(held):
         return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["x"])
 
-    return found.where(f"kind in ({_LIKELIEST}, {_OTHERS})").mapInArrow(run, "x long")
+    return found.where(f"kind in ({_LIKELIEST}, {_OTHERS})").mapInArrow(giving_back(run), "x long")
 
 
 def _packed_sets(tokens: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -595,7 +634,7 @@ def _sets_of(docs: DataFrame, wanted, rarity, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(item[keep].view(np.int64)), _packed_sets(tokens, start[keep], n[keep])], names=["item", "set"])
 
     # rows that repeat a document repeat its sets
-    return docs.mapInArrow(run, "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
+    return docs.mapInArrow(giving_back(run), "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -613,7 +652,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
     to = sets.select(F.col("item").alias("to"), F.col("set").alias("to_set"))
     both = pairs.join(to, "to").select("item", "doc", "line", "to_set").join(sets, "item")
-    return both.mapInArrow(test, "item long, doc long, line int")
+    return both.mapInArrow(giving_back(test), "item long, doc long, line int")
 
 
 def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) -> DataFrame:
@@ -688,22 +727,57 @@ def _pairs_in_lists(lists: DataFrame, open_items, pct: int, groups: int = 0) ->
 
     names, places = _FOUND_ROW[:6], ("place", "to_place")
     schema = "item long, to long, doc long, to_doc long, line long, place long, to_place long"
-    several = lists.where(F.col("kind") > _LIST).select("bucket").distinct()
-    dealt = lists.join(several, "bucket").select("bucket", "kind", *_FOUND_ROW)
-    visits = dealt.mapInArrow(having, dealt.schema).select("bucket", F.col("kind").alias("of_kind"), *[F.col(c).alias(f"of_{c}") for c in _FOUND_ROW])
+    dealt = lists.where(F.col("kind") > _LIST).select("bucket", "kind", *_FOUND_ROW)
+    visits = dealt.mapInArrow(giving_back(having), dealt.schema).select("bucket", F.col("kind").alias("of_kind"), *[F.col(c).alias(f"of_{c}") for c in _FOUND_ROW])
     visits = visits.join(dealt, "bucket").where("kind != of_kind")
-    both = lists.mapInArrow(within, _schema(_FOUND_ROW)).unionByName(visits.mapInArrow(across, _schema(_FOUND_ROW)))
-    return both.groupBy("bucket").applyInArrow(opened, schema).withColumn("line", F.col("line").cast("int"))
+    both = lists.mapInArrow(giving_back(within), _schema(_FOUND_ROW)).unionByName(visits.mapInArrow(giving_back(across), _schema(_FOUND_ROW)))
+    return both.groupBy("bucket").applyInArrow(giving_back_group(opened), schema).withColumn("line", F.col("line").cast("int"))
+
+
+def _by_document(gone: DataFrame) -> DataFrame:
+    """Of (doc, line): each document's distinct lines in order, and a byte for each line up to the last, 1 if it goes."""
+
+    def run(batches):
+        doc, line = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            # the last document of a batch may go on in the next
+            doc, line = np.concatenate([doc, batch.column("doc").to_numpy()]), np.concatenate([line, batch.column("line").to_numpy()])
+            end = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
+            if end:
+                yield lists(doc[:end], line[:end])
+            doc, line = doc[end:], line[end:]
+        if len(doc):
+            yield lists(doc, line)
+
+    def lists(doc, line):
+        new = np.concatenate(([True], doc[1:] != doc[:-1]))
+        fresh = new | np.concatenate(([True], line[1:] != line[:-1]))
+        doc, line, start = doc[fresh], line[fresh], np.flatnonzero(new[fresh])
+        ends = np.append(start[1:], len(doc))
+        masks = np.cumsum(line[ends - 1] + 1)  # where each document's mask ends
+        mask = np.zeros(int(masks[-1]), np.uint8)
+        mask[np.repeat(masks - line[ends - 1] - 1, ends - start) + line] = 1
+        removed = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(line))
+        mask = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate(([0], masks)).astype(np.int32).tobytes()), pa.py_buffer(mask.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(doc[start]), removed, mask], names=["doc_id", "removed", "mask"])
+
+    rows = gone.select("doc", F.col("line").cast("long").alias("line"))
+    return rows.repartition("doc").sortWithinPartitions("doc", "line").mapInArrow(giving_back(run), "doc_id long, removed array<bigint>, mask binary")
 
 
 def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): the numbers (from 0) of each document's lines that go, if any."""
+    return _repeated(docs, pct, least).select("doc_id", "removed")
+
+
+def _repeated(docs: DataFrame, pct: int, least: int) -> DataFrame:
+    """repeated_lines, with the mask of _by_document."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashes(batch):
         for part in text_slices(batch):
-            yield word_hashes(_texts(part))[0]
+            yield token_hashes(_texts(part))[0]
 
     rows = docs.count()
     bits = sketch_bits(8 * rows, *_FLAG_BITS)
@@ -712,8 +786,8 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     rarity, sizes = shared(spark, rarity_classes(counts)), key_sizes(int(counts.sum()) // 32)
     # a line's keys are fewer than its tokens, so their number bounds what a group holds
     buckets = max(2 * shuffle_width(spark), int(counts.sum()) // _GROUP_TOKENS)
-    posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(_postings(buckets), _schema(_LISTS_ROW))
-    found = checkpoint(posted.groupBy("bucket").applyInArrow(_candidates(pct), _schema(_FOUND_ROW)))
+    posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(giving_back_group(_postings(buckets)), _schema(_LISTS_ROW))
+    found = checkpoint(posted.groupBy("bucket").applyInArrow(giving_back_group(_candidates(pct)), _schema(_FOUND_ROW)))
 
     # The sets of all candidates, written once.
     wanted = _flags(_candidate_numbers(found), bits)
@@ -728,13 +802,13 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
     # Then the others of the items that it leaves open.
     still = _flags(tried.join(matched, "item", "left_anti").select("item"), bits)
     rest = checkpoint(_unpacked(found, f"kind in ({_LIKELIEST}, {_OTHERS})", ("item", "to", "doc", "line"), still).distinct())
-    done(still)
     if not rest.isEmpty():
         matched = matched.unionByName(checkpoint(_similar(rest, sets, pct)))
 
     # And all others of the lists that hold more for an item than these.
     lists = found.where(f"kind >= {_LIST}")
-    left = checkpoint(_unpacked(found, f"kind >= {_LIST}", ("item", "differ")).where("differ = 1").select("item").distinct().join(matched, "item", "left_anti"))
+    left = checkpoint(_open_in_lists(lists, still).distinct().join(matched, "item", "left_anti"))
+    done(still)
     if not left.isEmpty():
         still = _flags(left, bits)
         more = checkpoint(_pairs_in_lists(lists, still, pct, buckets).join(left, "item", "left_semi"))
@@ -747,23 +821,7 @@ def repeated_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> D
         done(wanted)
     done(rarity)
     gone = _unpacked(found, f"kind = {_REMOVED}", ("doc", "line")).unionByName(matched.select("doc", "line"))
-    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.sort_array(F.collect_set(F.col("line").cast("long"))).alias("removed"))
-
-
-def _masked(gone: DataFrame) -> DataFrame:
-    """Adds ``__mask`` to (__doc, __removed): a byte for each line up to the last removed, 1 if it goes."""
-
-    def run(batches):
-        for batch in batches:
-            masks = []
-            for numbers in batch.column("__removed"):
-                at = numbers.values.to_numpy()
-                mask = np.zeros(int(at.max()) + 1, np.uint8)
-                mask[at] = 1
-                masks.append(mask.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(masks, pa.binary())], names=[*batch.schema.names, "__mask"])
-
-    return gone.mapInArrow(run, "__doc long, __removed array<bigint>, __mask binary")
+    return _by_document(gone)
 
 
 def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> DataFrame:
@@ -775,9 +833,9 @@ def dedup_lines(docs: DataFrame, pct: int = PCT, least: int = MIN_WORDS) -> Data
     ``removed_lines`` is an array of line numbers from 0, empty if none goes; it takes the place of
     a column of that name, so the operator can be applied to its own result.
     """
-    gone = repeated_lines(docs.select("doc_id", "text"), pct, least).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
+    gone = _repeated(docs.select("doc_id", "text"), pct, least)
     doc, cut, mask = (free_name(docs, c) for c in ("__doc", "__removed", "__mask"))
-    joined = docs.join(_masked(gone).toDF(doc, cut, mask).hint("shuffle_hash"), F.col("doc_id") == F.col(doc), "left")
+    joined = docs.join(gone.toDF(doc, cut, mask).hint("shuffle_hash"), F.col("doc_id") == F.col(doc), "left")
     removed = F.coalesce(cut, F.array().cast("array<bigint>"))
     # the mask has a byte for each line, so that a look at one takes no search
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"\1"))

@@ -25,6 +25,7 @@ from .common import (
     flag_sketch,
     flagged,
     free_name,
+    giving_back,
     mix64,
     shared,
     shingle_sets,
@@ -116,7 +117,7 @@ def _describe(docs: DataFrame, counts, k: int, pct: int) -> DataFrame:
             blobs = [pa.array(x, pa.binary()) for x in (sig, wide, big, prefix)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *ints, *blobs], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, item long, sig binary, wide binary, big binary, prefix binary")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n long, item long, sig binary, wide binary, big binary, prefix binary")
 
 
 def flags_of(df: DataFrame, *columns: str) -> np.ndarray:
@@ -138,7 +139,7 @@ def _sets_of(docs: DataFrame, wanted, k: int) -> DataFrame:
                 own = np.flatnonzero(flagged(wanted.value, items)) if len(items) else []
                 yield pa.RecordBatch.from_arrays([pa.array(items[own]), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["item", "set"])
 
-    return docs.mapInArrow(run, "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
+    return docs.mapInArrow(giving_back(run), "item long, set binary").groupBy("item").agg(F.first("set").alias("set"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: int) -> DataFrame:
@@ -152,7 +153,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: in
             out = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column(c) for c in ("a", "b", "rep_a", "rep_b")], names=["a", "b", "rep_a", "rep_b"])
 
-    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(by_parity, "a long, b long, rep_a long, rep_b long"))
+    left = checkpoint(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(by_parity), "a long, b long, rep_a long, rep_b long"))
     wanted = shared(docs.sparkSession, flags_of(left, "a", "b", "rep_a", "rep_b"))
     sets = _sets_of(docs, wanted, k)
 
@@ -174,7 +175,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, items: DataFrame, k: int, pct: in
 
     with_a = left.select("a", "b").join(sets.select(F.col("item").alias("a"), F.col("set").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("item").alias("b"), F.col("set").alias("set_b")), "b")
-    out = checkpoint(with_b.mapInArrow(test, "a long, b long"))
+    out = checkpoint(with_b.mapInArrow(giving_back(test), "a long, b long"))
     done(wanted)
     return out
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, batches_of_text, checkpoint, encoded, text_slices, word_hashes
+from .common import BROADCAST_ROWS, batches_of_text, checkpoint, encoded, giving_back, text_slices, word_hashes
 
 #: Bound of the labelled sample that the document model is fitted on.
 MAX_LABELLED = 8000
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             x = features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("quality").cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["draw", "quality", "x"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(measure, "draw long, quality long, x array<double>").collect())
+    got = sorted(tuple(r) for r in rows.mapInArrow(giving_back(measure), "draw long, quality long, x array<double>").collect())
     if not got:
         return None
     return train(np.array([r[2] for r in got]), np.array([float(r[1] > 0) for r in got]))
@@ -143,7 +143,7 @@ def evidence(docs: DataFrame, model: DocumentModel | None, keys: list[Column], w
             z = sent.value.logits(features(texts)) if sent.value else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(z, pa.float64())], names=[*names, "logit"])
 
-    return source.mapInArrow(run, kinds)
+    return source.mapInArrow(giving_back(run), kinds)
 
 
 def _shrink(share: Column, n: Column, prior: Column, strength: Column) -> Column:

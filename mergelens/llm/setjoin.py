@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, mix64, shuffle_width
+from .common import flagged, giving_back, giving_back_group, mix64, shuffle_width
 
 HOT = 200_000
 #: Postings that a task's group holds on average at most.
@@ -130,7 +130,7 @@ def candidate_pairs(
     buckets = max(4 * shuffle_width(spark), -(-posted // (8 * GROUP)))
     columns = ["item", "n", "sig", "place", *(["label"] if labelled else [])]
     blobs = items.select(*columns, "prefix", "probe").mapInArrow(
-        _postings(columns, counts, live, buckets), "bucket long, " + ", ".join(f"{c} binary" for c in ("key", "pos", "role", *columns))
+        giving_back(_postings(columns, counts, live, buckets)), "bucket long, " + ", ".join(f"{c} binary" for c in ("key", "pos", "role", *columns))
     )
     second = live is not None
 
@@ -231,4 +231,4 @@ def candidate_pairs(
             }
         )
 
-    return blobs.groupBy("bucket").applyInArrow(join, PAIRS)
+    return blobs.groupBy("bucket").applyInArrow(giving_back_group(join), PAIRS)

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from mergelens.llm import common
 
@@ -23,6 +25,26 @@ def test_long_texts_are_cut_at_white_space():
     assert first.tolist() == [0, 200_002] and len(set(h.tolist())) == 3
 
 
+@given(st.lists(st.text("abA \t\né", max_size=60), max_size=5))
+def test_token_hashes_tell_the_same_words_apart(texts):
+    raw = [t.encode() for t in texts] + [b"abcdefgh abcdefghi abcdefgh\0 abcdefghabcdefgh abcdefgha bcdefgh"]
+    h, *places = common.word_hashes(raw)
+    again, *same = common.token_hashes(raw)
+    assert all(np.array_equal(a, b) for a, b in zip(places[:3], same[:3], strict=True)) and places[3] == same[3]
+    assert len(set(h.tolist())) == len(set(again.tolist())) == len(set(zip(h.tolist(), again.tolist(), strict=True)))
+
+
+def test_memory_is_given_back_at_the_end_of_a_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    run = common.giving_back(lambda batches: (b + 1 for b in batches))
+    assert list(run([1, 2])) == [2, 3] and len(calls) == 1
+    some = run([1, 2])
+    next(some)
+    some.close()
+    assert len(calls) == 2 and common.giving_back_group(lambda x: -x)(3) == -3 and len(calls) == 3
+
+
 def test_sketches(spark):
     df = spark.range(1000).selectExpr("id % 10 as id").repartition(5)
     counts = common.count_sketch(df, lambda batch: [common.mix64(batch.column("id").to_numpy().view(np.uint64))], 17)

@@ -154,6 +154,45 @@ def test_sets_of_candidates_are_written_once(docs_of, monkeypatch):
     assert calls.count("_similar") == 2 and calls.count("_sets_of") == 1
 
 
+def test_members_of_lists_are_looked_at_once(docs_of, monkeypatch):
+    """Large groups of near copies have many lists; of these a task gives each open item alone, and once."""
+    monkeypatch.setattr(lines, "MOST_CANDIDATES", 2)
+    rnd = random.Random(4)
+    rows = []
+    for g in range(3):
+        words = [f"w{g}x{i}" for i in range(40)]
+        for c in range(30):
+            own = list(words)
+            for at in rnd.sample(range(40), 2 + c % 3):
+                own[at] = f"o{g}_{c}_{at}"
+            rows.append((len(rows), " ".join(own)))
+    seen = []
+    real = lines._open_in_lists
+
+    def open_in_lists(lists, still):
+        out = real(lists, still)
+        members = sum(len(r["item"]) // 8 for r in lists.select("item").collect())
+        seen.append((members, out.count(), out.distinct().count(), lists.rdd.getNumPartitions()))
+        return out
+
+    monkeypatch.setattr(lines, "_open_in_lists", open_in_lists)
+    test_lines(docs_of, rows)
+    ((members, given_rows, items, tasks),) = seen
+    assert given_rows <= items * tasks and items <= len(rows) and given_rows < members / 10
+
+
+def test_lines_that_go_are_gathered_over_batches(spark):
+    gone = [(d, k) for d in (-5, 3, 4, 9) for k in (0, 2, 7, d % 3)] * 2
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r["doc_id"]: r for r in lines._by_document(spark.createDataFrame(gone, "doc long, line int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {d: r["removed"] for d, r in got.items()} == {d: sorted({0, 2, 7, d % 3}) for d in (-5, 3, 4, 9)}
+    assert all([k for k, b in enumerate(r["mask"]) if b] == r["removed"] and len(r["mask"]) == 8 for r in got.values())
+
+
 @given(st.lists(st.text("ab \n", max_size=12), min_size=1, max_size=6))
 def test_only_lines_of_flagged_places_are_tokenised(texts):
     ids = np.arange(len(texts)) * 7
