@@ -786,8 +786,12 @@ def _repeated(docs: DataFrame, pct: int, least: int) -> DataFrame:
     rarity, sizes = shared(spark, rarity_classes(counts)), key_sizes(int(counts.sum()) // 32)
     # a line's keys are fewer than its tokens, so their number bounds what a group holds
     buckets = max(2 * shuffle_width(spark), int(counts.sum()) // _GROUP_TOKENS)
-    posted = _describe(docs, rarity, sizes, buckets, pct, least).groupBy("bucket").applyInArrow(giving_back_group(_postings(buckets)), _schema(_LISTS_ROW))
-    found = checkpoint(posted.groupBy("bucket").applyInArrow(giving_back_group(_candidates(pct)), _schema(_FOUND_ROW)))
+    # no name holds the frames before the checkpoint, so that Spark can clear their shuffles away
+    found = checkpoint(
+        _describe(docs, rarity, sizes, buckets, pct, least)
+        .groupBy("bucket").applyInArrow(giving_back_group(_postings(buckets)), _schema(_LISTS_ROW))
+        .groupBy("bucket").applyInArrow(giving_back_group(_candidates(pct)), _schema(_FOUND_ROW))
+    )
 
     # The sets of all candidates, written once.
     wanted = _flags(_candidate_numbers(found), bits)
